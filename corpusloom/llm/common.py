@@ -134,3 +134,19 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+class Codes(dict):
+    """Numbers keys in order of first sight; ``take_new`` hands over those seen since it was last called."""
+
+    def __init__(self) -> None:
+        self._new: list = []
+
+    def __missing__(self, key):
+        self[key] = code = len(self)
+        self._new.append(key)
+        return code
+
+    def take_new(self) -> list:
+        new, self._new = self._new, []
+        return new

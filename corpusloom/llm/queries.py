@@ -6,10 +6,28 @@ the contract's columns from what the operator returns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .piece_codec import decode_ids, encode_texts
 from .quality_rules import apply_rules
+from .token_counts import count_tokens
+
+
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read_back = decode_ids(encode_texts(docs, model), model)
+    return read_back.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +35,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_piece_codec": op8_piece_codec,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -24,8 +44,8 @@ _W = r"[\x20\x09-\x0D]"
 _SQL10 = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{_W}+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_W}+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 g AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -35,7 +55,7 @@ r AS (
   SELECT doc_id, count(*) AS n FROM (
     SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (doc_id, g)) GROUP BY doc_id),
 m AS (
-  SELECT doc_id, w, l, t, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+  SELECT doc_id, w, l, t, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN r USING (doc_id)),
@@ -46,7 +66,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 10 * n_symbols > 3 * n_words
             OR 2 * n_dup_lines > len(l)
-            OR 5 * len(list_filter(w, x -> x <> '|')) < 4 * n_words
+            OR 5 * len(list_filter(w, lambda x: x <> '|')) < 4 * n_words
             OR 20 * len(list_distinct(w)) < n_words
             OR 5 * len(regexp_extract_all(t, '!!([\x20\x09-\x0D]|$)')) > n_words) AS kept
 FROM b

@@ -63,11 +63,10 @@ def repeated_positions(ordered: Column) -> Column:
 
 def covered_words(positions: Column) -> Column:
     """How many words the three-word windows at a column of sorted positions cover together."""
-    return F.when(F.size(positions) == 0, F.lit(0)).otherwise(
-        F.lit(3) + F.aggregate(
-            F.transform(positions, lambda p, k: F.coalesce(F.least(F.lit(3), F.get(positions, k + 1) - p), F.lit(0))),
-            F.lit(0), lambda a, x: a + x,
-        ))
+    return F.aggregate(
+        F.transform(positions, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(positions, k + 1) - p, F.lit(3)))),
+        F.lit(0), lambda a, x: a + x,
+    )
 
 
 def base_metrics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

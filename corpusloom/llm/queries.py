@@ -10,11 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .line_dedup import LineIndex, drop_lines
 from .piece_codec import decode_ids, encode_texts
 from .quality_rules import apply_rules
 from .token_counts import count_tokens
+from .warc_bundles import read_bundles, write_bundles
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = written(write_bundles(table(spark, sf_dir, "pages")), "warc")
+    return read_bundles(bundles, payloads=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op7_warc_bundles": op7_warc_bundles,
     "op8_piece_codec": op8_piece_codec,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
@@ -94,7 +102,20 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INT + 1, 1)"
+    for g in range(8) for k in range(4))
+_SQL7 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT t, max(page_id) AS holder FROM p GROUP BY t)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p JOIN m USING (t)
+"""
+
 ORACLES = {
+    "op7_warc_bundles": _SQL7,
     "op2_line_dedup": _SQL2,
     "op10_quality_rules": _SQL10,
 }

@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import CONTROL, MARK, TEMPLATE, conversation_digests, format_turns
 from .common import table, written
 from .line_dedup import LineIndex, drop_lines
 from .piece_codec import decode_ids, encode_texts
@@ -18,6 +19,18 @@ from .token_counts import count_tokens
 from .warc_bundles import read_bundles, write_bundles
 
 
+#: Conversation -1 of the contract: its one text, said by both sides.
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    blocks = written(format_turns(turns, ranks, public_tokenizers.PATTERN), "chat")
+    return conversation_digests(blocks, ranks, public_tokenizers.PATTERN)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_lines(docs, LineIndex.build(docs, min_docs=10, min_chars=1)).select(
@@ -49,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_piece_codec": op8_piece_codec,
@@ -114,7 +128,22 @@ SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, {_B32} AS payl
 FROM p JOIN m USING (t)
 """
 
+_ESCAPED = "length({x}) + " + " + ".join(
+    f"(length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)} * {1 if c == MARK else 2}" for c in (MARK, *CONTROL))
+_SQL1 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({_ESCAPED.format(x="role")} + {_ESCAPED.format(x="text")} + {sum(map(len, TEMPLATE))})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 ORACLES = {
+    "op1_chat_format": _SQL1,
     "op7_warc_bundles": _SQL7,
     "op2_line_dedup": _SQL2,
     "op10_quality_rules": _SQL10,

@@ -150,3 +150,19 @@ class Codes(dict):
     def take_new(self) -> list:
         new, self._new = self._new, []
         return new
+
+
+# ---------------------------------------------------------------- labelled rows
+def labelled_sample(labels: DataFrame, label: str, usable, most: int, doc_id: str = "doc_id") -> DataFrame:
+    """(__id, __y) of at most about ``most`` labelled documents, picked by a hash of their id.
+
+    ``usable`` is a column that is true for rows that may be learned from. Rows without
+    an id or label are left out; of several labels of an id the largest counts.
+    """
+    from pyspark.sql import functions as F
+
+    rows = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & usable).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
+    total = rows.count()
+    if total > most:
+        rows = rows.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return rows

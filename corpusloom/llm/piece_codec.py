@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from .common import Codes, list_array, slices
 
 BLANK = "▁"
-#: A memo is emptied when it holds so many cuts.
-MEMO_ENTRIES = 600_000
+#: A memo is emptied when it holds so many cuts, or half as many pairs.
+MEMO_ENTRIES = 400_000
 
 
 class Pieces:
@@ -82,7 +82,7 @@ class Pieces:
 
     def joins(self, left: str, right: str) -> bool:
         """Whether two pieces may stand next to each other, that is, encode to themselves."""
-        if len(self.known_joins) > MEMO_ENTRIES:
+        if len(self.known_joins) > MEMO_ENTRIES // 2:
             self.known_joins.clear()
         known = self.known_joins[left, right] = self.reduce(left + right) == [left, right]
         return known

@@ -16,7 +16,11 @@ from .line_dedup import LineIndex, drop_lines
 from .near_dups import near_duplicates
 from .piece_codec import decode_ids, encode_texts
 from .quality_rules import apply_rules
+from .quality_model import score as quality_score
+from .quality_model import train as train_quality
 from .token_counts import count_tokens
+from .toxicity import score as toxicity_score
+from .toxicity import train as train_toxicity
 from .warc_bundles import read_bundles, write_bundles
 
 
@@ -42,6 +46,23 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    weights = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_score(docs, weights).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    index = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity_score(docs, index).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.transform("evidence", lambda x: x["id"]).alias("neighbours"))
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = written(write_bundles(table(spark, sf_dir, "pages")), "warc")
     return read_bundles(bundles, payloads=False).select(
@@ -70,6 +91,8 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dups": op3_near_dups,
+    "op5_quality_model": op5_quality_model,
+    "op6_toxicity": op6_toxicity,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_piece_codec": op8_piece_codec,
     "op9_token_counts": op9_token_counts,

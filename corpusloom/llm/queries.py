@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import CONTROL, MARK, TEMPLATE, conversation_digests, format_turns
 from .common import table, written
+from .decontaminate import find_leaks
 from .line_dedup import LineIndex, drop_lines
 from .near_dups import near_duplicates
 from .piece_codec import decode_ids, encode_texts
@@ -46,6 +47,10 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -91,6 +96,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dups": op3_near_dups,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_model": op5_quality_model,
     "op6_toxicity": op6_toxicity,
     "op7_warc_bundles": op7_warc_bundles,

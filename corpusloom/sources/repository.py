@@ -85,7 +85,7 @@ def load_directory(spark: SparkSession, root: str, most: int | None = MOST_FILES
     base = F.lit(root.rstrip("/").split("://")[-1].split(":")[-1])
     path = F.regexp_replace(F.split_part(F.col("path"), base, F.lit(-1)), "^/+", "")
     entries = raw.select(path.alias("path"), F.lit("blob").alias("type"), F.col("length").alias("size"), F.col("path").alias("raw_url"), "content").withColumn("pos", F.col("path"))
-    return wanted(entries, most).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), "raw_url", file_type(F.col("path")).alias("file_type"))
+    return wanted(entries, most).select("path", F.decode("content", "UTF-8").alias("content"), "raw_url", file_type(F.col("path")).alias("file_type"))
 
 
 @dataclass(frozen=True)

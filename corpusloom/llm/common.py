@@ -40,6 +40,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids are broadcast up to this number, which take some 60 MB; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame, label: str) -> DataFrame:
+    """``ids`` (a narrow table) written, and marked for a broadcast if there are no more than ``BROADCAST_IDS``.
+
+    A join with it then doesn't shuffle the texts on its other side.
+    """
+    from pyspark.sql import functions as F
+
+    ids = written(ids, label)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,9 +5,10 @@
 2. Passages of ``PASSAGE`` words give TF-IDF rows. A randomised SVD finds their main directions:
    each task multiplies its rows with a common random matrix and back, sums go
    through a shuffle per word, and only matrices of vocabulary size reach the driver.
-3. Every window of a document, as long as an item and aligned to ``STEP`` words, is projected; items with
-   a cosine of ``COSINE`` or more are candidates. No number of candidates is capped.
-4. A candidate is confirmed by the longest common subsequence of item and window, and by the
+3. Every window of a document, as long as an item and aligned to ``STEP`` words, is projected; items whose
+   cosine reaches ``COSINE`` of what a window with the whole item has on average are candidates. No number of candidates is capped.
+4. Candidates that share too few words with the item, in whatever order, go: their subsequence can be no longer. The
+   others are confirmed by the longest common subsequence of item and window, and by the
    item's answer (its last sentence): near-whole items, or most of one with its answer.
 
 Items are taken in blocks of ``ITEM_BLOCK``, which bounds what is broadcast.
@@ -30,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, list_array, slices, span_hashes, word_spans, written
+from .common import joined_bytes, list_array, sized, slices, span_hashes, word_spans, written
 
 STEP, PASSAGE = 8, 32
-RANK, OVERSAMPLE = 32, 8
-COSINE = 0.6
-ITEM_BLOCK = 10_000
+RANK, OVERSAMPLE = 56, 8
+COSINE = 0.62
+ITEM_BLOCK = 2_000
 LEAST_WORDS = 6
 #: A candidate is a leak at this share of the item in order, or at the lower one with this share of its answer.
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.75
@@ -150,6 +151,14 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(total[at, k])) for k in range(total.shape[1]))], ["at", *(f"v{k}" for k in range(total.shape[1]))])
 
 
+def _sums_of(columns: np.ndarray, term: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For each line of ``columns`` (a value per term) its sums over runs of known words."""
+    out = np.empty((len(columns), len(heads)), np.float64)
+    for k, own in enumerate(columns):
+        out[k] = np.add.reduceat(own.take(term), heads)
+    return out
+
+
 def inverse_frequencies(rows: DataFrame, terms: int) -> np.ndarray:
     """idf of the vocabulary over all passages."""
 
@@ -175,35 +184,49 @@ def principal_directions(rows: DataFrame, idf: np.ndarray, rank: int = RANK, see
     terms, spark = len(idf), rows.sparkSession
     width = min(rank + OVERSAMPLE, terms)
 
-    def passages(part: pa.RecordBatch, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of X times the matrix, and where each known word's row lies among them."""
+    def passages(part: pa.RecordBatch, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unit rows of X times a matrix (both turned, a line per column), the known words' terms, their passages, and the passages' lengths."""
         term, cell, _, _ = _ragged(part, PASSAGE)
         heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sums = np.add.reduceat(matrix[term], heads, axis=0)
-        norm = np.sqrt(np.add.reduceat(idf[term] ** 2, heads))  # about a passage's length
-        return sums / np.maximum(norm, 1e-9)[:, None], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term)))), norm
+        norm = np.sqrt(np.maximum(np.add.reduceat(idf[term] ** 2, heads), 1e-18))
+        return _sums_of(columns, term, heads) / norm, term, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term)))), norm
 
     def spread(matrix: np.ndarray) -> np.ndarray:
         """X'X times a matrix."""
-        sent = spark.sparkContext.broadcast((matrix * idf[:, None]).astype(np.float32))
+        sent = spark.sparkContext.broadcast(np.ascontiguousarray((matrix * idf[:, None]).T.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((terms, matrix.shape[1]))
+            total = np.zeros((matrix.shape[1], terms))
             for part in _pieces(batches):
-                y, at, norm = passages(part, sent.value)
-                term = _ragged(part, PASSAGE)[0]
-                order = np.argsort(term, kind="stable")
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) != 0]))
-                total[term[order][heads]] += np.add.reduceat((y / np.maximum(norm, 1e-9)[:, None])[at[order]], heads, axis=0)
-            yield _emit(total * idf[:, None])
+                y, term, at, norm = passages(part, sent.value)
+                y /= norm
+                for k in range(len(y)):
+                    total[k] += np.bincount(term, y[k][at], terms)
+            yield _emit((total * idf).T)
 
         at, found = _sums(rows, run, matrix.shape[1])
         out = np.zeros((terms, matrix.shape[1]))
         out[at] = found
         return out
 
+    def inner(matrix: np.ndarray) -> np.ndarray:
+        """(X matrix)'(X matrix), a small square."""
+        sent = spark.sparkContext.broadcast(np.ascontiguousarray((matrix * idf[:, None]).T.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((matrix.shape[1], matrix.shape[1]))
+            for part in _pieces(batches):
+                y = passages(part, sent.value)[0].astype(np.float32)
+                total += y @ y.T
+            yield _emit(total)
+
+        at, found = _sums(rows, run, matrix.shape[1])
+        out = np.zeros((matrix.shape[1], matrix.shape[1]))
+        out[at] = found
+        return out
+
     basis = np.linalg.qr(spread(np.random.default_rng(seed).standard_normal((terms, width))))[0]
-    small = basis.T @ spread(basis)
+    small = inner(basis)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-values)[:rank]
     best = best[values[best] > 1e-9 * max(values.max(), 1e-30)]
@@ -235,50 +258,85 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         "doc_id", "item_id", "m.cosine", "m.item_share", "m.answer_share", (-F.col("m.at")).alias("first_word"), "m.n_words")
 
 
+def _shared(term: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, counts: np.ndarray, least: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Which candidates (known words ``begin`` to ``end``, item) share ``least`` words of the item, repeats counted as often as both have them."""
+    kept: list[np.ndarray] = []
+    sizes = end - begin
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(item):
+        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")), at + 1)
+        n = sizes[at:stop]
+        who = np.repeat(np.arange(at, stop), n)
+        words = term[np.repeat(begin[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        held = counts[item[who], words] > 0
+        rough = np.bincount(who[held] - at, minlength=stop - at) >= least[item[at:stop]]
+        held &= rough[who - at]
+        pair, times = np.unique(who[held] * counts.shape[1] + words[held], return_counts=True)
+        owner, word = pair // counts.shape[1], pair % counts.shape[1]
+        shared = np.bincount(owner - at, np.minimum(times, counts[item[owner], word]), stop - at)
+        kept.append(at + np.flatnonzero(shared >= least[item[at:stop]]))
+        at = stop
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
 def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float) -> DataFrame:
     rows = written(known_words(docs, items, doc_id, text), "leak-words")
     idf = inverse_frequencies(rows, len(items.vocabulary))
-    directions = (principal_directions(rows, idf) * idf[:, None]).astype(np.float32)
+    directions = np.ascontiguousarray((principal_directions(rows, idf) * idf[:, None]).T.astype(np.float32))
     sent = docs.sparkSession.sparkContext.broadcast((items, directions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, basis = sent.value
         length = own.blocks()
-        vectors = np.stack([basis[w].sum(0) for w in own.words])
+        sizes = np.array([len(w) for w in own.words])
+        vectors = np.stack([basis[:, w].sum(1) for w in own.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+        vectors = vectors.astype(np.float32)
+        least = (cosine * np.sqrt(sizes / (length * STEP))).astype(np.float32)
+        counts = np.zeros((len(own.words), len(own.vocabulary)), np.uint8)
+        for j, w in enumerate(own.words):
+            at, times = np.unique(w, return_counts=True)
+            counts[j, at] = np.minimum(times, 255)
         for part in _pieces(batches):
-            term, cell, first, bounds = _ragged(part, STEP)
-            places = part.column("places").flatten().to_numpy(zero_copy_only=False)
+            term, cell, first, _ = _ragged(part, STEP)
             heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            cells = np.zeros((int(first[-1]), basis.shape[1]), np.float32)
-            cells[cell[heads]] = np.add.reduceat(basis[term], heads, axis=0)
+            cells = np.zeros((len(basis), int(first[-1]) + 1))
+            cells[:, cell[heads] + 1] = _sums_of(basis, term, heads)
+            cells = np.cumsum(cells, axis=1).astype(np.float32)
+            starts = np.searchsorted(cell, np.arange(int(first[-1]) + 1))  # each cell's first known word
             row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
+            row_end = first[row_of + 1]
             ids = part.column("doc_id").to_numpy()
             out: list[tuple] = []
-            window = np.zeros_like(cells)
-            for n in range(1, int(length.max()) + 1):
-                # the window of n cells from each cell on, up to its row's end
-                fits = np.flatnonzero(np.arange(len(cells)) + n - 1 < first[row_of + 1])
-                window[fits] += cells[fits + n - 1]
+            total = len(row_of)
+            few = np.flatnonzero(np.arange(total) == first[row_of])  # where each document begins
+            for n in np.unique(length).tolist():
+                # the window of n cells from each cell on; a document of fewer cells is one window
+                short = few[few + n > row_end[few]]
+                whole = max(total + 1 - n, 0)
+                begin = np.concatenate([np.arange(whole), short])
+                end = np.minimum(begin + n, row_end[begin])
+                window = np.concatenate([cells[:, n:] - cells[:, :whole], cells[:, end[whole:]] - cells[:, short]], axis=1)
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->j", window, window)), 1e-9)
+                norm[:whole][begin[:whole] + n > row_end[begin[:whole]]] = np.inf  # reaches into the next document
                 these = np.flatnonzero(length == n)
-                if not len(these):
-                    continue
-                likeness = window @ vectors[these].T
-                norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-                at, which = np.nonzero(likeness >= (cosine * np.maximum(norm, 1e-9))[:, None])
-                for c, j in zip(at.tolist(), which.tolist(), strict=True):
-                    item = int(these[j])
-                    row = int(row_of[c])
-                    lo = (c - int(first[row])) * STEP
-                    a, b = (bounds[row] + np.searchsorted(places[bounds[row] : bounds[row + 1]], [lo, lo + n * STEP])).tolist()
-                    wanted, words = own.words[item].tolist(), term[a:b].tolist()
+                window /= norm
+                likeness = vectors[these] @ window
+                which, at = np.nonzero(likeness >= least[these][:, None])
+                score = likeness[which, at]
+                which, begin, end = these[which], begin[at], end[at]
+                keep = _shared(term, starts[begin], starts[end], which, counts, PART * sizes)
+                for j, a, b, c in zip(which[keep].tolist(), begin[keep].tolist(), end[keep].tolist(), score[keep].tolist(), strict=True):
+                    wanted, words = own.words[j].tolist(), term[starts[a] : starts[b]].tolist()
                     share = common_subsequence(wanted, words) / len(wanted)
                     if share < PART:
                         continue
-                    tail = wanted[-own.answers[item] :]
+                    tail = wanted[-own.answers[j] :]
                     answer = common_subsequence(tail, words) / len(tail)
                     if share >= WHOLE or answer >= ANSWER:
-                        out.append((int(ids[row]), own.ids[item], float(likeness[c, j] / norm[c]), share, answer, lo, n * STEP))
+                        row = int(row_of[a])
+                        out.append((int(ids[row]), own.ids[j], c, share, answer, (a - int(first[row])) * STEP, (b - a) * STEP))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word", "n_words"]
@@ -289,5 +347,5 @@ def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a confirmed leak, with all their columns."""
-    leaks = find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct()
+    leaks = sized(find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     return docs.join(leaks, F.col(doc_id).cast("long") == F.col("__leak"), "left_anti")

@@ -24,7 +24,7 @@ from corpusloom.llm.common import table, written
 from corpusloom.llm.decontaminate import without_leaks
 from corpusloom.llm.line_dedup import LineIndex, drop_lines
 from corpusloom.llm.near_dups import keep_one_of_each
-from corpusloom.llm.piece_codec import decode_ids, encode_texts
+from corpusloom.llm.piece_codec import encode_checked
 from corpusloom.llm.toxicity import score, train
 from corpusloom.session import ship
 
@@ -62,10 +62,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    read_back = decode_ids(encode_texts(docs.select("doc_id", "text"), model), model)
-    return read_back.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    found = encode_checked(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [

@@ -60,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         offsets = text_offsets(batch.column(column))

@@ -32,7 +32,7 @@ from .common import Codes, list_array, slices
 
 BLANK = "▁"
 #: A memo is emptied when it holds so many cuts, or half as many pairs.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 
 class Pieces:
@@ -287,6 +287,25 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "toke
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+def encode_checked(df: DataFrame, model: str, text: str = "text", ids: str = "token_ids", exact: str = "round_trip") -> DataFrame:
+    """``encode_texts`` with a boolean column besides: whether the ids decode to the text (a null text counts as empty).
+
+    Both ways share one pass and one worker; decoded texts don't leave it.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (ids, exact)]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for part in slices(batches, text):
+            texts = [x or "" for x in part.column(text).to_pylist()]
+            found, counts = codec.encode(texts)
+            same = [a == b for a, b in zip(codec.decode(found, counts), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), list_array(found, counts, pa.int32()), pa.array(same, pa.bool_())], [*names, ids, exact])
+
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(exact, T.BooleanType())]))
+
+
 def decode_ids(df: DataFrame, model: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with a string column of what the ids stand for; null ids are empty."""
     kept = [f for f in df.schema.fields if f.name != text]

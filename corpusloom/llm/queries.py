@@ -15,7 +15,7 @@ from .common import table, written
 from .decontaminate import find_leaks
 from .line_dedup import LineIndex, drop_lines
 from .near_dups import near_duplicates
-from .piece_codec import decode_ids, encode_texts
+from .piece_codec import encode_checked
 from .quality_rules import apply_rules
 from .quality_model import score as quality_score
 from .quality_model import train as train_quality
@@ -77,11 +77,7 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read_back = decode_ids(encode_texts(docs, model), model)
-    return read_back.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    return encode_checked(docs, model).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import Codes, slices
 #: Fixed value: the pre-token pattern of the public 50k byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A memo is emptied when it holds so many chunks.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 #: Longer pre-tokens are merged one pair at a time from a heap, in n log n.
 LONG_SYMBOLS = 4096
 _NONE = np.int64(1 << 40)

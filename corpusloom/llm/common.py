@@ -44,15 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def sized(ids: DataFrame, label: str) -> DataFrame:
-    """``ids`` (a narrow table) written, and marked for a broadcast if there are no more than ``BROADCAST_IDS``.
+def sized(ids: DataFrame, label: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a narrow table) written, and marked for a broadcast if it has no more than ``most`` rows.
 
     A join with it then doesn't shuffle the texts on its other side.
     """
     from pyspark.sql import functions as F
 
     ids = written(ids, label)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import sized, slices
 
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES = 1 << 20
@@ -37,6 +37,8 @@ BUNDLE_BYTES = 8 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
+#: Holders of repeated payloads are broadcast up to this number (about 100 bytes each); beyond it payloads are shuffled by digest.
+BROADCAST_HOLDERS = 300_000
 _CRLF = b"\r\n"
 
 
@@ -183,6 +185,7 @@ def with_roles(pages: DataFrame, record_id: str = "page_id", url: str = "url", p
         held.filter(F.col("size") >= least).groupBy("sha1", "size")
         .agg(F.max("record_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
+    holders = sized(holders, "warc-holders", BROADCAST_HOLDERS)
     return held.join(holders, ["sha1", "size"], "left").select(
         "record_id", "url", "payload", "size", F.when(F.col("holder") != F.col("record_id"), F.col("holder")).alias("refers_to"))
 

@@ -32,7 +32,9 @@ from .common import Codes, list_array, slices
 
 BLANK = "▁"
 #: A memo is emptied when it holds so many cuts, or half as many pairs.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
+#: Texts of about so many bytes are encoded together: new cuts share the lattices of common beginnings.
+SLICE_BYTES = 4 << 20
 
 
 class Pieces:
@@ -280,7 +282,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES):
             found, counts = codec.encode([x or "" for x in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), list_array(found, counts, pa.int32())], [*names, ids])
 
@@ -297,7 +299,7 @@ def encode_checked(df: DataFrame, model: str, text: str = "text", ids: str = "to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
             found, counts = codec.encode(texts)
             same = [a == b for a, b in zip(codec.decode(found, counts), texts, strict=True)]

@@ -35,6 +35,7 @@ BLANK = "▁"
 MEMO_ENTRIES = 400_000
 #: Texts of about so many bytes are encoded together: new cuts share the lattices of common beginnings.
 SLICE_BYTES = 4 << 20
+_NO_PAIR = float("-inf")
 
 
 class Pieces:
@@ -69,24 +70,28 @@ class Pieces:
         self.tails = {k: tuple(sorted(set(v), reverse=True)) for k, v in self.tails.items()}
         self.known_joins: dict[tuple[str, str], bool] = {}
 
-    def reduce(self, text: str) -> list[str]:
-        """Plain BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
     def joins(self, left: str, right: str) -> bool:
-        """Whether two pieces may stand next to each other, that is, encode to themselves."""
+        """Whether two pieces may stand next to each other, that is, encode to themselves.
+
+        Plain BPE of both together, the best-scored neighbours first and the leftmost of
+        equals; a merge across their border says no.
+        """
         if len(self.known_joins) > MEMO_ENTRIES // 2:
             self.known_joins.clear()
-        known = self.known_joins[left, right] = self.reduce(left + right) == [left, right]
+        get, parts, border = self.scores.get, [*left, *right], len(left)
+        scores = [get(a + b, _NO_PAIR) for a, b in zip(parts, parts[1:], strict=False)]
+        while (best := max(scores, default=_NO_PAIR)) > _NO_PAIR:
+            k = scores.index(best)
+            if k == border - 1:
+                break
+            border -= k < border
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], _NO_PAIR)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], _NO_PAIR)
+        known = self.known_joins[left, right] = best == _NO_PAIR and border == 1 and len(parts) == 2
         return known
 
     def extend(self, text: str, ends: list[int], before: str = "") -> None:

@@ -37,7 +37,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` made and that no later plan reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Ids are broadcast up to this number, which take some 60 MB; beyond it they are joined by a shuffle.

@@ -1,18 +1,20 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. Terms: words, and their first letters, of at most ``MAX_LABELLED`` labelled rows that are in significantly more
-   toxic ones (likelihood ratio by document) and make up more of their words; at most ``MAX_TERMS``.
-2. Document frequencies of the terms are counted over all documents, and give idf. One more place of a vector
-   stands for all words of the text: it grows with their number, so that the cosine tells a text in which terms
-   are dense from a long one with a chance hit.
-3. The examples that hold a term are indexed: postings of a term lie in blocks, each with its
-   largest weight. A query walks its terms' blocks in order of their upper bounds and skips
-   blocks that cannot lift an example over the k-th best, so the k nearest are exact.
-4. Votes of the k nearest are weighted by cosine; a prior of one vote at the share
-   of toxic rows pulls thin evidence towards it.
-
-Defined results: a null or empty text, or one without a term, has no neighbours and scores the
-prior; ties between examples at the k-th place go to the lower number in the index; rows with null
+1. Significant terms: words, and their first letters, of at most ``MAX_LABELLED`` labelled rows that are in
+   significantly more toxic ones (likelihood ratio by document) and make up more of their words; at most ``MAX_TERMS``.
+2. The vocabulary is these and every word of every labelled row. Document frequencies are counted over all
+   documents, and give idf; a word that no labelled row holds counts as one of frequency 0.
+3. A vector has the TF-IDF weights of its significant terms and, beside them, of all its other words. Those are scaled
+   so that their length grows with the number of words: the cosine tells a text in
+   which terms are dense from a long one with a chance hit, and a copy has cosine 1.
+4. Every labelled row with a word is indexed: postings of a term lie in blocks, each with its largest weight. A
+   query walks its terms in order of their upper bounds and, once the rest cannot lift an
+   example over the k-th best, skips the blocks without one that is left, so the k nearest are exact.
+5. Votes of the k nearest are weighted by distance (``VOTE_FLOOR``), so a copy outvotes chance likeness; a prior
+   of ``PRIOR_VOTES`` at the share of toxic rows pulls thin evidence towards it.
+
+Defined results: a null or empty text, or one without a word of a labelled row, has no neighbours and scores
+the prior; ties between examples at the k-th place go to the lower number in the index; rows with null
 or repeated ids are scored like any other; extra columns are kept; without labelled rows every
 score is 0; an empty table gives an empty result. Texts are never cut.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_bytes, labelled_sample, list_array, mix, slices, span_hashes, word_spans, written
+from .common import forget, joined_bytes, labelled_sample, list_array, mix, slices, span_hashes, word_spans, written
 from .near_dups import shingle_sets
 
 #: Labelled rows that are learned from, at most about so many.
@@ -37,14 +40,18 @@ MAX_LABELLED = 20_000
 MAX_TERMS = 1 << 14
 #: Likelihood ratio, lift of the share of words, and toxic documents that make a term.
 LEAST_RATIO, LEAST_LIFT, LEAST_DOCS = 24.0, 8.0, 4
-#: Weight of one word in the place for all words, and words that every text counts as more.
+#: Length of the part of other words for each word of a text, and words that every text counts as more.
 WORD_WEIGHT, MORE_WORDS = 0.05, 40
 NEIGHBOURS = 16
 BLOCK = 64
+#: A term that more than this share of the examples hold has a dense row; a product scores those of ``TOGETHER`` queries at once.
+DENSE_SHARE, TOGETHER = 1 / 12, 32
 #: A word's first bytes of these numbers count as terms, too: inflected forms share them.
 PREFIXES = (4, 5, 6, 7)
-#: Weight of the prior among votes of cosine weight.
+#: Weight of the prior among votes.
 PRIOR_VOTES = 0.5
+#: A vote at cosine c weighs c^2 / (1 - c + VOTE_FLOOR).
+VOTE_FLOOR = 0.02
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,29 +68,35 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Terms:
-    """The known terms: sorted hashes, behind a bitmap that turns most other words away."""
+    """The known terms: sorted hashes, which of them are ``strong`` (significant), and a bitmap that turns most unknown words away."""
 
-    BITS = 1 << 20
+    BITS = 1 << 21
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, strong: np.ndarray | None = None):
         self.hashes = np.sort(hashes.view(np.uint64))
+        self.strong = np.ones(len(self.hashes), bool) if strong is None else np.isin(self.hashes, strong.view(np.uint64))
         self.seen = np.zeros(self.BITS, bool)
         self.seen[(self.hashes & np.uint64(self.BITS - 1)).astype(np.int64)] = True
 
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def in_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, times) of the known terms in texts, by text and term; and each text's number of words."""
+    def in_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of the known terms in texts, by text and term; each text's number of words, and its sum of squared times of unknown words."""
         owner, words, sizes = _features(texts)
-        if not len(self):
-            return owner[:0], owner[:0], owner[:0], sizes
-        maybe = np.flatnonzero(self.seen[(words & np.uint64(self.BITS - 1)).astype(np.int64)])
-        owner, words = owner[maybe], words[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self) - 1)
-        hit = self.hashes[at] == words
-        key, times = np.unique(owner[hit] * len(self) + at[hit], return_counts=True)
-        return key // len(self), key % len(self), times, sizes
+        whole = int(sizes.sum())  # words come first, then their first bytes
+        at = np.full(len(words), -1)
+        if len(self):
+            maybe = np.flatnonzero(self.seen[(words & np.uint64(self.BITS - 1)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(self.hashes, words[maybe]), len(self) - 1)
+            at[maybe] = np.where(self.hashes[found] == words[maybe], found, -1)
+        hit = at >= 0
+        key, times = np.unique(owner[hit] * max(len(self), 1) + at[hit], return_counts=True)
+        far = np.flatnonzero(~hit[:whole])
+        order = far[np.lexsort((words[far], owner[far]))]
+        heads = np.flatnonzero(np.concatenate([[True], (words[order[1:]] != words[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])])) if len(order) else order
+        unknown = np.bincount(owner[order[heads]], np.diff(np.append(heads, len(order))).astype(float) ** 2, len(sizes))
+        return key // max(len(self), 1), key % max(len(self), 1), times, sizes, unknown
 
 
 # ---------------------------------------------------------------- learning
@@ -149,12 +162,32 @@ def _document_counts(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
+    found = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     out = np.zeros(len(terms), np.int64)
-    for r in docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class Blocks:
+    """Runs of ``BLOCK`` postings of one term each."""
+
+    starts: np.ndarray  # of each term's blocks
+    at: np.ndarray  # each block's first posting, how many it has, and its first and last example
+    size: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    most: np.ndarray  # its largest weight, and that of each term
+    reach: np.ndarray
+
+
 @dataclass
 class Index:
     """A block-max inverted index of unit vectors, as flat arrays."""
@@ -164,66 +197,110 @@ class Index:
     starts: np.ndarray  # of each term's postings
     examples: np.ndarray  # postings: example numbers, rising within a term
     weights: np.ndarray
-    block_starts: np.ndarray  # of each term's blocks
-    block_max: np.ndarray
-    block_first: np.ndarray  # the first and the last example of each block
-    block_last: np.ndarray
     labels: np.ndarray
     ids: list
     prior: float
+    unknown_idf: float = 1.0
 
     @classmethod
-    def build(cls, terms: Terms, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, prior: float) -> Index:
+    def build(cls, terms: Terms, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, prior: float,
+              unknown_idf: float = 1.0) -> Index:
         sizes = np.fromiter((len(t) for t, _ in vectors), np.int64, len(vectors))
-        example = np.repeat(np.arange(len(vectors)), sizes)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        term, example, weight = term[order], example[order], weight[order]
-        starts = np.searchsorted(term, np.arange(len(terms) + 2))
-        blocks = -(-np.diff(starts) // BLOCK)
-        block_starts = np.concatenate([[0], np.cumsum(blocks)])
-        at = np.repeat(starts[:-1], blocks) + (np.arange(block_starts[-1]) - np.repeat(block_starts[:-1], blocks)) * BLOCK
-        block_max = np.maximum.reduceat(weight, at) if len(at) else np.zeros(0)
-        last = np.minimum(at + BLOCK, np.repeat(starts[1:], blocks)) - 1
-        return cls(terms, idf, starts, example, weight, block_starts, block_max, example[at], example[last], np.array(labels, np.float64), ids, prior)
-
-    def vector(self, term: np.ndarray, times: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit TF-IDF weights; the last one is the place for all words."""
-        w = np.append(times * self.idf[term], WORD_WEIGHT * (words + MORE_WORDS))
+        return cls.of_arrays(terms, idf, term, weight, sizes, labels, ids, prior, unknown_idf)
+
+    @classmethod
+    def of_arrays(cls, terms: Terms, idf: np.ndarray, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, labels: list[int], ids: list, prior: float,
+                  unknown_idf: float) -> Index:
+        """The index of vectors that lie end to end, ``sizes`` places each; examples are numbered by id."""
+        rank = np.empty(len(sizes), np.int64)
+        by_id = np.argsort(np.array(ids), kind="stable")
+        rank[by_id] = np.arange(len(sizes))
+        key = term.astype(np.int64) * max(len(sizes), 1)
+        key += np.repeat(rank, sizes)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        example = (key % max(len(sizes), 1)).astype(np.min_scalar_type(len(sizes)))
+        starts = np.searchsorted(key, np.arange(len(terms) + 2) * max(len(sizes), 1))
+        return cls(terms, idf, starts, example, weight[order].astype(np.float32), np.array(labels, np.float64)[by_id], [ids[k] for k in by_id.tolist()], prior, unknown_idf)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "dense")}
+
+    @cached_property
+    def blocks(self) -> Blocks:
+        """The postings' blocks; made where they are used."""
+        counts = -(-np.diff(self.starts) // BLOCK)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(self.starts[:-1], counts) + (np.arange(starts[-1]) - np.repeat(starts[:-1], counts)) * BLOCK
+        last = np.minimum(at + BLOCK, np.repeat(self.starts[1:], counts)) - 1
+        most = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0, np.float32)
+        reach = np.zeros(len(counts), np.float32)
+        np.maximum.at(reach, np.repeat(np.arange(len(counts)), counts), most)
+        return Blocks(starts, at, last + 1 - at, self.examples[at].astype(np.int64), self.examples[last].astype(np.int64), most, reach)
+
+    def vector(self, term: np.ndarray, times: np.ndarray, words: int, unknown: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights; the last place is for unknown words, given by their sum of squared times."""
+        w = times * self.idf[term]
+        other = ~self.terms.strong[term]
+        far = self.unknown_idf * np.sqrt(unknown)
+        length = np.sqrt((w[other] ** 2).sum() + far * far)
+        room = WORD_WEIGHT * (words + MORE_WORDS)
+        w[other] *= room / max(length, 1e-300)
+        w = np.append(w, room * far / length if length else room)
         return np.append(term, len(self.terms)), w / np.sqrt((w * w).sum())
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term that many examples hold (-1 without), and the rows; made where they are used."""
+        row = np.full(len(self.starts) - 1, -1)
+        common = np.flatnonzero(np.diff(self.starts) > DENSE_SHARE * len(self.labels))
+        row[common] = np.arange(len(common))
+        out = np.zeros((len(common), len(self.labels)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            a, b = self.starts[t], self.starts[t + 1]
+            out[k, self.examples[a:b]] = self.weights[a:b]
+        return row, out
+
+    def common_scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the dense terms add to each example's cosine, a row per vector."""
+        row, dense = self.dense
+        held = np.zeros((len(vectors), len(dense)), np.float32)
+        for k, (term, weight) in enumerate(vectors):
+            at = row[term]
+            held[k, at[at >= 0]] = weight[at >= 0]
+        return held @ dense
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest with a positive cosine, the nearest first.
 
-        Terms are taken by what they can add at most. Once the rest cannot lift an
-        example that has no score yet to the k-th best, blocks are only read for the
-        examples that still can get there.
+        The dense terms come first (``common``, their scores), the others by what they can add at most.
+        Once the rest cannot lift an example over the k-th best so far, blocks are only
+        read if they hold an example that still can get there.
         """
-        reach = np.array([self.block_max[self.block_starts[t] : self.block_starts[t + 1]].max(initial=0.0) for t in term]) * weight
+        scores = (self.common_scores([(term, weight)])[0] if common is None else common).astype(np.float64)
+        lists = self.blocks
+        own = np.flatnonzero((self.dense[0][term] < 0) & (lists.reach[term] > 0))
+        reach = lists.reach[term[own]] * weight[own]
         order = np.argsort(-reach, kind="stable")
-        rest = np.concatenate([np.cumsum(reach[order][::-1])[::-1], [0.0]])
-        scores = np.zeros(len(self.labels))
-        threshold = 0.0
-        for place, j in enumerate(order):
-            t, w = term[j], weight[j]
-            a, b = self.starts[t], self.starts[t + 1]
-            if a == b:
-                continue
-            if threshold and rest[place] < threshold:
-                # only examples that can still reach the k-th best matter, and only their blocks
-                alive = (scores > 0) & (scores + rest[place] >= threshold)
-                up_to = np.concatenate([[0], np.cumsum(alive)])
-                first = self.block_starts[t]
-                own = np.arange(first, self.block_starts[t + 1])
-                own = own[up_to[self.block_last[own] + 1] > up_to[self.block_first[own]]]
-                at = (a + (own - first)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                at = at[at < b]
-                scores[self.examples[at]] += w * self.weights[at]
-                continue
-            scores[self.examples[a:b]] += w * self.weights[a:b]
-            if (scores > 0).sum() > k:
+        own, reach = own[order], reach[order]
+        rest = np.append(np.cumsum(reach[::-1])[::-1], 0.0)
+        middle = int(np.searchsorted(-rest, -rest[0] / 2))
+        for part, left in ((own[:middle], rest[0]), (own[middle:], rest[middle])):
+            lo = lists.starts[term[part]]
+            counts = lists.starts[term[part] + 1] - lo
+            blocks, w = _ranges(lo, counts), np.repeat(weight[part], counts)
+            left += 1e-5  # weights are rounded
+            if len(scores) > k and len(blocks) and left < scores.max():
                 threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
+                if left < threshold:
+                    up_to = np.concatenate([[0], np.cumsum(scores + left >= threshold)])
+                    keep = up_to[lists.last[blocks] + 1] > up_to[lists.first[blocks]]
+                    blocks, w = blocks[keep], w[keep]
+            size = lists.size[blocks]
+            at = _ranges(lists.at[blocks], size)
+            scores += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, size), len(scores))
         best = np.flatnonzero(scores > 0)
         if len(best) > k:
             floor = np.partition(scores[best], len(best) - k)[len(best) - k]
@@ -232,43 +309,66 @@ class Index:
         return best, scores[best]
 
     def vote(self, cosines: np.ndarray, best: np.ndarray) -> float:
-        return float(((cosines * self.labels[best]).sum() + PRIOR_VOTES * self.prior) / (cosines.sum() + PRIOR_VOTES))
+        votes = cosines**2 / (np.maximum(1 - cosines, 0) + VOTE_FLOOR)
+        return float(((votes * self.labels[best]).sum() + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Index:
     """The index of labelled examples for which ``usable`` (over ``labels``) is true. Its size is bounded by ``max_labelled``."""
     picked = labelled_sample(labels, label, usable, max_labelled, doc_id)
     rows = written(docs.select(F.col(doc_id).alias("__id"), text).join(F.broadcast(picked), "__id"), "toxic-rows")
-    rows = written(_unlike(rows, text), "toxic-unlike")
-    by = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
+    unlike = written(_unlike(rows, text), "toxic-unlike")
+    by = {r["__y"]: r["count"] for r in unlike.groupBy("__y").count().collect()}
     toxic, clean = by.get(1, 0), by.get(0, 0)
     prior = toxic / max(toxic + clean, 1)
     found = []
     if toxic and clean:
-        counts = _term_counts(rows, text).filter(F.col("toxic") >= LEAST_DOCS)
+        counts = _term_counts(unlike, text).filter(F.col("toxic") >= LEAST_DOCS)
         ratio = _ratio(F.col("toxic"), F.col("clean"), toxic, clean)
         lift = F.col("toxic_share") * clean >= LEAST_LIFT * toxic * F.col("clean_share")
         found = counts.select("h", ratio.alias("g"), lift.alias("l")).filter(F.col("l") & (F.col("g") >= LEAST_RATIO)).orderBy(F.desc("g"), "h").limit(MAX_TERMS).collect()
-    terms = Terms(np.array([r["h"] for r in found], np.int64))
-    if not len(terms):
-        return Index.build(terms, np.zeros(0), [], [], [], prior)
-    seen = _document_counts(docs, text, terms)
-    idf = np.log((1 + docs.count()) / (1 + seen)) + 1
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    strong = np.array([r["h"] for r in found], np.int64)
+    forget(unlike)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every word of every labelled row, and the first letters that are significant."""
         for part in slices(batches, text):
-            owner, term, times, words = sent.value.in_texts(part.column(text))
-            sizes = np.bincount(owner, minlength=part.num_rows)
-            keep = pa.array(sizes > 0)
-            made = [part.column("__id"), part.column("__y"), pa.array(words), list_array(term, sizes, pa.int32()), list_array(times, sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(made, ["id", "y", "words", "terms", "times"]).filter(keep)
+            owner, hashes, sizes = _features(part.column(text))
+            used = np.isin(hashes, strong.view(np.uint64))
+            used[: int(sizes.sum())] = True
+            owner, hashes = owner[used], hashes[used]
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])) if len(owner) else owner
+            counts, times = np.bincount(owner[new], minlength=part.num_rows), np.diff(np.append(new, len(owner)))
+            made = [part.column("__id"), part.column("__y"), pa.array(sizes), list_array(hashes[new].view(np.int64), counts, pa.int64()), list_array(times, counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, ["id", "y", "words", "terms", "times"]).filter(pa.array(sizes > 0))
 
     id_type = rows.schema["__id"].dataType.simpleString()
-    held = rows.mapInArrow(vectors, f"id {id_type}, y int, words long, terms array<int>, times array<int>").orderBy("id").collect()
-    out = Index.build(terms, idf, [], [], [], prior)
-    made = [out.vector(np.array(r["terms"], np.int64), np.array(r["times"], np.float64), r["words"]) for r in held]
-    return Index.build(terms, idf, made, [r["y"] for r in held], [r["id"] for r in held], prior)
+    held = rows.mapInArrow(words_of, f"id {id_type}, y int, words long, terms array<long>, times array<int>")
+    terms = Terms(held.select(F.explode("terms").alias("h")).distinct().toArrow().column("h").to_numpy(), strong)
+    seen, total = _document_counts(docs, text, terms), docs.count()
+    idf = np.log((1 + total) / (1 + seen)) + 1
+    unknown_idf = float(np.log(1 + total) + 1)
+    sent = docs.sparkSession.sparkContext.broadcast(Index.build(terms, idf, [], [], [], prior, unknown_idf))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for part in batches:
+            lists = part.column("terms")
+            sizes = pc.list_value_length(lists).to_numpy()
+            at = np.searchsorted(own.terms.hashes, lists.flatten().to_numpy().view(np.uint64))
+            times, ends = part.column("times").flatten().to_numpy().astype(np.float64), np.cumsum(sizes)
+            made = [own.vector(at[b - n : b], times[b - n : b], w)[1][:-1] for b, n, w in zip(ends.tolist(), sizes.tolist(), part.column("words").to_pylist(), strict=True)]
+            weights = np.concatenate(made) if made else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array(at, sizes, pa.int32()), list_array(weights.astype(np.float32), sizes, pa.float32())], ["id", "y", "terms", "weights"])
+
+    made = held.mapInArrow(vectors, f"id {id_type}, y int, terms array<int>, weights array<float>").toArrow()
+    sent.destroy()
+    forget(rows)
+    flat = lambda c: pa.chunked_array([x.flatten() for x in made.column(c).chunks], made.schema.field(c).type.value_type).to_numpy()
+    sizes = pc.list_value_length(made.column("terms")).to_numpy()
+    return Index.of_arrays(terms, idf, flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist(), prior, unknown_idf)
 
 
 # ---------------------------------------------------------------- scoring
@@ -286,14 +386,18 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for part in slices(batches, text):
-            owner, term, times, words = own.terms.in_texts(part.column(text))
+            owner, term, times, words, unknown = own.terms.in_texts(part.column(text))
             scores = np.full(part.num_rows, own.prior)
             shown: list[list] = [[] for _ in range(part.num_rows)]
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-            for a, b in zip(heads, [*heads[1:], len(owner)], strict=False):
-                best, cosines = own.nearest(*own.vector(term[a:b], times[a:b], int(words[owner[a]])), neighbours)
-                scores[owner[a]] = own.vote(cosines, best)
-                shown[owner[a]] = [{"id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for e, c in zip(best.tolist(), cosines.tolist(), strict=True)]
+            ends = [*heads[1:], len(owner)]
+            for k in range(0, len(heads), TOGETHER):
+                few = list(zip(heads[k : k + TOGETHER], ends[k : k + TOGETHER], strict=False))
+                made = [own.vector(term[a:b], times[a:b].astype(np.float64), int(words[owner[a]]), unknown[owner[a]]) for a, b in few]
+                for (a, _), (t, w), common in zip(few, made, own.common_scores(made), strict=True):
+                    best, cosines = own.nearest(t, w, neighbours, common)
+                    scores[owner[a]] = own.vote(cosines, best)
+                    shown[owner[a]] = [{"id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for e, c in zip(best.tolist(), cosines.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores), pa.array(shown, kind)], [*names, name, evidence])
 
     shape = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))

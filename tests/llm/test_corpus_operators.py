@@ -255,6 +255,25 @@ def test_block_max_search_is_exact():
         assert np.allclose(np.sort(truth)[::-1][:16], cosines) and np.allclose(truth[best], cosines)
 
 
+def test_copies_of_labelled_examples_are_found(spark):
+    texts = [prose(500 + k, 20 + 30 * (k % 9)) for k in range(60)]
+    df = documents(spark, [*texts, *texts, "x" + prose(1, 30), None])
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(60)], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score(df, toxicity.train(df, labels, F.lit(True))).collect()}
+    for k in range(60):
+        for own in (k, 60 + k):
+            found = rows[own]["evidence"][0]
+            assert (found["id"], found["label"]) == (k, int(k % 5 == 0)) and abs(found["cosine"] - 1) < 1e-5
+            assert (rows[own]["score"] >= 0.7) == (k % 5 == 0)
+    assert not rows[121]["evidence"]
+
+
+def test_toxic_examples_of_the_tables_find_themselves(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    toxic = toxicity.score(docs, toxicity.train(docs, labels, F.lit(True))).join(labels.filter("toxic = 1"), "doc_id").filter("text <> ''").collect()
+    assert toxic and all(abs(r["evidence"][0]["cosine"] - 1) < 1e-5 for r in toxic)
+
+
 def test_ftrl_learns_a_separable_problem():
     state = quality_model.Ftrl.empty()
     for _ in range(30):

@@ -7,8 +7,9 @@
 3. Bands of sketches are bucket keys. In each bucket one class is the centre, and
    candidate edges form a star around it, so a bucket of k classes gives k - 1 pairs.
 4. Candidates are confirmed on whole sets; confirmed links are contracted to components.
-5. Buckets that still hold several components get a new star around the untried class with the
-   most links; this repeats until no bucket is mixed or four rounds in a row find nothing.
+5. Buckets that still hold several components get new stars around the untried classes with the
+   most links: one a bucket, and twice as many after each round that finds nothing. This repeats until
+   every bucket is of one component or has had each of its classes as a centre.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: at 0.85
 a pair is missed once in 80,000, and pairs above it less often.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, list_array, mix, sized, slices, word_hashes, written
@@ -36,8 +37,6 @@ from .common import forget, list_array, mix, sized, slices, word_hashes, written
 SHINGLE = 5
 BANDS, ROWS = 24, 6
 BINS = BANDS * ROWS
-#: Rounds of stars end after so many in a row without a new link between components.
-BARREN_ROUNDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -196,19 +195,20 @@ def link(classes: DataFrame, docs: DataFrame, text: str, percent: int, width: in
     fits = lambda: 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")  # noqa: E731  sizes alone don't rule it out
     ordered = lambda df: df.select(F.least("rep", "rep0").alias("a"), F.greatest("rep", "rep0").alias("b")).distinct()
     labels = links = None
-    mixed, used, tried, barren = members.withColumn("used", F.array().cast("array<long>")), None, None, 0
-    untried = ~F.array_contains("used", F.col("rep"))
+    mixed, used, tried, stars = members.withColumn("used", F.lit(False)), None, None, 1
     while True:
-        # the centre of each bucket: the untried class with most links, at first one picked by hash
-        pool = mixed.filter(untried)
+        # the centres of each bucket: the untried classes with most links, at first one picked by hash
+        pool = mixed.filter("NOT used")
         if links is None:
-            rank = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep0"), F.col("n").alias("n0"), F.lit(None).cast("long").alias("c0"))
+            pool = pool.withColumn("d", F.lit(0))
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("d"))
-            pool = pool.join(degree, "rep", "left")
-            rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep0"), F.col("n").alias("n0"), F.col("c").alias("c0"))
-        centres = pool.groupBy("key").agg(F.max(rank).alias("m")).select("key", "m.rep0", "m.n0", "m.c0")
-        centres = written(centres, "nd-centres")
+            pool = pool.join(degree, "rep", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        if labels is None:
+            pool = pool.withColumn("c", F.col("rep"))
+        best = Window.partitionBy("key").orderBy(F.desc("d"), F.desc(F.xxhash64("rep", "key")), "rep")
+        centres = pool.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= stars)
+        centres = written(centres.select("key", F.col("rep").alias("rep0"), F.col("n").alias("n0"), F.col("c").alias("c0")), "nd-centres")
         star = mixed.join(centres, "key").filter((F.col("rep") != F.col("rep0")) & fits())
         if labels is not None:
             star = star.filter(F.col("c") != F.col("c0"))
@@ -221,21 +221,20 @@ def link(classes: DataFrame, docs: DataFrame, text: str, percent: int, width: in
         tried = pairs if tried is None else tried.unionByName(pairs)
         mine = centres.select("key", F.col("rep0").alias("rep"))
         used = mine if used is None else used.unionByName(mine)
-        barren = 0 if found else barren + 1
+        stars = 1 if found else 2 * stars
         if found:
             links = fresh if links is None else links.unionByName(fresh)
             labels = extended(labels, fresh)
-        if barren >= BARREN_ROUNDS:
-            break
         # buckets that still hold several components and an untried class
         with_c = members.withColumn("c", F.col("rep"))
         if labels is not None:
             with_c = members.join(labels, members["rep"] == labels["v"], "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
         open_keys = with_c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        spent = used.groupBy("key").agg(F.collect_set("rep").alias("used"))  # one of each round at most
-        before, mixed = mixed, written(with_c.join(open_keys.join(spent, "key").select("key", "used"), "key"), "nd-mixed")
+        spent = used.withColumn("used", F.lit(True))
+        open_rows = with_c.join(open_keys.select("key"), "key").join(spent, ["key", "rep"], "left")
+        before, mixed = mixed, written(open_rows.withColumn("used", F.coalesce("used", F.lit(False))), "nd-mixed")
         forget(before)
-        if not mixed.filter(untried).limit(1).count():
+        if not mixed.filter("NOT used").limit(1).count():
             break
     return labels if labels is not None else classes.select(F.col("rep").alias("v"), F.col("rep").alias("c")).limit(0)
 

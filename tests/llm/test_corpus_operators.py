@@ -127,6 +127,21 @@ def test_groups_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(want) and kept.columns == documents(spark, []).columns
 
 
+def test_pairs_are_found_in_a_bucket_of_many_unlike_classes(spark):
+    """One bucket of 60 classes below the threshold, of which one pair is linked."""
+    words, texts = prose(1, 120).split(), []
+    for k in range(60):
+        own = list(words)
+        for j in range(6):
+            own[k % 7 + 18 * j] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    texts.append(texts[37] + " more")
+    df = documents(spark, texts)
+    classes = near_dups.sketch_documents(df).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.array(F.lit(1).cast("long")).alias("bands"))
+    found = near_dups.link(classes, df.select("doc_id", "text"), "text", 85, 5).collect()
+    assert {(r["v"], r["c"]) for r in found} == {(37, 37), (60, 37)}
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     text = prose(1, 60)
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (7, text), (8, prose(2, 50)), (8, prose(3, 50))], "doc_id long, text string")

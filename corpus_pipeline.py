@@ -32,6 +32,8 @@ from corpusloom.session import ship
 TOXIC = 0.7
 #: Documents in which a line occurs before it counts as boilerplate.
 LINE_DOCS = 10
+#: Jaccard similarity of word shingles, in percent, from which documents are near copies.
+NEAR_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

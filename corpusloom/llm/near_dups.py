@@ -12,7 +12,8 @@
    every bucket is of one component or has had each of its classes as a centre.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: at 0.85
-a pair is missed once in 80,000, and pairs above it less often.
+a pair is missed once in 80,000, and pairs above it less often. Lower thresholds get wider
+banding (``banding``): at 0.80 a pair is missed less than once in 1,000,000.
 
 Defined results: words are split and A-Z lower-cased as the contract of the query says; a
 text with fewer words than a shingle is one shingle; a null text or one without words has an
@@ -99,6 +100,15 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return h.view(np.int64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: at it a pair is missed once in 80,000 at most."""
+    if percent >= 85:
+        return BANDS, ROWS
+    rows = 5 if percent >= 80 else 3
+    share = max(percent, 1) / 100
+    return max(36, int(np.ceil(np.log(1 / 80_000) / np.log1p(-(share**rows))))), rows
+
+
 def set_marks(sets: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """64 bits of each whole set, as signed integers."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(seed)))])
@@ -106,15 +116,16 @@ def set_marks(sets: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def sketch_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
+def sketch_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, s1 and s2 (128 bits of the set) and bands (array<long>; null for empty sets)."""
+    number, rows_each = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             sets, sizes = shingle_sets(part.column(text), width)
-            keys = band_keys(sketches(sets, sizes))
+            keys = band_keys(sketches(sets, sizes, number * rows_each), number, rows_each)
             marks = [set_marks(sets, sizes, c) for c in (1, 2)]
-            bands = list_array(keys.reshape(-1), np.full(len(sizes), BANDS), pa.int64())
+            bands = list_array(keys.reshape(-1), np.full(len(sizes), number), pa.int64())
             empty = pa.array(sizes == 0)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes), pa.array(marks[0]), pa.array(marks[1]), pc.if_else(empty, pa.scalar(None, bands.type), bands)],
@@ -241,7 +252,7 @@ def link(classes: DataFrame, docs: DataFrame, text: str, percent: int, width: in
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every row."""
-    sketched = written(sketch_documents(df, doc_id, text, width), "nd-sketches")
+    sketched = written(sketch_documents(df, doc_id, text, width, percent), "nd-sketches")
     # one class per distinct set; its representative is the smallest id
     full = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(full.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-classes")

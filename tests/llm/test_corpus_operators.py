@@ -299,6 +299,25 @@ def test_ftrl_learns_a_separable_problem():
 
 
 # ---------------------------------------------------------------- pipeline
+def test_near_dedup_stage_equals_brute_force_at_80(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts, sets = [], []
+    for k in range(8):
+        words = prose(700 + k, 200).split()
+        for n in (0, 3, 4, 5, 7):  # words changed far apart: each changes 5 shingles
+            texts.append(" ".join("changed" if n and j % (200 // n) == 20 else w for j, w in enumerate(words)))
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in pairs)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), SF).collect()} == set(root)
+
+
 def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and r
 the next one. All but the last return the columns of ``documents``:
 
 1. toxicity: documents whose score reaches ``TOXIC`` go;
-2. line dedup: lines that occur in ``LINE_DOCS`` documents or more go (``n_chars`` follows the text);
+2. line dedup: lines that occur in ``LINE_DOCS`` unequal texts or more go (``n_chars`` follows the text);
 3. MinHash near-dedup: one document of each group stays, the one with the smallest id;
 4. benchmark decontamination: documents with a confirmed benchmark item go;
 5. SentencePiece: ids of what is left, decoded again to prove the round trip.
@@ -30,7 +30,7 @@ from corpusloom.session import ship
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.7
-#: Documents in which a line occurs before it counts as boilerplate.
+#: Unequal texts in which a line occurs before it counts as boilerplate.
 LINE_DOCS = 10
 #: Jaccard similarity of word shingles, in percent, from which documents are near copies.
 NEAR_PERCENT = 80
@@ -44,7 +44,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cleaned = drop_lines(docs, LineIndex.build(docs, min_docs=LINE_DOCS))
+    # equal texts count once: near-dedup still needs the lines of a group of copies to keep one of them
+    cleaned = drop_lines(docs, LineIndex.build(docs.select("text").distinct(), min_docs=LINE_DOCS))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))

@@ -299,6 +299,16 @@ def test_ftrl_learns_a_separable_problem():
 
 
 # ---------------------------------------------------------------- pipeline
+def test_a_group_of_copies_keeps_its_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    copy = prose(1, 30) + "\n" + prose(2, 30)
+    df = documents(spark, [copy] * 12 + ["notice\n" + prose(20 + k, 30) for k in range(10)])
+    lines = corpus_pipeline.line_dedup(spark, df, SF).localCheckpoint()
+    assert not lines.filter("text LIKE '%notice%'").count()
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, SF).collect()}
+    assert kept[0] == copy and set(kept) == {0, *range(12, 22)}
+
+
 def test_near_dedup_stage_equals_brute_force_at_80(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts, sets = [], []

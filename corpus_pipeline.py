@@ -5,7 +5,8 @@ the next one. All but the last return the columns of ``documents``:
 
 1. toxicity: documents whose score reaches ``TOXIC`` go;
 2. line dedup: lines that occur in ``LINE_DOCS`` unequal texts or more go (``n_chars`` follows the text);
-3. MinHash near-dedup: one document of each group stays, the one with the smallest id;
+3. MinHash near-dedup: one document of each group stays, the one with the smallest id, and
+   of a line of more than ``LONG_LINE`` words that several of those hold the first occurrence;
 4. benchmark decontamination: documents with a confirmed benchmark item go;
 5. SentencePiece: ids of what is left, decoded again to prove the round trip.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, written
 from corpusloom.llm.decontaminate import without_leaks
-from corpusloom.llm.line_dedup import LineIndex, drop_lines
+from corpusloom.llm.line_dedup import LineIndex, drop_lines, keep_first_of_long
 from corpusloom.llm.near_dups import keep_one_of_each
 from corpusloom.llm.piece_codec import encode_checked
 from corpusloom.llm.toxicity import score, train
@@ -32,6 +33,8 @@ from corpusloom.session import ship
 TOXIC = 0.7
 #: Unequal texts in which a line occurs before it counts as boilerplate.
 LINE_DOCS = 10
+#: A line of more words than this stays in one document only.
+LONG_LINE = 50
 #: Jaccard similarity of word shingles, in percent, from which documents are near copies.
 NEAR_PERCENT = 80
 
@@ -42,19 +45,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, index, name="__score", evidence="__evidence").filter(F.col("__score") < TOXIC).drop("__score", "__evidence")
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    # equal texts count once: near-dedup still needs the lines of a group of copies to keep one of them
-    cleaned = drop_lines(docs, LineIndex.build(docs.select("text").distinct(), min_docs=LINE_DOCS))
+def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with ``n_chars`` of the rows that lost lines."""
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return cleaned.select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    # equal texts count once: near-dedup still needs the lines of a group of copies to keep one of them
+    cleaned = drop_lines(docs, LineIndex.build(docs.select("text").distinct(), min_docs=LINE_DOCS))
+    return _recounted(cleaned, docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return keep_one_of_each(docs, percent=NEAR_PERCENT)
+    kept = keep_one_of_each(docs, percent=NEAR_PERCENT)
+    # only now, so that no copy that stays is emptied for one that goes
+    return _recounted(keep_first_of_long(kept, LONG_LINE), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

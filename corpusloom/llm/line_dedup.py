@@ -333,3 +333,24 @@ def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", broadcast_by
                 (bool(known[o]) and h.tobytes() in known[o] for h, o in zip(hashes, owners, strict=True)), bool, len(hashes)))
 
     return rows.join(flagged, "__row", "left").drop("__row").mapInArrow(drop, schema)
+
+
+def keep_first_of_long(df: DataFrame, more_than: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` where a line of more than ``more_than`` words that several rows hold stays only where it is first, and ``__n_dropped`` (long).
+
+    First is the smallest id (rows without one come last) and place. Lines are compared by
+    their keys; texts are only joined with the places of the lines they lose.
+    """
+    white = r"[\x20\x09-\x0D]+"
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "long-rows")
+    lines = rows.select("__row", F.col(doc_id).alias("__id"), F.posexplode(F.split(text, "\n", -1)).alias("__at", "__line"))
+    key = F.translate(F.regexp_replace("__line", f"^{white}|{white}$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = lines.withColumn("__line", key).filter(F.size(F.split("__line", white)) > more_than)
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__at").alias("at"))
+    lines = written(lines.select(F.sha2("__line", 256).alias("__key"), place.alias("__place")), "long-lines")
+    first = lines.groupBy("__key").agg(F.min("__place").alias("__first"), F.min("__place.row").alias("lo"), F.max("__place.row").alias("hi")).filter("lo <> hi")
+    gone = lines.join(first, "__key").filter("NOT __place <=> __first").groupBy(F.col("__place.row").alias("__row")).agg(F.collect_set("__place.at").alias("__gone"))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, at: ~F.array_contains("__gone", at)), "\n")
+    out = rows.join(gone, "__row", "left").withColumn("__n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    out = out.withColumn(text, F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text)))
+    return out.select(*df.columns, F.greatest("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"))

@@ -309,6 +309,15 @@ def test_a_group_of_copies_keeps_its_text(spark):
     assert kept[0] == copy and set(kept) == {0, *range(12, 22)}
 
 
+def test_a_long_passage_stays_in_one_document(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    passage, short = prose(5, 51), prose(6, 50)
+    texts = [f"{prose(30 + k, 300)}\n{passage if k else '  ' + passage.upper()}\n{short}" for k in range(3)] + [f"{prose(40, 90)}\n{prose(40, 90)}", None, ""]
+    rows = {r["doc_id"]: r for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), SF).collect()}
+    assert [rows[k]["text"] for k in range(6)] == [texts[0], *(f"{prose(30 + k, 300)}\n{short}" for k in (1, 2)), *texts[3:]]
+    assert all(rows[k]["n_chars"] == len(rows[k]["text"] or "") for k in range(6))
+
+
 def test_near_dedup_stage_equals_brute_force_at_80(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts, sets = [], []

@@ -7,9 +7,10 @@
 3. Bands of sketches are bucket keys. In each bucket one class is the centre, and
    candidate edges form a star around it, so a bucket of k classes gives k - 1 pairs.
 4. Candidates are confirmed on whole sets; confirmed links are contracted to components.
-5. Buckets that still hold several components get new stars around the untried classes with the
-   most links: one a bucket, and twice as many after each round that finds nothing. This repeats until
-   every bucket is of one component or has had each of its classes as a centre.
+5. Buckets that still hold several components are searched whole, without a cap: their classes are dealt into
+   blocks, and every two blocks of different components meet in a task that multiplies
+   the sets' common columns and returns a forest of links, never pairs. After it no bucket holds a link
+   that isn't in the components, so nothing is left to repeat.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: at 0.85
 a pair is missed once in 80,000, and pairs above it less often. Lower thresholds get wider
@@ -30,14 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, list_array, mix, sized, slices, word_hashes, written
+from .common import forget, list_array, mix, sized, slices, unused, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
 BINS = BANDS * ROWS
+#: Weight of a block of sets (elements, and so many more for each set): two blocks fit a task in some tens of MB.
+BLOCK_WEIGHT, CLASS_WEIGHT = 1 << 19, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -195,62 +198,113 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
 
-def link(classes: DataFrame, docs: DataFrame, text: str, percent: int, width: int) -> DataFrame:
+def linked_in_block(reps: np.ndarray, parts: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different ``parts``: of all that there are, as many as connect the same sets.
+
+    ``values`` holds the sets end to end. Only elements that two sets share can count; their
+    columns are multiplied a chunk at a time, so memory is the square of the number of sets.
+    """
+    m = len(sizes)
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    common = times > 1
+    column = (np.cumsum(common) - 1)[at]
+    used = common[at]
+    owner, column = owner[used], column[used]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((m, m), np.float32)
+    total, step = int(common.sum()), max(64, (4 << 20) // max(m, 1))
+    for first in range(0, total, step):
+        lo, hi = np.searchsorted(column, [first, first + step])
+        held = np.zeros((m, min(step, total - first)), np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        shared += held @ held.T
+    both = shared.astype(np.float64)
+    linked = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (parts[:, None] != parts[None, :])
+    left, right = [], []
+    unseen = linked.any(1)
+    for start in np.flatnonzero(unseen).tolist():  # a walk over each connected group gives its tree
+        if not unseen[start]:
+            continue
+        unseen[start] = False
+        ahead = [start]
+        while ahead:
+            k = ahead.pop()
+            new = np.flatnonzero(linked[k] & unseen)
+            unseen[new] = False
+            left += [k] * len(new)
+            right += new.tolist()
+            ahead += new.tolist()
+    return reps[np.array(left, np.int64)], reps[np.array(right, np.int64)]
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket. ``mixed``: key, rep, n and component c.
+
+    A bucket's classes are dealt into blocks of about ``most`` weight (elements and
+    ``CLASS_WEIGHT`` for each class): a large component has blocks of its own, the others share
+    some. Every two blocks that don't belong to one component meet in a task, which holds
+    two blocks and returns a forest of links, however large the bucket is.
+    """
+    weight = F.col("n") + CLASS_WEIGHT
+    parts = mixed.groupBy("key", "c").agg(F.sum(weight).alias("w")).withColumn("own", F.col("w") >= most)
+    parts = parts.withColumn("g", F.when(F.col("own"), F.col("c")).otherwise(F.lit(0).cast("long")))
+    room = parts.groupBy("key", "own", "g").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+    parts = parts.select("key", "c", "own", "g")
+    room = written(room, "nd-room")
+    several = room.groupBy("key").agg(F.sum("blocks").alias("all")).filter("all > 1").select("key")
+    blocks = room.join(several, "key").select("key", "own", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
+    one = blocks.select("key", F.struct("own", "g", "p").alias("x"))
+    meet = one.join(one.withColumnRenamed("x", "y"), "key").filter("x <= y AND NOT (x.own AND y.own AND x.g = y.g)")
+    meet = meet.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).select("key", "x", "y", "z.own", "z.g", "z.p")
+    place = mixed.join(parts, ["key", "c"]).join(room, ["key", "own", "g"]).withColumn("p", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    alone = F.struct(F.lit(False).alias("own"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("p"))
+    single = place.join(several, "key", "left_anti").select("key", alone.alias("x"), alone.alias("y"), "rep", "c")
+    more = place.join(meet, ["key", "own", "g", "p"]).select("key", "x", "y", "rep", "c")
+    held = single.unionByName(more).join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        lists = table.column("set").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = linked_in_block(table.column("rep").to_numpy(), table.column("c").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), sizes, percent)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return held.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def link(classes: DataFrame, docs: DataFrame, text: str, percent: int, width: int, block: int = BLOCK_WEIGHT) -> DataFrame:
     """(v, c): the component of every class that is linked to another. ``classes``: rep, n, bands."""
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    members = written(members.join(crowded, "key", "left_semi"), "nd-buckets")
+    # the centre of a bucket is the class with the largest hash: groups that meet in many buckets mostly get one
+    top = F.max(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep0"), F.col("n").alias("n0")))
+    crowded = sized(members.groupBy("key").agg(F.count("*").alias("k"), top.alias("top")).filter("k > 1").select("key", "k", "top.rep0", "top.n0"), "nd-crowded")
+    members = written(members.join(crowded, "key"), "nd-buckets")
     wanted = sized(members.select(F.col("rep").alias("doc_id")).distinct(), "nd-wanted")
     sets = written(_sets_of(docs.join(wanted, "doc_id", "left_semi"), text, width).dropDuplicates(["doc_id", "s1"]).drop("s1"), "nd-sets")
 
-    fits = lambda: 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")  # noqa: E731  sizes alone don't rule it out
-    ordered = lambda df: df.select(F.least("rep", "rep0").alias("a"), F.greatest("rep", "rep0").alias("b")).distinct()
-    labels = links = None
-    mixed, used, tried, stars = members.withColumn("used", F.lit(False)), None, None, 1
-    while True:
-        # the centres of each bucket: the untried classes with most links, at first one picked by hash
-        pool = mixed.filter("NOT used")
-        if links is None:
-            pool = pool.withColumn("d", F.lit(0))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("d"))
-            pool = pool.join(degree, "rep", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-        if labels is None:
-            pool = pool.withColumn("c", F.col("rep"))
-        best = Window.partitionBy("key").orderBy(F.desc("d"), F.desc(F.xxhash64("rep", "key")), "rep")
-        centres = pool.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= stars)
-        centres = written(centres.select("key", F.col("rep").alias("rep0"), F.col("n").alias("n0"), F.col("c").alias("c0")), "nd-centres")
-        star = mixed.join(centres, "key").filter((F.col("rep") != F.col("rep0")) & fits())
-        if labels is not None:
-            star = star.filter(F.col("c") != F.col("c0"))
-        pairs = ordered(star)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "nd-pairs")
-        fresh = written(_confirmed(pairs, sets, percent), "nd-links")
-        found = fresh.limit(1).count()
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        mine = centres.select("key", F.col("rep0").alias("rep"))
-        used = mine if used is None else used.unionByName(mine)
-        stars = 1 if found else 2 * stars
-        if found:
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = extended(labels, fresh)
-        # buckets that still hold several components and an untried class
-        with_c = members.withColumn("c", F.col("rep"))
-        if labels is not None:
-            with_c = members.join(labels, members["rep"] == labels["v"], "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-        open_keys = with_c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        spent = used.withColumn("used", F.lit(True))
-        open_rows = with_c.join(open_keys.select("key"), "key").join(spent, ["key", "rep"], "left")
-        before, mixed = mixed, written(open_rows.withColumn("used", F.coalesce("used", F.lit(False))), "nd-mixed")
-        forget(before)
-        if not mixed.filter("NOT used").limit(1).count():
-            break
+    fits = 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")  # sizes alone don't rule it out
+    star = members.filter((F.col("rep") != F.col("rep0")) & fits)
+    pairs = star.select(F.least("rep", "rep0").alias("a"), F.greatest("rep", "rep0").alias("b")).distinct()
+    links = written(_confirmed(pairs, sets, percent), "nd-links")
+    labels = components(links) if links.limit(1).count() else None
+
+    # buckets of more than a star that still hold several components; of equal buckets one
+    large = members.filter("k > 2").select("key", "rep", "n")
+    if labels is None:
+        large = large.withColumn("c", F.col("rep"))
+    else:
+        large = large.join(labels, large["rep"] == labels["v"], "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    large = written(large, "nd-large")
+    same = large.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"))
+    open_keys = sized(same.filter("lo <> hi").groupBy("k", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "nd-open")
+    more = written(_rest(written(large.join(open_keys, "key", "left_semi"), "nd-mixed"), sets, percent, block), "nd-links")
+    if more.limit(1).count():
+        labels = extended(labels, more)
     return labels if labels is not None else classes.select(F.col("rep").alias("v"), F.col("rep").alias("c")).limit(0)
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every row."""
     sketched = written(sketch_documents(df, doc_id, text, width, percent), "nd-sketches")
     # one class per distinct set; its representative is the smallest id
@@ -267,15 +321,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     )
 
 
-def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``df`` that ``near_duplicates`` keeps, with all their columns; of rows that share both id and text one stays."""
+    own, = unused(df.columns, "kept_id")
     found = near_duplicates(df, doc_id, text, percent).filter("doc_id IS NOT NULL")
-    found = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n")), "nd-found")
-    gone = sized(found.filter("NOT __kept").select("__id"), "nd-gone")
-    out = df.join(gone, F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
-    again = found.filter("__kept AND __n > 1").select("__id")
+    found = written(found.groupBy(F.col("doc_id").alias(own)).agg(F.bool_and("kept").alias("stays"), F.count("*").alias("times")), "nd-found")
+    same = F.col(doc_id).cast("long") == F.col(own)
+    gone = sized(found.filter("NOT stays").select(own), "nd-gone")
+    out = df.join(gone, same, "left_anti")
+    again = found.filter("stays AND times > 1").select(own)
     if again.limit(1).count():
         again = sized(again, "nd-again")
-        same = F.col(doc_id).cast("long") == F.col("__id")
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
     return out

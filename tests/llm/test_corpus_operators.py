@@ -120,10 +120,10 @@ def near_copies():
 def test_groups_equal_brute_force(spark):
     texts = near_copies()
     want, sizes = brute_groups(texts)
-    rows = {r["doc_id"]: r for r in near_dups.near_duplicates(documents(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in near_dups.near_duplicates(documents(spark, texts), percent=85).collect()}
     assert [rows[k]["component_id"] for k in range(len(texts))] == want
     assert [rows[k]["n_shingles"] for k in range(len(texts))] == sizes
-    kept = near_dups.keep_one_of_each(documents(spark, texts))
+    kept = near_dups.keep_one_of_each(documents(spark, texts), percent=85)
     assert {r["doc_id"] for r in kept.collect()} == set(want) and kept.columns == documents(spark, []).columns
 
 
@@ -142,6 +142,57 @@ def test_pairs_are_found_in_a_bucket_of_many_unlike_classes(spark):
     assert {(r["v"], r["c"]) for r in found} == {(37, 37), (60, 37)}
 
 
+def variants(count, words, least, most, seed):
+    """Texts around one template: each has ``least`` to ``most`` words of its own, half of them shared with others."""
+    r, out = random.Random(seed), []
+    for k in range(count):
+        own = [f"w{j}" for j in range(words)]
+        for j in r.sample(range(words), r.randint(least, most)):
+            own[j] = f"x{r.randrange(4)}y{j}" if r.random() < 0.5 else f"n{k}z{j}"
+        out.append(" ".join(own))
+    return out
+
+
+def all_pairs(texts, percent):
+    """The component of each text by comparing all sets with each other, and how many links there are."""
+    sets, sizes = near_dups.shingle_sets(pa.array(texts))
+    _, at, times = np.unique(sets, return_inverse=True, return_counts=True)
+    held = np.zeros((len(texts), len(times)), np.float32)
+    held[np.repeat(np.arange(len(texts)), sizes), at] = 1
+    both = held[:, times > 1] @ held[:, times > 1].T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(texts))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(texts)).min(1))
+        if (new == label).all():
+            return label.tolist(), int(linked.sum()) // 2
+        label = new
+
+
+@pytest.mark.parametrize(("shape", "block"), [((324, 500, 5, 14, 1), near_dups.BLOCK_WEIGHT), ((2000, 200, 2, 6, 2), near_dups.BLOCK_WEIGHT), ((700, 200, 2, 6, 4), 1 << 13)])
+def test_no_link_is_lost_in_a_group_around_the_threshold(spark, monkeypatch, shape, block):
+    """Most pairs are just below 85 %, few above; small blocks make every bucket meet in many tasks."""
+    monkeypatch.setattr(near_dups.link, "__defaults__", (block,))
+    texts = variants(*shape)
+    want, links = all_pairs(texts, 85)
+    assert links and len(set(want)) > len(texts) // 2
+    rows = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(documents(spark, texts), percent=85).collect()}
+    assert [rows[k] for k in range(len(texts))] == want
+
+
+def test_a_block_keeps_what_its_links_connect():
+    texts = variants(150, 60, 0, 3, 9)
+    sets, sizes = near_dups.shingle_sets(pa.array(texts))
+    want, _ = all_pairs(texts, 80)
+    a, b = near_dups.linked_in_block(np.arange(150), np.arange(150), sets.view(np.int64), sizes, 80)
+    root = list(range(150))
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    assert root == want and len(a) < 150
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     text = prose(1, 60)
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (7, text), (8, prose(2, 50)), (8, prose(3, 50))], "doc_id long, text string")
@@ -303,7 +354,7 @@ def test_a_group_of_copies_keeps_its_text(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     copy = prose(1, 30) + "\n" + prose(2, 30)
     df = documents(spark, [copy] * 12 + ["notice\n" + prose(20 + k, 30) for k in range(10)])
-    lines = corpus_pipeline.line_dedup(spark, df, SF).localCheckpoint()
+    lines = corpus_pipeline.line_dedup(spark, df, SF)
     assert not lines.filter("text LIKE '%notice%'").count()
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, SF).collect()}
     assert kept[0] == copy and set(kept) == {0, *range(12, 22)}

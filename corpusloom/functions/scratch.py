@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: its rows are fixed and its lineage ends.
 
-    The files go when the driver's file system closes. A local folder is made only
-    where the setting is missing, as in tests.
+    The files go when the driver's file system closes. Where the setting is missing a local
+    folder is made in local mode, as in tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"

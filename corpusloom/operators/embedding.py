@@ -21,17 +21,24 @@ DIMENSIONS = 64
 
 
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Unit vector of signed word counts; a text without words has length 0.
+    """Vector of signed word counts; a text without words has length 0.
 
-    Each word's place and sign come from one hash. Words are grouped by sorting, so the cost
-    is that of the words and not of words times dimensions.
+    The first 32 bits of a word's MD5 give its place (their rest by ``dimensions``) and sign (bit 20). Places are
+    sorted and summed in one fold, so the cost is that of the words plus that of the dimensions.
     """
-    h = F.transform(words(text), lambda w: F.xxhash64(w))
-    places = F.transform(h, lambda x: F.struct(F.pmod(x, F.lit(dimensions)).cast("int").alias("at"), F.when(F.pmod(F.shiftright(x, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda k: F.aggregate(F.filter(places, lambda p: p["at"] == k), F.lit(0.0), lambda total, p: total + p["sign"]))
-    return counts
+    h = F.transform(words(text), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+    sign = lambda x: F.when(F.shiftright(x, 20) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    places = F.array_sort(F.transform(h, lambda x: F.struct((x % dimensions).cast("int").alias("at"), sign(x).alias("n"))))
+    none = F.array().cast("array<struct<at:int,n:double>>")
+    start = F.struct(none.alias("done"), F.lit(-1).alias("at"), F.lit(0.0).alias("n"))
+
+    def fold(seen: Column, x: Column) -> Column:
+        more = F.struct(seen["done"].alias("done"), seen["at"].alias("at"), (seen["n"] + x["n"]).alias("n"))
+        done = F.array_append(seen["done"], F.struct(seen["at"].alias("at"), seen["n"].alias("n")))
+        return F.when(seen["at"] == x["at"], more).otherwise(F.struct(done.alias("done"), x["at"].alias("at"), x["n"].alias("n")))
+
+    sums = F.aggregate(places, start, fold, lambda seen: F.map_from_entries(F.array_append(seen["done"], F.struct(seen["at"].alias("at"), seen["n"].alias("n")))))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at(sums, k), F.lit(0.0)))
 
 
 def scaled(vector: Column) -> Column:

@@ -114,6 +114,12 @@ def edge_lists(edges: DataFrame) -> DataFrame:
     return out.join(into, "path", "full_outer").select("path", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
+def from_edge_lists(lists: DataFrame) -> DataFrame:
+    """Edges of (path, imports, imported_by): what ``edge_lists`` was made of."""
+    out = lists.select(F.col("path").alias("src"), F.explode("imports").alias("dst"))
+    return out.unionByName(lists.select(F.explode("imported_by").alias("src"), F.col("path").alias("dst"))).distinct()
+
+
 def connection_summary(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, summary): what a file imports and what imports it, in one line."""
     parts = F.array_compact(F.array(

@@ -22,12 +22,14 @@ RRF_K = 60
 PER_PATH = 3
 BONUS = 0.15
 NO_NORM = 1e-10
+#: Rows of queries, and of their terms, that a broadcast may hold: some tens of MB at most.
+BROADCAST_QUERIES, BROADCAST_TERMS = 10_000, 500_000
 
 
 # ---------------------------------------------------------------- BM25
 @dataclass(frozen=True)
 class Bm25:
-    """postings (term, chunk_id, tf), lengths (chunk_id, dl), terms (term, df, idf), totals (n, avgdl)."""
+    """postings (term, chunk_id, tf, dl), lengths (chunk_id, dl), terms (term, df, idf), totals (n, avgdl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -45,7 +47,8 @@ def bm25_index(chunks: DataFrame) -> Bm25:
     """BM25 statistics. Counts are combined before each shuffle; a frequent term is one small row per task."""
     tokens = chunks.select("chunk_id", words(F.col("text")).alias("w"))
     lengths = tokens.select("chunk_id", F.size("w").cast("long").alias("dl"))
-    postings = tokens.select("chunk_id", F.explode("w").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    postings = tokens.select("chunk_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    postings = postings.select("term", "chunk_id", "tf", "dl")
     totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
     raw = (
         postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
@@ -62,12 +65,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id and the BM25 score of chunks that hold a query's term; all others score 0."""
-    asked = query_terms(queries).join(index.terms, "term")
+    """query_id, chunk_id and the BM25 score of chunks that hold a query's term; all others score 0.
+
+    The queries' terms are counted, and broadcast while they are few: postings stay where they are then.
+    """
+    asked = written(query_terms(queries).join(index.terms, "term"), "asked")
+    if asked.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     return (
-        index.postings.join(asked, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.totals))
+        index.postings.join(asked, "term").crossJoin(F.broadcast(index.totals))
         .groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
     )
 
@@ -84,14 +92,28 @@ def norm(vector: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; a vector without length gives 0."""
-    length = norm(a) * norm(b)
-    return _dot(a, b) / F.when(length == 0, F.lit(NO_NORM)).otherwise(length)
+    return _over(_dot(a, b), norm(a) * norm(b))
+
+
+def _over(product: Column, length: Column) -> Column:
+    return product / F.when(length == 0, F.lit(NO_NORM)).otherwise(length)
 
 
 def cosine_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, path and cosine of every chunk for every query: a stated, small query set against all rows."""
-    own = chunks.select("chunk_id", "path", "embedding")
-    return own.crossJoin(queries.select("query_id", "vec")).select("query_id", "chunk_id", "path", cosine(F.col("embedding"), F.col("vec")).alias("cosine"))
+    """query_id, chunk_id, path and cosine of every chunk for every query.
+
+    The stated query set goes against all rows in blocks of ``BROADCAST_QUERIES`` at most; lengths are taken once a row.
+    """
+    own = chunks.select("chunk_id", "path", "embedding", norm(F.col("embedding")).alias("length"))
+    asked = written(queries.select("query_id", "vec", norm(F.col("vec")).alias("asked_length")), "queries")
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    out = None
+    for k in range(blocks):
+        few = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        made = own.crossJoin(F.broadcast(few)).select(
+            "query_id", "chunk_id", "path", _over(_dot(F.col("embedding"), F.col("vec")), F.col("length") * F.col("asked_length")).alias("cosine"))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 # ---------------------------------------------------------------- ranks

@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
 from ..functions.text import blank_as_null, preview, strip
 from .graph import both_ways
 from .ranking import Bm25, best_per_group, diverse_top, fused, hybrid_search, merged, rank_lists
@@ -16,6 +17,8 @@ from .ranking import Bm25, best_per_group, diverse_top, fused, hybrid_search, me
 PER_QUERY, FINAL, BY_GRAPH, CANDIDATES = 14, 10, 4, 100
 CONTEXT_CHUNKS, CONTEXT_CHARS = 4, 400
 TOOL_HITS = 6
+#: References of one lookup; more are refused, as each is compared with every path and heading.
+MOST_REFS = 1_000
 
 
 # ---------------------------------------------------------------- retrieval
@@ -109,11 +112,17 @@ def search_tool(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def fetch_tool(chunks: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref, chunk_id, path, text) for each ``ref``: the file of that path, else every chunk whose path or heading holds it."""
-    exact = refs.join(chunks, F.col("ref") == F.col("path")).select("ref", "chunk_id", "path", "text")
+    """(ref, chunk_id, path, text) for each ``ref``: the file of that path, else every chunk whose path or heading holds it.
+
+    At most ``MOST_REFS`` references, which are broadcast: the stated set against all chunks.
+    """
+    refs = written(refs, "refs")
+    if refs.limit(MOST_REFS + 1).count() > MOST_REFS:
+        raise ValueError(f"more than {MOST_REFS} references in one lookup")
+    exact = F.broadcast(refs).join(chunks, F.col("ref") == F.col("path")).select("ref", "chunk_id", "path", "text")
     rest = refs.join(chunks.select(F.col("path").alias("ref")).distinct(), "ref", "left_anti")
     held = F.lower(F.coalesce("heading", F.lit(""))).contains(F.lower("ref")) | F.lower("path").contains(F.lower("ref"))
-    return exact.unionByName(rest.join(chunks, held).select("ref", "chunk_id", "path", "text"))
+    return exact.unionByName(F.broadcast(rest).join(chunks, held).select("ref", "chunk_id", "path", "text"))
 
 
 def sections(chunks: DataFrame) -> DataFrame:
@@ -130,3 +139,15 @@ def history(turns: DataFrame, sources_of: DataFrame) -> DataFrame:
     """``turns`` with the sources of their question as an array of labels, the first card first."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])
     return turns.join(sources_of.groupBy("question_id").agg(listed.alias("sources")), "question_id", "left")
+
+
+def appended_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """``turns`` (question_id, turn, role, text, sources) with the rows of ``new`` (question_id, place, role, text, sources) after each question's last turn.
+
+    ``sources`` is an array of labels, empty for turns without; ``place`` orders the new turns of a question.
+    """
+    last = turns.groupBy("question_id").agg(F.max("turn").alias("last"))
+    number = F.row_number().over(Window.partitionBy("question_id").orderBy("place")) + F.coalesce("last", F.lit(-1))
+    none = F.array().cast("array<string>")
+    added = new.join(last, "question_id", "left").select("question_id", number.cast("long").alias("turn"), "role", "text", F.coalesce("sources", none).alias("sources"))
+    return turns.select("question_id", F.col("turn").cast("long").alias("turn"), "role", "text", F.coalesce("sources", none).alias("sources")).unionByName(added)

@@ -21,13 +21,20 @@ from .providers import CODE_PROMPT, DIAGRAM_PROMPT, DOCUMENT_PROMPT, Models
 
 log = logging.getLogger(__name__)
 MOST_STEPS = 4
+#: Chunks and names that a tool's text holds; it says how many more there are.
+MOST_FETCHED, MOST_LISTED = 40, 1_000
+
+
+def _written_bm25(chunks: DataFrame) -> Bm25:
+    found = bm25_index(chunks)
+    return Bm25(*(written(t, n) for t, n in ((found.postings, "postings"), (found.lengths, "lengths"), (found.terms, "terms"), (found.totals, "totals"))))
 
 
 class Index:
-    """Tables of one repository: chunks with embeddings, edges, and BM25 statistics."""
+    """Tables of one repository: chunks with embeddings, raw imports, the edges they lead to, and BM25 statistics."""
 
-    def __init__(self, chunks: DataFrame, edges: DataFrame, bm25: Bm25, model: Callable[[], object] | None = None):
-        self.chunks, self.edges, self.bm25, self.model = chunks, edges, bm25, model
+    def __init__(self, chunks: DataFrame, imports: DataFrame, edges: DataFrame, bm25: Bm25, model: Callable[[], object] | None = None):
+        self.chunks, self.imports, self.edges, self.bm25, self.model = chunks, imports, edges, bm25, model
 
     # ---------------------------------------------------------------- making and keeping
     @classmethod
@@ -39,31 +46,36 @@ class Index:
         code = routed(files).filter("route = 'code'").select("path", "content")
         units, parsed = parse_files(code)
         progress(35, "linking")
-        imports = parsed.select(F.col("path").alias("src"), "language", F.explode("raw_imports").alias("raw"))
+        imports = written(parsed.select(F.col("path").alias("src"), "language", F.explode("raw_imports").alias("raw")), "imports")
         edges = written(import_edges(imports, files.select("path")), "edges")
         progress(40, "embedding")
         chunks = written(embed(chunk_files(files, units, parsed), model=model), "chunks")
         progress(90, "indexing")
-        found = bm25_index(chunks)
-        bm25 = Bm25(*(written(t, n) for t, n in ((found.postings, "postings"), (found.lengths, "lengths"), (found.terms, "terms"), (found.totals, "totals"))))
+        bm25 = _written_bm25(chunks)
         progress(100, "done")
-        return cls(chunks, edges, bm25, model)
+        return cls(chunks, imports, edges, bm25, model)
 
     def save(self, store: IndexStore, repo_id: str) -> None:
-        store.save(repo_id, {"chunks": self.chunks, "edges": self.edges, "postings": self.bm25.postings, "lengths": self.bm25.lengths, "terms": self.bm25.terms, "totals": self.bm25.totals})
+        store.save(repo_id, {"chunks": self.chunks, "imports": self.imports, "edges": self.edges, "postings": self.bm25.postings, "lengths": self.bm25.lengths, "terms": self.bm25.terms, "totals": self.bm25.totals})
 
     @classmethod
     def load(cls, store: IndexStore, repo_id: str, model: Callable[[], object] | None = None) -> Index:
         tables = store.load(repo_id)
         if tables is None:
             raise ValueError(f"{repo_id} isn't indexed")
-        return cls(tables["chunks"], tables["edges"], Bm25(tables["postings"], tables["lengths"], tables["terms"], tables["totals"]), model)
+        return cls(tables["chunks"], tables["imports"], tables["edges"], Bm25(tables["postings"], tables["lengths"], tables["terms"], tables["totals"]), model)
 
     def appended(self, files: DataFrame) -> Index:
-        """An index that holds ``files`` as well; BM25 statistics are made anew, as they cover all chunks."""
+        """An index that holds ``files`` as well; files of a path that is there already take its place.
+
+        Only the new files are parsed and embedded. Links of all imports are resolved anew, since old ones can lead
+        to new files, and BM25 statistics cover all chunks; both are written.
+        """
         more = Index.build(files, self.model)
-        chunks = self.chunks.unionByName(more.chunks)
-        return Index(chunks, self.edges.unionByName(more.edges).distinct(), bm25_index(chunks), self.model)
+        fresh = more.chunks.select("path").distinct()
+        chunks = written(self.chunks.join(fresh, "path", "left_anti").select(*self.chunks.columns).unionByName(more.chunks), "chunks")
+        imports = written(self.imports.join(fresh.withColumnRenamed("path", "src"), "src", "left_anti").select(*self.imports.columns).unionByName(more.imports), "imports")
+        return Index(chunks, imports, written(import_edges(imports, chunks.select("path").distinct()), "edges"), _written_bm25(chunks), self.model)
 
     # ---------------------------------------------------------------- asking
     def queries(self, questions: DataFrame) -> DataFrame:
@@ -86,11 +98,20 @@ class Index:
 
         def fetch(ref: str) -> str:
             rows = retrieval.fetch_tool(self.chunks, spark.createDataFrame([(ref,)], "ref string"))
-            texts = [r["text"] for r in rows.join(self.chunks.select("chunk_id", "chunk_index"), "chunk_id").orderBy("path", "chunk_index").collect()]
+            placed = rows.join(self.chunks.select("chunk_id", "chunk_index"), "chunk_id")
+            texts = [r["text"] for r in placed.orderBy("path", "chunk_index").limit(MOST_FETCHED).collect()]
+            if len(texts) == MOST_FETCHED and (more := rows.count() - MOST_FETCHED):
+                texts.append(f"({more} more passages match '{ref}'.)")
             return "\n\n---\n\n".join(texts) if texts else f"'{ref}' isn't in the index."
 
         def listed(label: str, df: DataFrame) -> Callable[[str], str]:
-            return lambda _: "\n".join([f"{label}:", *(f"- {r[0]}" for r in df.toLocalIterator())])
+            def names(_: str) -> str:
+                lines = [f"- {r[0]}" for r in df.limit(MOST_LISTED).collect()]
+                if len(lines) == MOST_LISTED and (more := df.count() - MOST_LISTED):
+                    lines.append(f"({more} more.)")
+                return "\n".join([f"{label}:", *lines])
+
+            return names
 
         if documents:
             return {"search_document": search, "get_section": fetch, "list_sections": listed("Sections", retrieval.sections(self.chunks))}

@@ -1,54 +1,73 @@
-"""An index on disk: Parquet tables partitioned by repository, appended to and read back by Spark."""
+"""An index on disk: versions of Parquet tables for each repository."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("chunks", "edges", "postings", "lengths", "terms", "totals")
+from ..operators.graph import edge_lists, from_edge_lists
+
+TABLES = ("chunks", "imports", "edges", "postings", "lengths", "terms", "totals")
 
 
 class IndexStore:
-    """Tables below ``root``, each with a partition per repository; ``root`` lies in a store that all machines share."""
+    """Versions of repositories' tables below ``root``, which lies in a store that all machines share.
+
+    ``tables/repo_id=X/version=V`` holds a version's tables, ``current/repo_id=X`` names the one in use. A save
+    writes a new version and then moves the name, so an index can be saved over the one it was made from; the version
+    before stays for plans that still read it, older ones go.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str, repo_id: str | None = None) -> str:
-        return f"{self.root}/{name}" + (f"/repo_id={repo_id}" if repo_id else "")
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def _fs(self):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _children(self, *parts: str) -> list[str]:
+        where = self._at(*parts)
+        return sorted(x.getPath().getName() for x in self._fs().listStatus(where)) if self._fs().exists(where) else []
 
-    def _at(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+    def version(self, repo_id: str) -> str | None:
+        """The version in use; None if the repository isn't indexed."""
+        if not self._fs().exists(self._at("current", f"repo_id={repo_id}")):
+            return None
+        return self.spark.read.text(f"{self.root}/current/repo_id={repo_id}").first()["value"]
 
     def has(self, repo_id: str) -> bool:
-        return self._fs().exists(self._at(self._path("chunks", repo_id)))
+        return self.version(repo_id) is not None
 
     def save(self, repo_id: str, tables: dict[str, DataFrame]) -> None:
-        """Replace a repository's tables. The chunks come last: an index is there when its chunks are."""
-        for name in sorted(tables, key=lambda n: n == "chunks"):
-            tables[name].write.mode("overwrite").parquet(self._path(name, repo_id))
+        """Make ``tables`` a repository's; readers see them only once all are written."""
+        before, made = self.version(repo_id), uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/tables/repo_id={repo_id}/version={made}/{name}")
+        out = self._fs().create(self._at("current", f"repo_id={repo_id}"), True)
+        out.write(bytearray(made.encode()))
+        out.close()
+        for name in self._children("tables", f"repo_id={repo_id}"):
+            if name not in (f"version={made}", f"version={before}"):
+                self._fs().delete(self._at("tables", f"repo_id={repo_id}", name), True)
 
     def load(self, repo_id: str) -> dict[str, DataFrame] | None:
         """A repository's tables, or None if it isn't indexed."""
-        if not self.has(repo_id):
+        version = self.version(repo_id)
+        if version is None:
             return None
-        return {n: self.spark.read.parquet(p) for n in TABLES if self._fs().exists(self._at(p := self._path(n, repo_id)))}
+        return {n: self.spark.read.parquet(f"{self.root}/tables/repo_id={repo_id}/version={version}/{n}") for n in self._children("tables", f"repo_id={repo_id}", f"version={version}")}
 
     def clear(self, repo_id: str) -> None:
-        for name in TABLES:
-            self._fs().delete(self._at(self._path(name, repo_id)), True)
+        for top in ("current", "tables"):
+            self._fs().delete(self._at(top, f"repo_id={repo_id}"), True)
 
     def repositories(self) -> list[str]:
-        root = self._at(self._path("chunks"))
-        if not self._fs().exists(root):
-            return []
-        return sorted(x.getPath().getName().removeprefix("repo_id=") for x in self._fs().listStatus(root) if x.getPath().getName().startswith("repo_id="))
+        return [x.removeprefix("repo_id=") for x in self._children("current") if x.startswith("repo_id=")]
 
     def retain_only(self, repo_id: str) -> None:
         """Drop every other repository's tables."""
@@ -58,11 +77,13 @@ class IndexStore:
 
     def write_graph_json(self, repo_id: str, edges: DataFrame) -> str:
         """The graph as JSON lines (path, imports, imported_by); the folder it lies in."""
-        from ..operators.graph import edge_lists
-
         edge_lists(edges).orderBy("path").write.mode("overwrite").json(path := f"{self.root}/graph_json/{repo_id}")
         return path
 
+    def read_graph_json(self, repo_id: str) -> DataFrame:
+        """The edges that ``write_graph_json`` wrote."""
+        return from_edge_lists(self.spark.read.schema("path string, imports array<string>, imported_by array<string>").json(f"{self.root}/graph_json/{repo_id}"))
+
 
 def checked_join(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with their ``embedding`` from (chunk_id, embedding); an error if a chunk has none, or a vector no chunk."""

@@ -30,10 +30,11 @@ ADDRESS = r"github\.com/([a-zA-Z0-9_.-]+)/([a-zA-Z0-9_.-]+?)(?:\.git)?(?:/tree/(
 
 # Fixed values of the file filter.
 KEPT_EXTENSIONS = (
-    "md mdx mmd txt rst adoc py pyi js jsx mjs cjs ts tsx go rs java kt kts scala groovy "
-    "c h cpp cc cxx hpp cs rb php swift dart sh bash zsh ps1 json yaml yml toml ini cfg "
-    "sql html svelte vue css scss sass less"
-).split()
+    "md", "mdx", "mmd", "txt", "rst", "adoc", "py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "rs", "java",
+    "kt", "kts", "scala", "groovy", "c", "h", "cpp", "cc", "cxx", "hpp", "cs", "rb", "php", "swift", "dart", "sh",
+    "bash", "zsh", "ps1", "json", "yaml", "yml", "toml", "ini", "cfg", "sql", "html", "svelte", "vue", "css", "scss",
+    "sass", "less",
+)
 KEPT_NAMES = ("Makefile", "Dockerfile", "Jenkinsfile", "Procfile", "Rakefile", "Gemfile")
 SKIPPED = (
     "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock",
@@ -65,7 +66,7 @@ def repo_id(owner: Column, repo: Column) -> Column:
 # ---------------------------------------------------------------- filter
 def is_wanted(path: Column, kind: Column, size: Column) -> Column:
     """Whether an entry is a file of a fitting size whose path isn't skipped and whose extension or name is known."""
-    named = F.when(path.contains("."), file_type(path).isin(KEPT_EXTENSIONS)).otherwise(F.lit(False)) | basename(path).isin(*KEPT_NAMES)
+    named = F.when(path.contains("."), file_type(path).isin(*KEPT_EXTENSIONS)).otherwise(F.lit(False)) | basename(path).isin(*KEPT_NAMES)
     skipped = F.lit(False)
     for pattern in SKIPPED:
         skipped = skipped | path.contains(pattern)
@@ -79,9 +80,18 @@ def wanted(entries: DataFrame, most: int | None = MOST_FILES) -> DataFrame:
 
 
 # ---------------------------------------------------------------- readers
-def load_directory(spark: SparkSession, root: str, most: int | None = MOST_FILES) -> DataFrame:
-    """Files below a folder of any store that Spark reads; contents are read only for wanted files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _any_case(name: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+def load_directory(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """Files below a folder of any store that Spark reads; with ``most``, the first so many by path.
+
+    Names of other kinds aren't listed, and files of an unfitting size are passed over by their listed length: the contents of neither are read.
+    """
+    names = ",".join([*(f"*.{_any_case(e)}" for e in KEPT_EXTENSIONS), *KEPT_NAMES])
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(root)
+    raw = raw.filter(F.col("length").between(LEAST_BYTES, MOST_BYTES))
     base = F.lit(root.rstrip("/").split("://")[-1].split(":")[-1])
     path = F.regexp_replace(F.split_part(F.col("path"), base, F.lit(-1)), "^/+", "")
     entries = raw.select(path.alias("path"), F.lit("blob").alias("type"), F.col("length").alias("size"), F.col("path").alias("raw_url"), "content").withColumn("pos", F.col("path"))

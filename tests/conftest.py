@@ -54,8 +54,8 @@ def same_rows(df, con, sql):
     """Assert that a DataFrame and a DuckDB query have the same columns and rows."""
     names = sorted(df.columns)
     own = df.select(*names).collect()
-    other = con.execute(f"SELECT {', '.join(names)} FROM ({sql}) t")
-    assert sorted(x[0] for x in con.execute(sql).description) == names
-    a, b = _rows(own, names)[0], _rows(other.fetchall(), names)[0]
+    assert sorted(x[0] for x in con.execute(f"DESCRIBE {sql}").fetchall()) == names
+    other = con.execute(f"SELECT {', '.join(names)} FROM ({sql}) t").fetchall()
+    a, b = _rows(own, names)[0], _rows(other, names)[0]
     assert len(a) == len(b)
     assert a == b

@@ -123,14 +123,54 @@ def test_store_keeps_clears_and_retains(spark, index, tmp_path):
     assert store.repositories() == ["b"] and Index.load(store, "b").chunks.count() == index.chunks.count()
     out = store.write_graph_json("b", index.edges)
     assert spark.read.json(out).count() == 4
+    assert sorted(store.read_graph_json("b").collect()) == sorted(index.edges.collect())
     with pytest.raises(ValueError):
         Index.load(store, "zzz")
 
 
-def test_appended_index_ranks_over_all_chunks(spark, index):
-    more = spark.createDataFrame([("x/new.py", "def zebra():\n    return 'zebra'\n", "u", "py")], repository.FILES)
-    both = index.appended(more)
-    assert both.bm25.totals.first()["n"] == index.chunks.count() + 1
+def test_an_appended_index_equals_one_built_at_once(spark, files, tmp_path):
+    """Files that import each other link whichever comes first, and the result can be saved over what it was made from."""
+    store = IndexStore(spark, str(tmp_path / "s"))
+    first, more = files.filter("path NOT IN ('app/util.py', 'web/a.js')"), files.filter("path IN ('app/util.py', 'web/a.js')")
+    ingest(first, store, "acme__tool")
+    for _ in range(2):  # the second time it replaces what is there
+        Index.load(store, "acme__tool").appended(more).save(store, "acme__tool")
+    both, whole = Index.load(store, "acme__tool"), Index.build(files)
+    rows = lambda df, *names: sorted(tuple(r) for r in df.select(*names).collect())
+    assert rows(both.edges, "src", "dst") == rows(whole.edges, "src", "dst") == [("app/main.py", "app/util.py"), ("web/a.js", "web/b.js")]
+    assert rows(both.chunks, "chunk_id", "text") == rows(whole.chunks, "chunk_id", "text")
+    assert rows(both.bm25.terms, "term", "df", "idf") == rows(whole.bm25.terms, "term", "df", "idf")
+    assert both.bm25.totals.collect() == whole.bm25.totals.collect()
+
+
+@pytest.mark.parametrize("content", ["x = " + "(" * 5000 + ")" * 5000, "def f(a: " + "-" * 900 + "1): pass\n", "x = '\0'", "def f(:"])
+def test_files_that_break_the_parser_become_blocks(spark, content):
+    units, parsed = parsing.parse_files(spark.createDataFrame([("p/odd.py", content), ("p/a.py", "import os\n")], "path string, content string"))
+    assert {r["path"] for r in units.collect()} == {"p/odd.py", "p/a.py"}
+    assert {r["path"]: r["raw_imports"] for r in parsed.collect()}["p/a.py"] == ["os"]
+
+
+def test_unwanted_files_are_not_read(spark, tmp_path):
+    (tmp_path / "a.PY").write_text("import os\n")
+    (tmp_path / "large.py").write_text("x" * 300_000)
+    (tmp_path / "large.bin").write_text("x" * 300_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 250_000)  # reading a larger content is an error
+    try:
+        assert [r["path"] for r in repository.load_directory(spark, str(tmp_path)).collect()] == ["a.PY"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_turns_are_appended_with_their_sources(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q", None)], "question_id long, turn long, role string, text string, sources array<string>")
+    new = spark.createDataFrame([(1, 0, "assistant", "a", ["x :: f"]), (2, 0, "user", "r", None), (1, 1, "user", "s", None)], "question_id long, place int, role string, text string, sources array<string>")
+    rows = sorted(tuple(r) for r in retrieval.appended_turns(turns, new).collect())
+    assert rows == [(1, 0, "user", "q", []), (1, 1, "assistant", "a", ["x :: f"]), (1, 2, "user", "s", []), (2, 0, "user", "r", [])]
+
+
+def test_comments_before_declarations():
+    cases = {"/* a */ f": "a", "/** A.\n * b\n */\nf": "A.\nb", "x\n// a\n# b\nf": "a\nb", "/* a */ x /* b */f": "a */ x /* b", "x;\nf": "", "/*/f": ""}
+    assert {k: parsing.comment_before(k, len(k) - 1) for k in cases} == cases
 
 
 def test_vectors_must_fit(spark, index):

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -16,7 +17,7 @@ def one(spark, column, *values):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(st.characters(blacklist_categories=("Cs",), blacklist_characters="\x00İς"), max_size=30), min_size=1, max_size=40))
 def test_words_and_strip_are_those_of_python(spark, texts):
-    plain = [t for t in texts if all(c.isascii() or c.isalpha() for c in t)] or ["a_b 1"]
+    plain = [t for t in texts if all(c.isascii() or c.isalpha() and unicodedata.ucd_3_2_0.category(c) != "Cn" for c in t)] or ["a_b 1"]
     assert one(spark, text.strip, *texts) == [t.strip() for t in texts]
     assert one(spark, text.words, *plain) == [re.findall(r"\w+", t.lower()) for t in plain]
 

@@ -144,6 +144,12 @@ def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return h
 
 
+def short_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of the first ``size`` (under 8) bytes, given as little-endian integers."""
+    h = mix(np.array([size], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return mix((h ^ (values & np.uint64((1 << (8 * size)) - 1))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+
 def word_spans(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text, and for each text the index of its first word."""
     if not data:

@@ -9,9 +9,11 @@
    which terms are dense from a long one with a chance hit, and a copy has cosine 1.
 4. Every labelled row with a word is indexed: postings of a term lie in blocks, each with its largest weight. A
    query walks its terms in order of their upper bounds and, once the rest cannot lift an
-   example over the k-th best, skips the blocks without one that is left, so the k nearest are exact.
+   example over the k-th best, skips the blocks that hold none that is left or whose own largest
+   weight is too small, so the k nearest are exact.
 5. Votes of the k nearest are weighted by distance (``VOTE_FLOOR``), so a copy outvotes chance likeness; a prior
-   of ``PRIOR_VOTES`` at the share of toxic rows pulls thin evidence towards it.
+   of ``PRIOR_VOTES`` at the share of toxic rows pulls thin evidence towards it. A logistic line from the vote's
+   log-odds to the score is fitted over the labelled rows, with a row itself left out of its neighbours and with it.
 
 Defined results: a null or empty text, or one without a word of a labelled row, has no neighbours and scores
 the prior; ties between examples at the k-th place go to the lower number in the index; rows with null
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, joined_bytes, labelled_sample, list_array, mix, slices, span_hashes, word_spans, written
+from .common import forget, joined_bytes, labelled_sample, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
 from .near_dups import shingle_sets
 
 #: Labelled rows that are learned from, at most about so many.
@@ -54,49 +56,122 @@ PRIOR_VOTES = 0.5
 VOTE_FLOOR = 0.02
 
 
+#: Symbols stand for blanks.
+_PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
+
+
+@dataclass
+class Words:
+    """The words of texts, lower-cased and without symbols: each word's text, hash and bytes, and each text's number of words."""
+
+    owner: np.ndarray
+    hashes: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        data, offsets = joined_bytes(pc.utf8_lower(texts.fill_null("")))
+        data = data.translate(_PLAIN)
+        starts, ends, bounds = word_spans(data, offsets)
+        sizes = np.diff(bounds)
+        return cls(np.repeat(np.arange(len(texts)), sizes), span_hashes(data, starts, ends), data, starts, ends, sizes)
+
+    def beginnings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, hash) of the first 4 to 7 bytes of every longer word, a length at a time."""
+        padded = np.frombuffer(self.data + bytes(8), np.uint8)
+        first = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))[self.starts]
+        lengths = self.ends - self.starts
+        for size in PREFIXES:
+            at = np.flatnonzero(lengths > size)
+            yield self.owner[at], mix(short_hashes(first[at], size) + np.uint64(size))
+
+
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash) of every word, without symbols at its ends, and of its first 4 to 7 bytes; and each text's number of words."""
-    data, offsets = joined_bytes(pc.utf8_lower(pc.replace_substring_regex(texts.fill_null(""), r"[!-/:-@\[-`{-~]+", " ")))
-    starts, ends, bounds = word_spans(data, offsets)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    owners, hashes = [owner], [span_hashes(data, starts, ends)]
-    for size in PREFIXES:
-        at = np.flatnonzero(ends - starts > size)
-        owners.append(owner[at])
-        hashes.append(mix(span_hashes(data, starts[at], starts[at] + size) + np.uint64(size)))
-    return np.concatenate(owners), np.concatenate(hashes), np.diff(bounds)
+    """(text, hash) of every word and then of its first bytes; and each text's number of words."""
+    words = Words.of(texts)
+    both = [(words.owner, words.hashes), *words.beginnings()]
+    return np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]), words.sizes
+
+
+def _counted(owner: np.ndarray, values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, value below ``count``) in order, and how often each occurs."""
+    key, times = np.unique(owner * max(count, 1) + values, return_counts=True)
+    return key // max(count, 1), key % max(count, 1), times
 
 
 class Terms:
-    """The known terms: sorted hashes, which of them are ``strong`` (significant), and a bitmap that turns most unknown words away."""
+    """The known terms: sorted hashes and which of them are ``strong`` (significant); a directory of their first bits finds them."""
 
-    BITS = 1 << 21
+    BITS = 20
 
     def __init__(self, hashes: np.ndarray, strong: np.ndarray | None = None):
         self.hashes = np.sort(hashes.view(np.uint64))
         self.strong = np.ones(len(self.hashes), bool) if strong is None else np.isin(self.hashes, strong.view(np.uint64))
-        self.seen = np.zeros(self.BITS, bool)
-        self.seen[(self.hashes & np.uint64(self.BITS - 1)).astype(np.int64)] = True
 
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "strong": self.strong}
+
+    @cached_property
+    def directory(self) -> np.ndarray:
+        top = (self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return np.searchsorted(top, np.arange((1 << self.BITS) + 1)).astype(np.int32)
+
+    @cached_property
+    def strong_bits(self) -> np.ndarray:
+        out = np.zeros(1 << 16, bool)
+        out[(self.hashes[self.strong] & np.uint64(0xFFFF)).astype(np.int64)] = True
+        return out
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 where it isn't known."""
+        out = np.full(len(wanted), -1)
+        if not len(self):
+            return out
+        top = (wanted >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, end = self.directory[top], self.directory[top + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            here = at[live]
+            hit = self.hashes[here] == wanted[live]
+            out[live[hit]] = here[hit]
+            at[live] += 1
+            live = live[~hit & (here + 1 < end[live])]
+        return out
+
+    def known(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The term of each word (-1: unknown), and (text, term) of the significant first bytes."""
+        owners, terms = [], []
+        for owner, hashes in words.beginnings():
+            maybe = np.flatnonzero(self.strong_bits[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+            found = self.find(hashes[maybe])
+            owners.append(owner[maybe[found >= 0]])
+            terms.append(found[found >= 0])
+        return self.find(words.hashes), np.concatenate(owners), np.concatenate(terms)
+
+    def held(self, texts: pa.Array) -> np.ndarray:
+        """The terms that texts hold, one for each text and term."""
+        words = Words.of(texts)
+        at, owner, term = self.known(words)
+        hit = at >= 0
+        return _counted(np.concatenate([words.owner[hit], owner]), np.concatenate([at[hit], term]), len(self))[1]
+
     def in_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, times) of the known terms in texts, by text and term; each text's number of words, and its sum of squared times of unknown words."""
-        owner, words, sizes = _features(texts)
-        whole = int(sizes.sum())  # words come first, then their first bytes
-        at = np.full(len(words), -1)
-        if len(self):
-            maybe = np.flatnonzero(self.seen[(words & np.uint64(self.BITS - 1)).astype(np.int64)])
-            found = np.minimum(np.searchsorted(self.hashes, words[maybe]), len(self) - 1)
-            at[maybe] = np.where(self.hashes[found] == words[maybe], found, -1)
+        words = Words.of(texts)
+        at, owner, term = self.known(words)
         hit = at >= 0
-        key, times = np.unique(owner[hit] * max(len(self), 1) + at[hit], return_counts=True)
-        far = np.flatnonzero(~hit[:whole])
-        order = far[np.lexsort((words[far], owner[far]))]
-        heads = np.flatnonzero(np.concatenate([[True], (words[order[1:]] != words[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])])) if len(order) else order
-        unknown = np.bincount(owner[order[heads]], np.diff(np.append(heads, len(order))).astype(float) ** 2, len(sizes))
-        return key // max(len(self), 1), key % max(len(self), 1), times, sizes, unknown
+        found = _counted(np.concatenate([words.owner[hit], owner]), np.concatenate([at[hit], term]), len(self))
+        far = np.flatnonzero(~hit)
+        own = words.owner[far]
+        _, one, times = np.unique(mix(words.hashes[far] + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+        unknown = np.bincount(own[one], times.astype(float) ** 2, len(words.sizes))
+        return *found, words.sizes, unknown
 
 
 # ---------------------------------------------------------------- learning
@@ -157,8 +232,7 @@ def _document_counts(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
         known = sent.value
         total = np.zeros(len(known), np.int64)
         for part in slices(batches, text):
-            term = known.in_texts(part.column(text))[1]
-            total += np.bincount(term, minlength=len(known))
+            total += np.bincount(known.held(part.column(text)), minlength=len(known))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
@@ -175,6 +249,17 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _range_maxima(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """At least the largest score among the numbers ``first`` to ``last`` of each range: that of the runs of ``BLOCK`` they touch."""
+    table = [np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK))]
+    while (step := 1 << (len(table) - 1)) < len(table[0]):
+        table.append(np.maximum(table[-1], np.append(table[-1][step:], np.full(min(step, len(table[0])), -np.inf))))
+    a, b = first // BLOCK, last // BLOCK
+    level = np.frexp(b - a + 1)[1] - 1
+    every = np.stack(table)
+    return np.maximum(every[level, a], every[level, b - (1 << level) + 1])
+
+
 @dataclass
 class Blocks:
     """Runs of ``BLOCK`` postings of one term each."""
@@ -201,6 +286,8 @@ class Index:
     ids: list
     prior: float
     unknown_idf: float = 1.0
+    #: Slope and height of the fitted line from a vote's log-odds to those of the score.
+    line: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
     def build(cls, terms: Terms, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, prior: float,
@@ -288,19 +375,27 @@ class Index:
         rest = np.append(np.cumsum(reach[::-1])[::-1], 0.0)
         middle = int(np.searchsorted(-rest, -rest[0] / 2))
         for part, left in ((own[:middle], rest[0]), (own[middle:], rest[middle])):
-            lo = lists.starts[term[part]]
-            counts = lists.starts[term[part] + 1] - lo
-            blocks, w = _ranges(lo, counts), np.repeat(weight[part], counts)
             left += 1e-5  # weights are rounded
-            if len(scores) > k and len(blocks) and left < scores.max():
+            lo, hi = self.starts[term[part]], self.starts[term[part] + 1]
+            w = weight[part].astype(np.float32)
+            if len(scores) > k and len(part) and left < scores.max():
                 threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
                 if left < threshold:
-                    up_to = np.concatenate([[0], np.cumsum(scores + left >= threshold)])
-                    keep = up_to[lists.last[blocks] + 1] > up_to[lists.first[blocks]]
+                    # a block is read if one of its examples can still get there with the most that it and all other terms add
+                    first = lists.starts[term[part]]
+                    counts = lists.starts[term[part] + 1] - first
+                    blocks, w = _ranges(first, counts), np.repeat(w, counts)
+                    most = left - (np.repeat(lists.reach[term[part]], counts) - lists.most[blocks]) * w
+                    keep = _range_maxima(scores, lists.first[blocks], lists.last[blocks]) + most >= threshold
                     blocks, w = blocks[keep], w[keep]
-            size = lists.size[blocks]
-            at = _ranges(lists.at[blocks], size)
-            scores += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, size), len(scores))
+                    at = _ranges(lists.at[blocks], lists.size[blocks])
+                    scores += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, lists.size[blocks]), len(scores))
+                    continue
+            if len(lo):
+                runs = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                added = np.concatenate([self.weights[a:b] for a, b in runs])
+                added *= np.repeat(w, hi - lo)
+                scores += np.bincount(np.concatenate([self.examples[a:b] for a, b in runs]), added, len(scores))
         best = np.flatnonzero(scores > 0)
         if len(best) > k:
             floor = np.partition(scores[best], len(best) - k)[len(best) - k]
@@ -308,11 +403,38 @@ class Index:
         best = best[np.lexsort((best, -scores[best]))][:k]
         return best, scores[best]
 
+    def score(self, cosines: np.ndarray, best: np.ndarray) -> float:
+        """The calibrated vote."""
+        a, b = self.line
+        return float(1 / (1 + np.exp(-(a * log_odds(self.vote(cosines, best)) + b))))
+
     def vote(self, cosines: np.ndarray, best: np.ndarray) -> float:
+        """Neighbours' labels, weighted by distance, with the prior."""
         votes = cosines**2 / (np.maximum(1 - cosines, 0) + VOTE_FLOOR)
         return float(((votes * self.labels[best]).sum() + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES))
 
 
+def log_odds(p: np.ndarray | float) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def fitted_line(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and height of the logistic line of labels over the log-odds of votes, by Newton's method; the slope isn't below 0."""
+    x = np.stack([log_odds(votes), np.ones(len(votes))], 1)
+    w = np.array([1.0, 0.0])
+    pull = np.array([1e-2, 1e-2])  # towards the plain vote
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - labels) + pull * (w - [1.0, 0.0])
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(bend, slope)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(w[0]), 0.0), float(w[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Index:
     """The index of labelled examples for which ``usable`` (over ``labels``) is true. Its size is bounded by ``max_labelled``."""
     picked = labelled_sample(labels, label, usable, max_labelled, doc_id)
@@ -364,11 +486,36 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array(at, sizes, pa.int32()), list_array(weights.astype(np.float32), sizes, pa.float32())], ["id", "y", "terms", "weights"])
 
     made = held.mapInArrow(vectors, f"id {id_type}, y int, terms array<int>, weights array<float>").toArrow()
-    sent.destroy()
-    forget(rows)
     flat = lambda c: pa.chunked_array([x.flatten() for x in made.column(c).chunks], made.schema.field(c).type.value_type).to_numpy()
     sizes = pc.list_value_length(made.column("terms")).to_numpy()
-    return Index.of_arrays(terms, idf, flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist(), prior, unknown_idf)
+    index = Index.of_arrays(terms, idf, flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist(), prior, unknown_idf)
+    del made
+    if toxic and clean:
+        index.line = _calibrated(index, held)
+    forget(rows)
+    return index
+
+
+def _calibrated(index: Index, held: DataFrame) -> tuple[float, float]:
+    """The line fitted over the labelled rows: each as a text that isn't known (itself left out) and as a copy of itself."""
+    sent = held.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        number = {x: k for k, x in enumerate(own.ids)}
+        for part in batches:
+            votes, labels = [], []
+            for own_id, y, words, hashes, times in zip(*(part.column(c) for c in ("id", "y", "words", "terms", "times")), strict=True):
+                term = own.terms.find(hashes.values.to_numpy().view(np.uint64))
+                best, cosines = own.nearest(*own.vector(term, times.values.to_numpy().astype(np.float64), words.as_py()), NEIGHBOURS + 1)
+                other = best != number[own_id.as_py()]
+                votes += [own.vote(cosines[other][:NEIGHBOURS], best[other][:NEIGHBOURS]), own.vote(cosines[:NEIGHBOURS], best[:NEIGHBOURS])]
+                labels += [y.as_py()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], ["vote", "y"])
+
+    found = held.mapInArrow(run, "vote double, y int").toArrow()
+    sent.destroy()
+    return fitted_line(found.column("vote").to_numpy(), found.column("y").to_numpy())
 
 
 # ---------------------------------------------------------------- scoring
@@ -396,7 +543,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
                 made = [own.vector(term[a:b], times[a:b].astype(np.float64), int(words[owner[a]]), unknown[owner[a]]) for a, b in few]
                 for (a, _), (t, w), common in zip(few, made, own.common_scores(made), strict=True):
                     best, cosines = own.nearest(t, w, neighbours, common)
-                    scores[owner[a]] = own.vote(cosines, best)
+                    scores[owner[a]] = own.score(cosines, best)
                     shown[owner[a]] = [{"id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for e, c in zip(best.tolist(), cosines.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores), pa.array(shown, kind)], [*names, name, evidence])
 

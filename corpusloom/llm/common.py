@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,23 +20,28 @@ _IS_WORD[list(WHITE)] = False
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a local one in local mode and an error on a cluster.
+
+    The base library has its own helper of this kind, as it must work without this subpackage.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage.
+def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder (in folders by ``parts``) and read it back, which cuts its lineage.
 
     The files go when the driver's file system closes; a lost executor only costs
     the tasks that were running.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -81,6 +88,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches
+def lean(run):
+    """``run`` (batches to batches) that hands unused memory back when its task ends, as workers live on beside later stages."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return held
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -8,9 +8,8 @@ State is two tables in a folder that all machines share:
   the threshold. A filter takes insertions and deletions, so a batch of documents only
   touches the keys that cross the threshold, one way or the other.
 
-A line is dropped if its shard's filter knows it and the exact table confirms it. If the
-confirmed keys fit a stated number of bytes they are broadcast with the filters and
-texts are not shuffled; beyond it, documents that hold flagged keys are joined by id.
+A line is dropped if its shard's filter knows it and the exact table confirms it, at every
+size: keys meet filters first, and only those that a filter passes are shuffled to the exact table.
 
 Defined results: a null or empty text is one empty line and stays empty; every row is a
 document of its own, so repeated rows (and rows that share an id, or have none) count one each; extra
@@ -31,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, joined_bytes, list_array, mix, slices, span_hashes, written
+from .common import WHITE, mix, slices, unused, written
 
 #: Keys of frequent lines that one shard's filter is sized for.
 SHARD_KEYS = 1 << 18
-#: Filters and confirmed keys go to every task if they take no more bytes than this.
+#: Filters go to every task in groups of at most this many bytes (some 14 million keys).
 BROADCAST_BYTES = 32 << 20
 _SLOTS = 4
 _KICKS = 500
@@ -99,10 +98,24 @@ class CuckooFilter:
         return (bucket ^ (mark * 0x5BD1E995)) & (self.buckets - 1)
 
     def insert(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Add keys, one entry each; a full filter doubles the caller's size by raising ``OverflowError``."""
-        marks, firsts, seconds = (x.tolist() for x in self._places(h1, h2))
-        for mark, a, b in zip(marks, firsts, seconds, strict=True):
-            at = a if not self.table[a].all() else b
+        """Add keys, one entry each; a full filter doubles the caller's size by raising ``OverflowError``.
+
+        Keys go to free slots of their first and then their second bucket all at once; only the
+        others push entries on, one after the other.
+        """
+        marks, *places = self._places(h1, h2)
+        left = np.arange(len(marks))
+        for place in places:
+            order = left[np.argsort(place[left], kind="stable")]
+            bucket = place[order]
+            heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+            turn = np.arange(len(bucket)) - np.repeat(heads, np.diff(np.append(heads, len(bucket))))
+            full = self.table[bucket] != 0
+            fits = turn < _SLOTS - full.sum(1)
+            slots = np.argsort(full, axis=1, kind="stable")  # free ones first
+            self.table[bucket[fits], slots[fits, turn[fits]]] = marks[order[fits]]
+            left = order[~fits]
+        for mark, at in zip(marks[left].tolist(), places[1][left].tolist(), strict=True):
             for kick in range(_KICKS):
                 free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
@@ -239,23 +252,23 @@ def _updated(filters: DataFrame, crossed: DataFrame, frequent: DataFrame, shards
 
 # ---------------------------------------------------------------- dropping
 class Probe:
-    """The filters of all shards, and with ``exact`` the confirmed keys, as a task holds them."""
+    """Filters of some shards, and keys that they know wrongly, as a task holds them."""
 
-    def __init__(self, filters: list[tuple[int, int, bytes]], shards: int, exact: np.ndarray | None):
+    def __init__(self, filters: list[tuple[int, int, bytes]], shards: int, wrong: np.ndarray | None = None):
         self.shards = shards
         self.filters = {s: CuckooFilter(b, t) for s, b, t in filters}
-        self.exact = None if exact is None else {bytes(x) for x in exact}
+        self.wrong = set() if wrong is None else {x.tobytes() for x in wrong}
 
     def flags(self, hashes: np.ndarray) -> np.ndarray:
-        """Which keys the filters know and, where they are at hand, the exact keys confirm."""
+        """Which keys the filters know, without those they are known to know wrongly."""
         out = np.zeros(len(hashes), bool)
         shard = (hashes[:, 0] >> 40) % self.shards
         for s, one in self.filters.items():
             at = np.flatnonzero(shard == s)
             out[at] = one.contains(hashes[at, 0], hashes[at, 1])
-        if self.exact is not None:
+        if self.wrong:
             for k in np.flatnonzero(out):
-                out[k] = hashes[k].tobytes() in self.exact
+                out[k] = hashes[k].tobytes() not in self.wrong
         return out
 
 
@@ -283,74 +296,127 @@ def _cleaned(texts: list[bytes], dropped, least: int) -> tuple[list[str], np.nda
     return out, total, gone.astype(np.int64)
 
 
-def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with frequent lines taken out of ``text``, and ``__n_lines``, ``__n_dropped`` (long) besides.
+def _groups(index: LineIndex, most: int) -> list[list[int]]:
+    """Shards in groups whose filters take about ``most`` bytes together (one shard at least)."""
+    out: list[list[int]] = [[]]
+    room = most
+    for r in index.filters.select("shard", "buckets").orderBy("shard").collect():
+        if out[-1] and r["buckets"] * 2 * _SLOTS > room:
+            out.append([])
+            room = most
+        out[-1].append(r["shard"])
+        room -= r["buckets"] * 2 * _SLOTS
+    return out
+
+
+def _sent(index: LineIndex, shards: list[int], wrong: np.ndarray | None = None):
+    """The filters of some shards, broadcast."""
+    rows = index.filters.filter(F.col("shard").isin(*shards)).collect() if shards else []
+    return index.counts.sparkSession.sparkContext.broadcast(([(r["shard"], r["buckets"], bytes(r["table"])) for r in rows], index.shards, wrong))
 
-    Rows keep all other columns. The filters and confirmed keys are broadcast only if they take
-    at most ``broadcast_bytes``; otherwise keys are confirmed by a join and flagged ones
-    come back to their rows by a join on a row number made of the scan's partition.
+
+def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES,
+               n_lines: str = "__n_lines", n_dropped: str = "__n_dropped") -> DataFrame:
+    """``df`` with frequent lines taken out of ``text``, and ``n_lines``, ``n_dropped`` (long) besides.
+
+    Rows keep all other columns; columns of the two names are replaced. The filters decide which keys may go and
+    the exact table confirms those keys alone: nothing else of a document's lines is shuffled. Filters
+    are sent in groups of at most ``broadcast_bytes``. If there is one group, documents are probed as they are read,
+    and a second scan drops lines by the filters and the few keys that they know wrongly. If there are more, keys are written once, dealt
+    by group, each group's keys meet its filters only, and confirmed keys come back to their rows by a number.
     """
-    spark = df.sparkSession
-    size = index.filters.agg(F.coalesce(F.sum(F.col("buckets") * 8 + F.col("entries") * 100), F.lit(0))).first()[0]
-    least = index.min_chars
-    schema = T.StructType([*df.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    names = df.columns
+    least, kept = index.min_chars, [f for f in df.schema.fields if f.name not in (n_lines, n_dropped)]
+    schema = T.StructType([*kept, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
+    names = [f.name for f in kept]
+    groups = _groups(index, broadcast_bytes)
+    confirmed = index.frequent()
 
     def rebuilt(part: pa.RecordBatch, dropped) -> pa.RecordBatch:
         texts, total, gone = _cleaned(part.column(text).fill_null("").cast(pa.binary()).to_pylist(), dropped, least)
         columns = [pa.array(texts, pa.string()) if n == text else part.column(n) for n in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(gone)], [*names, "__n_lines", "__n_dropped"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(gone)], [*names, n_lines, n_dropped])
 
-    if size <= broadcast_bytes:
-        exact = np.array(index.frequent().toArrow().to_pandas().to_numpy(), np.int64).reshape(-1, 2)
-        shared = spark.sparkContext.broadcast(([(r["shard"], r["buckets"], bytes(r["table"])) for r in index.filters.collect()], index.shards, exact))
+    if len(groups) == 1:
+        probing = _sent(index, groups[0])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(*shared.value)
+        def flagged_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probe = Probe(*probing.value)
             for part in slices(batches, text):
-                yield rebuilt(part, lambda hashes, _: probe.flags(hashes))
+                hashes, _ = _distinct_keys(part.column(text).fill_null("").cast(pa.binary()).to_pylist(), least)
+                hashes = np.unique(hashes[probe.flags(hashes)], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], ["h1", "h2"])
+
+        flagged = df.select(text).mapInArrow(flagged_keys, "h1 long, h2 long").distinct()
+        wrong = written(flagged.join(confirmed, ["h1", "h2"], "left_anti"), "line-wrong")
+        if wrong.count() * 100 <= broadcast_bytes:
+            shared = _sent(index, groups[0], np.array(wrong.toArrow().to_pandas().to_numpy(), np.int64).reshape(-1, 2))
 
-        return df.mapInArrow(run, schema)
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                probe = Probe(*shared.value)
+                for part in slices(batches, text):
+                    yield rebuilt(part, lambda hashes, _: probe.flags(hashes))
 
-    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
+            return df.select(*names).mapInArrow(run, schema)
+
+    row, own_keys, group = unused(df.columns, "row", "keys", "shard_group")
+    rows = written(df.select(*names).withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    group_of = np.zeros(index.shards, np.int32)
+    for k, shards in enumerate(groups):
+        group_of[shards] = k
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             hashes, counts = _distinct_keys(part.column(text).fill_null("").cast(pa.binary()).to_pylist(), least)
+            held = group_of[(hashes[:, 0] >> 40) % index_shards]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("__row").to_numpy(), counts)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], ["__row", "h1", "h2"])
+                [pa.array(np.repeat(part.column(row).to_numpy(), counts)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(held)], [row, "h1", "h2", group])
 
-    flagged = (
-        rows.select("__row", text).mapInArrow(keys, "__row long, h1 long, h2 long")
-        .join(index.frequent(), ["h1", "h2"], "left_semi")
-        .groupBy("__row").agg(F.collect_list(F.struct("h1", "h2")).alias("__keys"))
-    )
+    index_shards = index.shards
+    dealt = written(rows.select(row, text).mapInArrow(keys, f"{row} long, h1 long, h2 long, {group} int"), "line-keys", group)
+    flagged = None
+    for k, shards in enumerate(groups):
+        found = dealt.filter(F.col(group) == k).select(row, "h1", "h2").mapInArrow(_probing(_sent(index, shards)), f"{row} long, h1 long, h2 long")
+        flagged = found if flagged is None else flagged.unionByName(found)
+    flagged = flagged.join(confirmed, ["h1", "h2"], "left_semi").groupBy(row).agg(F.collect_list(F.struct("h1", "h2")).alias(own_keys))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            known = [None if x is None else {np.array([y["h1"], y["h2"]], "<i8").tobytes() for y in x} for x in part.column("__keys").to_pylist()]
+            known = [None if x is None else {np.array([y["h1"], y["h2"]], "<i8").tobytes() for y in x} for x in part.column(own_keys).to_pylist()]
             yield rebuilt(part, lambda hashes, owners: np.fromiter(
                 (bool(known[o]) and h.tobytes() in known[o] for h, o in zip(hashes, owners, strict=True)), bool, len(hashes)))
 
-    return rows.join(flagged, "__row", "left").drop("__row").mapInArrow(drop, schema)
+    return rows.join(flagged, row, "left").drop(row).mapInArrow(drop, schema)
+
+
+def _probing(sent):
+    """Of rows with keys (h1, h2) those that the filters of ``sent`` know."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = Probe(*sent.value)
+        for part in batches:
+            yield part.filter(pa.array(probe.flags(np.stack([part.column(c).to_numpy() for c in ("h1", "h2")], 1))))
+
+    return run
 
 
-def keep_first_of_long(df: DataFrame, more_than: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` where a line of more than ``more_than`` words that several rows hold stays only where it is first, and ``__n_dropped`` (long).
+def keep_first_of_long(df: DataFrame, more_than: int = 50, doc_id: str = "doc_id", text: str = "text", n_dropped: str = "__n_dropped") -> DataFrame:
+    """``df`` where a line of more than ``more_than`` words that several rows hold stays only where it is first, and ``n_dropped`` (long).
 
     First is the smallest id (rows without one come last) and place. Lines are compared by
     their keys; texts are only joined with the places of the lines they lose.
     """
     white = r"[\x20\x09-\x0D]+"
-    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "long-rows")
-    lines = rows.select("__row", F.col(doc_id).alias("__id"), F.posexplode(F.split(text, "\n", -1)).alias("__at", "__line"))
-    key = F.translate(F.regexp_replace("__line", f"^{white}|{white}$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = lines.withColumn("__line", key).filter(F.size(F.split("__line", white)) > more_than)
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__at").alias("at"))
-    lines = written(lines.select(F.sha2("__line", 256).alias("__key"), place.alias("__place")), "long-lines")
-    first = lines.groupBy("__key").agg(F.min("__place").alias("__first"), F.min("__place.row").alias("lo"), F.max("__place.row").alias("hi")).filter("lo <> hi")
-    gone = lines.join(first, "__key").filter("NOT __place <=> __first").groupBy(F.col("__place.row").alias("__row")).agg(F.collect_set("__place.at").alias("__gone"))
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, at: ~F.array_contains("__gone", at)), "\n")
-    out = rows.join(gone, "__row", "left").withColumn("__n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn(text, F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text)))
-    return out.select(*df.columns, F.greatest("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"))
+    number, gone_at = unused([*df.columns, n_dropped], "row", "gone")
+    kept = [c for c in df.columns if c != n_dropped]
+    rows = written(df.select(*kept).withColumn(number, F.monotonically_increasing_id()), "long-rows")
+    lines = rows.select(F.col(number).alias("row"), F.col(doc_id).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    key = F.translate(F.regexp_replace("line", f"^{white}|{white}$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = lines.withColumn("line", key).filter(F.size(F.split("line", white)) > more_than)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
+    lines = written(lines.select(F.sha2("line", 256).alias("key"), place.alias("place")), "long-lines")
+    first = lines.groupBy("key").agg(F.min("place").alias("first"), F.min("place.row").alias("lo"), F.max("place.row").alias("hi")).filter("lo <> hi")
+    gone = lines.join(first, "key").filter("NOT place <=> first").groupBy(F.col("place.row").alias(number)).agg(F.collect_set("place.at").alias(gone_at))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, at: ~F.array_contains(gone_at, at)), "\n")
+    out = rows.join(gone, number, "left").withColumn(n_dropped, F.greatest(F.coalesce(F.size(gone_at), F.lit(0)), F.lit(0)).cast("long"))
+    out = out.withColumn(text, F.when(F.col(gone_at).isNotNull(), left).otherwise(F.col(text)))
+    return out.select(*kept, n_dropped)

@@ -14,7 +14,7 @@
 Items are taken in blocks of ``ITEM_BLOCK``, which bounds what is broadcast.
 
 Defined results: words are compared without symbols and case; items of fewer than ``LEAST_WORDS``
-words, or without id or text, are not searched; null and empty texts and those without a known
+words, or without id or text, are not searched (so few words occur in clean texts by chance); null and empty texts and those without a known
 word match nothing; rows without an id are never reported; rows that share an id report once per item;
 extra columns don't matter; empty tables give an empty result. Texts are never cut.
 """
@@ -31,11 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, list_array, sized, slices, span_hashes, word_spans, written
+from .common import joined_bytes, lean, list_array, sized, slices, span_hashes, unused, word_spans, written
 
 STEP, PASSAGE = 8, 32
 RANK, OVERSAMPLE = 56, 8
 COSINE = 0.62
+#: A word of every passage still weighs this much: else passages that are all alike would have no vector.
+LEAST_IDF = 0.05
+#: Cosines of items and windows that a task holds at once.
+COSINES = 1 << 21
 ITEM_BLOCK = 2_000
 LEAST_WORDS = 6
 #: A candidate is a leak at this share of the item in order, or at the lower one with this share of its answer.
@@ -114,7 +118,7 @@ def known_words(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFr
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n", "places", "terms"]).filter(pa.array(sizes > 0))
 
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, "doc_id long, n long, places array<int>, terms array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, places array<int>, terms array<int>")
 
 
 def _ragged(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +146,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
 def _sums(rows: DataFrame, run, width: int) -> np.ndarray | None:
     """Sums of the vectors that tasks give per number; tasks pre-sum, the rest is a grouped sum."""
     columns = [f"v{k}" for k in range(width)]
-    found = rows.mapInArrow(run, "at int, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    found = rows.mapInArrow(lean(run), "at int, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     return found.column("at").to_numpy(), np.stack([found.column(c).to_numpy() for c in columns], 1) if width else None
 
 
@@ -173,7 +177,7 @@ def inverse_frequencies(rows: DataFrame, terms: int) -> np.ndarray:
     at, found = _sums(rows, run, 1)
     out = np.zeros(terms + 1)
     out[at] = found[:, 0]
-    return np.log((1 + out[terms]) / (1 + out[:terms]))
+    return np.maximum(np.log((1 + out[terms]) / (1 + out[:terms])), LEAST_IDF)
 
 
 def principal_directions(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
@@ -258,7 +262,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         "doc_id", "item_id", "m.cosine", "m.item_share", "m.answer_share", (-F.col("m.at")).alias("first_word"), "m.n_words")
 
 
-def _shared(term: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, counts: np.ndarray, least: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def item_counts(words: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers ``item * vocabulary + word`` of the words of items, and how often the item has each."""
+    key = np.concatenate([k * vocabulary + w for k, w in enumerate(words)]) if words else np.zeros(0, np.int64)
+    return np.unique(key, return_counts=True)
+
+
+def _shared(term: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, held_by: tuple[np.ndarray, np.ndarray], vocabulary: int, least: np.ndarray, most: int = 1 << 20) -> np.ndarray:
     """Which candidates (known words ``begin`` to ``end``, item) share ``least`` words of the item, repeats counted as often as both have them."""
     kept: list[np.ndarray] = []
     sizes = end - begin
@@ -269,12 +279,14 @@ def _shared(term: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarr
         n = sizes[at:stop]
         who = np.repeat(np.arange(at, stop), n)
         words = term[np.repeat(begin[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        held = counts[item[who], words] > 0
+        keys, counts = held_by
+        wanted = item[who] * vocabulary + words
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        held = keys[place] == wanted
         rough = np.bincount(who[held] - at, minlength=stop - at) >= least[item[at:stop]]
         held &= rough[who - at]
-        pair, times = np.unique(who[held] * counts.shape[1] + words[held], return_counts=True)
-        owner, word = pair // counts.shape[1], pair % counts.shape[1]
-        shared = np.bincount(owner - at, np.minimum(times, counts[item[owner], word]), stop - at)
+        pair, first, times = np.unique(who[held] * vocabulary + words[held], return_index=True, return_counts=True)
+        shared = np.bincount(pair // vocabulary - at, np.minimum(times, counts[place[held][first]]), stop - at)
         kept.append(at + np.flatnonzero(shared >= least[item[at:stop]]))
         at = stop
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
@@ -294,10 +306,7 @@ def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
         vectors = vectors.astype(np.float32)
         least = (cosine * np.sqrt(sizes / (length * STEP))).astype(np.float32)
-        counts = np.zeros((len(own.words), len(own.vocabulary)), np.uint8)
-        for j, w in enumerate(own.words):
-            at, times = np.unique(w, return_counts=True)
-            counts[j, at] = np.minimum(times, 255)
+        counts = item_counts(own.words, len(own.vocabulary))
         for part in _pieces(batches):
             term, cell, first, _ = _ragged(part, STEP)
             heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -322,30 +331,33 @@ def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float
                 norm[:whole][begin[:whole] + n > row_end[begin[:whole]]] = np.inf  # reaches into the next document
                 these = np.flatnonzero(length == n)
                 window /= norm
-                likeness = vectors[these] @ window
-                which, at = np.nonzero(likeness >= least[these][:, None])
-                score = likeness[which, at]
-                which, begin, end = these[which], begin[at], end[at]
-                keep = _shared(term, starts[begin], starts[end], which, counts, PART * sizes)
-                for j, a, b, c in zip(which[keep].tolist(), begin[keep].tolist(), end[keep].tolist(), score[keep].tolist(), strict=True):
-                    wanted, words = own.words[j].tolist(), term[starts[a] : starts[b]].tolist()
-                    share = common_subsequence(wanted, words) / len(wanted)
-                    if share < PART:
-                        continue
-                    tail = wanted[-own.answers[j] :]
-                    answer = common_subsequence(tail, words) / len(tail)
-                    if share >= WHOLE or answer >= ANSWER:
-                        row = int(row_of[a])
-                        out.append((int(ids[row]), own.ids[j], c, share, answer, (a - int(first[row])) * STEP, (b - a) * STEP))
+                step = max(1, COSINES // max(len(these), 1))
+                for lo in range(0, len(begin), step):  # windows in blocks: a bounded part of items times windows at once
+                    likeness = vectors[these] @ window[:, lo : lo + step]
+                    which, at = np.nonzero(likeness >= least[these][:, None])
+                    score = likeness[which, at]
+                    which, at = these[which], at + lo
+                    keep = _shared(term, starts[begin[at]], starts[end[at]], which, counts, len(own.vocabulary), PART * sizes)
+                    for j, a, b, c in zip(which[keep].tolist(), begin[at[keep]].tolist(), end[at[keep]].tolist(), score[keep].tolist(), strict=True):
+                        wanted, words = own.words[j].tolist(), term[starts[a] : starts[b]].tolist()
+                        share = common_subsequence(wanted, words) / len(wanted)
+                        if share < PART:
+                            continue
+                        tail = wanted[-own.answers[j] :]
+                        answer = common_subsequence(tail, words) / len(tail)
+                        if share >= WHOLE or answer >= ANSWER:
+                            row = int(row_of[a])
+                            out.append((int(ids[row]), own.ids[j], c, share, answer, (a - int(first[row])) * STEP, (b - a) * STEP))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word", "n_words"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, cosine double, item_share double, answer_share double, first_word long, n_words long")
+    return rows.mapInArrow(lean(run), "doc_id long, item_id long, cosine double, item_share double, answer_share double, first_word long, n_words long")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a confirmed leak, with all their columns."""
-    leaks = sized(find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col(doc_id).cast("long") == F.col("__leak"), "left_anti")
+    own, = unused(docs.columns, "leak")
+    leaks = sized(find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(own)).distinct(), "leaks")
+    return docs.join(leaks, F.col(doc_id).cast("long") == F.col(own), "left_anti")

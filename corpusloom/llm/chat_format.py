@@ -49,16 +49,19 @@ BLOCK_TURNS = 64
 BLOCK_CHARS = 1 << 20
 
 _ESCAPE = re.compile("|".join(map(re.escape, (MARK, *CONTROL))))
+_FIRST = {x[0] for x in (MARK, *CONTROL)}
 _UNESCAPE = re.compile(f"{MARK}(0|1)")
 
 
 def escape(text: str) -> str:
     """The text without control strings; ``unescape`` gives it back."""
+    if not any(c in text for c in _FIRST):
+        return text
     return _ESCAPE.sub(lambda m: MARK + "0" if m[0] == MARK else m[0][0] + MARK + "1" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(lambda m: MARK if m[1] == "0" else "", text)
+    return text if MARK not in text else _UNESCAPE.sub(lambda m: MARK if m[1] == "0" else "", text)
 
 
 class Assembler:
@@ -71,6 +74,13 @@ class Assembler:
         first = max(ranks.values()) + 1
         self.reserved = {s: first + k for k, s in enumerate(TEMPLATE)}
         self.open, self.role, self.text, self.close = self.reserved.values()
+        # the bytes of each id, end to end; reserved ids have none
+        blobs = [b""] * (first + len(TEMPLATE))
+        for blob, i in ranks.items():
+            blobs[i] = blob
+        self.byte_lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
+        self.bytes = np.frombuffer(b"".join(blobs), np.uint8)
 
     def block(self, roles: list[str], texts: list[str], trained: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of turns, and the loss mask: one on the text of turns whose role is ``trained``."""
@@ -92,20 +102,28 @@ class Assembler:
         np.add.at(edges, (text_begins + sizes[:, 1])[learned], -1)
         return ids, np.cumsum(edges[:-1]).astype(np.int8)
 
+    def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids in one string, and where each id's begin and the last one's end."""
+        lengths = self.byte_lengths[ids]
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        return self.bytes[np.arange(ends[-1]) + np.repeat(self.byte_starts[ids] - ends[:-1], lengths)].tobytes(), ends
+
     def turns(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, bool, int]]:
         """(role, text, under the mask, formatted characters) of each turn, read back from ids."""
-        begins = np.flatnonzero(ids == self.open)
-        for a, b in zip(begins, [*begins[1:], len(ids)], strict=True):
-            own = ids[a:b]
-            cut = int(np.flatnonzero(own == self.text)[0])
-            if own[1] != self.role or own[-1] != self.close:
-                raise ValueError("a turn isn't framed by reserved ids")
-            covered = mask[a:b]
-            inside = covered[cut + 1 : -1]
-            if covered[: cut + 1].any() or covered[-1] or (len(inside) and inside.min() != inside.max()):
-                raise ValueError("a mask doesn't end at a part's borders")
-            role, text = (self.encoding.decode_bytes(x.tolist()).decode() for x in (own[2:cut], own[cut + 1 : -1]))
-            yield unescape(role), unescape(text), bool(len(inside) and inside[0]), len(role) + len(text) + sum(map(len, TEMPLATE))
+        begins, cuts = np.flatnonzero(ids == self.open), np.flatnonzero(ids == self.text)
+        ends = np.append(begins[1:], len(ids)) - 1
+        if len(cuts) != len(begins) or (cuts <= begins).any() or (cuts >= ends).any() or (ids[begins + 1] != self.role).any() or (ids[ends] != self.close).any():
+            raise ValueError("a turn isn't framed by reserved ids")
+        covered = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        inside, around = covered[ends] - covered[cuts + 1], covered[ends + 1] - covered[begins]
+        if (around != inside).any() or ((inside != 0) & (inside != ends - cuts - 1)).any():
+            raise ValueError("a mask doesn't end at a part's borders")
+        data, at = self.decoded(ids)
+        frame = sum(map(len, TEMPLATE))
+        for a, b, c, d, under in zip(at[begins + 2].tolist(), at[cuts].tolist(), at[cuts + 1].tolist(), at[ends].tolist(), (inside > 0).tolist(), strict=True):
+            role, text = data[a:b].decode(), data[c:d].decode()
+            yield unescape(role), unescape(text), under, len(role) + len(text) + frame
 
     def formatted(self, ids: np.ndarray) -> str:
         """The formatted text of ids."""
@@ -125,7 +143,7 @@ def _assembler(ranks_path: str, pattern: str) -> Assembler:
     return Assembler(ranks_path, pattern)
 
 
-def format_turns(turns: DataFrame, ranks_path: str, pattern: str, trained: str = "assistant",
+def format_turns(turns: DataFrame, ranks_path: str, pattern: str, trained: str = "assistant", block_turns: int = BLOCK_TURNS, block_chars: int = BLOCK_CHARS,
                  conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, block (orders a conversation's blocks), n_turns, token_ids and loss_mask of every block.
 
@@ -155,7 +173,7 @@ def format_turns(turns: DataFrame, ranks_path: str, pattern: str, trained: str =
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if held and (held[0][0] != row[0] or len(held) >= BLOCK_TURNS or chars >= BLOCK_CHARS):
+                if held and (held[0][0] != row[0] or len(held) >= block_turns or chars >= block_chars):
                     yield close()
                 held.append(row)
                 chars += len(row[2])
@@ -185,7 +203,8 @@ def read_turns(blocks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def conversation_digests(blocks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per conversation: turns, characters and digests of what its blocks hold, read in order.
 
-    Blocks of a conversation stream through one task in sorted order; a turn at a time is held.
+    A digest is sequential, the one reason why a conversation's blocks meet in one task; they stream through
+    it in sorted order, and a block at a time is held.
     """
     dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

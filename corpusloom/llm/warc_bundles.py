@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, slices
+from .common import slices, written
 
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES = 1 << 20
@@ -37,7 +37,7 @@ BUNDLE_BYTES = 8 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
-#: Holders of repeated payloads are broadcast up to this number (about 100 bytes each); beyond it payloads are shuffled by digest.
+#: Holders of repeated payloads are broadcast up to this number (about 100 bytes each); beyond it ids are joined first.
 BROADCAST_HOLDERS = 300_000
 _CRLF = b"\r\n"
 
@@ -176,17 +176,22 @@ def with_roles(pages: DataFrame, record_id: str = "page_id", url: str = "url", p
     """record_id, url, payload, size, digest and refers_to (null for a response) of every row with an id.
 
     Payloads of fewer than ``least`` bytes are all responses. The holders of repeated
-    payloads are found from digests alone, pre-aggregated before the shuffle.
+    payloads are found from digests (SHA-256 and size) alone, pre-aggregated before the shuffle.
     """
     held = pages.filter(F.col(record_id).isNotNull()).select(
         F.col(record_id).cast("long").alias("record_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    held = held.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1(F.encode("payload", "UTF-8")).alias("sha1"))
+    held = held.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha2(F.encode("payload", "UTF-8"), 256).alias("mark"))
     holders = (
-        held.filter(F.col("size") >= least).groupBy("sha1", "size")
+        held.filter(F.col("size") >= least).groupBy("mark", "size")
         .agg(F.max("record_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    holders = sized(holders, "warc-holders", BROADCAST_HOLDERS)
-    return held.join(holders, ["sha1", "size"], "left").select(
+    holders = written(holders, "warc-holders")
+    if holders.count() <= BROADCAST_HOLDERS:
+        joined = held.join(F.broadcast(holders), ["mark", "size"], "left")
+    else:  # only ids and digests meet a common payload's group; payloads are joined by their own row's id
+        own = held.select("record_id", "mark", "size").join(holders, ["mark", "size"]).distinct()
+        joined = held.join(own, ["record_id", "mark", "size"], "left")
+    return joined.select(
         "record_id", "url", "payload", "size", F.when(F.col("holder") != F.col("record_id"), F.col("holder")).alias("refers_to"))
 
 
@@ -219,6 +224,31 @@ def record_index(bundles: DataFrame) -> DataFrame:
     return bundles.select("bundle_id", F.inline("entries"))
 
 
+def read_record(bundle: bytes, entry: dict) -> dict:
+    """The record of one index entry (frame, frame_offset, length); only its frame is decompressed."""
+    plain = read_frame(bundle, read_seek_table(bundle)[entry["frame"]])
+    return parse_record(plain[entry["frame_offset"] : entry["frame_offset"] + entry["length"]])
+
+
+def fetch_records(bundles: DataFrame, record_ids: list[int]) -> DataFrame:
+    """record_id, record_type, url and payload of the records of some ids: one frame is read for each.
+
+    A bundle is one Parquet row: rows without such an id are left out before their bytes reach Python. To export a bundle
+    for other WARC tools, write its bytes as ``<bundle_id>.warc.zst``; they skip the footer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = [read_record(row["bundle"], x) for x in row["wanted"]]
+                yield pa.RecordBatch.from_pylist([{k: x[k] for k in ("record_id", "record_type", "url", "payload")} for x in found], pa.schema([
+                    ("record_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload", pa.binary())]))
+
+    wanted = F.filter("entries", lambda x: x["record_id"].isin(*record_ids))
+    held = bundles.select("bundle", wanted.alias("wanted")).filter(F.size("wanted") > 0)
+    return held.mapInArrow(run, "record_id long, record_type string, url string, payload binary")
+
+
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record, found through its bundle's seek table and index and checked against its digest."""
 

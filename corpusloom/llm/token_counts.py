@@ -2,8 +2,9 @@
 
 Texts are cut into pre-tokens; the distinct unseen ones of a batch become one
 ragged array of symbols. In every round each sequence finds its pair of lowest
-rank, and all sequences merge theirs at once; what survives is counted. Counts of
-seen chunks are kept per worker in a bounded memo.
+rank, and all sequences merge theirs at once; what survives is counted. Long pre-tokens merge rank by
+rank in the same way, but look only at places that change. Counts of
+seen chunks are kept by a task in a bounded memo.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows with null or
 repeated ids are counted like any other; extra columns are ignored; an empty table
@@ -23,14 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Codes, slices
+from .common import Codes, lean, slices
 
 #: Fixed value: the pre-token pattern of the public 50k byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A memo is emptied when it holds so many chunks.
-MEMO_ENTRIES = 250_000
-#: Longer pre-tokens are merged one pair at a time from a heap, in n log n.
-LONG_SYMBOLS = 4096
+#: A memo is emptied when it holds so many chunks, or so many characters.
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 16 << 20
+#: Of longer pre-tokens only the places that change are looked at again, which keeps their cost near n log n.
+LONG_SYMBOLS = 1024
 _NONE = np.int64(1 << 40)
 
 
@@ -41,6 +42,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def pre_token_pattern(model: dict) -> str:
+    """The pre-token pattern that a tokenizer file states; an error if it cuts texts in a way that isn't built here."""
+    cut = model.get("pre_tokenizer") or {}
+    if model.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError("only byte-level files without a normalizer or a blank put first are counted")
+    return PRE_TOKEN
+
+
 class PairTable:
     """Merge rules as a sorted key array: (left, right) to rank and to the merged id."""
 
@@ -58,8 +67,8 @@ class PairTable:
         into = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.into = keys[order], order.astype(np.int64), into[order]
-        self.by_pair = {int(k): (int(r), int(i)) for k, r, i in zip(self.keys, self.ranks, self.into, strict=True)}
         self.specials = [t["content"] for t in model.get("added_tokens", [])]
+        self.pattern = pre_token_pattern(model)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (``_NONE`` where there is no rule) and merged ids of pairs."""
@@ -107,40 +116,73 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> np.
     return out
 
 
-def merge_long(ids: list[int], pairs: PairTable) -> int:
-    """The count for one long sequence: a heap of pairs over a linked list."""
-    n = len(ids)
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    rule = lambda i: pairs.by_pair.get(ids[i] * pairs.size + ids[after[i]]) if after[i] >= 0 else None
-    heap = [(r[0], i, ids[i], ids[after[i]], r[1]) for i in range(n - 1) if (r := rule(i))]
-    heapq.heapify(heap)
-    count = n
-    while heap:
-        _, i, a, b, made = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j < 0 or ids[j] != b:
+def merge_ranked(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """What ``merge_all`` gives, where only pairs that can merge are touched again: for sequences of many symbols.
+
+    Sequences merge together rank by rank, as their pairs don't meet; all places of a rank merge at once, and only
+    their neighbours are looked up anew. Arrays link each symbol to the one before and after it.
+    """
+    n = len(symbols)
+    ids, owner = symbols.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.cumsum(lengths)[lengths > 0]
+    after[ends - 1] = -1
+    before[(ends - lengths[lengths > 0])] = -1
+    ranks, into = np.full(n, _NONE), np.zeros(n, np.int64)
+    waiting: dict[int, list[np.ndarray]] = {}
+    order: list[int] = []
+
+    def offer(at: np.ndarray) -> None:
+        last = after[at] < 0
+        ranks[at[last]] = _NONE
+        at = at[~last]
+        ranks[at], into[at] = pairs.find(ids[at], ids[after[at]])
+        at = at[ranks[at] != _NONE]
+        if not len(at):
+            return
+        at = at[np.argsort(ranks[at], kind="stable")]
+        heads = np.flatnonzero(np.diff(ranks[at], prepend=-1))
+        for rank, own in zip(ranks[at[heads]].tolist(), np.split(at, heads[1:]), strict=True):
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(order, rank)
+            waiting[rank].append(own)
+
+    if n:
+        offer(np.arange(n))
+    counts = lengths.astype(np.int64).copy()
+    while order:
+        rank = heapq.heappop(order)
+        at = np.unique(np.concatenate(waiting.pop(rank)))
+        at = at[ranks[at] == rank]
+        if not len(at):
             continue
-        ids[i], ids[j], count = made, -1, count - 1
-        after[i] = after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and ids[k] >= 0 and (r := rule(k)):
-                heapq.heappush(heap, (r[0], k, ids[k], ids[after[k]], r[1]))
-    return count
+        # in a run of one symbol every second pair merges, from the left
+        place = np.arange(len(at))
+        first = np.concatenate([[True], after[at[:-1]] != at[1:]])
+        left = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+        right = after[left]
+        ids[left], ranks[right] = into[left], _NONE
+        after[left] = after[right]
+        next_ones = after[left]
+        before[next_ones[next_ones >= 0]] = left[next_ones >= 0]
+        counts -= np.bincount(owner[right], minlength=len(counts))
+        near = before[left]
+        offer(np.unique(np.concatenate([left, near[near >= 0]])))
+    return counts
 
 
 class Counter:
     """Counts tokens of batches of texts for one vocabulary file."""
 
     def __init__(self, path: str):
-        self.pairs = PairTable(path)
-        self.pattern = regex.compile(PRE_TOKEN)
+        self.pairs = _pairs(path)
+        self.pattern = regex.compile(self.pairs.pattern)
         self.special = re.compile("|".join(map(re.escape, sorted(self.pairs.specials, key=len, reverse=True)))) if self.pairs.specials else None
         # a blank between two characters that are surely not white space starts a pre-token
         self.cut = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
         self.rare = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-        self.memo = Codes()
+        self.memo, self.chars = Codes(), 0
         self.totals = np.zeros(1 << 12, np.int32)
 
     def chunks(self, text: str) -> list[str]:
@@ -168,13 +210,11 @@ class Counter:
         """Symbols that survive in each pre-token."""
         lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
         counts = np.zeros(len(blobs), np.int64)
-        long = np.flatnonzero(lengths > LONG_SYMBOLS)
-        for k in long:
-            counts[k] = merge_long(self.pairs.byte_ids[np.frombuffer(blobs[k], np.uint8)].tolist(), self.pairs)
-            blobs[k] = b""
-        lengths[long] = 0
-        symbols = self.pairs.byte_ids[np.frombuffer(b"".join(blobs), np.uint8)]
-        return counts + merge_all(symbols, lengths, self.pairs)
+        for merge, own in ((merge_all, np.flatnonzero(lengths <= LONG_SYMBOLS)), (merge_ranked, np.flatnonzero(lengths > LONG_SYMBOLS))):
+            if len(own):
+                symbols = self.pairs.byte_ids[np.frombuffer(b"".join([blobs[k] for k in own.tolist()]), np.uint8)]
+                counts[own] = merge(symbols, lengths[own], self.pairs)
+        return counts
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; strings of special tokens count as one."""
@@ -190,11 +230,12 @@ class Counter:
                     own[0] = (own[0],)  # no blank before it
                     words += own
             ends[k] = len(words)
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = Codes()
+        if len(self.memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
+            self.memo, self.chars = Codes(), 0
         known = len(self.memo)
         codes = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if new := self.memo.take_new():
+            self.chars += sum(len(x[0]) if isinstance(x, tuple) else len(x) for x in new)
             self.learn(new, known)
         sums = np.zeros(len(words) + 1, np.int64)
         np.cumsum(self.totals[codes], out=sums[1:])
@@ -202,8 +243,9 @@ class Counter:
 
 
 @lru_cache(2)
-def _counter(path: str) -> Counter:
-    return Counter(path)
+def _pairs(path: str) -> PairTable:
+    """All that a worker keeps beyond a task: the vocabulary. The memo is a task's own."""
+    return PairTable(path)
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: str = "doc_id", limit: int = 512) -> DataFrame:
@@ -214,7 +256,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = Counter(tokenizer)
         for part in slices(batches, text):
             texts = [x or "" for x in part.column(text).to_pylist()]
             tokens = counter.count(texts)
@@ -224,4 +266,4 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: str =
                 [keep, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select(keep, text).mapInArrow(run, f"{keep} {df.schema[keep].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(keep, text).mapInArrow(lean(run), f"{keep} {df.schema[keep].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, list_array, mix, sized, slices, unused, word_hashes, written
+from .common import forget, lean, list_array, mix, sized, slices, unused, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
@@ -135,7 +135,7 @@ def sketch_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _sets_of(docs: DataFrame, text: str, width: int) -> DataFrame:
             sets, sizes = shingle_sets(part.column(text), width)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_marks(sets, sizes, 1)), list_array(sets.view(np.int64), sizes, pa.int64())], ["doc_id", "s1", "set"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, s1 long, set array<long>")
+    return docs.select("doc_id", text).mapInArrow(lean(run), "doc_id long, s1 long, set array<long>")
 
 
 # ---------------------------------------------------------------- components

@@ -9,7 +9,7 @@ the encoder keeps that window, and whenever the backpointer paths of all its
 nodes meet in one boundary, it commits the ids before it and forgets them.
 
 No piece spans from a character to a later blank, so all paths meet there; text is
-cut at these boundaries, and the ids of seen cuts are kept in a bounded memo.
+cut at these boundaries, and a task keeps the ids of seen cuts in a bounded memo.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; rows
 with null or repeated ids are encoded like any other; extra columns are kept; an
@@ -19,6 +19,7 @@ bounded window. U+2581 in a text counts as a blank, as the format has it.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +29,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Codes, list_array, slices
+from .common import Codes, lean, list_array, slices
 
 BLANK = "▁"
-#: A memo is emptied when it holds so many cuts, or half as many pairs.
-MEMO_ENTRIES = 400_000
+#: A task's memo is emptied when it holds so many cuts (or half as many pairs), or so many characters.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 16 << 20
 #: Texts of about so many bytes are encoded together: new cuts share the lattices of common beginnings.
 SLICE_BYTES = 4 << 20
 _NO_PAIR = float("-inf")
@@ -70,6 +71,12 @@ class Pieces:
         self.tails = {k: tuple(sorted(set(v), reverse=True)) for k, v in self.tails.items()}
         self.known_joins: dict[tuple[str, str], bool] = {}
 
+    def with_own_memo(self) -> Pieces:
+        """The same tables with an empty memo of joins."""
+        out = copy.copy(self)
+        out.known_joins = {}
+        return out
+
     def joins(self, left: str, right: str) -> bool:
         """Whether two pieces may stand next to each other, that is, encode to themselves.
 
@@ -170,14 +177,14 @@ class Codec:
     """Encodes and decodes batches of texts for one model file."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path)
+        self.pieces = _pieces(path).with_own_memo()
         self._forget()
 
     def _forget(self) -> None:
         self.memo = Codes()
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def cuts(self, text: str) -> list[str]:
         """The text cut before every blank that follows another character; each cut begins with one blank less."""
@@ -246,11 +253,12 @@ class Codec:
             if text:
                 words += self.cuts(text)
             ends[k] = len(words)
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
             self._forget()
         known = len(self.memo)
         codes = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if new := self.memo.take_new():
+            self.chars += sum(map(len, new))
             self._learn(new, known)
         sizes = self.sizes[codes]
         sums = np.zeros(len(words) + 1, np.int64)
@@ -272,8 +280,9 @@ class Codec:
 
 
 @lru_cache(2)
-def _codec(path: str) -> Codec:
-    return Codec(path)
+def _pieces(path: str) -> Pieces:
+    """All that a worker keeps beyond a task: the model's tables. Memos are a task's own."""
+    return Pieces(path)
 
 
 def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -286,12 +295,12 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "toke
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+        codec = Codec(model)
         for part in slices(batches, text, SLICE_BYTES):
             found, counts = codec.encode([x or "" for x in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), list_array(found, counts, pa.int32())], [*names, ids])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def encode_checked(df: DataFrame, model: str, text: str = "text", ids: str = "token_ids", exact: str = "round_trip") -> DataFrame:
@@ -303,14 +312,14 @@ def encode_checked(df: DataFrame, model: str, text: str = "text", ids: str = "to
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+        codec = Codec(model)
         for part in slices(batches, text, SLICE_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
             found, counts = codec.encode(texts)
             same = [a == b for a, b in zip(codec.decode(found, counts), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), list_array(found, counts, pa.int32()), pa.array(same, pa.bool_())], [*names, ids, exact])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(exact, T.BooleanType())]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(exact, T.BooleanType())]))
 
 
 def decode_ids(df: DataFrame, model: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -319,7 +328,7 @@ def decode_ids(df: DataFrame, model: str, ids: str = "token_ids", text: str = "d
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+        codec = Codec(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -328,4 +337,4 @@ def decode_ids(df: DataFrame, model: str, ids: str = "token_ids", text: str = "d
                 texts = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, text])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, T.StructField(text, T.StringType())]))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, joined_bytes, labelled_sample, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
+from .common import forget, joined_bytes, labelled_sample, lean, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
 from .near_dups import shingle_sets
 
 #: Labelled rows that are learned from, at most about so many.
@@ -236,7 +236,7 @@ def _document_counts(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    found = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(text).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
     out = np.zeros(len(terms), np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
@@ -254,7 +254,7 @@ def _range_maxima(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
     table = [np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK))]
     while (step := 1 << (len(table) - 1)) < len(table[0]):
         table.append(np.maximum(table[-1], np.append(table[-1][step:], np.full(min(step, len(table[0])), -np.inf))))
-    a, b = first // BLOCK, last // BLOCK
+    a, b = (x.astype(np.int64) // BLOCK for x in (first, last))
     level = np.frexp(b - a + 1)[1] - 1
     every = np.stack(table)
     return np.maximum(every[level, a], every[level, b - (1 << level) + 1])
@@ -325,7 +325,7 @@ class Index:
         most = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0, np.float32)
         reach = np.zeros(len(counts), np.float32)
         np.maximum.at(reach, np.repeat(np.arange(len(counts)), counts), most)
-        return Blocks(starts, at, last + 1 - at, self.examples[at].astype(np.int64), self.examples[last].astype(np.int64), most, reach)
+        return Blocks(starts.astype(np.int32), at.astype(np.int32), (last + 1 - at).astype(np.int32), self.examples[at], self.examples[last], most, reach)
 
     def vector(self, term: np.ndarray, times: np.ndarray, words: int, unknown: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights; the last place is for unknown words, given by their sum of squared times."""
@@ -513,7 +513,7 @@ def _calibrated(index: Index, held: DataFrame) -> tuple[float, float]:
                 labels += [y.as_py()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], ["vote", "y"])
 
-    found = held.mapInArrow(run, "vote double, y int").toArrow()
+    found = held.mapInArrow(lean(run), "vote double, y int").toArrow()
     sent.destroy()
     return fitted_line(found.column("vote").to_numpy(), found.column("y").to_numpy())
 
@@ -548,4 +548,4 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores), pa.array(shown, kind)], [*names, name, evidence])
 
     shape = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType()), T.StructField(evidence, shape)]))
+    return docs.mapInArrow(lean(run), T.StructType([*kept, T.StructField(name, T.DoubleType()), T.StructField(evidence, shape)]))

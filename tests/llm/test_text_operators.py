@@ -12,7 +12,8 @@ from corpusloom.llm.chat_format import CONTROL, MARK, conversation_digests, esca
 from corpusloom.llm.piece_codec import Codec, StreamEncoder, decode_ids, encode_checked, encode_texts
 from corpusloom.llm.quality_rules import apply_rules, default_rules, estimate, base_metrics, order
 from corpusloom.llm.token_counts import Counter, count_tokens
-from corpusloom.llm.warc_bundles import parse_record, read_bundles, read_frame, read_seek_table, record_index, write_bundles
+from corpusloom.llm import warc_bundles
+from corpusloom.llm.warc_bundles import fetch_records, parse_record, read_record, read_bundles, read_frame, read_seek_table, record_index, write_bundles
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -202,3 +203,34 @@ def test_any_zstandard_reader_can_read_a_bundle(spark):
 def test_what_is_no_record_is_refused(bad):
     with pytest.raises((ValueError, KeyError)):
         parse_record(bad)
+
+
+def test_one_record_costs_one_frame(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * 50) for k in range(40)] + [(99, "u", "page 3 " * 50)], "page_id long, url string, html string")
+    bundles = write_bundles(pages, frame_bytes=1000, bundle_bytes=4000)
+    rows = {r["record_id"]: r for r in fetch_records(bundles, [7, 3, 1234]).collect()}
+    assert set(rows) == {7, 3} and bytes(rows[7]["payload"]) == b"page 7 " * 50 and rows[3]["record_type"] == "revisit"
+    monkeypatch.setattr(warc_bundles, "BROADCAST_HOLDERS", 0)
+    assert {r["record_id"]: r["refers_to"] for r in read_bundles(write_bundles(pages)).collect()} == {**dict.fromkeys(range(40)), 3: 99, 99: None}
+    row = next(r for r in bundles.collect() if len(read_seek_table(r["bundle"])) > 1)
+    opened = []
+    monkeypatch.setattr(warc_bundles, "read_frame", lambda data, frame: opened.append(frame) or read_frame(data, frame))
+    assert read_record(bytes(row["bundle"]), row["entries"][-1].asDict())["record_id"] == row["entries"][-1]["record_id"] and len(opened) == 1
+
+
+def test_small_blocks_of_chats_read_back(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k} <s> " * (k % 5)) for k in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = conversation_digests(format_turns(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    for turns, chars in ((3, 1 << 20), (64, 20)):
+        blocks = format_turns(df, RANKS, public_tokenizers.PATTERN, block_turns=turns, block_chars=chars)
+        assert blocks.count() > 10 and conversation_digests(blocks, RANKS, public_tokenizers.PATTERN).collect() == whole
+
+
+def test_long_pre_tokens_merge_like_the_library():
+    import tokenizers
+
+    r = random.Random(4)
+    rows = ["".join(r.choice("abcdefghijé日") for _ in range(n)) for n in (1023, 1025, 30000)] + ["a" * 5001, "ab" * 4000, "=" * 3000 + "the" * 3000]
+    library_ = tokenizers.Tokenizer.from_file(BPE)
+    assert Counter(BPE).count(rows).tolist() == [len(library_.encode(t, add_special_tokens=False).ids) for t in rows]

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import table, unused, written
 from corpusloom.llm.decontaminate import without_leaks
 from corpusloom.llm.line_dedup import LineIndex, drop_lines, keep_first_of_long
 from corpusloom.llm.near_dups import keep_one_of_each
@@ -42,29 +42,32 @@ NEAR_PERCENT = 80
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     index = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return score(docs, index, name="__score", evidence="__evidence").filter(F.col("__score") < TOXIC).drop("__score", "__evidence")
+    name, evidence = unused(docs.columns, "score", "evidence")
+    return score(docs, index, name=name, evidence=evidence).filter(F.col(name) < TOXIC).select(*docs.columns)
 
 
-def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with ``n_chars`` of the rows that lost lines."""
+def _recounted(cleaned: DataFrame, docs: DataFrame, dropped: str) -> DataFrame:
+    """The columns of ``docs`` with ``n_chars`` of the rows that lost lines, as the column ``dropped`` counts them."""
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return cleaned.select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     # equal texts count once: near-dedup still needs the lines of a group of copies to keep one of them
-    cleaned = drop_lines(docs, LineIndex.build(docs.select("text").distinct(), min_docs=LINE_DOCS))
-    return _recounted(cleaned, docs)
+    lines, dropped = unused(docs.columns, "n_lines", "n_dropped")
+    cleaned = drop_lines(docs, LineIndex.build(docs.select("text").distinct(), min_docs=LINE_DOCS), n_lines=lines, n_dropped=dropped)
+    return _recounted(cleaned, docs, dropped)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     kept = keep_one_of_each(docs, percent=NEAR_PERCENT)
     # only now, so that no copy that stays is emptied for one that goes
-    return _recounted(keep_first_of_long(kept, LONG_LINE), docs)
+    dropped, = unused(docs.columns, "n_dropped")
+    return _recounted(keep_first_of_long(kept, LONG_LINE, n_dropped=dropped), docs, dropped)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

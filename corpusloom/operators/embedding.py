@@ -20,6 +20,11 @@ BATCH = 50
 DIMENSIONS = 64
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though a lambda within uses it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Vector of signed word counts; a text without words has length 0.
 
@@ -38,19 +43,21 @@ def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
         return F.when(seen["at"] == x["at"], more).otherwise(F.struct(done.alias("done"), x["at"].alias("at"), x["n"].alias("n")))
 
     sums = F.aggregate(places, start, fold, lambda seen: F.map_from_entries(F.array_append(seen["done"], F.struct(seen["at"].alias("at"), seen["n"].alias("n")))))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at(sums, k), F.lit(0.0)))
+    return once(sums, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))))
 
 
 def scaled(vector: Column) -> Column:
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(vector, lambda x: (x / F.when(length == 0, 1.0).otherwise(length)).cast("float"))
+    """A vector at unit length; one without length stays as it is."""
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
+    divided = lambda v, n: F.transform(v, lambda x: (x / F.when(n == 0, 1.0).otherwise(n)).cast("float"))
+    return once(vector, lambda v: once(length(v), lambda n: divided(v, n)))
 
 
 def embed(df: DataFrame, text: str = "text", name: str = "embedding", model: Callable[[], object] | None = None) -> DataFrame:
     """``df`` with an array<float> column. ``model`` makes the model in each worker; without it words are hashed."""
     head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, EMBED_CHARS)
     if model is None:
-        return df.withColumn("__v", hashed_vector(head)).withColumn(name, scaled(F.col("__v"))).drop("__v")
+        return df.withColumn(name, scaled(hashed_vector(head)))
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions.languages import BY_EXTENSION, DIAGRAMS, NAMES
 from .functions.text import WORD
 from .goldens import GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_UNITS, GOLDEN_URLS, PARSED, UNITS
+from .operators.embedding import DIMENSIONS, EMBED_CHARS
 from .operators.ranking import B, BONUS, EPSILON, K1, PER_PATH, RRF_K
 from .queries import EXTENSIONS
 from .sources.repository import ADDRESS, KEPT_EXTENSIONS, KEPT_NAMES, LEAST_BYTES, MOST_BYTES, MOST_FILES, SKIPPED
@@ -30,7 +31,10 @@ def _in(names) -> str:
 
 # ---------------------------------------------------------------- derived tables
 _CH = "ch AS (SELECT doc_id AS chunk_id, source AS path, text FROM documents)"
-_HY = f"{_CH}, hy AS (SELECT ch.*, embedding FROM ch JOIN embeddings ON chunk_id = vec_id)"
+_HASHED = f"""hw AS (SELECT chunk_id, list_transform(regexp_extract_all(lower(coalesce(substring(text, 1, {EMBED_CHARS}), '')), '{WORD}'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM ch),
+hv AS MATERIALIZED (SELECT chunk_id, list_transform(range({DIMENSIONS}), lambda k: coalesce(list_sum(list_transform(list_filter(h, lambda x: x % {DIMENSIONS} = k), lambda x: CASE WHEN (x >> 20) & 1 = 0 THEN 1 ELSE -1 END)), 0)::DOUBLE) AS v FROM hw),
+he AS MATERIALIZED (SELECT chunk_id, list_transform(v, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE n END)::FLOAT) AS hashed FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM hv))"""
+_HY = f"{_CH}, {_HASHED}, hy AS MATERIALIZED (SELECT ch.*, coalesce(e.embedding, hashed) AS embedding FROM ch JOIN he USING (chunk_id) LEFT JOIN embeddings e ON ch.chunk_id = e.vec_id)"
 _Q = "q AS (SELECT item_id // 3 AS question_id, item_id AS query_id, text, embedding AS vec FROM benchmark JOIN embeddings ON vec_id = item_id)"
 _CARDS = """cards AS (SELECT *, 'txt' AS file_type,
   CASE WHEN chunk_id % 2 = 0 THEN 'Part ' || (chunk_id % 7) END AS heading,
@@ -57,7 +61,7 @@ terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {EPSILON} * (SELECT avg(raw) F
 _BM = f"""qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM q) GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, sum(times * idf * tf * ({K1} + 1)::DOUBLE / (tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * dl / avgdl))) AS bm25
   FROM qt JOIN terms USING (term) JOIN post USING (term) JOIN len USING (chunk_id), tot GROUP BY query_id, chunk_id)"""
-_COS = "cs AS (SELECT query_id, chunk_id, path, list_cosine_similarity(embedding::DOUBLE[], vec::DOUBLE[]) AS cosine FROM hy, q)"
+_COS = "cs AS (SELECT query_id, chunk_id, path, CASE WHEN list_sum(list_transform(embedding, lambda x: abs(x))) = 0 THEN 0 ELSE list_cosine_similarity(embedding::DOUBLE[], vec::DOUBLE[]) END AS cosine FROM hy, q)"
 _RANKS = f"""{_HY}, {_Q}, {_TOK.replace('@table', 'hy')}, {_BM}, {_COS},
 rk AS (SELECT query_id, chunk_id, path, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) AS vector_rank,
   row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm25, 0), 9) DESC, chunk_id) AS bm25_rank
@@ -163,6 +167,7 @@ ORACLES: dict[str, str] = {
     "bm25_doc_len": f"WITH {_CH}, {_TOK.replace('@table', 'ch')} SELECT chunk_id, dl FROM len",
     "bm25_scores": f"WITH {_CH}, {_Q}, {_TOK.replace('@table', 'ch')}, {_BM} SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm",
     "cosine_scores": f"WITH {_HY}, {_Q}, {_COS} SELECT query_id, chunk_id, path, round(cosine, 6) AS cosine FROM cs",
+    "embed_documents": f"WITH {_CH}, {_HASHED} SELECT chunk_id, (unnest(range({DIMENSIONS})))::INTEGER AS place, round(unnest(hashed)::DOUBLE, 6) AS value FROM he",
     "vector_topk_capped": f"WITH {_HY}, {_Q}, {_COS}, c AS (SELECT query_id, chunk_id, path, cosine AS score FROM cs), {_top('c', 'query_id', 6, 't')} SELECT query_id, chunk_id, path, round(score, 6) AS score, rank FROM t",
     "rank_lists": f"WITH {_RANKS} SELECT query_id, chunk_id, vector_rank, bm25_rank FROM rk",
     "rrf_fusion": f"WITH {_RANKS} SELECT query_id, chunk_id, round(score, 6) AS score FROM fu",

@@ -1,7 +1,7 @@
 """The registered queries over the reference tables; ``oracles.py`` has SQL for each.
 
-Derived tables, made alike on both sides: CH (documents as chunks, their source as path), HY (chunks that have an
-embedding), Q (every benchmark item as a query, three to a question), FI (documents as files), IM (two imports of each file).
+Derived tables, made alike on both sides: CH (documents as chunks, their source as path), HY (chunks with their
+embedding, or that of their words where the table has none), Q (every benchmark item as a query, three to a question), FI (documents as files), IM (two imports of each file).
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ def ch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hy(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return ch(spark, sf).join(vectors, "chunk_id")
+    """All chunks; those without a row in ``embeddings`` get the vector of their hashed words."""
+    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("given"))
+    own = embed(ch(spark, sf)).join(vectors, "chunk_id", "left")
+    return own.select("chunk_id", "path", "text", F.coalesce("given", "embedding").alias("embedding"))
 
 
 def cards(df: DataFrame) -> DataFrame:
@@ -316,7 +318,8 @@ def parse_corpus(spark, sf):
 
 
 def embed_documents(spark, sf):
-    return embed(ch(spark, sf).select("chunk_id", "text")).select("chunk_id", "embedding")
+    made = embed(ch(spark, sf).select("chunk_id", "text"))
+    return _rounded(made.select("chunk_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double")), "value")
 
 
 # ---------------------------------------------------------------- graph

@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ MARK = "␛"
 #: Turns, and characters of text, after which a block is closed.
 BLOCK_TURNS = 64
 BLOCK_CHARS = 1 << 20
+#: Characters, and ids, that a task works on at once (one block at least).
+SLICE_CHARS = 1 << 20
+SLICE_IDS = 1 << 19
 
 _ESCAPE = re.compile("|".join(map(re.escape, (MARK, *CONTROL))))
 _FIRST = {x[0] for x in (MARK, *CONTROL)}
@@ -82,25 +86,30 @@ class Assembler:
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
         self.bytes = np.frombuffer(b"".join(blobs), np.uint8)
 
-    def block(self, roles: list[str], texts: list[str], trained: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of turns, and the loss mask: one on the text of turns whose role is ``trained``."""
-        parts = [y for r, t in zip(roles, texts, strict=True) for y in (escape(r), escape(t))]
-        encoded = self.encoding.encode_ordinary_batch(parts, num_threads=1)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)).reshape(-1, 2)
-        begins = np.cumsum(sizes.sum(1) + 4) - (sizes.sum(1) + 4)
-        total = int((sizes.sum(1) + 4).sum())
+    def ids_of(self, text: str) -> np.ndarray:
+        """Ids of a part."""
+        return self.encoding.encode_to_numpy(escape(text), disallowed_special=())
+
+    def assembled(self, roles: list[str], texts: list[str], trained: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of turns end to end, the loss mask (one on the text of turns whose role is ``trained``), and each turn's number of ids."""
+        known = {r: self.ids_of(r) for r in set(roles)}
+        parts = [y for r, t in zip(roles, texts, strict=True) for y in (known[r], self.ids_of(t))]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2)
+        counts = sizes.sum(1) + 4
+        begins = np.cumsum(counts) - counts
+        total = int(counts.sum())
         ids = np.empty(total, np.int32)
         free = np.ones(total, bool)
         text_begins = begins + 3 + sizes[:, 0]
         for at, mark in ((begins, self.open), (begins + 1, self.role), (text_begins - 1, self.text), (text_begins + sizes[:, 1], self.close)):
             ids[at] = mark
             free[at] = False
-        ids[free] = np.fromiter((i for x in encoded for i in x), np.int32, int(sizes.sum()))
+        ids[free] = np.concatenate(parts)
         edges = np.zeros(total + 1, np.int32)
         learned = np.fromiter((r == trained for r in roles), bool, len(roles))
         np.add.at(edges, text_begins[learned], 1)
         np.add.at(edges, (text_begins + sizes[:, 1])[learned], -1)
-        return ids, np.cumsum(edges[:-1]).astype(np.int8)
+        return ids, np.cumsum(edges[:-1]).astype(np.int8), counts
 
     def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all ids in one string, and where each id's begin and the last one's end."""
@@ -121,8 +130,12 @@ class Assembler:
             raise ValueError("a mask doesn't end at a part's borders")
         data, at = self.decoded(ids)
         frame = sum(map(len, TEMPLATE))
+        known: dict[bytes, str] = {}
         for a, b, c, d, under in zip(at[begins + 2].tolist(), at[cuts].tolist(), at[cuts + 1].tolist(), at[ends].tolist(), (inside > 0).tolist(), strict=True):
-            role, text = data[a:b].decode(), data[c:d].decode()
+            blob, text = data[a:b], data[c:d].decode()
+            role = known.get(blob)
+            if role is None:
+                role = known[blob] = blob.decode()
             yield unescape(role), unescape(text), under, len(role) + len(text) + frame
 
     def formatted(self, ids: np.ndarray) -> str:
@@ -138,6 +151,18 @@ class Assembler:
         return "".join([*out, self.encoding.decode_bytes(run).decode()])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_IDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of blocks with about ``most`` ids (one row at least), their ids and their masks end to end."""
+    for batch in batches:
+        sizes = np.cumsum(batch.column("token_ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")), at + 1)
+            part = batch.slice(at, end - at)
+            yield part, part.column("token_ids").flatten().to_numpy(), part.column("loss_mask").flatten().to_numpy()
+            at = end
+
+
 @lru_cache(2)
 def _assembler(ranks_path: str, pattern: str) -> Assembler:
     return Assembler(ranks_path, pattern)
@@ -159,26 +184,35 @@ def format_turns(turns: DataFrame, ranks_path: str, pattern: str, trained: str =
         made = _assembler(ranks_path, pattern)
         number = TaskContext.get().partitionId() << 32  # ranges are numbered in order
         held: list[tuple] = []
-        chars = 0
+        starts: list[int] = []  # where each block held begins
+        chars = own = 0  # characters held, and those of the last block
 
-        def close() -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
+            """The blocks held: one call assembles them all."""
             nonlocal number, chars
-            ids, mask = made.block([x[1] for x in held], [x[2] for x in held], trained)
+            ids, mask, counts = made.assembled([x[1] for x in held], [x[2] for x in held], trained)
+            sizes = np.add.reduceat(counts, starts)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([held[0][0]], pa.int64()), pa.array([number]), pa.array([len(held)]), list_array(ids, np.array([len(ids)]), pa.int32()), list_array(mask, np.array([len(mask)]), pa.int8())],
+                [pa.array([held[k][0] for k in starts], pa.int64()), pa.array(range(number, number + len(starts)), pa.int64()), pa.array(np.diff([*starts, len(held)])),
+                 list_array(ids, sizes, pa.int32()), list_array(mask, sizes, pa.int8())],
                 ["conv_id", "block", "n_turns", "token_ids", "loss_mask"])
-            number, chars = number + 1, 0
+            number, chars = number + len(starts), 0
             held.clear()
+            starts.clear()
             return out
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if held and (held[0][0] != row[0] or len(held) >= block_turns or chars >= block_chars):
-                    yield close()
+                if not held or held[-1][0] != row[0] or len(held) - starts[-1] >= block_turns or own >= block_chars:
+                    if chars >= SLICE_CHARS:
+                        yield flush()
+                    starts.append(len(held))
+                    own = 0
                 held.append(row)
-                chars += len(row[2])
+                own += len(row[2])
+                chars += len(row[1]) + len(row[2])
         if held:
-            yield close()
+            yield flush()
 
     return dealt.mapInArrow(run, "conv_id long, block long, n_turns long, token_ids array<int>, loss_mask array<tinyint>")
 
@@ -188,14 +222,15 @@ def read_turns(blocks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _assembler(ranks_path, pattern)
-        for batch in batches:
-            for conv, block, ids, mask in zip(*(batch.column(c) for c in ("conv_id", "block", "token_ids", "loss_mask")), strict=True):
-                found = list(made.turns(ids.values.to_numpy(), mask.values.to_numpy()))
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([conv.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()),
-                     *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64())))],
-                    ["conv_id", "block", "place", "role", "text", "learned", "formatted_chars"])
+        for part, ids, mask in _slices(batches):
+            found = list(made.turns(ids, mask))
+            counts = part.column("n_turns").to_numpy()
+            owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
+            place = np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("conv_id").take(owner), part.column("block").take(owner), pa.array(place, pa.int32()),
+                 *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64())))],
+                ["conv_id", "block", "place", "role", "text", "learned", "formatted_chars"])
 
     return blocks.mapInArrow(run, "conv_id long, block long, place int, role string, text string, learned boolean, formatted_chars long")
 
@@ -204,7 +239,7 @@ def conversation_digests(blocks: DataFrame, ranks_path: str, pattern: str) -> Da
     """Per conversation: turns, characters and digests of what its blocks hold, read in order.
 
     A digest is sequential, the one reason why a conversation's blocks meet in one task; they stream through
-    it in sorted order, and a block at a time is held.
+    it in sorted order, and a slice of them at a time is held.
     """
     dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -213,26 +248,34 @@ def conversation_digests(blocks: DataFrame, ranks_path: str, pattern: str) -> Da
         made = _assembler(ranks_path, pattern)
         started, conv, n, loss, chars = False, None, 0, 0, 0
         whole, learned = hashlib.sha256(), hashlib.sha256()
+        done: list[tuple] = []
 
-        def row() -> pa.RecordBatch:
-            values = [conv, n, whole.hexdigest(), loss, learned.hexdigest(), chars]
+        def rows() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds)], names)
+            done.clear()
+            return out
 
-        for batch in batches:
-            for now, ids, mask in zip(*(batch.column(c) for c in ("conv_id", "token_ids", "loss_mask")), strict=True):
-                if started and now.as_py() != conv:
-                    yield row()
-                if not started or now.as_py() != conv:
-                    started, conv, n, loss, chars = True, now.as_py(), 0, 0, 0
+        for part, ids, mask in _slices(batches):
+            turns = made.turns(ids, mask)
+            for now, count in zip(part.column("conv_id").to_pylist(), part.column("n_turns").to_pylist(), strict=True):
+                if started and now != conv:
+                    done.append((conv, n, whole.hexdigest(), loss, learned.hexdigest(), chars))
+                if not started or now != conv:
+                    started, conv, n, loss, chars = True, now, 0, 0, 0
                     whole, learned = hashlib.sha256(), hashlib.sha256()
-                for role, text, under, size in made.turns(ids.values.to_numpy(), mask.values.to_numpy()):
+                for role, text, under, size in islice(turns, count):
                     whole.update(f"{role}\n{text}\n".encode())
                     n, chars = n + 1, chars + size
                     if under:
                         learned.update(text.encode())
                         loss += len(text)
+            if next(turns, None) is not None:
+                raise ValueError("a block holds more turns than it says")
+            if done:
+                yield rows()
         if started:
-            yield row()
+            done.append((conv, n, whole.hexdigest(), loss, learned.hexdigest(), chars))
+            yield rows()
 
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,5 +1,6 @@
 """Operators over single texts: chat, pieces, token counts, rules, WARC."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -227,6 +228,22 @@ def test_small_blocks_of_chats_read_back(spark):
         assert blocks.count() > 10 and conversation_digests(blocks, RANKS, public_tokenizers.PATTERN).collect() == whole
 
 
+def test_a_slice_ends_between_blocks(spark):
+    # more characters and ids than a task works on at once, in long and short conversations
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{c} {k} " * (6000 if c % 3 else 2)) for c in range(40) for k in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    blocks = format_turns(df, RANKS, public_tokenizers.PATTERN)
+    found = {r["conv_id"]: r for r in conversation_digests(blocks.coalesce(1), RANKS, public_tokenizers.PATTERN).collect()}
+    assert len({r["block"] for r in blocks.select("block").collect()}) == blocks.count() == 40
+    for c in range(40):
+        own = [(role, text) for n, _, role, text in rows if n == c]
+        learned = "".join(text for role, text in own if role == "assistant")
+        assert found[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert (found[c]["n_turns"], found[c]["loss_chars"], found[c]["loss_sha256"]) == (3, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    back = read_turns(blocks, RANKS, public_tokenizers.PATTERN)
+    assert sorted((r["conv_id"], r["place"], r["role"], r["text"]) for r in back.collect()) == sorted(rows)
+
+
 def test_long_pre_tokens_merge_like_the_library():
     import tokenizers
 

@@ -7,7 +7,7 @@ from .functions.text import WORD
 from .goldens import GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_UNITS, GOLDEN_URLS, PARSED, UNITS
 from .operators.embedding import DIMENSIONS, EMBED_CHARS
 from .operators.ranking import B, BONUS, EPSILON, K1, PER_PATH, RRF_K
-from .queries import EXTENSIONS
+from .queries import EXTENSIONS, JS_MODULES
 from .sources.repository import ADDRESS, KEPT_EXTENSIONS, KEPT_NAMES, LEAST_BYTES, MOST_BYTES, MOST_FILES, SKIPPED
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -155,7 +155,20 @@ def _code_text() -> str:
 
 
 def _resolved(lang: str) -> str:
-    return f"SELECT * FROM {_values([(a, b, d) for a, b, x, d in GOLDEN_IMPORTS if x == lang], 'src, raw, dst')}"
+    """The fixed imports, and those of the table ``rs`` that the caller defines."""
+    return f"SELECT * FROM {_values([(a, b, d) for a, b, x, d in GOLDEN_IMPORTS if x == lang], 'src, raw, dst')} UNION ALL SELECT src, raw, dst FROM rs"
+
+
+# a module's number is carried beside its import, so that no path is normalised here
+_JS = f"""d AS (SELECT doc_id, count(*) OVER () AS n, 'web/s' || (doc_id % 20) || '/m_' || doc_id AS stem, {list(JS_MODULES)}[doc_id % {len(JS_MODULES)} + 1] AS ending FROM documents),
+ps AS (SELECT stem || ending AS path FROM d UNION SELECT stem || '.tsx' FROM d WHERE doc_id % 5 = 0),
+im AS (SELECT stem || ending AS src, CASE WHEN ending = '/index.js' THEN '../' ELSE '' END AS up, doc_id, (7 * doc_id + 3) % n AS far FROM d),
+rw AS (SELECT src, up || '../s' || (far % 20) || '/m_' || far AS raw, far AS b FROM im UNION SELECT src, './' || up || 'm_' || (doc_id + 20), doc_id + 20 FROM im UNION SELECT src, 'react', NULL FROM im),
+en AS (SELECT unnest(['.ts', '.tsx', '.js', '.jsx', '/index.js']) AS ending, unnest(range(5)) AS place),
+ht AS (SELECT src, raw, arg_min(path, place) AS dst FROM rw CROSS JOIN en JOIN ps ON path = 'web/s' || (b % 20) || '/m_' || b || en.ending GROUP BY src, raw),
+rs AS (SELECT rw.src, rw.raw, dst FROM rw LEFT JOIN ht ON ht.src = rw.src AND ht.raw = rw.raw)"""
+_GO = """d AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'cmd/s' || (doc_id % 20) || '/d' || doc_id || '/' END || 'm_' || (doc_id % 97) || '.go' AS path FROM documents),
+rs AS (SELECT DISTINCT path AS src, 'example.com/x/m_' || ((7 * doc_id + 3) % 120) AS raw, (SELECT min(f.path) FROM d f WHERE f.doc_id % 13 <> 0 AND f.doc_id % 97 = (7 * d.doc_id + 3) % 120) AS dst FROM d)"""
 
 
 _URL = f"regexp_extract(rtrim(trim(url, {_WS}), '/'), '{ADDRESS}', {{0}})"
@@ -222,9 +235,9 @@ l AS (SELECT raw, list(src ORDER BY src) AS o FROM i GROUP BY raw UNION ALL SELE
     "code_chunk_text": _code_text(),
     "code_units": f"SELECT path, ord::BIGINT AS ord, name, unit_type, signature, docstring, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM {_values(UNITS, 'path, ord, name, unit_type, signature, docstring, line_start, line_end')}",
     "code_imports": f"SELECT * FROM {_values(PARSED, 'path, language, imports, module_doc')}",
-    "resolve_python": _resolved("python"),
-    "resolve_js": _resolved("javascript"),
-    "resolve_go": _resolved("go"),
+    "resolve_python": f"""WITH {_IM}, rw AS (SELECT DISTINCT src, 'src' || (b % 20) || '.doc_' || b AS raw FROM im), rs AS (SELECT rw.src, rw.raw, dst FROM rw LEFT JOIN hit ON hit.src = rw.src AND hit.raw = rw.raw) {_resolved("python")}""",
+    "resolve_js": f"WITH {_JS} {_resolved('javascript')}",
+    "resolve_go": f"WITH {_GO} {_resolved('go')}",
     "import_edges": f"WITH {_IM} SELECT * FROM e",
     "edge_count": f"WITH {_IM} SELECT count(*) AS n_edges FROM e",
     "degree": f"WITH {_IM}, {_DEG} SELECT * FROM dg",

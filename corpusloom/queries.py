@@ -20,6 +20,7 @@ from .sources import repository
 
 Query = Callable[[SparkSession, str], DataFrame]
 EXTENSIONS = ("md", "txt", "py", "go", "js", "mmd", "adoc", "lua")
+JS_MODULES = (".ts", ".js", "/index.js", ".jsx")
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -323,22 +324,48 @@ def embed_documents(spark, sf):
 
 
 # ---------------------------------------------------------------- graph
-def _resolved(spark, lang, resolve):
-    imports = values(spark, [x[:2] for x in GOLDEN_IMPORTS if x[2] == lang], "src string, raw string")
-    paths = values(spark, [(p,) for p in GRAPH_PATHS], "path string")
-    return imports.join(resolve(imports, paths), ["src", "raw"], "left").select("src", "raw", "dst")
+def js_modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, paths): each document is a script or a folder's index, every fifth one both; it imports one of another folder, one of its own and a package."""
+    d = _table(spark, sf, "documents").select("doc_id")
+    stem = F.concat(F.lit("web/s"), (F.col("doc_id") % 20).cast("string"), F.lit("/m_"), F.col("doc_id").cast("string"))
+    ending = F.element_at(F.array(*map(F.lit, JS_MODULES)), (F.col("doc_id") % len(JS_MODULES) + 1).cast("int"))
+    paths = d.select(F.concat(stem, ending).alias("path"), "doc_id")
+    n = d.agg(F.count("*").alias("n"))
+    up = F.when(F.col("path").endswith("/index.js"), "../").otherwise("")
+    far = (7 * F.col("doc_id") + 3) % F.col("n")
+    raw = F.array(
+        F.concat(up, F.lit("../s"), (far % 20).cast("string"), F.lit("/m_"), far.cast("string")),
+        F.concat(F.lit("./"), up, F.lit("m_"), (F.col("doc_id") + 20).cast("string")), F.lit("react"))
+    imports = paths.crossJoin(F.broadcast(n)).select(F.col("path").alias("src"), F.explode(raw).alias("raw"))
+    return imports, paths.select("path").unionByName(d.filter("doc_id % 5 = 0").select(F.concat(stem, F.lit(".tsx")).alias("path")))
+
+
+def go_modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, paths): documents share 97 names of files, some at the top; each imports one of 120 names."""
+    d = _table(spark, sf, "documents").select("doc_id")
+    below = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.concat(F.lit("cmd/s"), (F.col("doc_id") % 20).cast("string"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/")))
+    path = F.concat(below, F.lit("m_"), (F.col("doc_id") % 97).cast("string"), F.lit(".go"))
+    return d.select(path.alias("src"), F.concat(F.lit("example.com/x/m_"), ((7 * F.col("doc_id") + 3) % 120).cast("string")).alias("raw")), d.select(path.alias("path"))
+
+
+def _resolved(spark, lang, resolve, imports, paths):
+    """Every distinct import and where it leads (or null): those of the tables, and fixed ones among their own paths."""
+    fixed = values(spark, [x[:2] for x in GOLDEN_IMPORTS if x[2] == lang], "src string, raw string")
+    fixed_paths = values(spark, [(p,) for p in GRAPH_PATHS], "path string")
+    of = lambda i, p: i.join(resolve(i, p), ["src", "raw"], "left").select("src", "raw", "dst")
+    return of(fixed, fixed_paths).unionByName(of(imports.select("src", "raw").distinct(), paths.distinct()))
 
 
 def resolve_python(spark, sf):
-    return _resolved(spark, "python", graph.resolve_python)
+    return _resolved(spark, "python", graph.resolve_python, *im(spark, sf))
 
 
 def resolve_js(spark, sf):
-    return _resolved(spark, "javascript", graph.resolve_js)
+    return _resolved(spark, "javascript", graph.resolve_js, *js_modules(spark, sf))
 
 
 def resolve_go(spark, sf):
-    return _resolved(spark, "go", graph.resolve_go)
+    return _resolved(spark, "go", graph.resolve_go, *go_modules(spark, sf))
 
 
 def import_edges(spark, sf):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from .functions.languages import BY_EXTENSION, DIAGRAMS, NAMES
 from .functions.text import WORD
 from .goldens import GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_UNITS, GOLDEN_URLS, PARSED, UNITS
+from .operators.diagram import COLOURS
 from .operators.embedding import DIMENSIONS, EMBED_CHARS
 from .operators.ranking import B, BONUS, EPSILON, K1, PER_PATH, RRF_K
-from .queries import EXTENSIONS, JS_MODULES
+from .queries import CODE, EXTENSIONS, JS_MODULES
 from .sources.repository import ADDRESS, KEPT_EXTENSIONS, KEPT_NAMES, LEAST_BYTES, MOST_BYTES, MOST_FILES, SKIPPED
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -171,8 +172,36 @@ _GO = """d AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'cmd/s' ||
 rs AS (SELECT DISTINCT path AS src, 'example.com/x/m_' || ((7 * doc_id + 3) % 120) AS raw, (SELECT min(f.path) FROM d f WHERE f.doc_id % 13 <> 0 AND f.doc_id % 97 = (7 * d.doc_id + 3) % 120) AS dst FROM d)"""
 
 
+# units and imports of each document's code file, put together from their parts, so that nothing is parsed here
+_NL = "chr(10)"
+_UNIT = "SELECT path, '{0}' AS language, {1} AS name, '{2}' AS unit_type, {3} AS signature, {4} AS docstring, {5} AS body, {6}::BIGINT AS line_start, {7}::BIGINT AS line_end, {8} AS imports, {9} AS module_doc FROM cf WHERE {10}"
+_PY_IMPORTS, _JS_IMPORTS, _GO_IMPORTS, _JAVA_IMPORTS, _RS_IMPORTS = "['os', 'src' || a || '.doc_' || d, '.']", "['./a_' || d, 'b' || a]", "['fmt', 'f \"x/y' || a]", "['a.b' || a || '.C']", "['std::io' || a]"
+_PY, _GO_BODY = "kind = 0 AND d % 25 NOT IN (0, 5)", f"{_NL} || chr(9) || 'if a > 0 {{ fmt.Println(\"{{\") }}'"
+_CODE_UNITS = (
+    ("python", "'load_' || d", "function", "'def load_' || d || '(a: int, k) -> str'", "doc",
+     f"""'def load_' || d || '(a: int, *, k=1) -> str:' || {_NL} || '    "' || doc || '"' || repeat({_NL} || '    v = 1', m)""", "5", "6 + m", _PY_IMPORTS, "doc", _PY),
+    ("python", "'Run' || d", "class", "'class Run' || d || '(Base)'", "''", f"'class Run' || d || '(Base):' || {_NL} || '    def g(self): pass'", "8 + m", "9 + m", _PY_IMPORTS, "doc", _PY),
+    ("python", "'block_1'", "module", "''", "''", f"'import os' || {_NL} || 'def f(:' || {_NL} || doc", "1", "3", "[]::VARCHAR[]", "''", "d % 25 = 0"),
+    ("python", "'f_' || d", "module", "'# ' || path", "''", f"""'x = 1' || {_NL} || 'y = "' || doc || '"' || {_NL}""", "1", "2", "[]::VARCHAR[]", "''", "d % 25 = 5"),
+    ("javascript", "'add_' || d", "function", "'export function add_' || d || '('", f"'adds' || {_NL} || doc",
+     f"'export function add_' || d || '(x) {{' || repeat({_NL} || '  const s = ''}}'' + x', m) || {_NL} || '}}'", "7", "8 + m", _JS_IMPORTS, "doc", "kind = 1"),
+    ("javascript", "'Box' || d", "class", "'class Box' || d || ' extends Base'", "''", f"'class Box' || d || ' extends Base {{' || {_NL} || '  put(v) {{ this.v = v }}' || {_NL} || '}}'", "9 + m", "11 + m", _JS_IMPORTS, "doc", "kind = 1"),
+    ("go", "'Run' || d", "function", "'func (s *Server) Run' || d || '('", "'Run runs ' || doc || '.'", f"'func (s *Server) Run' || d || '(a int) {{' || repeat({_GO_BODY}, m) || {_NL} || '}}'", "9", "10 + m", _GO_IMPORTS, "''", "kind = 2"),
+    ("go", "'Server' || d", "class", "'type Server' || d || ' struct {'", "''", f"'type Server' || d || ' struct {{' || {_NL} || chr(9) || 'n int' || {_NL} || '}}'", "12 + m", "14 + m", _GO_IMPORTS, "''", "kind = 2"),
+    ("java", "'Box' || d", "class", "'public class Box' || d", "''",
+     f"'public class Box' || d || ' {{' || {_NL} || '    public int get(int k) {{' || repeat({_NL} || '        return k;', m) || {_NL} || '    }}' || {_NL} || '}}'", "3", "6 + m", _JAVA_IMPORTS, "doc", "kind = 3"),
+    ("rust", "'read_' || d", "function", "'pub fn read_' || d", "'Reads ' || doc", f"'pub fn read_' || d || '(n: u8) {{' || repeat({_NL} || '    go();', m) || {_NL} || '}}'", "5", "6 + m", _RS_IMPORTS, "''", "kind = 4"),
+    ("rust", "'Reader' || d", "class", "'impl Reader' || d", "''", f"'impl Reader' || d || ' {{' || {_NL} || '    fn inner(&self) {{}}' || {_NL} || '}}'", "7 + m", "9 + m", _RS_IMPORTS, "''", "kind = 4"),
+)
+_CF = f"""cf AS (SELECT doc_id AS d, doc_id % 5 AS kind, doc_id % 7 AS a, doc_id % 4 + 1 AS m, 'code/s' || (doc_id % 20) || '/f_' || doc_id || '.' || {[x for x, _, _ in CODE]}[doc_id % 5 + 1] AS path,
+  coalesce(nullif(trim(regexp_replace(substring(text, 1, 80), '[^A-Za-z]+', ' ', 'g')), ''), 'none') AS doc FROM documents),
+un AS ({" UNION ALL ".join(_UNIT.format(*x) for x in _CODE_UNITS)}),
+cu AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_start) - 1 AS ord, count(*) OVER (PARTITION BY path) AS total FROM un),
+ct AS (SELECT *, concat_ws({_NL}, '[' || upper(language[1]) || language[2:] || ' ' || upper(unit_type[1]) || unit_type[2:] || '] ' || path || ' :: ' || name,
+  'Signature: ' || nullif(signature, ''), 'Docstring: ' || nullif(docstring, ''), 'File imports: ' || nullif(array_to_string(imports, ', '), ''), repeat('─', 40), body) AS text FROM cu)"""
+
 _URL = f"regexp_extract(rtrim(trim(url, {_WS}), '/'), '{ADDRESS}', {{0}})"
-_URLS = f"u AS (SELECT url FROM pages UNION ALL SELECT url FROM {_values([(x,) for x in GOLDEN_URLS], 'url')}), a AS (SELECT url, nullif({_URL.format(1)}, '') AS owner, nullif({_URL.format(2)}, '') AS repo, nullif({_URL.format(3)}, '') AS branch FROM u)"
+_URLS = f"u AS (SELECT url FROM pages UNION ALL SELECT 'https://github.com/' || source || '/doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.git' ELSE '/tree/dev/' || (doc_id % 5) END FROM documents UNION ALL SELECT url FROM {_values([(x,) for x in GOLDEN_URLS], 'url')}), a AS (SELECT url, nullif({_URL.format(1)}, '') AS owner, nullif({_URL.format(2)}, '') AS repo, nullif({_URL.format(3)}, '') AS branch FROM u)"
 
 ORACLES: dict[str, str] = {
     "tokenize_counts": f"WITH {_CH}, {_TOK.replace('@table', 'ch')} SELECT chunk_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM tok",
@@ -204,7 +233,10 @@ SELECT ref, chunk_id FROM refs, cards WHERE CASE WHEN ref IN (SELECT path FROM c
     "tool_list_sections": f"""WITH {_CH}, {_CARDS.format("ch")}, s AS (SELECT coalesce(heading, unit_name, path) AS section, path, chunk_id FROM cards)
 SELECT section, path, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY path, chunk_id) AS k FROM s) WHERE k = 1""",
     "tool_list_files": "SELECT DISTINCT source AS path FROM documents",
-    "expand_queries_post": f"SELECT question_id::BIGINT AS question_id, query_id::BIGINT AS query_id, text FROM {_values([(0, 0, 'q'), (0, 1, 'x'), (0, 2, 'y'), (1, 0, 'q'), (2, 0, 'how'), (3, 0, 'a b'), (3, 1, 'c'), (3, 2, 'c')], 'question_id, query_id, text')}",
+    "expand_queries_post": f"""WITH t AS (SELECT (u.conv_id + 1) * 1000000 + u.turn AS question_id, u.text AS q, a.text AS r FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+x AS (SELECT question_id, [q] || list_filter(list_transform(string_split(coalesce(r, ''), chr(10)), lambda l: trim(l, {_WS})), lambda l: l <> '' AND l <> q)[1:2] AS l FROM t)
+SELECT question_id::BIGINT AS question_id, query_id::BIGINT AS query_id, text FROM {_values([(0, 0, 'q'), (0, 1, 'x'), (0, 2, 'y'), (1, 0, 'q'), (2, 0, 'how'), (3, 0, 'a b'), (3, 1, 'c'), (3, 2, 'c')], 'question_id, query_id, text')} UNION ALL
+SELECT question_id::BIGINT, generate_subscripts(l, 1)::BIGINT - 1, unnest(l) FROM x""",
     "chat_history": f"""WITH {_SOURCES}, l AS (SELECT question_id, string_agg(label, ' ; ' ORDER BY place) AS sources FROM so GROUP BY question_id)
 SELECT conv_id AS question_id, turn, role, sources FROM conversations LEFT JOIN l ON question_id = conv_id""",
     "parse_repo_url": f"WITH {_URLS} SELECT * FROM a",
@@ -232,9 +264,10 @@ SELECT path || '::' || (row_number() OVER (PARTITION BY path ORDER BY ord, i) -
   'File: ' || path || CASE WHEN heading <> '' THEN ' | Section: ' || heading ELSE '' END || chr(10) || chr(10) || t AS text, nullif(heading, '') AS heading, count(*) OVER (PARTITION BY path) AS total_chunks FROM fin""",
     "imports_summary": f"""WITH {_IM}, i AS (SELECT src, 'src' || (b % 20) || '.doc_' || b AS raw FROM im),
 l AS (SELECT raw, list(src ORDER BY src) AS o FROM i GROUP BY raw UNION ALL SELECT split_part(src, '/', 1), list(raw ORDER BY raw) FROM i GROUP BY 1) SELECT raw, {_suited("o")} AS summary FROM l""",
-    "code_chunk_text": _code_text(),
-    "code_units": f"SELECT path, ord::BIGINT AS ord, name, unit_type, signature, docstring, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM {_values(UNITS, 'path, ord, name, unit_type, signature, docstring, line_start, line_end')}",
-    "code_imports": f"SELECT * FROM {_values(PARSED, 'path, language, imports, module_doc')}",
+    "code_chunk_text": f"WITH {_CF} SELECT path, name, text FROM ct UNION ALL {_code_text()}",
+    "code_chunks": f"WITH {_CF} SELECT path || '::' || ord AS chunk_id, text, language, ord::BIGINT AS chunk_index, total::BIGINT AS total_chunks, name AS unit_name, unit_type, signature, array_to_string(imports, ' ') AS imports FROM ct",
+    "code_units": f"WITH {_CF} SELECT path, ord::BIGINT AS ord, name, unit_type, signature, docstring, line_start, line_end FROM cu UNION ALL SELECT path, ord::BIGINT AS ord, name, unit_type, signature, docstring, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM {_values(UNITS, 'path, ord, name, unit_type, signature, docstring, line_start, line_end')}",
+    "code_imports": f"WITH {_CF} SELECT path, language, array_to_string(imports, ' ') AS imports, module_doc FROM cu WHERE ord = 0 UNION ALL SELECT * FROM {_values(PARSED, 'path, language, imports, module_doc')}",
     "resolve_python": f"""WITH {_IM}, rw AS (SELECT DISTINCT src, 'src' || (b % 20) || '.doc_' || b AS raw FROM im), rs AS (SELECT rw.src, rw.raw, dst FROM rw LEFT JOIN hit ON hit.src = rw.src AND hit.raw = rw.raw) {_resolved("python")}""",
     "resolve_js": f"WITH {_JS} {_resolved('javascript')}",
     "resolve_go": f"WITH {_GO} {_resolved('go')}",
@@ -250,6 +283,13 @@ SELECT path, coalesce(x || ' | ' || y, x, y, 'no resolved dependencies') AS summ
 '"' || split_part(path, '/', -1) || '\\n+ load\\n+ Run"' AS label, 'py' AS style FROM sh""",
     "diagram_edges": f"WITH {_SHOWN.format(60)} SELECT DISTINCT {_NODE.format('src')} AS src_node, {_NODE.format('dst')} AS dst_node FROM e WHERE src IN (SELECT path FROM sh) AND dst IN (SELECT path FROM sh)",
     "diagram_groups": f"WITH {_SHOWN.format(60)} SELECT split_part(path, '/', 1) AS directory, string_agg(path, ',' ORDER BY path) AS files FROM sh GROUP BY 1",
+    "mermaid_lines": f"""WITH {_SHOWN.format(60)}, dr AS (SELECT DISTINCT split_part(path, '/', 1) AS dir FROM sh),
+li AS (SELECT 0 AS part, '' AS dir, 0 AS step, '' AS k, '%%{{init: {{"theme": "neutral"}}}}%%' AS line UNION ALL SELECT 1, '', 0, '', 'graph LR' UNION ALL
+  SELECT 2, dir, 0, '', '    subgraph ' || {_NODE.format("dir")} || '["' || dir || '/"]' FROM dr UNION ALL SELECT 2, dir, 2, '', '    end' FROM dr UNION ALL
+  SELECT 2, split_part(path, '/', 1), 1, path, '        ' || {_NODE.format("path")} || '["' || split_part(path, '/', -1) || '\\n+ load\\n+ Run"]:::py' FROM sh UNION ALL
+  SELECT DISTINCT 3, '', 0, {_NODE.format("src")} || ' ' || {_NODE.format("dst")}, '    ' || {_NODE.format("src")} || ' --> ' || {_NODE.format("dst")} FROM e WHERE src IN (SELECT path FROM sh) AND dst IN (SELECT path FROM sh) UNION ALL
+  SELECT 4, '', place, '', '    classDef ' || name || '  fill:' || fill || ',stroke:' || stroke || ',color:' || ink FROM {_values([(k, n, *c) for k, (n, c) in enumerate(COLOURS.items())], 'place, name, fill, stroke, ink')})
+SELECT row_number() OVER (ORDER BY part, dir, step, k) AS place, line FROM li""",
     "graph_summary_lines": f"""WITH {_SUMMARY}
 SELECT 'Repository summary: ' || (SELECT count(*) FROM al) || ' files total, ' || (SELECT count(*) FROM e) || ' resolved import relationships.' || chr(10) AS line UNION ALL
 SELECT 'File: ' || path || chr(10) || '  Defines: load, Run' || chr(10) || coalesce('  Imports: ' || o.x || chr(10), '') || coalesce('  Imported by: ' || n.x || chr(10), '') FROM sh LEFT JOIN o USING (path) LEFT JOIN n USING (path)""",

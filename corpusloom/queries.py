@@ -1,14 +1,15 @@
 """The registered queries over the reference tables; ``oracles.py`` has SQL for each.
 
 Derived tables, made alike on both sides: CH (documents as chunks, their source as path), HY (chunks with their
-embedding, or that of their words where the table has none), Q (every benchmark item as a query, three to a question), FI (documents as files), IM (two imports of each file).
+embedding, or that of their words where the table has none), Q (every benchmark item as a query, three to a question), FI (documents as files), IM (two imports of each file),
+CF (a code file of each document, in five languages).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.languages import language
@@ -22,6 +23,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 EXTENSIONS = ("md", "txt", "py", "go", "js", "mmd", "adoc", "lua")
 JS_MODULES = (".ts", ".js", "/index.js", ".jsx")
 
+#: endings of CF's files by doc_id % 5, the line that is repeated in a body, and the file; 1 is the id, 2 words of the document, 3 a small number, 4 the repeated lines
+CODE = (
+    ("py", "\n    v = 1", '"""%2$s"""\nimport os, src%3$s.doc_%1$s\nfrom . import x\n\ndef load_%1$s(a: int, *, k=1) -> str:\n    "%2$s"%4$s\n\nclass Run%1$s(Base):\n    def g(self): pass\n'),
+    ("js", "\n  const s = '}' + x", "// %2$s\nimport a from './a_%1$s'\nconst b = require('b%3$s')\n\n// adds\n// %2$s\nexport function add_%1$s(x) {%4$s\n}\nclass Box%1$s extends Base {\n  put(v) { this.v = v }\n}\n"),
+    ("go", '\n\tif a > 0 { fmt.Println("{") }', 'package m\n\nimport (\n\t"fmt"\n\tf "x/y%3$s"\n)\n\n/* Run runs %2$s. */\nfunc (s *Server) Run%1$s(a int) {%4$s\n}\n\ntype Server%1$s struct {\n\tn int\n}\n'),
+    ("java", "\n        return k;", "/* %2$s */\nimport a.b%3$s.C;\npublic class Box%1$s {\n    public int get(int k) {%4$s\n    }\n}\n"),
+    ("rs", "\n    go();", "use std::io%3$s;\npub use x::y;\n\n/// Reads %2$s\npub fn read_%1$s(n: u8) {%4$s\n}\nimpl Reader%1$s {\n    fn inner(&self) {}\n}\n"),
+)
+UNPARSED = "import os\ndef f(:\n%s"  # every fifth Python file
+PLAIN = 'x = 1\ny = "%s"\n'  # every fifth, too
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -75,6 +87,17 @@ def im(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return aimed.select("src", F.lit("python").alias("language"), raw.alias("raw")), d.select(path.alias("path"))
 
 
+def cf(spark: SparkSession, sf: str) -> DataFrame:
+    """A code file of each document."""
+    d, n = _table(spark, sf, "documents"), F.col("doc_id")
+    words = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z]+", " ")), F.lit("")), F.lit("none"))
+    by_kind = lambda values: F.element_at(F.array(*values), (n % len(CODE) + 1).cast("int"))
+    files = by_kind([F.format_string(text, n, words, n % 7, F.repeat(F.lit(line), (n % 4 + 1).cast("int"))) for _, line, text in CODE])
+    content = F.when(n % 25 == 0, F.format_string(UNPARSED, words)).when(n % 25 == 5, F.format_string(PLAIN, words)).otherwise(files)
+    path = F.concat(F.lit("code/s"), (n % 20).cast("string"), F.lit("/f_"), n.cast("string"), F.lit("."), by_kind([F.lit(ending) for ending, _, _ in CODE]))
+    return d.select(path.alias("path"), content.alias("content")).withColumn("raw_url", F.concat(F.lit("https://example.org/"), "path")).withColumn("file_type", file_type(F.col("path")))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.import_edges(*im(spark, sf))
 
@@ -209,7 +232,11 @@ def tool_list_files(spark, sf):
 
 
 def expand_queries_post(spark, sf):
-    return ranking.expanded(values(spark, GOLDEN_RESPONSES, "question_id long, question string, response string"))
+    """Each turn of a user as a question, the turn after it as the model's response; and fixed ones."""
+    turns = _table(spark, sf, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    asked = turns.filter("role = 'user'").join(after, ["conv_id", "turn"], "left").select(((F.col("conv_id") + 1) * 1000000 + F.col("turn")).cast("long").alias("question_id"), F.col("text").alias("question"), "response")
+    return ranking.expanded(values(spark, GOLDEN_RESPONSES, "question_id long, question string, response string").unionByName(asked))
 
 
 def chat_history(spark, sf):
@@ -221,9 +248,12 @@ def chat_history(spark, sf):
 
 # ---------------------------------------------------------------- files
 def parse_repo_url(spark, sf):
-    pages = _table(spark, sf, "pages").select("url")
-    both = pages.unionByName(values(spark, [(u,) for u in GOLDEN_URLS], "url string"))
-    return both.select("url", repository.parse_address(F.col("url")).alias("a")).select("url", "a.owner", "a.repo", "a.branch")
+    """Addresses of pages, of a repository of each document (plain, as a clone's, with a branch), and fixed ones."""
+    pages, n = _table(spark, sf, "pages").select("url"), F.col("doc_id")
+    more = F.when(n % 3 == 0, "").when(n % 3 == 1, ".git").otherwise(F.concat(F.lit("/tree/dev/"), (n % 5).cast("string")))
+    own = _table(spark, sf, "documents").select(F.concat(F.lit("https://github.com/"), "source", F.lit("/doc_"), n.cast("string"), more).alias("url"))
+    every = pages.unionByName(own).unionByName(values(spark, [(u,) for u in GOLDEN_URLS], "url string"))
+    return every.select("url", repository.parse_address(F.col("url")).alias("a")).select("url", "a.owner", "a.repo", "a.branch")
 
 
 def repo_id(spark, sf):
@@ -294,22 +324,32 @@ def imports_summary(spark, sf):
 
 
 def code_chunk_text(spark, sf):
-    units = values(spark, GOLDEN_UNITS, "path string, language string, name string, unit_type string, signature string, docstring string, body string, imports array<string>, module_doc string")
-    c = [F.col(n) for n in ("path", "language", "name", "unit_type", "signature", "docstring", "body", "imports", "module_doc")]
-    return units.select("path", "name", chunking.code_text(*c).alias("text"))
+    names = ["path", "language", "name", "unit_type", "signature", "docstring", "body", "imports", "module_doc"]
+    fixed = values(spark, GOLDEN_UNITS, "path string, language string, name string, unit_type string, signature string, docstring string, body string, imports array<string>, module_doc string")
+    units, parsed = parsing.parse_files(cf(spark, sf).select("path", "content"))
+    both = fixed.unionByName(units.join(parsed, "path").withColumnRenamed("raw_imports", "imports").select(*names))
+    return both.select("path", "name", chunking.code_text(*map(F.col, names)).alias("text"))
 
 
-def _golden_parse(spark):
-    return parsing.parse_files(values(spark, GOLDEN_FILES, "path string, content string"))
+def code_chunks(spark, sf):
+    """All three routes' entry over code files."""
+    files = cf(spark, sf)
+    made = chunking.chunk_files(files, *parsing.parse_files(files.select("path", "content")))
+    return made.select("chunk_id", "text", "language", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "unit_name", "unit_type", "signature", F.array_join("imports", " ").alias("imports"))
+
+
+def _code_parse(spark, sf):
+    """Units and imports of a code file of each document, and of fixed ones."""
+    return parsing.parse_files(values(spark, GOLDEN_FILES, "path string, content string").unionByName(cf(spark, sf).select("path", "content")))
 
 
 def code_units(spark, sf):
-    units, _ = _golden_parse(spark)
+    units, _ = _code_parse(spark, sf)
     return units.select("path", F.col("ord").cast("long").alias("ord"), "name", "unit_type", "signature", "docstring", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 def code_imports(spark, sf):
-    _, parsed = _golden_parse(spark)
+    _, parsed = _code_parse(spark, sf)
     return parsed.select("path", "language", F.array_join("raw_imports", " ").alias("imports"), "module_doc")
 
 
@@ -408,6 +448,12 @@ def diagram_groups(spark, sf):
     return shown.select("directory", F.array_join("files", ",").alias("files"))
 
 
+def mermaid_lines(spark, sf):
+    """The lines of the diagram of the best connected files, in order."""
+    lines = diagram.diagram_lines(im_chunks(spark, sf), edges(spark, sf))
+    return lines.select(F.row_number().over(Window.orderBy("part", "key")).cast("long").alias("place"), "line")
+
+
 def graph_summary_lines(spark, sf):
     return diagram.summary_lines(im_chunks(spark, sf), edges(spark, sf)).select("line")
 
@@ -420,7 +466,7 @@ _ALL = (
     tokenize_counts, bm25_term_stats, bm25_doc_len, bm25_scores, cosine_scores, vector_topk_capped, rank_lists, rrf_fusion, hybrid_search, multi_query_merge,
     graph_augmented_retrieve, build_sources, context_block, chunks_for_file, indexed_files, index_size, file_counts, search_tool, tool_fetch, tool_list_sections, tool_list_files,
     expand_queries_post, chat_history, parse_repo_url, repo_id, file_filter, file_limit, file_types, detect_language, generic_blocks, file_comment, truncate_units, dedup_units, chunk_router,
-    mermaid_chunks, markdown_sections, markdown_chunks, imports_summary, code_chunk_text, code_units, code_imports, parse_corpus, embed_documents, resolve_python, resolve_js, resolve_go,
-    import_edges, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, graph_summary_lines, ui_caption,
+    mermaid_chunks, markdown_sections, markdown_chunks, imports_summary, code_chunk_text, code_chunks, code_units, code_imports, parse_corpus, embed_documents, resolve_python, resolve_js, resolve_go,
+    import_edges, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, mermaid_lines, graph_summary_lines, ui_caption,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -8,10 +8,15 @@ sums taken in another order) rank alike everywhere.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.scratch import written
 from ..functions.text import strip, words
@@ -24,6 +29,8 @@ BONUS = 0.15
 NO_NORM = 1e-10
 #: Rows of queries, and of their terms, that a broadcast may hold: some tens of MB at most.
 BROADCAST_QUERIES, BROADCAST_TERMS = 10_000, 500_000
+#: Cosines that a task holds at once.
+BLOCK_CELLS = 2_000_000
 
 
 # ---------------------------------------------------------------- BM25
@@ -44,9 +51,13 @@ def token_counts(chunks: DataFrame) -> DataFrame:
 
 
 def bm25_index(chunks: DataFrame) -> Bm25:
-    """BM25 statistics. Counts are combined before each shuffle; a frequent term is one small row per task."""
-    tokens = chunks.select("chunk_id", words(F.col("text")).alias("w"))
-    lengths = tokens.select("chunk_id", F.size("w").cast("long").alias("dl"))
+    """BM25 statistics. A frequent term is one small row per task.
+
+    Texts are dealt by chunk_id once, so the counts of a chunk's terms, and later its scores, are
+    summed where they are: no posting is shuffled.
+    """
+    lengths = chunks.select("chunk_id", F.size(words(F.col("text"))).cast("long").alias("dl"))
+    tokens = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", words(F.col("text")).alias("w"))
     postings = tokens.select("chunk_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     postings = postings.select("term", "chunk_id", "tf", "dl")
     totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
@@ -99,19 +110,53 @@ def _over(product: Column, length: Column) -> Column:
     return product / F.when(length == 0, F.lit(NO_NORM)).otherwise(length)
 
 
+def _cosines(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (chunk_id, path, embedding): instead of the embedding the cosines with ``vectors``, in their order."""
+    places: dict[int, list[int]] = {}
+    for at, vector in enumerate(vectors):
+        if vector is not None and None not in vector:
+            places.setdefault(len(vector), []).append(at)
+    by_size = {n: (np.array(at), np.array([vectors[k] for k in at], dtype=float).reshape(len(at), n).T) for n, at in places.items()}
+    step = max(1, BLOCK_CELLS // max(1, len(vectors)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                own = part.column("embedding")
+                sizes = pc.fill_null(pc.list_value_length(own), -1).to_numpy(zero_copy_only=False)
+                out = np.zeros((part.num_rows, len(vectors)))
+                unknown = np.ones(out.shape, dtype=bool)
+                for n, (at, asked) in by_size.items():
+                    here = np.flatnonzero(sizes == n)
+                    flat = pc.list_flatten(own.take(pa.array(here)))
+                    x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(here), n)
+                    length = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(asked, axis=0))
+                    out[np.ix_(here, at)] = x @ asked / np.where(length == 0, NO_NORM, length)
+                    unknown[np.ix_(here, at)] = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(here), n).any(axis=1)[:, None]
+                lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * len(vectors), pa.array(out.ravel(), mask=unknown.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("path"), lists], ["chunk_id", "path", "cosines"])
+
+    return score
+
+
 def cosine_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, path and cosine of every chunk for every query.
+    """query_id, chunk_id, path and cosine of every chunk for every query; null where a vector is, has a null, or sizes differ.
 
-    The stated query set goes against all rows in blocks of ``BROADCAST_QUERIES`` at most; lengths are taken once a row.
+    The stated query set goes against all rows in blocks of ``BROADCAST_QUERIES`` at most; a task multiplies slices of its
+    rows with a block's vectors, ``BLOCK_CELLS`` results at a time.
     """
-    own = chunks.select("chunk_id", "path", "embedding", norm(F.col("embedding")).alias("length"))
-    asked = written(queries.select("query_id", "vec", norm(F.col("vec")).alias("asked_length")), "queries")
+    own = chunks.select("chunk_id", "path", "embedding")
+    kept = StructType([own.schema["chunk_id"], own.schema["path"], StructField("cosines", ArrayType(DoubleType()))])
+    asked = written(queries.select("query_id", "vec"), "queries")
+    named = StructType([StructField("place", IntegerType()), asked.schema["query_id"]])
     blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
     out = None
     for k in range(blocks):
-        few = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        made = own.crossJoin(F.broadcast(few)).select(
-            "query_id", "chunk_id", "path", _over(_dot(F.col("embedding"), F.col("vec")), F.col("length") * F.col("asked_length")).alias("cosine"))
+        few = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).collect()
+        ids = chunks.sparkSession.createDataFrame([(at, row["query_id"]) for at, row in enumerate(few)], named)
+        rows = own.mapInArrow(_cosines([row["vec"] for row in few]), kept).select("chunk_id", "path", F.posexplode("cosines").alias("place", "cosine"))
+        made = rows.join(F.broadcast(ids), "place").select("query_id", "chunk_id", "path", "cosine")
         out = made if out is None else out.unionByName(made)
     return out
 

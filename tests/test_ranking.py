@@ -73,3 +73,15 @@ def test_bonus_for_several_queries(spark):
 def test_cosine_without_length(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(ranking.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, pytest.approx(1.0)]
+
+
+def test_cosines_in_blocks_equal_the_column(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_CELLS", 5)
+    chunks = spark.createDataFrame([(k, "p", [float(k), 1.0 - k]) for k in range(9)] + [(9, "p", [0.0, 0.0]), (10, "p", None), (11, "p", [1.0]), (12, "p", [None, 1.0])], "chunk_id long, path string, embedding array<float>")
+    asked = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [3.0]), ("e", [0.5, None])], "query_id string, vec array<float>")
+    plain = chunks.crossJoin(asked).select("query_id", "chunk_id", F.round(ranking.cosine(F.col("embedding"), F.col("vec")), 9).alias("cosine"))
+    for most in (10_000, 2):
+        monkeypatch.setattr(ranking, "BROADCAST_QUERIES", most)
+        own = ranking.cosine_scores(chunks, asked).select("query_id", "chunk_id", F.round("cosine", 9).alias("cosine"))
+        assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert ranking.cosine_scores(chunks, asked.limit(0)).count() == 0

@@ -172,12 +172,12 @@ def short_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return mix((h ^ (values & np.uint64((1 << (8 * size)) - 1))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
 
-def word_spans(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of each text, and for each text the index of its first word."""
+def word_spans(data: bytes, offsets: np.ndarray, of_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each text, and for each text the index of its first word; ``of_word`` tells the bytes of words."""
     if not data:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = _IS_WORD[np.frombuffer(data, np.uint8)]
+    word = of_word[np.frombuffer(data, np.uint8)]
     before, after = np.zeros(len(word), bool), np.zeros(len(word), bool)
     before[1:], after[:-1] = word[:-1], word[1:]
     edges = offsets[(offsets > 0) & (offsets < len(word))]
@@ -186,6 +186,16 @@ def word_spans(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def span_texts(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of ``data`` (in order, none inside another) as strings."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    inside = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    own = np.frombuffer(data, np.uint8)[inside]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts (A-Z lower-cased), and each text's bounds among them."""
     data, offsets = joined_bytes(texts)

@@ -15,6 +15,7 @@ from .common import table, written
 from .decontaminate import find_leaks
 from .line_dedup import LineIndex, drop_lines
 from .near_dups import near_duplicates
+from .phrase_mining import collocations
 from .piece_codec import encode_checked
 from .quality_rules import apply_rules
 from .quality_model import score as quality_score
@@ -93,6 +94,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
 }
 
 _W = r"[\x20\x09-\x0D]"
@@ -214,8 +220,25 @@ SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION B
 SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term
 QUALIFY rank <= 50
 """
+_GRAMS12 = " UNION ALL ".join(f"SELECT lang, {n} AS size, array_to_string(w[i:i + {n - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM pw)" for n in range(1, 6))
+_SQL12 = rf"""
+WITH pw AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pw GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM ({_GRAMS12}) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+inside AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+  SELECT *, unnest(range(1, size - m + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS m FROM c)) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cut AS (SELECT k.lang, k.phrase, k.a, x.a AS l, y.a AS r, i, tot.n, ((1000::HUGEINT * k.a * tot.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS i FROM k) k JOIN tot USING (lang)
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:i], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[i + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low QUALIFY rank <= 2000
+"""
 
 ORACLES = {
+    "op12_collocations": _SQL12,
     "op11_source_divergence": _SQL11,
     "op3_near_dups": _SQL3,
     "op1_chat_format": _SQL1,

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .chat_format import CONTROL, MARK, TEMPLATE, conversation_digests, format_turns
 from .common import table, written
 from .decontaminate import find_leaks
+from .language_id import identify
+from .language_id import train as train_language
 from .line_dedup import LineIndex, drop_lines
 from .near_dups import near_duplicates
 from .phrase_mining import collocations
@@ -98,6 +100,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = train_language(docs, ~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -111,6 +120,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 _W = r"[\x20\x09-\x0D]"

@@ -81,7 +81,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED, block: int = BLOCK) -> LanguageModel:
     """A model of the rows for which ``usable`` is true and whose language is known."""
-    rows = docs.filter(F.col(lang).isNotNull() & usable).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
+    rows = docs.filter(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & usable).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
     known = sized(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(1 << 30) * (F.lit(max_labelled) / F.col("rows"))
     picked = rows.join(known, "lang").filter(place).select("text", "lang")

@@ -146,9 +146,9 @@ def _meeting(home: pa.Table, guests: pa.Table) -> pa.Table:
     read = lambda t: zip(*(t.column(c).to_pylist() for c in ("source", "block", "size", "floor", "places", "extra")), strict=True)
     own = list(read(home))
     names = [x[0] for x in own]
-    block = np.stack([_shares_of(*x[2:]) for x in own])
-    lang, found = home.column("lang")[0].as_py(), []
-    for source, of, *piece in read(guests):
+    block = np.stack([_shares_of(*x[2:]) for x in own]) if own else None
+    lang, found = home.column("lang")[0].as_py() if own else None, []
+    for source, of, *piece in read(guests) if own else ():  # a block may have no group
         apart = np.abs(block - _shares_of(*piece)).sum(axis=1).tolist()
         for name, value in zip(names, apart, strict=True):
             if of != own[0][1]:

@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: its rows are fixed and its lineage ends.
+def written(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: its rows are fixed and its lineage ends. ``options`` are the Parquet writer's.
 
     The files go when the driver's file system closes. Where the setting is missing a local
     folder is made in local mode, as in tests; on a cluster that is an error.
@@ -22,7 +22,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

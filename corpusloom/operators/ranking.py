@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.scratch import written
 from ..functions.text import strip, words
@@ -31,6 +31,8 @@ NO_NORM = 1e-10
 BROADCAST_QUERIES, BROADCAST_TERMS = 10_000, 500_000
 #: Cosines that a task holds at once.
 BLOCK_CELLS = 2_000_000
+#: Terms that become a filter of the scan, and the size of a row group of clustered postings.
+PUSHED_TERMS, ROW_GROUP = 500, 4 << 20
 
 
 # ---------------------------------------------------------------- BM25
@@ -50,24 +52,53 @@ def token_counts(chunks: DataFrame) -> DataFrame:
     return own.select("chunk_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-def bm25_index(chunks: DataFrame) -> Bm25:
-    """BM25 statistics. A frequent term is one small row per task.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, words) to a row for each word a chunk holds; a chunk is one row, so nothing is shuffled to count its words."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.list_flatten(lists).dictionary_encode()
+        width = max(1, len(found.dictionary))
+        key, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + found.indices.to_numpy(), return_counts=True)
+        row = key // width
+        yield pa.RecordBatch.from_arrays(
+            [found.dictionary.take(pa.array(key % width)), batch.column(0).take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(sizes[row])], ["term", "chunk_id", "tf", "dl"])
 
-    Texts are dealt by chunk_id once, so the counts of a chunk's terms, and later its scores, are
-    summed where they are: no posting is shuffled.
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, tf and dl (words of the chunk). One scan without a shuffle."""
+    own = chunks.select("chunk_id", words(F.col("text")).alias("w"))
+    kind = StructType([StructField("term", StringType()), own.schema["chunk_id"], StructField("tf", LongType()), StructField("dl", LongType())])
+    return own.mapInArrow(_runs, kind)
+
+
+def clustered(postings: DataFrame, row_group: int = ROW_GROUP) -> tuple[DataFrame, dict[str, object]]:
+    """``postings`` dealt by ranges of (term, chunk_id) and sorted, and the options to write them with.
+
+    A term lies in few row groups, whose statistics say so; a frequent term spreads over ranges of chunks.
     """
+    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), {"parquet.block.size": row_group}
+
+
+def bm25_index(chunks: DataFrame, keep: bool = False, row_group: int = ROW_GROUP) -> Bm25:
+    """BM25 statistics; with ``keep`` the postings are written clustered by term, and the other tables made from them."""
     lengths = chunks.select("chunk_id", F.size(words(F.col("text"))).cast("long").alias("dl"))
-    tokens = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", words(F.col("text")).alias("w"))
-    postings = tokens.select("chunk_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    postings = postings.select("term", "chunk_id", "tf", "dl")
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
+    postings = postings_of(chunks)
+    if keep:
+        dealt, options = clustered(postings, row_group)
+        postings = written(dealt, "postings", **options)
+        totals = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))
+        totals = written(totals.select("n", F.coalesce(F.try_divide("all", "n"), F.lit(0.0)).alias("avgdl")), "totals")
+    else:
+        totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
     raw = (
         postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
         .select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     )
+    raw = written(raw, "document-frequencies") if keep else raw
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(postings, lengths, terms, totals)
+    return Bm25(postings, lengths, written(terms, "terms") if keep else terms, totals)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -75,20 +106,44 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _any_of(name: str, values: list[str]) -> Column:
+    """Equality with one of ``values`` as a balanced tree: each comparison reaches the statistics of row groups, which an IN of many values doesn't."""
+    if len(values) <= 1:
+        return F.col(name) == values[0] if values else F.lit(False)
+    half = len(values) // 2
+    return _any_of(name, values[:half]) | _any_of(name, values[half:])
+
+
+@dataclass(frozen=True)
+class AskedTerms:
+    """The terms of a batch of queries: (query_id, term, times, df, idf), a broadcast while they are few, and the filter on postings that they allow."""
+
+    rows: DataFrame
+    where: Column | None
+
+
+def asked_terms(index: Bm25, queries: DataFrame) -> AskedTerms:
+    rows = written(query_terms(queries).join(index.terms, "term"), "asked")
+    names = [r["term"] for r in rows.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return AskedTerms(F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows, _any_of("term", sorted(names)) if len(names) <= PUSHED_TERMS else None)
+
+
+def matches_of(index: Bm25, asked: AskedTerms, only: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id and bm25 of chunks that hold an asked term; ``only`` (chunk_id) limits the chunks."""
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    postings = index.postings if asked.where is None else index.postings.filter(asked.where)
+    postings = postings if only is None else postings.join(only, "chunk_id", "left_semi")
+    return postings.join(asked.rows, "term").crossJoin(F.broadcast(index.totals)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+
+
 def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id and the BM25 score of chunks that hold a query's term; all others score 0.
 
-    The queries' terms are counted, and broadcast while they are few: postings stay where they are then.
+    The queries' terms are counted. Up to ``PUSHED_TERMS`` of them are pushed into the scan of the postings, which skips the row groups of other terms
+    where they are clustered; up to ``BROADCAST_TERMS`` rows are broadcast, and beyond that joined.
     """
-    asked = written(query_terms(queries).join(index.terms, "term"), "asked")
-    if asked.count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return (
-        index.postings.join(asked, "term").crossJoin(F.broadcast(index.totals))
-        .groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
-    )
+    return matches_of(index, asked_terms(index, queries))
 
 
 # ---------------------------------------------------------------- vectors
@@ -110,8 +165,8 @@ def _over(product: Column, length: Column) -> Column:
     return product / F.when(length == 0, F.lit(NO_NORM)).otherwise(length)
 
 
-def _cosines(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of batches (chunk_id, path, embedding): instead of the embedding the cosines with ``vectors``, in their order."""
+def cosine_blocks(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    """A function of batches with an ``embedding``: slices of them, their cosines with ``vectors`` (a column each), and where those are unknown."""
     places: dict[int, list[int]] = {}
     for at, vector in enumerate(vectors):
         if vector is not None and None not in vector:
@@ -119,7 +174,7 @@ def _cosines(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordB
     by_size = {n: (np.array(at), np.array([vectors[k] for k in at], dtype=float).reshape(len(at), n).T) for n, at in places.items()}
     step = max(1, BLOCK_CELLS // max(1, len(vectors)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
@@ -134,8 +189,19 @@ def _cosines(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordB
                     length = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(asked, axis=0))
                     out[np.ix_(here, at)] = x @ asked / np.where(length == 0, NO_NORM, length)
                     unknown[np.ix_(here, at)] = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(here), n).any(axis=1)[:, None]
-                lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * len(vectors), pa.array(out.ravel(), mask=unknown.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("path"), lists], ["chunk_id", "path", "cosines"])
+                yield part, out, unknown
+
+    return score
+
+
+def _cosines(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (chunk_id, path, embedding): instead of the embedding the cosines with ``vectors``, in their order."""
+    blocks = cosine_blocks(vectors)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, out, unknown in blocks(batches):
+            lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * len(vectors), pa.array(out.ravel(), mask=unknown.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("path"), lists], ["chunk_id", "path", "cosines"])
 
     return score
 
@@ -208,12 +274,6 @@ def fused(ranks: DataFrame) -> DataFrame:
     return ranks.withColumn("score", 1.0 / (RRF_K + F.col("vector_rank")) + 1.0 / (RRF_K + F.col("bm25_rank")))
 
 
-def hybrid_search(chunks: DataFrame, index: Bm25, queries: DataFrame, k: int = 6, ranked: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, path, score, rank: fused ranking, few chunks of a path, k per query."""
-    ranked = fused(rank_lists(chunks, index, queries)) if ranked is None else ranked
-    return diverse_top(ranked, "query_id", k).select("query_id", "chunk_id", "path", "score", "rank")
-
-
 # ---------------------------------------------------------------- several queries of a question
 def merged(hits: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """question_id, chunk_id, path, hits, score, rank: best score of a chunk, raised by 15 % for each further query that found it."""

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scratch import written
 from ..functions.text import blank_as_null, preview, strip
 from .graph import both_ways
-from .ranking import Bm25, best_per_group, diverse_top, fused, hybrid_search, merged, rank_lists
+from .fusion import hybrid_search
+from .ranking import Bm25, best_per_group, diverse_top, merged
 
 PER_QUERY, FINAL, BY_GRAPH, CANDIDATES = 14, 10, 4, 100
 CONTEXT_CHUNKS, CONTEXT_CHARS = 4, 400
@@ -22,16 +23,15 @@ MOST_REFS = 1_000
 
 
 # ---------------------------------------------------------------- retrieval
-def augmented(semantic: DataFrame, ranked: DataFrame, asked: DataFrame, edges: DataFrame, candidates: int = CANDIDATES, k: int = BY_GRAPH) -> DataFrame:
+def augmented(semantic: DataFrame, pool: DataFrame, asked: DataFrame, edges: DataFrame, k: int = BY_GRAPH) -> DataFrame:
     """question_id, chunk_id, path, score, rank: the best chunk of each file next to one that was found.
 
-    ``ranked`` is the fused ranking of the original questions; ``asked`` (question_id, query_id) names them.
+    ``pool`` holds the first ``CANDIDATES`` hits of the original questions; ``asked`` (question_id, query_id) names them.
     """
     matched = semantic.select("question_id", "path").distinct()
     near = matched.join(both_ways(edges), "path").select("question_id", F.col("other").alias("path")).distinct()
     near = near.join(matched, ["question_id", "path"], "left_anti")
-    pool = diverse_top(ranked, "query_id", candidates).join(asked, "query_id").drop("rank")
-    own = pool.join(near, ["question_id", "path"], "left_semi")
+    own = pool.join(asked, "query_id").drop("rank").join(near, ["question_id", "path"], "left_semi")
     order = [F.desc(F.round("score", 9)), F.col("chunk_id")]
     first = best_per_group(own, ["question_id", "path"], order, 1)
     return best_per_group(first, ["question_id"], order, k, "rank").select("question_id", "chunk_id", "path", "score", "rank")
@@ -39,10 +39,10 @@ def augmented(semantic: DataFrame, ranked: DataFrame, asked: DataFrame, edges: D
 
 def retrieve(chunks: DataFrame, bm25: Bm25, edges: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(semantic, by graph) hits of every question; the first query of a question is the question itself."""
-    ranked = fused(rank_lists(chunks, bm25, queries))
-    semantic = merged(hybrid_search(chunks, bm25, queries, PER_QUERY, ranked), queries, FINAL)
+    semantic = merged(hybrid_search(chunks, bm25, queries, PER_QUERY), queries, FINAL)
     asked = queries.groupBy("question_id").agg(F.min("query_id").alias("query_id"))
-    return semantic, augmented(semantic, ranked.join(asked.select("query_id"), "query_id", "left_semi"), asked, edges)
+    pool = hybrid_search(chunks, bm25, queries.join(asked.select("query_id"), "query_id", "left_semi"), CANDIDATES)
+    return semantic, augmented(semantic, pool, asked, edges)
 
 
 # ---------------------------------------------------------------- what is shown

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from ..operators.chunking import chunk_files, routed
 from ..operators.embedding import embed
 from ..operators.graph import import_edges
 from ..operators.parsing import parse_files
-from ..operators.ranking import Bm25, bm25_index, expanded, hybrid_search
+from ..operators.fusion import hybrid_search
+from ..operators.ranking import Bm25, bm25_index, expanded
 from ..sources.index_store import IndexStore
 from .providers import CODE_PROMPT, DIAGRAM_PROMPT, DOCUMENT_PROMPT, Models
 
@@ -26,8 +28,8 @@ MOST_FETCHED, MOST_LISTED = 40, 1_000
 
 
 def _written_bm25(chunks: DataFrame) -> Bm25:
-    found = bm25_index(chunks)
-    return Bm25(*(written(t, n) for t, n in ((found.postings, "postings"), (found.lengths, "lengths"), (found.terms, "terms"), (found.totals, "totals"))))
+    found = bm25_index(chunks, keep=True)
+    return replace(found, lengths=written(found.lengths, "lengths"))
 
 
 class Index:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions.languages import language
 from .functions.paths import file_type
 from .goldens import GOLDEN_FILES, GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_RESPONSES, GOLDEN_UNITS, GOLDEN_URLS, GRAPH_PATHS
-from .operators import chunking, diagram, graph, parsing, ranking, retrieval
+from .functions.scratch import written
+from .operators import chunking, diagram, fusion, graph, parsing, ranking, retrieval
 from .operators.embedding import embed
 from .sources import repository
 
@@ -151,9 +152,14 @@ def vector_topk_capped(spark, sf):
     return _rounded(ranking.vector_search(hy(spark, sf), q(spark, sf)), "score").select("query_id", "chunk_id", "path", "score", "rank")
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, ranking.Bm25]:
+    """HY and its BM25 index, both stored."""
+    own = written(hy(spark, sf), "chunks")
+    return own, ranking.bm25_index(own, keep=True)
+
+
 def _ranks(spark, sf):
-    own = hy(spark, sf)
-    return ranking.rank_lists(own, ranking.bm25_index(own), q(spark, sf))
+    return ranking.rank_lists(*_index(spark, sf), q(spark, sf))
 
 
 def rank_lists(spark, sf):
@@ -165,7 +171,7 @@ def rrf_fusion(spark, sf):
 
 
 def _hits(spark, sf, k=6):
-    return ranking.diverse_top(ranking.fused(_ranks(spark, sf)), "query_id", k).select("query_id", "chunk_id", "path", "score", "rank")
+    return fusion.hybrid_search(*_index(spark, sf), q(spark, sf), k)
 
 
 def hybrid_search(spark, sf):
@@ -178,8 +184,8 @@ def multi_query_merge(spark, sf):
 
 
 def _retrieved(spark, sf):
-    own = hy(spark, sf)
-    return retrieval.retrieve(own, ranking.bm25_index(own), path_edges(spark, sf), q(spark, sf))
+    own, index = _index(spark, sf)
+    return retrieval.retrieve(own, index, path_edges(spark, sf), q(spark, sf))
 
 
 def graph_augmented_retrieve(spark, sf):

@@ -3,10 +3,11 @@
 A round takes for each query the ``depth`` best chunks of either list, which each task picks among its own rows. Their exact ranks in both lists come
 from counting: a task counts, for each candidate, how many of its chunks stand above it. A chunk that is in neither list has at most the
 reciprocal ranks that follow both lists' ends; once the last hit scores more than that, nothing unseen can change the answer. Queries that
-aren't decided go into a deeper round, and a round as deep as the index has seen every chunk. No row of a query and a chunk is written, sorted or
-dealt but those of candidates and of chunks that hold an asked term (which are only summed).
+aren't decided go into a deeper round, and a round as deep as the index has seen every chunk.
 
-Candidates of a block of queries are held on the driver and sent to tasks: ``MOST_CELLS`` of each list at most, as deeper rounds take fewer queries at once.
+Scores exist only inside tasks, a slice of chunks at a time: no table has a row for a query and a chunk but that of the candidates. Postings of the asked terms
+are dealt by chunk once and stay with the executors for a block of queries. Candidates of a block are held on the driver and sent to tasks, ``MOST_CELLS`` of
+each list at most, as deeper rounds take fewer queries at once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.scratch import written
-from .ranking import NO_NORM, PER_PATH, RRF_K, AskedTerms, Bm25, asked_terms, best_per_group, cosine_blocks, diverse_top, matches_of
+from .ranking import B, BLOCK_CELLS, BROADCAST_TERMS, K1, PER_PATH, PUSHED_TERMS, RRF_K, Bm25, any_of, best_per_group, cosine_blocks, diverse_top, query_terms
 
 #: Depth of the first round beside ``PER_HIT`` for each hit that is asked for, and by what it grows. The k-th hit of one list alone scores above
 #: the bound of a list 2 k + RRF_K deep; the rest is for hits that few chunks of a path keep out.
@@ -66,11 +67,10 @@ class _Best:
 
 
 class _Above:
-    """How many rows stand above each of the candidates (place, score, id), by falling score and then by id."""
+    """How many rows stand above each of the candidates (place, score, id), by falling score and then by id; ``order`` sorts them by place, score and id."""
 
-    def __init__(self, place: np.ndarray, score: np.ndarray, ids: np.ndarray):
-        self.order = sorted(range(len(place)), key=lambda k: (place[k], score[k], ids[k]))
-        self.place, self.score, self.ids = place[self.order], score[self.order], ids[self.order]
+    def __init__(self, place: np.ndarray, score: np.ndarray, ids: np.ndarray, order: np.ndarray):
+        self.order, self.place, self.score, self.ids = order, place[order], score[order], ids[order]
         self.counts = np.zeros(len(place), np.int64)
 
     def add(self, place: int, score: np.ndarray, ids: pa.Array) -> None:
@@ -89,166 +89,220 @@ class _Above:
 
     def found(self, kind: int) -> pa.RecordBatch:
         some = np.flatnonzero(self.counts)
-        at = np.array(self.order, np.int32)[some] if len(some) else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(at), pa.array(self.counts[some])], ["kind", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(self.order[some].astype(np.int32)), pa.array(self.counts[some])], ["kind", "at", "n"])
 
 
 def _rounded(score: np.ndarray) -> np.ndarray:
     return np.round(score, 9) + 0.0
 
 
-def _vector_lists(vectors: list, most: int):
-    """The best chunks of each query by cosine, and as one more place those with the smallest ids."""
+def _cosines(vectors: list):
+    """Batches (chunk_id, embedding) to slices (ids, rounded cosines with a column for each query)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(most, len(vectors) + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         for part, cosines, unknown in cosine_blocks(vectors)(batches):
-            score, ids = np.where(unknown, _NONE, _rounded(cosines)), part.column("chunk_id")
-            n = len(score)
-            least = np.maximum(best.least[:-1], np.partition(score, n - most, axis=0)[n - most]) if n > most else best.least[:-1]
-            row, place = np.nonzero(score >= least)
-            best.add(place, score[row, place], ids.take(pa.array(row)))
-            small = pc.bottom_k_unstable(ids, min(most, n))
-            best.add(np.full(len(small), len(vectors)), np.zeros(len(small)), ids.take(small))
-        yield from best.batches()
+            yield part.column("chunk_id"), np.where(unknown, _NONE, _rounded(cosines))
 
     return run
 
 
-def _score_lists(places: int, most: int):
-    """The best rows of each query among (query_id, chunk_id, bm25); the query's id is its place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(most, places)
+def _bm25(asked: pa.Table, queries: int, avgdl: float):
+    """Batches (chunk_id, code, tf, dl) sorted by chunk to slices (ids, rounded scores); ``asked`` has code, place and weight, sorted by code."""
+    code, place, weight = (asked.column(c).to_numpy() for c in ("code", "place", "weight"))
+    bounds = np.searchsorted(code, np.arange(int(code.max(initial=-1)) + 2))
+    most = max(1, BLOCK_CELLS // queries)
+
+    def scores(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        ids = rows.column("chunk_id").combine_chunks()
+        heads = np.flatnonzero(_heads(ids))
+        own, tf, dl = (rows.column(c).to_numpy() for c in ("code", "tf", "dl"))
+        each = bounds[own + 1] - bounds[own]
+        at = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each) + np.repeat(bounds[own], each)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        chunk = np.repeat(np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids)))), each)
+        sums = np.bincount(chunk * queries + place[at], weight[at] * np.repeat(part, each), len(heads) * queries)
+        return ids.take(pa.array(heads)), _rounded(sums).reshape(len(heads), queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        rest = None
         for batch in batches:
-            best.add(batch.column(0).to_numpy(), _rounded(batch.column(2).to_numpy()), batch.column(1))
-        yield from best.batches()
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            heads = np.append(np.flatnonzero(_heads(rows.column("chunk_id").combine_chunks())), len(rows))
+            last = heads[-2]  # its chunk may go on in the next batch
+            for k in range(0, len(heads) - 2, most):
+                yield scores(rows.slice(heads[k], min(heads[min(k + most, len(heads) - 2)], last) - heads[k]))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield scores(rest)
 
     return run
 
 
-def _vector_counts(vectors: list, sent):
-    """Chunks above each candidate by cosine (kind 0), and chunks with smaller ids (kind 1)."""
+def _heads(ids: pa.Array) -> np.ndarray:
+    """Where a run of equal ids begins."""
+    out = np.ones(len(ids), bool)
+    out[1:] = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _lists(slices, queries: int, most: int, more):
+    """(place, chunk_id, score): the ``most`` best chunks of each query above the least score of ``more``, and what ``more`` gives beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, cosine, _, ids = sent.value
-        above, before = _Above(place, cosine, ids), _Above(np.zeros_like(place), np.zeros_like(cosine), ids)
-        for part, cosines, unknown in cosine_blocks(vectors)(batches):
-            score, own = np.where(unknown, _NONE, _rounded(cosines)), part.column("chunk_id")
-            for k in range(len(vectors)):
-                above.add(k, score[:, k], own)
-            before.add(0, np.zeros(len(own)), own)
-        yield from (above.found(0), before.found(1))
+        best = _Best(most, queries)
+        for ids, score in slices(batches):
+            n = len(score)
+            least = np.maximum(best.least, np.partition(score, n - most, axis=0)[n - most]) if n > most else best.least
+            row, place = np.nonzero((score >= least) & more.listed(score))
+            best.add(place, score[row, place], ids.take(pa.array(row)))
+            more.add(ids, score)
+        yield from best.batches()
+        yield from more.batches()
 
     return run
 
 
-def _score_counts(places: int, sent):
-    """Of the chunks that hold a term: those above each candidate (kind 2), those with smaller ids (kind 3), all of a query (kind 4)."""
+class _SmallestIds:
+    """Beside all cosines: the ``most`` smallest ids, as place -1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, _, score, ids = sent.value
-        above, before, every = _Above(place, score, ids), _Above(place, np.zeros_like(score), ids), np.zeros(places, np.int64)
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            order = np.argsort(own, kind="stable")
-            scores = _rounded(batch.column(2).to_numpy())
-            for k, begin in zip(*np.unique(own[order], return_index=True), strict=True):
-                rows = order[begin : np.searchsorted(own[order], k, "right")]
-                chunk = batch.column(1).take(pa.array(rows))
-                above.add(int(k), scores[rows], chunk)
-                before.add(int(k), np.zeros(len(rows)), chunk)
-                every[k] += len(rows)
-        some = np.flatnonzero(every)
-        yield from (above.found(2), before.found(3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 4, np.int32)), pa.array(some.astype(np.int32)), pa.array(every[some])], ["kind", "at", "n"])
+    def __init__(self, most: int):
+        self.most, self.ids = most, None
 
-    return run
+    def listed(self, score: np.ndarray) -> np.ndarray:
+        return np.ones(score.shape, bool)
 
+    def add(self, ids: pa.Array, score: np.ndarray) -> None:
+        every = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        self.ids = every.take(pc.bottom_k_unstable(every, min(self.most, len(every))))
 
-def _pair_cosines(vectors: list):
-    """(place, chunk_id, path, embedding) to (place, chunk_id, path, cosine); null where it is unknown."""
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            n = len(self.ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), self.ids, pa.array(np.zeros(n))], ["place", "chunk_id", "score"])
 
-    def cosine(a, b) -> float | None:
-        if a is None or b is None or len(a) != len(b) or None in b or np.isnan(x := np.array(a, float)).any() and None in a:
-            return None
-        length = np.linalg.norm(x) * np.linalg.norm(b)
-        return float(x @ np.array(b, float) / (length or NO_NORM))
+
+class _NotZero:
+    """Beside positive scores: which of ``ids`` (sent) score other than 0 for a query, as place - queries - 1."""
+
+    def __init__(self, sent, queries: int):
+        self.sent, self.queries, self.found = sent, queries, []
+
+    def listed(self, score: np.ndarray) -> np.ndarray:
+        return score > 0
+
+    def add(self, ids: pa.Array, score: np.ndarray) -> None:
+        rows = np.flatnonzero(pc.is_in(ids, value_set=pa.array(self.sent.value, ids.type)).to_numpy(zero_copy_only=False))
+        row, place = np.nonzero(score[rows])
+        self.found.append(pa.RecordBatch.from_arrays([pa.array((place - self.queries - 1).astype(np.int32)), ids.take(pa.array(rows[row])), pa.array(np.zeros(len(row)))], ["place", "chunk_id", "score"]))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        yield from self.found
+
+
+def _counts(slices, queries: int, sent, which: int, kind: int):
+    """(kind, at, n): for each candidate the chunks above it (``kind``), for each of their ids the chunks with smaller ones (``kind`` + 1), and all chunks (``kind`` + 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [cosine(e, vectors[p]) for p, e in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["place", "chunk_id", "path", "cosine"])
+        place, ids, alone, lists = sent.value
+        zero = np.zeros(len(alone), np.int64)
+        above, before, every = _Above(place, lists[which][0], ids, lists[which][1]), _Above(zero, zero.astype(float), alone, np.arange(len(alone))), 0
+        for own, score in slices(batches):
+            for k in range(queries):
+                above.add(k, score[:, k], own)
+            before.add(0, np.zeros(len(own)), own)
+            every += len(own)
+        yield from (above.found(kind), before.found(kind + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([kind + 2], pa.int32()), pa.array([0], pa.int32()), pa.array([every])], ["kind", "at", "n"])
 
     return run
 
 
-# ---------------------------------------------------------------- a round
-def _lists(rows: DataFrame, most: int) -> pa.Table:
-    """The best ``most`` of each place among what the tasks found."""
-    return best_per_group(rows, ["place"], [F.desc("score"), F.col("chunk_id")], most).toArrow()
+def _picked(slices, sent):
+    """(place, chunk_id, score) of the candidates (place, chunk_id) among the slices' chunks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, wanted = sent.value
+        for ids, score in slices(batches):
+            codes = pc.index_in(pa.array(wanted, ids.type), value_set=ids)
+            some = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+            row = codes.take(pa.array(some)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(place[some]), ids.take(pa.array(row)), pa.array(score[row, place[some]])], ["place", "chunk_id", "score"])
 
-def _candidates(by_cosine: pa.Table, by_score: pa.Table, queries: int, depth: int) -> tuple[pa.Table, np.ndarray]:
-    """The pairs (place, chunk_id) of both lists, and how deep the list of BM25 scores is known for each query.
+    return run
 
-    Chunks without a term score 0 and follow those with positive scores by id; they are known as far as the smallest ids are, if all chunks with a term are.
-    """
-    place, score = by_score.column("place").to_numpy(), by_score.column("score").to_numpy()
-    every, positive = np.bincount(place, minlength=queries), np.bincount(place[score > 0], minlength=queries)
-    own = by_cosine.column("place").to_numpy()
-    small = by_cosine.filter(pa.array(own == queries)).column("chunk_id")
-    scored = by_score.filter(pa.array(score != 0))
-    among = np.bincount(scored.column("place").to_numpy()[pc.is_in(scored.column("chunk_id"), value_set=small.combine_chunks()).to_numpy()], minlength=queries)
-    few = np.flatnonzero(every < depth)
-    known = np.where(every < depth, positive + len(small) - among, positive)
-    pairs = [by_cosine.filter(pa.array(own < queries)).select(["place", "chunk_id"]), by_score.select(["place", "chunk_id"])]
-    if len(few):
-        ids = pa.concat_arrays([small.combine_chunks()] * len(few))
-        pairs.append(pa.table({"place": pa.array(np.repeat(few, len(small)).astype(np.int32)), "chunk_id": ids}))
-    return pa.concat_tables(pairs).group_by(["place", "chunk_id"]).aggregate([]), known
-
-
-def _scored(chunks: DataFrame, index: Bm25, asked: AskedTerms, vectors: list, depth: int, n: int) -> pa.Table:
-    """place, chunk_id, path, score and bound (of what wasn't seen) of a block's candidates."""
+
+# ---------------------------------------------------------------- a round
+def _asked(index: Bm25, texts: DataFrame) -> pa.Table:
+    """place, term, weight (times x idf) and code (of the term) of a block's queries that the index knows, sorted by code."""
+    found = query_terms(texts).join(index.terms, "term").select(F.col("query_id").alias("place"), "term", (F.col("times") * F.col("idf")).alias("weight")).toArrow()
+    code = found.column("term").combine_chunks().dictionary_encode()
+    found = found.append_column("code", code.indices.cast(pa.int32()))
+    return found.sort_by([("code", "ascending"), ("place", "ascending")])
+
+
+def _postings(index: Bm25, asked: pa.Table) -> DataFrame:
+    """chunk_id, code, tf, dl of the asked terms' postings, dealt and sorted by chunk. Few terms are a filter of the scan, more are joined."""
+    terms = asked.group_by(["code", "term"]).aggregate([])
+    names = terms.column("term").to_pylist()
+    own = index.postings.filter(any_of("term", sorted(names))) if len(names) <= PUSHED_TERMS else index.postings
+    codes = index.postings.sparkSession.createDataFrame(terms, "code int, term string")
+    rows = own.join(F.broadcast(codes) if len(names) <= BROADCAST_TERMS else codes, "term").select("chunk_id", "code", "tf", "dl")
+    return rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "code")
+
+
+def _scored(chunks: DataFrame, index: Bm25, asked: pa.Table, vectors: list, depth: int, n: int, avgdl: float) -> pa.Table:
+    """place, chunk_id, score and bound (of what wasn't seen) of a block's candidates."""
     spark, queries = chunks.sparkSession, len(vectors)
-    own = chunks.select("chunk_id", "embedding")
-    named = [StructField("place", IntegerType()), own.schema["chunk_id"]]
-    matches = matches_of(index, asked)
-    by_cosine = _lists(own.mapInArrow(_vector_lists(vectors, depth), StructType([*named, StructField("score", DoubleType())])), depth)
-    by_score = _lists(matches.mapInArrow(_score_lists(queries, depth), StructType([*named, StructField("score", DoubleType())])), depth)
-    pairs, known = _candidates(by_cosine, by_score, queries, depth)
-
-    wanted = spark.createDataFrame(pairs, StructType(named))
-    rows = chunks.select("chunk_id", "path", "embedding").join(F.broadcast(wanted), "chunk_id").select("place", "chunk_id", "path", "embedding")
-    seen = rows.mapInArrow(_pair_cosines(vectors), StructType([*named, chunks.schema["path"], StructField("cosine", DoubleType())])).toArrow()
-    held = matches_of(index, asked, F.broadcast(wanted.select("chunk_id").distinct())).withColumnRenamed("query_id", "place")
-    held = held.join(F.broadcast(wanted), ["place", "chunk_id"]).select("place", "chunk_id", "bm25").toArrow()
-    seen = seen.join(held.set_column(0, "place", held.column("place").cast(pa.int32())), ["place", "chunk_id"], join_type="left outer").combine_chunks()
-    place = seen.column("place").to_numpy()
-    cosine = np.where(seen.column("cosine").is_null().to_numpy(), _NONE, _rounded(seen.column("cosine").fill_null(0.0).to_numpy()))
-    bm25 = _rounded(seen.column("bm25").fill_null(0.0).to_numpy())
-
-    sent = spark.sparkContext.broadcast((place, cosine, bm25, seen.column("chunk_id").to_numpy()))
-    kind = StructType([StructField("kind", IntegerType()), StructField("at", IntegerType()), StructField("n", LongType())])
-    counted = own.mapInArrow(_vector_counts(vectors, sent), kind).unionByName(matches.mapInArrow(_score_counts(queries, sent), kind))
+    own, held = chunks.select("chunk_id", "embedding"), _postings(index, asked).persist()
+    rows = StructType([StructField("place", IntegerType()), own.schema["chunk_id"], StructField("score", DoubleType())])
+    cosines, bm25 = _cosines(vectors), _bm25(asked, queries, avgdl)
+    best = lambda df: best_per_group(df, ["place"], [F.desc("score"), F.col("chunk_id")], depth).toArrow()
+    is_ = lambda table, test: table.filter(pa.array(test(table.column("place").to_numpy())))
+
+    first = best(own.mapInArrow(_lists(cosines, queries, depth, _SmallestIds(depth)), rows))
+    small = is_(first, lambda x: x < 0).column("chunk_id").combine_chunks()
+    sent = spark.sparkContext.broadcast(small.to_pylist())
+    second = best(held.mapInArrow(_lists(bm25, queries, depth, _NotZero(sent, queries)), rows))
+    positive, other = is_(second, lambda x: x >= 0), is_(second, lambda x: x < 0)
+    some = np.bincount(positive.column("place").to_numpy(), minlength=queries)
+    known = np.where(some < depth, some + len(small) - np.bincount(other.column("place").to_numpy() + queries + 1, minlength=queries), depth)
+    pairs = [is_(first, lambda x: x >= 0), positive]
+    if len(few := np.flatnonzero(some < depth)):  # their lists go on with chunks that score 0, by id
+        ids = pa.concat_arrays([small] * len(few))
+        pairs.append(pa.table({"place": np.repeat(few, len(small)).astype(np.int32), "chunk_id": ids, "score": np.zeros(len(ids))}))
+    pairs = pa.concat_tables(pairs, promote_options="permissive").group_by(["place", "chunk_id"]).aggregate([])
+
+    wanted = spark.sparkContext.broadcast((pairs.column("place").to_numpy(), pairs.column("chunk_id").to_pylist()))
+    for name, df, slices in (("cosine", own, cosines), ("bm25", held, bm25)):
+        seen = df.mapInArrow(_picked(slices, wanted), rows).toArrow().rename_columns(["place", "chunk_id", name])
+        pairs = pairs.join(seen, ["place", "chunk_id"], join_type="left outer").combine_chunks()
+    place, ids = pairs.column("place").to_numpy(), pairs.column("chunk_id")
+    cosine, score = pairs.column("cosine").fill_null(_NONE).to_numpy(), pairs.column("bm25").fill_null(0.0).to_numpy()
+    named = ids.to_numpy()
+    alone, own_id = np.unique(named, return_inverse=True)
+    sent = spark.sparkContext.broadcast((place, named, alone, [(x, np.lexsort((own_id, x, place))) for x in (cosine, score)]))
+    kind = "kind int, at int, n long"
+    counted = own.mapInArrow(_counts(cosines, queries, sent, 0, 0), kind).unionByName(held.mapInArrow(_counts(bm25, queries, sent, 1, 3), kind))
     counted = counted.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    of = lambda k, size: np.bincount(*(counted.filter(pc.equal(counted.column("kind"), k)).column(c).to_numpy() for c in ("at", "n")), size).astype(np.int64)
-    above, before, over, holding = (of(k, len(place)) for k in range(4))
-    plain = np.where(bm25 < 0, n - of(4, queries)[place], np.where(bm25 == 0, before - holding, 0))  # chunks without a term that stand above
-    score = 1.0 / (RRF_K + 1 + above) + 1.0 / (RRF_K + 1 + over + plain)
+    held.unpersist()
+    of = lambda k: np.bincount(*(counted.filter(pc.equal(counted.column("kind"), k)).column(c).to_numpy() for c in ("at", "n")), len(place)).astype(np.int64)
+    plain = np.where(score < 0, n - of(5)[:1].sum(), np.where(score == 0, (of(1) - of(4))[own_id], 0))  # chunks without an asked term that stand above
+    value = 1.0 / (RRF_K + 1 + of(0)) + 1.0 / (RRF_K + 1 + of(3) + plain)
     bound = 1.0 / (RRF_K + 1 + depth) + 1.0 / (RRF_K + 1 + known[place])
-    return seen.select(["place", "chunk_id", "path"]).append_column("score", pa.array(score)).append_column("bound", pa.array(bound))
+    return pa.table({"place": place, "chunk_id": ids, "score": value, "bound": bound})
 
 
 def hybrid_search(chunks: DataFrame, index: Bm25, queries: DataFrame, k: int = 6, per_path: int = PER_PATH, first: int | None = None) -> DataFrame:
     """query_id, chunk_id, path, score, rank: fused ranking, ``per_path`` chunks of a path, k per query.
 
-    Equal to ``diverse_top`` of the fused ranks of all chunks. ``index`` and ``chunks`` should be stored tables, as each round reads them three times.
+    Equal to ``diverse_top`` of the fused ranks of all chunks. ``index`` and ``chunks`` should be stored tables, as each round reads them several times.
     """
     spark = chunks.sparkSession
     asked = written(queries.select("query_id", "text", "vec"), "asked-queries")
-    n = index.totals.first()["n"]
+    n, avgdl = index.totals.select("n", "avgdl").first()
     depth, parts, room = first or FIRST + PER_HIT * k, [], None
     named = StructType([StructField("place", IntegerType()), asked.schema["query_id"]])
     left = asked.count()
@@ -262,7 +316,9 @@ def hybrid_search(chunks: DataFrame, index: Bm25, queries: DataFrame, k: int = 6
                 continue
             ids = spark.createDataFrame([(at, r["query_id"]) for at, r in enumerate(few)], named)
             texts = spark.createDataFrame([(at, r["text"]) for at, r in enumerate(few)], "query_id int, text string")
-            scored = spark.createDataFrame(_scored(chunks, index, asked_terms(index, texts), [r["vec"] for r in few], min(depth, n), n))
+            found = _scored(chunks, index, _asked(index, texts), [r["vec"] for r in few], min(depth, n), n, avgdl)
+            scored = spark.createDataFrame(found, StructType([named[0], chunks.schema["chunk_id"], StructField("score", DoubleType()), StructField("bound", DoubleType())]))
+            scored = chunks.select("chunk_id", "path").join(F.broadcast(scored), "chunk_id")
             hits = diverse_top(scored, "place", k, per_path=per_path)
             hits = written(hits.join(F.broadcast(ids), "place"), "hits")
             if depth < n:

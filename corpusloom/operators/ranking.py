@@ -80,13 +80,15 @@ def clustered(postings: DataFrame, row_group: int = ROW_GROUP) -> tuple[DataFram
     return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), {"parquet.block.size": row_group}
 
 
-def bm25_index(chunks: DataFrame, keep: bool = False, row_group: int = ROW_GROUP) -> Bm25:
-    """BM25 statistics; with ``keep`` the postings are written clustered by term, and the other tables made from them."""
+def bm25_index(chunks: DataFrame, keep: bool = False, cluster: bool = False, row_group: int = ROW_GROUP) -> Bm25:
+    """BM25 statistics; with ``keep`` the postings are written and the other tables made from them, with ``cluster`` they are clustered by term for many questions to come."""
     lengths = chunks.select("chunk_id", F.size(words(F.col("text"))).cast("long").alias("dl"))
     postings = postings_of(chunks)
     if keep:
-        dealt, options = clustered(postings, row_group)
-        postings = written(dealt, "postings", **options)
+        postings = written(postings, "postings")
+        if cluster:  # ranges are sampled, so words are counted into a table first
+            dealt, options = clustered(postings, row_group)
+            postings = written(dealt, "clustered", **options)
         totals = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))
         totals = written(totals.select("n", F.coalesce(F.try_divide("all", "n"), F.lit(0.0)).alias("avgdl")), "totals")
     else:
@@ -98,7 +100,7 @@ def bm25_index(chunks: DataFrame, keep: bool = False, row_group: int = ROW_GROUP
     raw = written(raw, "document-frequencies") if keep else raw
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(postings, lengths, written(terms, "terms") if keep else terms, totals)
+    return Bm25(postings, lengths, written(terms, "terms") if cluster else terms, totals)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -106,35 +108,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def _any_of(name: str, values: list[str]) -> Column:
+def any_of(name: str, values: list[str]) -> Column:
     """Equality with one of ``values`` as a balanced tree: each comparison reaches the statistics of row groups, which an IN of many values doesn't."""
     if len(values) <= 1:
         return F.col(name) == values[0] if values else F.lit(False)
     half = len(values) // 2
-    return _any_of(name, values[:half]) | _any_of(name, values[half:])
-
-
-@dataclass(frozen=True)
-class AskedTerms:
-    """The terms of a batch of queries: (query_id, term, times, df, idf), a broadcast while they are few, and the filter on postings that they allow."""
-
-    rows: DataFrame
-    where: Column | None
-
-
-def asked_terms(index: Bm25, queries: DataFrame) -> AskedTerms:
-    rows = written(query_terms(queries).join(index.terms, "term"), "asked")
-    names = [r["term"] for r in rows.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    return AskedTerms(F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows, _any_of("term", sorted(names)) if len(names) <= PUSHED_TERMS else None)
-
-
-def matches_of(index: Bm25, asked: AskedTerms, only: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id and bm25 of chunks that hold an asked term; ``only`` (chunk_id) limits the chunks."""
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    postings = index.postings if asked.where is None else index.postings.filter(asked.where)
-    postings = postings if only is None else postings.join(only, "chunk_id", "left_semi")
-    return postings.join(asked.rows, "term").crossJoin(F.broadcast(index.totals)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    return any_of(name, values[:half]) | any_of(name, values[half:])
 
 
 def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
@@ -143,7 +122,15 @@ def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
     The queries' terms are counted. Up to ``PUSHED_TERMS`` of them are pushed into the scan of the postings, which skips the row groups of other terms
     where they are clustered; up to ``BROADCAST_TERMS`` rows are broadcast, and beyond that joined.
     """
-    return matches_of(index, asked_terms(index, queries))
+    asked = written(query_terms(queries).join(index.terms, "term"), "asked")
+    names = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    postings = index.postings.filter(any_of("term", sorted(names))) if len(names) <= PUSHED_TERMS else index.postings
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    return (
+        postings.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term").crossJoin(F.broadcast(index.totals))
+        .groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    )
 
 
 # ---------------------------------------------------------------- vectors

@@ -28,7 +28,7 @@ MOST_FETCHED, MOST_LISTED = 40, 1_000
 
 
 def _written_bm25(chunks: DataFrame) -> Bm25:
-    found = bm25_index(chunks, keep=True)
+    found = bm25_index(chunks, keep=True, cluster=True)
     return replace(found, lengths=written(found.lengths, "lengths"))
 
 

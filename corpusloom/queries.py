@@ -48,7 +48,7 @@ def ch(spark: SparkSession, sf: str) -> DataFrame:
 def hy(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks; those without a row in ``embeddings`` get the vector of their hashed words."""
     vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("given"))
-    own = embed(ch(spark, sf)).join(vectors, "chunk_id", "left")
+    own = embed(ch(spark, sf).repartition("chunk_id")).join(vectors, "chunk_id", "left")  # dealt for the join, before the words are hashed
     return own.select("chunk_id", "path", "text", F.coalesce("given", "embedding").alias("embedding"))
 
 

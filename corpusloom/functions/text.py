@@ -50,36 +50,3 @@ def clipped(text: Column, most: int, mark: str) -> Column:
 def preview(text: Column, most: int = 200) -> Column:
     """The beginning of a text on one line, always with an ellipsis."""
     return F.concat(strip(F.translate(F.substring(text, 1, most), "\n", " ")), F.lit("…"))
-
-
-def pack(pieces: Column, room: int, joint: str = "\n\n", overlap: int = 0, joint_counts: bool = False) -> Column:
-    """Pack pieces greedily into texts of about ``room`` characters: one ordered fold per row.
-
-    A text is closed when it isn't empty and the next piece would lift it over ``room``
-    (with ``joint_counts`` the joint counts, too). The next text begins with the last
-    ``overlap`` characters of the closed one. Pieces longer than ``room`` stay whole.
-    Each entry of the result is (text, before): the text as packed, and how many lines
-    lie before it when every closed text is followed by a blank line.
-    """
-    extra = len(joint) if joint_counts else 0
-    kind = "array<struct<text:string,before:int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("now"), F.lit(0).alias("line"))
-
-    def step(state: Column, piece: Column) -> Column:
-        now = state["now"]
-        full = (now != "") & (F.length(now) + F.length(piece) + extra > room)
-        carried = F.concat(F.right(now, F.lit(overlap)), F.lit(joint), piece) if overlap else piece
-        # the first piece keeps its leading white space where texts overlap
-        joined = lstrip(F.concat(now, F.lit(joint), piece))
-        grown = F.when(now == "", piece).otherwise(joined) if overlap else joined
-        return F.struct(
-            F.when(full, F.array_append(state["done"], F.struct(now.alias("text"), state["line"].alias("before")))).otherwise(state["done"]).alias("done"),
-            F.when(full, carried).otherwise(grown).alias("now"),
-            F.when(full, state["line"] + newlines(now) + 2).otherwise(state["line"]).alias("line"),
-        )
-
-    def finish(state: Column) -> Column:
-        last = F.array(F.struct(state["now"].alias("text"), state["line"].alias("before")))
-        return F.when(strip(state["now"]) != "", F.concat(state["done"], last)).otherwise(state["done"])
-
-    return F.aggregate(pieces, start, step, finish)

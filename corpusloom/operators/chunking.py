@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import diagram_type, language
-from ..functions.text import blank_as_null, lines, pack, paragraphs, strip
+from ..functions.packing import packs
+from ..functions.text import blank_as_null, paragraphs, strip
 
 SECTION_CHARS, OVERLAP, LEAST_SECTION, LEAST_DIAGRAM = 2400, 300, 50, 10
 SHOWN_IMPORTS, STORED_IMPORTS, DOC_CHARS, FILE_DOC_CHARS = 12, 20, 300, 200
 PROSE = ("md", "mdx", "txt", "rst")
-HEADING = r"^(#{1,4})\s+(.+)"
+# a heading's line, and the line feed before one; \s without the line feed, as a text of many lines is matched
+HEADING = r"^(#{1,4})[\s&&[^\n]]+(.+)"
+BEFORE_HEADING = r"\n(?=#{1,4}[\s&&[^\n]]+.)"
 _NONE = {"heading": "string", "unit_name": "string", "unit_type": "string", "diagram_type": "string", "imports": "array<string>", "signature": "string"}
 
 
@@ -46,45 +49,21 @@ def mermaid_chunks(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- prose
 def sections(content: Column) -> Column:
-    """array<struct<heading, text>>: a heading's line begins its section; lines before the first have an empty heading.
-
-    An ordered fold over the lines gathers each section's lines, which are joined once.
-    """
-    kind = "array<struct<heading:string,own:array<string>>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("own"))
-
-    def step(state: Column, line: Column) -> Column:
-        begins = line.rlike(HEADING)
-        closed = F.array_append(state["done"], F.struct(state["heading"].alias("heading"), state["own"].alias("own")))
-        return F.struct(
-            F.when(begins & (F.size(state["own"]) > 0), closed).otherwise(state["done"]).alias("done"),
-            F.when(begins, strip(F.regexp_extract(line, HEADING, 2))).otherwise(state["heading"]).alias("heading"),
-            F.when(begins, F.array(line)).otherwise(F.array_append(state["own"], line)).alias("own"),
-        )
-
-    def finish(state: Column) -> Column:
-        return F.transform(
-            F.array_append(state["done"], F.struct(state["heading"].alias("heading"), state["own"].alias("own"))),
-            lambda s: F.struct(s["heading"].alias("heading"), F.array_join(s["own"], "\n").alias("text")))
-
-    return F.aggregate(lines(content), start, step, finish)
-
-
-def paragraph_packs(text: Column) -> Column:
-    """Texts of about ``SECTION_CHARS``; each begins with the end of the one before."""
-    packed = F.transform(pack(paragraphs(text), SECTION_CHARS, overlap=OVERLAP, joint_counts=True), lambda p: strip(p["text"]))
-    return F.when(F.size(packed) > 0, packed).otherwise(F.array(text))
+    """array<struct<heading, text>>: a heading's line begins its section; lines before the first have an empty heading. A text is cut in one go before such lines."""
+    heading = lambda text: F.when(text.rlike(HEADING), strip(F.regexp_extract(text, HEADING, 2))).otherwise(F.lit(""))
+    return F.transform(F.split(content, BEFORE_HEADING), lambda text: F.struct(heading(text).alias("heading"), text.alias("text")))
 
 
 def markdown_chunks(files: DataFrame) -> DataFrame:
-    """A chunk for each section, long ones in packs; those of ``LEAST_SECTION`` characters or fewer go, unless all do."""
-    content = F.coalesce("content", F.lit(""))
-    cut = F.flatten(F.transform(sections(content), lambda s: F.transform(
-        F.when(F.length(s["text"]) <= SECTION_CHARS, F.array(s["text"])).otherwise(paragraph_packs(s["text"])),
-        lambda t: F.struct(s["heading"].alias("heading"), t.alias("text")))))
-    kept = F.filter(cut, lambda s: F.length(strip(s["text"])) > LEAST_SECTION)
-    whole = F.array(F.struct(F.lit("").alias("heading"), content.alias("text")))
-    rows = files.select("path", "raw_url", "file_type", kept.alias("k"), whole.alias("w"))
+    """A chunk for each section, long ones in packs that begin with the end of the one before; those of ``LEAST_SECTION`` characters or fewer go, unless all do."""
+    cut = files.select("path", "raw_url", "file_type", F.coalesce("content", F.lit("")).alias("content"), sections(F.coalesce("content", F.lit(""))).alias("s"))
+    long = F.transform("s", lambda s: F.when(F.length(s["text"]) > SECTION_CHARS, s["text"]))
+    cut = cut.withColumn("p", packs(long, SECTION_CHARS, overlap=OVERLAP, joint_counts=True))
+    texts = lambda s, p: F.when(F.size(p) > 0, F.transform(p, lambda x: strip(x["text"]))).otherwise(F.array(s["text"]))
+    every = F.flatten(F.zip_with("s", "p", lambda s, p: F.transform(texts(s, p), lambda t: F.struct(s["heading"].alias("heading"), t.alias("text")))))
+    kept = F.filter(every, lambda s: F.length(strip(s["text"])) > LEAST_SECTION)
+    whole = F.array(F.struct(F.lit("").alias("heading"), F.col("content").alias("text")))
+    rows = cut.select("path", "raw_url", "file_type", kept.alias("k"), whole.alias("w"))
     rows = rows.select("path", "raw_url", "file_type", F.when(F.size("k") > 0, F.col("k")).otherwise(F.col("w")).alias("s"))
     each = rows.select("path", "raw_url", "file_type", F.size("s").alias("total_chunks"), F.posexplode("s").alias("chunk_index", "s"))
     named = F.when(F.col("s.heading") != "", F.concat(F.lit(" | Section: "), F.col("s.heading"))).otherwise(F.lit(""))

@@ -1,7 +1,11 @@
 import json
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from corpusloom.functions import matching
 from corpusloom.goldens import GOLDEN_FILES, GOLDEN_IMPORTS, GRAPH_PATHS, PARSED, UNITS
 from corpusloom.operators import diagram, graph, parsing, retrieval
 from corpusloom.plans.index import Index, ingest, languages
@@ -43,7 +47,56 @@ def test_units_and_imports_of_each_language(spark):
 
 @pytest.mark.parametrize(("content", "brace", "end"), [("{a{b}c}d", 0, 7), ("{'}'}x", 0, 5), ('{"\\"}"}x', 0, 7), ("{ // don't }", 0, 12), ("{`}`", 0, 4)])
 def test_block_end(content, brace, end):
-    assert parsing.block_end(content, brace) == end
+    points, starts = matching.code_points(["{'", content, '"}'])
+    assert matching.block_ends(points, starts[1:2] + brace, starts[2:3] - 1) - starts[1] == end
+
+
+def one_by_one(content, at):
+    """The end of the block that opens at ``at``, a character after the other."""
+    depth, quote, k = 0, None, at
+    while k < len(content):
+        c = content[k]
+        if quote:
+            k += c == "\\"
+            quote = None if c == quote else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return k + 1
+        k += 1
+    return len(content)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(st.sampled_from("{}'\"`\\x\n"), max_size=40), min_size=1, max_size=6))
+def test_blocks_of_many_texts_end_where_a_walk_says(contents):
+    points, starts = matching.code_points(contents)
+    places = [(k, i) for k, t in enumerate(contents) for i, c in enumerate(t) if c == "{"]
+    of = np.array([k for k, _ in places], int)
+    found = matching.block_ends(points, starts[of] + np.array([i for _, i in places], int), starts[of + 1] - 1) - starts[of]
+    assert found.tolist() == [one_by_one(contents[k], i) for k, i in places]
+
+
+def test_a_file_of_many_declarations_takes_time_by_its_size():
+    import time
+
+    content = "".join(f"// does {k}\nfunction f{k}(x) {{ return '}}' + x }}\n" for k in range(20_000))
+    began = time.perf_counter()
+    units = parsing.declared([content, content], ["javascript", "typescript"])
+    assert time.perf_counter() - began < 5
+    assert [len(u) for u in units] == [20_000, 20_000] and units[1][-1] | {"docstring": ""} == {
+        "name": "f19999", "unit_type": "function", "signature": "function f19999(", "docstring": "", "ord": 19_999, "body": "function f19999(x) { return '}' + x }", "line_start": 40_000, "line_end": 40_000}
+
+
+def test_contents_are_not_dealt_and_repeated_paths_stay_apart(spark):
+    rows = [("a.js", "function f(a) { }\nclass A { f() { } }\n"), ("a.js", "function f(a) { }\nclass A { f() { } }\n"), ("b.lua", "x\n\ny"), ("b.lua", "z")]
+    units, parsed = parsing.parse_files(spark.createDataFrame(rows, "path string, content string"))
+    assert sorted((r["path"], r["ord"], r["name"]) for r in units.collect()) == [("a.js", 0, "f"), ("a.js", 0, "f"), ("a.js", 1, "A"), ("a.js", 1, "A"), ("b.lua", 0, "block_1"), ("b.lua", 0, "block_1")]
+    assert parsed.count() == 4
+    for df in (units, parsed):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_goldens_of_imports(spark):
@@ -170,7 +223,7 @@ def test_turns_are_appended_with_their_sources(spark):
 
 def test_comments_before_declarations():
     cases = {"/* a */ f": "a", "/** A.\n * b\n */\nf": "A.\nb", "x\n// a\n# b\nf": "a\nb", "/* a */ x /* b */f": "a */ x /* b", "x;\nf": "", "/*/f": ""}
-    assert {k: parsing.comment_before(k, len(k) - 1) for k in cases} == cases
+    assert {k: parsing.comment_before(k, len(k) - 1, k.find("/*")) for k in cases} == cases
 
 
 def test_vectors_must_fit(spark, index):

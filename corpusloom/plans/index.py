@@ -17,7 +17,7 @@ from ..operators.embedding import embed
 from ..operators.graph import import_edges
 from ..operators.parsing import parse_files
 from ..operators.fusion import hybrid_search
-from ..operators.ranking import Bm25, bm25_index, expanded
+from ..operators.ranking import ROW_GROUP, Bm25, bm25_index, expanded
 from ..sources.index_store import IndexStore
 from .providers import CODE_PROMPT, DIAGRAM_PROMPT, DOCUMENT_PROMPT, Models
 
@@ -57,12 +57,14 @@ class Index:
         progress(100, "done")
         return cls(chunks, imports, edges, bm25, model)
 
-    def save(self, store: IndexStore, repo_id: str) -> None:
-        store.save(repo_id, {"chunks": self.chunks, "imports": self.imports, "edges": self.edges, "postings": self.bm25.postings, "lengths": self.bm25.lengths, "terms": self.bm25.terms, "totals": self.bm25.totals})
+    def save(self, store: IndexStore, repo_id: str, replaces: str | None = None) -> str:
+        """Keep the index and return its version; with ``replaces`` only if that version is still the newest."""
+        tables = {"chunks": self.chunks, "imports": self.imports, "edges": self.edges, "postings": self.bm25.postings, "lengths": self.bm25.lengths, "terms": self.bm25.terms, "totals": self.bm25.totals}
+        return store.save(repo_id, tables, {"postings": {"parquet.block.size": ROW_GROUP}}, replaces)
 
     @classmethod
-    def load(cls, store: IndexStore, repo_id: str, model: Callable[[], object] | None = None) -> Index:
-        tables = store.load(repo_id)
+    def load(cls, store: IndexStore, repo_id: str, model: Callable[[], object] | None = None, version: str | None = None) -> Index:
+        tables = store.load(repo_id, version)
         if tables is None:
             raise ValueError(f"{repo_id} isn't indexed")
         return cls(tables["chunks"], tables["imports"], tables["edges"], Bm25(tables["postings"], tables["lengths"], tables["terms"], tables["totals"]), model)

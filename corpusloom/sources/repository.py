@@ -84,6 +84,12 @@ def _any_case(name: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """A folder's address as its store names it, which the addresses of files below it begin with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def load_directory(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
     """Files below a folder of any store that Spark reads; with ``most``, the first so many by path.
 
@@ -92,8 +98,9 @@ def load_directory(spark: SparkSession, root: str, most: int | None = None) -> D
     names = ",".join([*(f"*.{_any_case(e)}" for e in KEPT_EXTENSIONS), *KEPT_NAMES])
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(root)
     raw = raw.filter(F.col("length").between(LEAST_BYTES, MOST_BYTES))
-    base = F.lit(root.rstrip("/").split("://")[-1].split(":")[-1])
-    path = F.regexp_replace(F.split_part(F.col("path"), base, F.lit(-1)), "^/+", "")
+    base = _qualified(spark, root)
+    below = F.col("path").startswith(base.rstrip("/") + "/")
+    path = F.when(below, F.substr(F.col("path"), F.lit(len(base.rstrip("/")) + 2))).otherwise(F.element_at(F.split("path", "/"), -1))
     entries = raw.select(path.alias("path"), F.lit("blob").alias("type"), F.col("length").alias("size"), F.col("path").alias("raw_url"), "content").withColumn("pos", F.col("path"))
     return wanted(entries, most).select("path", F.decode("content", "UTF-8").alias("content"), "raw_url", file_type(F.col("path")).alias("file_type"))
 

@@ -11,7 +11,7 @@ from corpusloom.operators import diagram, graph, parsing, retrieval
 from corpusloom.plans.index import Index, ingest, languages
 from corpusloom.plans.providers import Models, ScriptedPlanner
 from corpusloom.sources import repository
-from corpusloom.sources.index_store import IndexStore, checked_join
+from corpusloom.sources.index_store import Conflict, IndexCache, IndexStore, checked_join
 
 FILES = [
     ("app/main.py", "import app.util\n\ndef main():\n    'Starts.'\n    return app.util.load()\n"),
@@ -181,6 +181,101 @@ def test_store_keeps_clears_and_retains(spark, index, tmp_path):
         Index.load(store, "zzz")
 
 
+def _versioned(spark, word):
+    return {"chunks": spark.createDataFrame([(word,)], "word string"), "edges": spark.createDataFrame([(word, word)], "src string, dst string")}
+
+
+def _words(store, name, version=None):
+    tables = store.load(name, version)
+    return {n: tables[n].first()[0] for n in ("chunks", "edges")}
+
+
+def test_saves_that_cross_lose_nothing(spark, tmp_path):
+    """A save that begins between the tables of another, a reader that keeps its version, and a writer that stops before its entry."""
+    store, other = IndexStore(spark, str(tmp_path / "s")), IndexStore(spark, str(tmp_path / "s"))
+    base = store.save("a", _versioned(spark, "base"))
+    read = store.load("a")
+
+    class Slow(dict):
+        """Tables between which another writer saves."""
+
+        def items(self):
+            for k, item in enumerate(super().items()):
+                if k == 1:
+                    inner.append(other.save("a", _versioned(spark, "fast")))
+                yield item
+
+    inner = []
+    last = store.save("a", Slow(_versioned(spark, "slow")))
+    assert store.versions("a") == [base, *inner, last]
+    assert _words(store, "a") == {"chunks": "slow", "edges": "slow"} and _words(store, "a", inner[0]) == {"chunks": "fast", "edges": "fast"}
+    assert read["edges"].first()[0] == "base" == _words(store, "a", base)["chunks"]
+
+    class Stops(dict):
+        def items(self):
+            yield next(iter(super().items()))
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        store.save("a", Stops(_versioned(spark, "lost")))
+    assert store.version("a") == last and _words(other, "a")["chunks"] == "slow"
+
+
+def test_a_save_over_another_version_is_a_conflict(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    base = store.save("a", _versioned(spark, "base"))
+    next_ = store.save("a", _versioned(spark, "one"), replaces=base)
+    with pytest.raises(Conflict):
+        store.save("a", _versioned(spark, "two"), replaces=base)
+    assert store.versions("a") == [base, next_] and len(store._children("tables", "repo_id=a")) == 2
+
+
+def test_a_number_of_the_log_is_given_once(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    assert [store._put("a", 1, ["x"]), store._put("a", 1, ["y"]), store._put("a", 2, ["z"])] == [True, False, True]
+    assert store.versions("a") == ["x", "z"]
+
+
+def test_replaced_versions_go_after_their_grace(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    first, second = (store.save("a", _versioned(spark, w)) for w in ("one", "two"))
+    assert store.expire("a") == []
+    store.grace = -1.0
+    assert store.expire("a") == [first] and store.versions("a") == [second] and store.load("a", first) is None
+    assert _words(store, "a")["chunks"] == "two"
+
+
+def test_cache_has_room_for_two_and_sees_a_save(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    for name in "abc":
+        store.save(name, _versioned(spark, name))
+    cache = IndexCache(store, int(2.5 * store.size("a", store.version("a"))))
+    held = {name: cache.get(name) for name in "ab"}
+    cache.get("a")
+    cached = lambda name: held[name]["chunks"].storageLevel.useMemory
+    assert cached("a") and cached("b") and cache.get("a") is held["a"]
+    held["c"] = cache.get("c")
+    assert cached("a") and not cached("b") and cached("c")
+    store.save("a", _versioned(spark, "new"))
+    assert cache.get("a")["chunks"].first()[0] == "new" and not cached("a")
+    assert IndexCache(store, 1).get("b")["chunks"].first()[0] == "b" and cache.get("nothing") is None
+    cache.clear()
+    assert not cached("c")
+
+
+def test_paths_below_a_folder(spark, tmp_path, monkeypatch):
+    """A root whose name occurs again below it, begins other names, is a symbol of patterns, or is given from where one stands."""
+    root = tmp_path / "dataX"
+    names = ("a.py", f"{str(root)[1:]}/z/w.py", f"{str(root)[1:]}base.py", "dataX/dataX.py", "sub dir/b+c.md")
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("text " * 20)
+    (tmp_path / "dataXbase.py").write_text("text " * 20)
+    for given in (str(root), f"{root}/", f"file:{root}", f"file://{root}"):
+        assert sorted(r["path"] for r in repository.load_directory(spark, given).collect()) == sorted(names)
+    assert [r["path"] for r in repository.load_directory(spark, str(root / "a.py")).collect()] == ["a.py"]
+
+
 def test_an_appended_index_equals_one_built_at_once(spark, files, tmp_path):
     """Files that import each other link whichever comes first, and the result can be saved over what it was made from."""
     store = IndexStore(spark, str(tmp_path / "s"))

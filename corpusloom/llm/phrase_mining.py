@@ -33,7 +33,7 @@ CELL_BYTES = 16
 #: Cells that travel in one row.
 CHUNK = 1 << 18
 #: Bytes of text that are counted at once, and tasks that build a sketch (more where the cluster has more cores).
-SLICE, SKETCHES = 8 << 20, 64
+SLICE, SKETCHES = 2 << 20, 64
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True

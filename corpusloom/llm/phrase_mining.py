@@ -28,12 +28,12 @@ from .common import joined_bytes, lean, mix, sized, slices, span_hashes, span_te
 MOST_WORDS, MIN_COUNT, COVERED, BEST = 5, 100, 100, 2000
 #: Rows of a sketch, and the least and most bits of a cell's number; the number of cells follows the size of the texts between them.
 ROWS, LEAST_BITS, MOST_BITS = 2, 20, 26
-#: Bytes of text to a cell of a row.
-CELL_BYTES = 16
+#: Bytes of text to a cell of a row, and least bytes of text to a byte of a task's sketch (where there are more tasks than twice the cores).
+CELL_BYTES, SKETCH_SHARE = 64, 8
 #: Cells that travel in one row.
 CHUNK = 1 << 18
-#: Bytes of text that are counted at once, and tasks that build a sketch (more where the cluster has more cores).
-SLICE, SKETCHES = 2 << 20, 64
+#: Bytes of text that are counted at once.
+SLICE = 2 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -123,7 +123,7 @@ def sketch(read: DataFrame, most: int, enough: int) -> np.ndarray:
     spark = read.sparkSession
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(int(size // CELL_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
-    tasks = max(SKETCHES, 2 * spark.sparkContext.defaultParallelism)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(size // (SKETCH_SHARE * ROWS << bits)))
     made = read.coalesce(tasks).mapInArrow(lean(_sketching(bits, most, enough)), "at long, cells binary")
     merged = made.repartition("at").sortWithinPartitions("at").mapInArrow(_merging(enough), "at long, bits binary")
     out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)

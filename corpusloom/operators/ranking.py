@@ -93,14 +93,16 @@ def bm25_index(chunks: DataFrame, keep: bool = False, cluster: bool = False, row
         totals = written(totals.select("n", F.coalesce(F.try_divide("all", "n"), F.lit(0.0)).alias("avgdl")), "totals")
     else:
         totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
-    raw = (
-        postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-        .select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    )
+    terms = weighted(postings.groupBy("term").agg(F.count("*").alias("df")), totals, keep)
+    return Bm25(postings, lengths, written(terms, "terms") if cluster else terms, totals)
+
+
+def weighted(counts: DataFrame, totals: DataFrame, keep: bool = False) -> DataFrame:
+    """term, df and idf of ``counts`` (term, df); terms of most chunks, whose weight would fall below zero, get a share of the mean."""
+    raw = counts.crossJoin(F.broadcast(totals)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     raw = written(raw, "document-frequencies") if keep else raw
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
-    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(postings, lengths, written(terms, "terms") if cluster else terms, totals)
+    return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -132,8 +132,13 @@ def tokenize_counts(spark, sf):
     return ranking.token_counts(ch(spark, sf))
 
 
+def _bm25(spark: SparkSession, sf: str) -> ranking.Bm25:
+    """The stored index of CH, whose texts are dealt by chunk before their words are counted."""
+    return ranking.bm25_index(ch(spark, sf).repartition("chunk_id"), keep=True)
+
+
 def bm25_term_stats(spark, sf):
-    return _rounded(ranking.bm25_index(ch(spark, sf)).terms.select("term", "df", "idf"), "idf")
+    return _rounded(_bm25(spark, sf).terms.select("term", "df", "idf"), "idf")
 
 
 def bm25_doc_len(spark, sf):
@@ -141,7 +146,7 @@ def bm25_doc_len(spark, sf):
 
 
 def bm25_scores(spark, sf):
-    return _rounded(ranking.bm25_matches(ranking.bm25_index(ch(spark, sf)), q(spark, sf)), "bm25")
+    return _rounded(ranking.bm25_matches(_bm25(spark, sf), q(spark, sf)), "bm25")
 
 
 def cosine_scores(spark, sf):

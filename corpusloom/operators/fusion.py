@@ -29,6 +29,8 @@ from .ranking import B, BLOCK_CELLS, BROADCAST_TERMS, K1, PER_PATH, PUSHED_TERMS
 FIRST, PER_HIT, GROWTH = 64, 8, 4
 #: Candidates of one list that a block of queries holds.
 MOST_CELLS = 500_000
+#: Scores of each query that a task gives first where there are many tasks: the last of a list's depth among them bounds the list's scores from below.
+FEW = 4
 _NONE = -np.inf
 
 
@@ -36,8 +38,8 @@ _NONE = -np.inf
 class _Best:
     """The ``most`` best rows (place, score, id) of each place so far, by falling score and then by id."""
 
-    def __init__(self, most: int, places: int):
-        self.most, self.least, self.held, self.rows, self.room = most, np.full(places, _NONE), [], 0, 2 * most * places + 100_000
+    def __init__(self, most: int, least: np.ndarray):
+        self.most, self.least, self.held, self.rows, self.room = most, least.copy(), [], 0, 2 * most * len(least) + 100_000
 
     def add(self, place: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
         kept = np.flatnonzero(score >= self.least[place])
@@ -148,11 +150,24 @@ def _heads(ids: pa.Array) -> np.ndarray:
     return out
 
 
-def _lists(slices, queries: int, most: int, more):
-    """(place, chunk_id, score): the ``most`` best chunks of each query above the least score of ``more``, and what ``more`` gives beside them."""
+def _few(slices, queries: int, more):
+    """(place, score): the ``FEW`` best scores of each query that ``more`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(most, queries)
+        top = np.full((FEW, queries), _NONE)
+        for _, score in slices(batches):
+            top = np.partition(np.vstack([top, np.where(more.listed(score), score, _NONE)]), -FEW, axis=0)[-FEW:]
+        row, place = np.nonzero(top > _NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(top[row, place])], ["place", "score"])
+
+    return run
+
+
+def _lists(slices, floor: np.ndarray, most: int, more):
+    """(place, chunk_id, score): of the chunks that ``more`` lists the ``most`` best of each query that score ``floor`` or more, and what ``more`` gives beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(most, floor)
         for ids, score in slices(batches):
             n = len(score)
             least = np.maximum(best.least, np.partition(score, n - most, axis=0)[n - most]) if n > most else best.least
@@ -262,10 +277,19 @@ def _scored(chunks: DataFrame, index: Bm25, asked: pa.Table, vectors: list, dept
     best = lambda df: best_per_group(df, ["place"], [F.desc("score"), F.col("chunk_id")], depth).toArrow()
     is_ = lambda table, test: table.filter(pa.array(test(table.column("place").to_numpy())))
 
-    first = best(own.mapInArrow(_lists(cosines, queries, depth, _SmallestIds(depth)), rows))
+    def listed(df: DataFrame, slices, more) -> pa.Table:
+        """The lists of all tasks together; many tasks first agree on scores that a list can't end below."""
+        least = np.full(queries, _NONE)
+        if df.rdd.getNumPartitions() * FEW >= 2 * depth:
+            few = df.mapInArrow(_few(slices, queries, more), StructType([rows["place"], rows["score"]]))
+            last = best_per_group(few, ["place"], [F.desc("score")], depth, "at").filter(F.col("at") == depth).toArrow()
+            least[last.column("place").to_numpy()] = last.column("score").to_numpy()
+        return best(df.mapInArrow(_lists(slices, least, depth, more), rows))
+
+    first = listed(own, cosines, _SmallestIds(depth))
     small = is_(first, lambda x: x < 0).column("chunk_id").combine_chunks()
     sent = spark.sparkContext.broadcast(small.to_pylist())
-    second = best(held.mapInArrow(_lists(bm25, queries, depth, _NotZero(sent, queries)), rows))
+    second = listed(held, bm25, _NotZero(sent, queries))
     positive, other = is_(second, lambda x: x >= 0), is_(second, lambda x: x < 0)
     some = np.bincount(positive.column("place").to_numpy(), minlength=queries)
     known = np.where(some < depth, some + len(small) - np.bincount(other.column("place").to_numpy() + queries + 1, minlength=queries), depth)

@@ -50,6 +50,25 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert rounded(fusion.hybrid_search(chunks, index, asked(spark), 4, first=8)) == rounded(whole)
 
 
+def test_many_tasks_agree_on_bounds_first(spark, monkeypatch):
+    """40 tasks and lists of 8: nearly all rows are kept back, and the hits are those of all ranks."""
+    calls = []
+    plain = fusion._few
+    monkeypatch.setattr(fusion, "_few", lambda *args: calls.append(1) or plain(*args))
+    monkeypatch.setattr(fusion, "FEW", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        chunks = corpus(spark, 300, True, seed=8).repartition(40)
+        index = bm25_index(chunks, keep=True)
+        whole = diverse_top(fused(rank_lists(chunks, index, asked(spark))), "query_id", 4)
+        assert rounded(fusion.hybrid_search(chunks, index, asked(spark), 4, first=8)) == rounded(whole)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(calls) >= 2
+
+
 def test_hits_of_nothing(spark):
     chunks = corpus(spark, 20, True)
     index = bm25_index(chunks, keep=True)

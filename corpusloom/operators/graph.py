@@ -26,7 +26,7 @@ def _nth(values: list[Column]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("place"), v.alias("path")) for k, v in enumerate(values)))
 
 
-def _python_candidates(src: Column, raw: Column) -> Column:
+def python_candidates(src: Column, raw: Column) -> Column:
     """Absolute modules are tried below each root; relative ones climb a directory per dot after the first."""
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
     module = F.replace(F.substring(raw, dots + 1, F.length(raw)), F.lit("."), F.lit("/"))
@@ -39,12 +39,17 @@ def _python_candidates(src: Column, raw: Column) -> Column:
     return F.when(dots > 0, _nth([F.concat(near, F.lit(".py")), inside])).otherwise(absolute)
 
 
-def _js_candidates(src: Column, raw: Column) -> Column:
+def js_candidates(src: Column, raw: Column) -> Column:
     """Relative modules only."""
     base = normalised(F.concat(dirname(src), F.lit("/"), raw))
     return F.when(raw.startswith("."), _nth([F.concat(base, F.lit(end)) for end in JS_ENDS]))
 
 
+def go_stem(path: Column) -> Column:
+    """The name, without its ending, of a Go file below a directory; else empty."""
+    return F.regexp_extract(path, r"/([^/]+)\.go$", 1)
+
+
 def _first_hit(candidates: DataFrame, paths: DataFrame) -> DataFrame:
     """(src, raw, dst): the first candidate that exists, by an equi-join on paths."""
     tried = candidates.select("src", "raw", F.inline("c")).join(paths, "path")
@@ -52,16 +57,16 @@ def _first_hit(candidates: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def resolve_python(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    return _first_hit(imports.select("src", "raw", _python_candidates(F.col("src"), F.col("raw")).alias("c")), paths)
+    return _first_hit(imports.select("src", "raw", python_candidates(F.col("src"), F.col("raw")).alias("c")), paths)
 
 
 def resolve_js(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    return _first_hit(imports.select("src", "raw", _js_candidates(F.col("src"), F.col("raw")).alias("c")), paths)
+    return _first_hit(imports.select("src", "raw", js_candidates(F.col("src"), F.col("raw")).alias("c")), paths)
 
 
 def resolve_go(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """The smallest path below a directory whose file is named like the import's last segment."""
-    files = paths.select(F.regexp_extract("path", r"/([^/]+)\.go$", 1).alias("stem"), "path").filter("stem <> ''").groupBy("stem").agg(F.min("path").alias("dst"))
+    files = paths.select(go_stem(F.col("path")).alias("stem"), "path").filter("stem <> ''").groupBy("stem").agg(F.min("path").alias("dst"))
     return imports.select("src", "raw", F.substring_index("raw", "/", -1).alias("stem")).join(files, "stem").select("src", "raw", "dst")
 
 

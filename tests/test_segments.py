@@ -63,7 +63,7 @@ def test_changes_in_any_order_equal_a_build(spark, tmp_path):
     assert len(store.parts("a")[1]) == 1 and not store.parts("a")[2]
     same(spark, store.open("a"), now)
     store.grace = -1.0
-    assert len(store.expire("a")) == 6 and len(store.versions("a")) == 1
+    assert len(store.expire("a")) == 10 and len(store.versions("a")) == 1
     assert rows(store.open("a").chunks, "path") == rows(Index.build(table(spark, now)).chunks, "path")
 
 
@@ -77,3 +77,21 @@ def test_writers_that_cross_conflict(spark, tmp_path):
     with pytest.raises(Conflict):
         store._commit("a", version, [*segments, *lists])
     assert store.open("a").chunks.filter(F.col("path") == "x.py").count() == 1
+
+
+def test_links_follow_files_that_shadow_each_other_and_files_without_chunks(spark, tmp_path):
+    """A better candidate comes and goes; an empty file is led to though it has no chunk."""
+    store, first = SegmentStore(spark, str(tmp_path / "s")), {"src/a.py": "import b\nimport c\n\ndef f():\n    return 1\n", "lib/b.py": "import a\n", "c.py": ""}
+    links = lambda: rows(store.open("a").edges, "src", "dst")
+    whole = lambda files: rows(Index.build(table(spark, files)).edges, "src", "dst")
+    store.append("a", table(spark, first))
+    assert links() == whole(first) == [("lib/b.py", "src/a.py"), ("src/a.py", "c.py"), ("src/a.py", "lib/b.py")]
+    more = {"b.py": "x = 1\n", "d.py": "import lib.b\n"}
+    store.append("a", table(spark, more))
+    assert links() == whole(first | more)
+    assert ("src/a.py", "b.py") in links()
+    store.remove("a", spark.createDataFrame([("b.py",), ("c.py",)], "path string"))
+    now = {p: c for p, c in (first | more).items() if p not in ("b.py", "c.py")}
+    assert links() == whole(now) and ("src/a.py", "lib/b.py") in links()
+    store.compact("a")
+    assert links() == whole(now) and len(store._now("a").links) == 1

@@ -16,7 +16,7 @@ from .functions.languages import language
 from .functions.paths import file_type
 from .goldens import GOLDEN_FILES, GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_RESPONSES, GOLDEN_UNITS, GOLDEN_URLS, GRAPH_PATHS
 from .functions.scratch import written
-from .operators import chunking, diagram, fusion, graph, parsing, ranking, retrieval
+from .operators import chunking, diagram, fusion, graph, links, parsing, ranking, retrieval
 from .operators.embedding import embed
 from .sources import repository
 
@@ -423,6 +423,26 @@ def import_edges(spark, sf):
     return edges(spark, sf)
 
 
+def links_after_changes(spark, sf):
+    """Links of IM's imports after a change of files, from links before it: every tenth module comes, every seventh has other imports, a twin of every fourth
+    appears at the top, and one of every ninth, which was there, goes. All modules are there in the end."""
+    imports, paths = (written(x, "modules") for x in im(spark, sf))
+    number = F.regexp_extract("path", r"doc_(\d+)\.py$", 1).cast("long")
+    top = lambda every, beside: paths.filter((number % every == 0) & (number % beside != 0)).select(F.regexp_replace("path", "^(src|lib)/(?=src)", "").alias("path"))
+    of = lambda df, condition: df.join(paths.filter(condition).select(F.col("path").alias("src")), "src", "left_semi")
+    came, changed = number % 10 == 0, (number % 7 == 0) & (number % 10 != 0)
+    old = of(imports, changed).select("src", "language", F.concat("raw", F.lit("0")).alias("raw"))
+    before = paths.filter(~came).unionByName(top(9, 4)).distinct()
+    after = written(paths.unionByName(top(4, 20)).distinct(), "paths")
+    stay = of(imports, ~came & ~changed)
+    links_before = written(links.all_links(stay.unionByName(old), before), "links")
+    index = written(links.tries(stay.unionByName(old)).join(old.select("src").distinct(), "src", "left_anti").select("key", "src", "language", "raw"), "tries")
+    differ = after.join(before, "path", "left_anti").unionByName(before.join(after, "path", "left_anti"))
+    keys = written(differ.select(F.explode(links.keys_of(F.col("path"))).alias("key")).distinct(), "keys")
+    again = links.touched(index, keys).unionByName(of(imports, came | changed))
+    return links.newest([links_before, links.relinked(again, old, after, written)])
+
+
 def edge_count(spark, sf):
     return edges(spark, sf).agg(F.count("*").alias("n_edges"))
 
@@ -478,6 +498,6 @@ _ALL = (
     graph_augmented_retrieve, build_sources, context_block, chunks_for_file, indexed_files, index_size, file_counts, search_tool, tool_fetch, tool_list_sections, tool_list_files,
     expand_queries_post, chat_history, parse_repo_url, repo_id, file_filter, file_limit, file_types, detect_language, generic_blocks, file_comment, truncate_units, dedup_units, chunk_router,
     mermaid_chunks, markdown_sections, markdown_chunks, imports_summary, code_chunk_text, code_chunks, code_units, code_imports, parse_corpus, embed_documents, resolve_python, resolve_js, resolve_go,
-    import_edges, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, mermaid_lines, graph_summary_lines, ui_caption,
+    import_edges, links_after_changes, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, mermaid_lines, graph_summary_lines, ui_caption,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import import_edges
 from corpusloom.plans.index import Index
 from corpusloom.plans.segments import SegmentStore
 from corpusloom.sources import repository
@@ -83,7 +84,7 @@ def test_links_follow_files_that_shadow_each_other_and_files_without_chunks(spar
     """A better candidate comes and goes; an empty file is led to though it has no chunk."""
     store, first = SegmentStore(spark, str(tmp_path / "s")), {"src/a.py": "import b\nimport c\n\ndef f():\n    return 1\n", "lib/b.py": "import a\n", "c.py": ""}
     links = lambda: rows(store.open("a").edges, "src", "dst")
-    whole = lambda files: rows(Index.build(table(spark, files)).edges, "src", "dst")
+    whole = lambda files: rows(import_edges(store.open("a").imports, spark.createDataFrame([(p,) for p in files], "path string")), "src", "dst")
     store.append("a", table(spark, first))
     assert links() == whole(first) == [("lib/b.py", "src/a.py"), ("src/a.py", "c.py"), ("src/a.py", "lib/b.py")]
     more = {"b.py": "x = 1\n", "d.py": "import lib.b\n"}

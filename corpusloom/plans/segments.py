@@ -29,12 +29,13 @@ MOST_PARTS = 24
 
 
 class Parts(NamedTuple):
-    """What a version is made of: segments, lists of gone chunks, and links in the order they were made."""
+    """What a version is made of: segments, lists of gone chunks, links in the order they were made, and the last batch of each stream (``b<stream>:<number>``)."""
 
     version: str | None
     segments: list[str]
     lists: list[str]
     links: list[str]
+    marks: list[str]
 
 
 class SegmentStore(IndexStore):
@@ -53,7 +54,7 @@ class SegmentStore(IndexStore):
     def _now(self, repo_id: str) -> Parts:
         entries = self._entries(repo_id)
         version, *names = entries[-1][1] if entries else [None]
-        return Parts(version, *([n for n in names if n.startswith(kind)] for kind in "sgl"))
+        return Parts(version, *([n for n in names if n.startswith(kind)] for kind in "sglb"))
 
     def _commit(self, repo_id: str, replaces: str | None, names: list[str]) -> str:
         made, entries = uuid.uuid4().hex, self._entries(repo_id)
@@ -136,21 +137,43 @@ class SegmentStore(IndexStore):
     def append(self, repo_id: str, files: DataFrame, model: Callable[[], object] | None = None) -> str:
         """Add ``files``; those of a path that is there already take its place. Only they are parsed, embedded and written, and only imports that their paths concern are resolved."""
         was, files = self._now(repo_id), written(files, "files")
-        more = Index.build(files, model)
-        gone = self._gone(repo_id, was.segments, was.lists, files.select("path").distinct())
-        made = self._segment(repo_id, files, more.chunks, more.imports, more.bm25.postings)
+        made, gone = self._built(repo_id, files, model), self._gone(repo_id, was.segments, was.lists, files.select("path").distinct())
         return self._changed(repo_id, was, made, gone, model)
 
+    def _built(self, repo_id: str, files: DataFrame, model: Callable[[], object] | None) -> str:
+        more = Index.build(files, model)
+        return self._segment(repo_id, files, more.chunks, more.imports, more.bm25.postings)
+
+    def applied(self, repo_id: str, stream: str) -> int:
+        """The last batch of ``stream`` that was applied, -1 if none was."""
+        return max((int(m.rpartition(":")[2]) for m in self._now(repo_id).marks if m.startswith(f"b{stream}:")), default=-1)
+
+    def apply(self, repo_id: str, changes: DataFrame, batch: tuple[str, int], model: Callable[[], object] | None = None) -> str | None:
+        """Add the files of ``changes`` (path, content, raw_url, file_type; a row for each path) and take out those whose content is null, all in one version.
+
+        ``changes`` is read several times, so it should be a written table. ``batch`` names a stream and the number of these changes in it. They are applied once: a number that isn't larger than the stream's last one changes nothing.
+        """
+        was = self._now(repo_id)
+        if self.applied(repo_id, batch[0]) >= batch[1]:
+            return was.version
+        files = changes.select("path", "content", "raw_url", "file_type").filter("content IS NOT NULL")
+        made = None if files.isEmpty() else self._built(repo_id, files, model)
+        gone = self._gone(repo_id, was.segments, was.lists, changes.select("path"))
+        marks = [*(m for m in was.marks if not m.startswith(f"b{batch[0]}:")), f"b{batch[0]}:{batch[1]}"]
+        if made or gone:
+            return self._changed(repo_id, was, made, gone, model, marks)
+        return self._commit(repo_id, was.version, [*was.segments, *was.lists, *was.links, *marks])
+
     def remove(self, repo_id: str, paths: DataFrame, model: Callable[[], object] | None = None) -> str | None:
         """Take the files of ``paths`` (path) out; the version in use, None if there is none."""
         was = self._now(repo_id)
         gone = self._gone(repo_id, was.segments, was.lists, paths.select("path").distinct())
         return self._changed(repo_id, was, None, gone, model) if gone else was.version
 
-    def _changed(self, repo_id: str, was: Parts, made: str | None, gone: str | None, model: Callable[[], object] | None) -> str:
+    def _changed(self, repo_id: str, was: Parts, made: str | None, gone: str | None, model: Callable[[], object] | None, marks: list[str] | None = None) -> str:
         since = self._relinked(repo_id, was, made, gone)
         segments, lists, found = [*was.segments, *filter(None, [made])], [*was.lists, *filter(None, [gone])], [*was.links, since]
-        done = self._commit(repo_id, was.version, [*segments, *lists, *found])
+        done = self._commit(repo_id, was.version, [*segments, *lists, *found, *(was.marks if marks is None else marks)])
         return self.compact(repo_id, model) if max(len(segments) + len(lists), len(found)) > MOST_PARTS else done
 
     def compact(self, repo_id: str, model: Callable[[], object] | None = None) -> str:
@@ -159,7 +182,7 @@ class SegmentStore(IndexStore):
         made = self._segment(repo_id, self._whole(repo_id, was.segments, was.lists, "paths"), now.chunks, now.imports, now.bm25.postings)
         part = f"l{uuid.uuid4().hex}"
         self._write(repo_id, part, "links", self._links(repo_id, was))
-        return self._commit(repo_id, was.version, [made, part])
+        return self._commit(repo_id, was.version, [made, part, *was.marks])
 
     # ---------------------------------------------------------------- reading
     def _live(self, repo_id: str, segment: str, lists: list[str], table: str) -> DataFrame:
@@ -181,7 +204,7 @@ class SegmentStore(IndexStore):
     def open(self, repo_id: str, model: Callable[[], object] | None = None) -> Index:
         """The index as last saved. Its edges are those of the parts of links; no import is resolved."""
         now = self._now(repo_id)
-        if now.version is None:
+        if not now.segments:
             raise ValueError(f"{repo_id} isn't indexed")
         chunks, imports, postings = (self._whole(repo_id, now.segments, now.lists, table) for table in ("chunks", "imports", "postings"))
         summed = lambda table: reduce(DataFrame.unionByName, [self._read(repo_id, p, table) for p in (*now.segments, *now.lists)])

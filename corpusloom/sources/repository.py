@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import logging
 import os
+import random
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -73,6 +75,13 @@ def is_wanted(path: Column, kind: Column, size: Column) -> Column:
     return (kind == "blob") & F.coalesce(size, F.lit(0)).between(LEAST_BYTES, MOST_BYTES) & ~skipped & named
 
 
+def keeps(path: str, kind: str, size: int) -> bool:
+    """``is_wanted`` for one entry, where a listing is read without a session."""
+    name = path.rpartition("/")[2]
+    named = name in KEPT_NAMES or "." in path and path.rpartition(".")[2].lower() in KEPT_EXTENSIONS
+    return kind == "blob" and LEAST_BYTES <= size <= MOST_BYTES and named and not any(x in path for x in SKIPPED)
+
+
 def wanted(entries: DataFrame, most: int | None = MOST_FILES) -> DataFrame:
     """The wanted entries; with ``most``, the first so many in listing order."""
     kept = entries.filter(is_wanted(F.col("path"), F.col("type"), F.col("size")))
@@ -113,14 +122,43 @@ class Address:
     repo_id: str
 
 
+def _pause(error: OSError, usual: float) -> float | None:
+    """Seconds to wait before a request is made again; None if that can't help."""
+    if not isinstance(error, urllib.error.HTTPError):
+        return usual
+    after, reset = error.headers.get("Retry-After", ""), error.headers.get("X-RateLimit-Reset", "")
+    if error.code == 429 or error.code == 403 and (after or error.headers.get("X-RateLimit-Remaining") == "0"):
+        return float(after) if after.isdigit() else max(usual, int(reset) - time.time()) if reset.isdigit() else usual
+    return usual if error.code >= 500 else None
+
+
 class HttpHost:
-    """A repository host's web API. ``api`` and ``raw`` are its roots; ``token`` raises the rate limit."""
+    """A repository host's web API. ``api`` and ``raw`` are its roots; ``token`` raises the rate limit.
+
+    A request that fails for a while (no connection, an error of the host, a rate limit) is made up to ``attempts`` times: after the pause that the host
+    asks for, if that is at most ``longest`` seconds, or else ``pause`` seconds, doubled each time.
+    """
 
-    def __init__(self, api: str = "https://api.github.com", raw: str = "https://raw.githubusercontent.com", token: str | None = None):
+    def __init__(
+        self, api: str = "https://api.github.com", raw: str = "https://raw.githubusercontent.com", token: str | None = None,
+        attempts: int = 4, pause: float = 1.0, longest: float = 120.0,
+    ):
         self.api, self.raw = api.rstrip("/"), raw.rstrip("/")
         self.token = token or os.environ.get("GITHUB_TOKEN")
+        self.attempts, self.pause, self.longest = attempts, pause, longest
 
     def _get(self, url: str, timeout: float) -> bytes:
+        for k in range(self.attempts):
+            try:
+                return self._once(url, timeout)
+            except OSError as error:
+                wait = _pause(error, self.pause * 2**k)
+                if wait is None or wait > self.longest or k + 1 == self.attempts:
+                    raise
+                time.sleep(wait * random.uniform(1.0, 1.25))
+        raise ValueError("attempts has to be 1 or more")
+
+    def _once(self, url: str, timeout: float) -> bytes:
         headers = {"Accept": "application/vnd.github+json", "User-Agent": "corpusloom"}
         if self.token:
             headers["Authorization"] = f"Bearer {self.token}"
@@ -130,17 +168,33 @@ class HttpHost:
     def default_branch(self, owner: str, repo: str) -> str:
         return json.loads(self._get(f"{self.api}/repos/{owner}/{repo}", 15))["default_branch"]
 
-    def listing(self, owner: str, repo: str, ref: str) -> list[tuple[str, str, int, int]]:
-        """(path, type, size, pos) of all entries, one bounded answer of the host."""
+    def head(self, owner: str, repo: str, ref: str) -> str:
+        """The commit that a branch is at."""
+        return json.loads(self._get(f"{self.api}/repos/{owner}/{repo}/commits/{urllib.parse.quote(ref, safe='')}", 15))["sha"]
+
+    def _tree(self, owner: str, repo: str, ref: str) -> tuple[list[dict], bool]:
+        """All entries, one bounded answer of the host, and whether it cut them short."""
         try:
             answer = json.loads(self._get(f"{self.api}/repos/{owner}/{repo}/git/trees/{urllib.parse.quote(ref, safe='')}?recursive=1", 30))
         except urllib.error.HTTPError as error:
             if error.code == 409:
                 raise ValueError("the repository is empty") from error
             raise
-        if answer.get("truncated"):
+        return answer.get("tree", []), bool(answer.get("truncated"))
+
+    def listing(self, owner: str, repo: str, ref: str) -> list[tuple[str, str, int, int]]:
+        """(path, type, size, pos) of all entries."""
+        entries, cut = self._tree(owner, repo, ref)
+        if cut:
             log.warning("the host cut the listing short; only a part of the repository is read")
-        return [(x["path"], x["type"], int(x.get("size") or 0), k) for k, x in enumerate(answer.get("tree", []))]
+        return [(x["path"], x["type"], int(x.get("size") or 0), k) for k, x in enumerate(entries)]
+
+    def digests(self, owner: str, repo: str, ref: str) -> list[tuple[str, str, int, str]]:
+        """(path, type, size, digest) of all entries; an error if the host cut them short, since what is missing would look deleted."""
+        entries, cut = self._tree(owner, repo, ref)
+        if cut:
+            raise ValueError("the host cut the listing short")
+        return [(x["path"], x["type"], int(x.get("size") or 0), x["sha"]) for x in entries]
 
     def raw_url(self, owner: str, repo: str, ref: str, path: str) -> str:
         return f"{self.raw}/{owner}/{repo}/{ref}/{path}"

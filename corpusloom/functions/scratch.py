@@ -5,16 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str, **options: object) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: its rows are fixed and its lineage ends. ``options`` are the Parquet writer's.
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, whose files go when the driver's file system closes.
 
-    The files go when the driver's file system closes. Where the setting is missing a local
-    folder is made in local mode, as in tests; on a cluster that is an error.
+    Where the setting is missing a local folder is made in local mode, as in tests; on a cluster that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -22,7 +20,15 @@ def written(df: DataFrame, label: str, **options: object) -> DataFrame:
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write ``df`` to a new ``folder`` and read it back: its rows are fixed and its lineage ends. ``options`` are the Parquet writer's."""
+    path = f"{folder(df.sparkSession, label)}/rows"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

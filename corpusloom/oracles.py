@@ -274,6 +274,8 @@ l AS (SELECT raw, list(src ORDER BY src) AS o FROM i GROUP BY raw UNION ALL SELE
     "import_edges": f"WITH {_IM} SELECT * FROM e",
     "links_after_changes": f"""WITH {_IM}, al AS (SELECT path FROM d UNION SELECT regexp_replace(path, '^(src|lib)/src', 'src') FROM d WHERE doc_id % 4 = 0 AND doc_id % 20 <> 0)
 SELECT src, raw, arg_min(al.path, CASE root WHEN '' THEN 0 WHEN 'src/' THEN 1 ELSE 2 END) AS dst FROM cand JOIN al ON al.path = root || 'src' || (b % 20) || '/doc_' || b || '.py' GROUP BY src, raw""",
+    "newest_versions": """SELECT conv_id, role, sha256(text) AS digest FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text IS NULL) = 1 AND text IS NOT NULL""",
     "edge_count": f"WITH {_IM} SELECT count(*) AS n_edges FROM e",
     "degree": f"WITH {_IM}, {_DEG} SELECT * FROM dg",
     "neighbours_depth1": f"WITH {_IM}, {_BOTH} SELECT path AS start, other AS path, 1::BIGINT AS hops FROM lk",

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .functions.languages import language
 from .functions.paths import file_type
 from .goldens import GOLDEN_FILES, GOLDEN_IMPORTS, GOLDEN_PATHS, GOLDEN_RESPONSES, GOLDEN_UNITS, GOLDEN_URLS, GRAPH_PATHS
-from .functions.scratch import written
+from .functions.scratch import folder, written
 from .operators import chunking, diagram, fusion, graph, links, parsing, ranking, retrieval
 from .operators.embedding import embed
 from .sources import repository
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 EXTENSIONS = ("md", "txt", "py", "go", "js", "mmd", "adoc", "lua")
@@ -443,6 +444,19 @@ def links_after_changes(spark, sf):
     return links.newest([links_before, links.relinked(again, old, after, written)])
 
 
+def newest_versions(spark, sf):
+    """The last turn of each conversation by a stream of turns as versions: those of even number come first, the others in a later run, so half of them come late."""
+    turns = _table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("").alias("raw_url"), F.col("role").alias("file_type"), F.col("turn").alias("seq"))
+    root = folder(spark, "versions")
+    for odd in (0, 1):
+        turns.filter(F.col("seq") % 2 == odd).write.mode("append").parquet(f"{root}/in")
+        changes = ingest.newest_changes(spark.readStream.schema(ingest.CHANGES).parquet(f"{root}/in")).writeStream.outputMode("update")
+        changes = changes.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+        changes.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.schema(f"{ingest.CHANGES}, batch long").parquet(f"{root}/out")
+    return ingest.latest(made).filter("content IS NOT NULL").select(F.col("path").cast("long").alias("conv_id"), F.col("file_type").alias("role"), F.sha2("content", 256).alias("digest"))
+
+
 def edge_count(spark, sf):
     return edges(spark, sf).agg(F.count("*").alias("n_edges"))
 
@@ -498,6 +512,6 @@ _ALL = (
     graph_augmented_retrieve, build_sources, context_block, chunks_for_file, indexed_files, index_size, file_counts, search_tool, tool_fetch, tool_list_sections, tool_list_files,
     expand_queries_post, chat_history, parse_repo_url, repo_id, file_filter, file_limit, file_types, detect_language, generic_blocks, file_comment, truncate_units, dedup_units, chunk_router,
     mermaid_chunks, markdown_sections, markdown_chunks, imports_summary, code_chunk_text, code_chunks, code_units, code_imports, parse_corpus, embed_documents, resolve_python, resolve_js, resolve_go,
-    import_edges, links_after_changes, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, mermaid_lines, graph_summary_lines, ui_caption,
+    import_edges, links_after_changes, newest_versions, edge_count, degree, neighbours_depth1, neighbours_depth2, connection_summary, diagram_nodes, diagram_edges, diagram_groups, mermaid_lines, graph_summary_lines, ui_caption,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

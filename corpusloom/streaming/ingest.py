@@ -49,23 +49,34 @@ def latest(chunks: DataFrame) -> DataFrame:
     return chunks.join(newest, ["path", "batch"], "left_semi")
 
 
-def _digest(row: pd.Series) -> str:
-    """Of a file, hex digits; of its end, nothing, so that a file comes after it in order."""
-    return "" if row["content"] is None else hashlib.sha256(repr([row["content"], row["raw_url"], row["file_type"]]).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(*parts: object) -> str:
+    """Of a file (content, raw_url, file_type), hex digits; of its end, nothing, so that a file comes after it in order."""
+    known = [x if isinstance(x, str) else None for x in parts]
+    return "" if known[0] is None else hashlib.sha256(repr(known).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _newest_here(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each path's rows in a slice, the newest, with its digest: a path with many versions is thinned before it is dealt."""
+    for part in parts:
+        best: dict[str, tuple[int, str, int]] = {}
+        for k, (path, content, url, kind, seq) in enumerate(zip(*(part[c] for c in ("path", "content", "raw_url", "file_type", "seq")), strict=True)):
+            this = int(seq), _digest(content, url, kind), k
+            if path not in best or this[:2] > best[path][:2]:
+                best[path] = this
+        yield part.iloc[[k for _, _, k in best.values()]].assign(digest=[d for _, d, _ in best.values()])
 
 
 def _newer(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, digest = was = state.get if state.exists else (None, "")
-    best = None
+    was = state.get if state.exists else None
+    now, best = was, None
     for part in parts:
-        for _, row in part.astype(object).where(part.notna(), None).iterrows():
-            this = int(row["seq"]), _digest(row)
-            if seq is None or this > (seq, digest):
-                (seq, digest), best = this, row
+        for k, this in enumerate(zip(part["seq"].astype(int), part["digest"], strict=True)):
+            if now is None or this > now:
+                now, best = this, part.iloc[[k]]
     if best is not None:
-        state.update((seq, digest))
-        if digest != was[1]:
-            yield pd.DataFrame([best])[["path", "content", "raw_url", "file_type", "seq"]]
+        state.update((int(now[0]), now[1]))
+        if now[1] != (was[1] if was else ""):
+            yield best[["path", "content", "raw_url", "file_type", "seq"]]
 
 
 def newest_changes(changes: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def newest_changes(changes: DataFrame) -> DataFrame:
     doesn't bring it back. Repeated rows and versions that come late give nothing.
     """
     known = changes.select("path", "content", "raw_url", "file_type", F.col("seq").cast("long").alias("seq")).filter("path IS NOT NULL AND seq IS NOT NULL")
-    return known.groupBy("path").applyInPandasWithState(_newer, CHANGES, "seq long, digest string", "update", GroupStateTimeout.NoTimeout)
+    return known.mapInPandas(_newest_here, f"{CHANGES}, digest string").groupBy("path").applyInPandasWithState(_newer, CHANGES, "seq long, digest string", "update", GroupStateTimeout.NoTimeout)
 
 
 def index_stream(changes: DataFrame, store: SegmentStore, repo_id: str, checkpoint: str, model: Callable[[], object] | None = None, available_now: bool = True) -> StreamingQuery:

@@ -88,6 +88,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches
+def hand_back() -> None:
+    """Give memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def lean(run):
     """``run`` (batches to batches) that hands unused memory back when its task ends, as workers live on beside later stages."""
 
@@ -95,10 +103,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            hand_back()
 
     return held
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, joined_bytes, labelled_sample, lean, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
+from .common import forget, hand_back, joined_bytes, labelled_sample, lean, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
 from .near_dups import shingle_sets
 
 #: Labelled rows that are learned from, at most about so many.
@@ -47,7 +47,11 @@ WORD_WEIGHT, MORE_WORDS = 0.05, 40
 NEIGHBOURS = 16
 BLOCK = 64
 #: A term that more than this share of the examples hold has a dense row; a product scores those of ``TOGETHER`` queries at once.
-DENSE_SHARE, TOGETHER = 1 / 12, 32
+DENSE_SHARE, TOGETHER = 1 / 12, 128
+#: Postings that are added up at once, so that they stay in a core's cache.
+ADDED = 1 << 15
+#: Examples in a group of which only the largest score is looked at first.
+GROUP = 64
 #: A word's first bytes of these numbers count as terms, too: inflected forms share them.
 PREFIXES = (4, 5, 6, 7)
 #: Weight of the prior among votes.
@@ -260,6 +264,15 @@ def _range_maxima(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
     return np.maximum(every[level, a], every[level, b - (1 << level) + 1])
 
 
+def _floor(scores: np.ndarray, k: int) -> float:
+    """At most the k-th largest score: the k-th of the largest scores of disjoint groups, minus infinity with fewer groups."""
+    width = len(scores) // GROUP
+    if width < k:
+        return -np.inf
+    largest = scores[: width * GROUP].reshape(GROUP, width).max(axis=0)
+    return float(np.partition(largest, width - k)[width - k])
+
+
 @dataclass
 class Blocks:
     """Runs of ``BLOCK`` postings of one term each."""
@@ -280,8 +293,7 @@ class Index:
     terms: Terms
     idf: np.ndarray
     starts: np.ndarray  # of each term's postings
-    examples: np.ndarray  # postings: example numbers, rising within a term
-    weights: np.ndarray
+    postings: np.ndarray  # example numbers, rising within a term, above the bits of their weights: one copy takes both
     labels: np.ndarray
     ids: list
     prior: float
@@ -308,12 +320,28 @@ class Index:
         key += np.repeat(rank, sizes)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        example = (key % max(len(sizes), 1)).astype(np.min_scalar_type(len(sizes)))
         starts = np.searchsorted(key, np.arange(len(terms) + 2) * max(len(sizes), 1))
-        return cls(terms, idf, starts, example, weight[order].astype(np.float32), np.array(labels, np.float64)[by_id], [ids[k] for k in by_id.tolist()], prior, unknown_idf)
+        key %= max(len(sizes), 1)
+        postings = key.view(np.uint64)
+        postings <<= np.uint64(32)
+        postings |= weight[order].astype(np.float32).view(np.uint32)
+        return cls(terms, idf, starts, postings, np.array(labels, np.float64)[by_id], [ids[k] for k in by_id.tolist()], prior, unknown_idf)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "dense", "numbers")}
+
+    @property
+    def examples(self) -> np.ndarray:
+        return self.postings.view(np.uint32)[1::2]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.postings.view(np.float32)[::2]
+
+    @cached_property
+    def numbers(self) -> pa.Array:
+        """The examples' ids."""
+        return pa.array(self.ids, pa.int64())
 
     @cached_property
     def blocks(self) -> Blocks:
@@ -338,6 +366,24 @@ class Index:
         w = np.append(w, room * far / length if length else room)
         return np.append(term, len(self.terms)), w / np.sqrt((w * w).sum())
 
+    def vectors(self, term: np.ndarray, times: np.ndarray, sizes: np.ndarray, words: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``vector`` of texts whose terms lie end to end, ``sizes`` each: all terms and weights, and the place where each text's begin (and where the last's end)."""
+        n = len(sizes)
+        owner = np.repeat(np.arange(n), sizes)
+        w = times * self.idf[term]
+        other = ~self.terms.strong[term]
+        far = self.unknown_idf * np.sqrt(unknown)
+        length = np.sqrt(np.bincount(owner, np.where(other, w * w, 0.0), n) + far * far)
+        room = WORD_WEIGHT * (words + MORE_WORDS)
+        w = np.where(other, w * (room / np.maximum(length, 1e-300))[owner], w)
+        last = np.where(length > 0, room * far / np.where(length > 0, length, 1.0), room)
+        norm = np.sqrt(np.bincount(owner, w * w, n) + last * last)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        at = np.arange(len(term)) + owner
+        terms, weights = np.full(starts[-1], len(self.terms)), np.empty(starts[-1])
+        terms[at], weights[at], weights[starts[1:] - 1] = term, w / norm[owner], last / norm
+        return terms, weights, starts
+
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """The row of each term that many examples hold (-1 without), and the rows; made where they are used."""
@@ -350,68 +396,99 @@ class Index:
             out[k, self.examples[a:b]] = self.weights[a:b]
         return row, out
 
-    def common_scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the dense terms add to each example's cosine, a row per vector."""
+    def common_scores(self, term: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What the dense terms add to each example's cosine, a row per vector; vectors as of ``vectors``."""
         row, dense = self.dense
-        held = np.zeros((len(vectors), len(dense)), np.float32)
-        for k, (term, weight) in enumerate(vectors):
-            at = row[term]
-            held[k, at[at >= 0]] = weight[at >= 0]
-        return held @ dense
+        at = row[term]
+        hit = at >= 0
+        held = np.zeros((len(starts) - 1, len(dense)), np.float32)
+        held[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[hit], at[hit]] = weight[hit]
+        used = np.flatnonzero(held.any(axis=0))
+        return held[:, used] @ dense[used] if 2 * len(used) < len(dense) else held @ dense
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest with a positive cosine, the nearest first.
+    def all_nearest(self, term: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every vector, in order; vectors as of ``vectors``.
 
-        The dense terms come first (``common``, their scores), the others by what they can add at most.
+        Vectors in which much is dense are looked at together, so that products for the others are small.
+        """
+        sizes = np.diff(starts)
+        dense = np.concatenate([[0], np.cumsum(self.dense[0][term] >= 0)])
+        order = np.argsort(np.diff(dense[starts]) / sizes, kind="stable")
+        at = _ranges(starts[:-1][order], sizes[order])
+        term, weight, starts = term[at], weight[at], np.concatenate([[0], np.cumsum(sizes[order])])
+        sparse = (self.dense[0][term] < 0) & (self.blocks.reach[term] > 0)
+        own, own_weight, bounds = term[sparse], weight[sparse], np.concatenate([[0], np.cumsum(sparse)])[starts].tolist()
+        found: list = [None] * len(order)
+        for first in range(0, len(order), TOGETHER):
+            few = starts[first : first + TOGETHER + 1]
+            for n, row in enumerate(self.common_scores(term[few[0] : few[-1]], weight[few[0] : few[-1]], few - few[0]), first):
+                held = slice(bounds[n], bounds[n + 1])
+                found[order[n]] = self._nearest(own[held], own_weight[held], k, row.astype(np.float64))
+        return found
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and cosines of the k nearest with a positive cosine, the nearest first."""
+        return self.all_nearest(term, weight, np.array([0, len(term)]), k)[0]
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, k: int, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of the terms without a dense row, on top of the ``scores`` of those with one.
+
+        Where half of what terms can add at most is under 1, the most a cosine can be, terms come in order of that.
         Once the rest cannot lift an example over the k-th best so far, blocks are only
         read if they hold an example that still can get there.
         """
-        scores = (self.common_scores([(term, weight)])[0] if common is None else common).astype(np.float64)
         lists = self.blocks
-        own = np.flatnonzero((self.dense[0][term] < 0) & (lists.reach[term] > 0))
-        reach = lists.reach[term[own]] * weight[own]
-        order = np.argsort(-reach, kind="stable")
-        own, reach = own[order], reach[order]
-        rest = np.append(np.cumsum(reach[::-1])[::-1], 0.0)
-        middle = int(np.searchsorted(-rest, -rest[0] / 2))
-        for part, left in ((own[:middle], rest[0]), (own[middle:], rest[middle])):
+        reach = lists.reach[term] * weight
+        left = float(reach.sum())
+        parts = [(slice(None), left)]
+        if left < 2:
+            order = np.argsort(-reach, kind="stable")
+            term, weight = term[order], weight[order]
+            rest = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0)
+            middle = int(np.searchsorted(-rest, -rest[0] / 2))
+            parts = [(slice(middle), rest[0]), (slice(middle, None), rest[middle])]
+        for part, left in parts:
+            own, w = term[part], weight[part]
+            if not len(own):
+                continue
             left += 1e-5  # weights are rounded
-            lo, hi = self.starts[term[part]], self.starts[term[part] + 1]
-            w = weight[part].astype(np.float32)
-            if len(scores) > k and len(part) and left < scores.max():
-                threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
-                if left < threshold:
-                    # a block is read if one of its examples can still get there with the most that it and all other terms add
-                    first = lists.starts[term[part]]
-                    counts = lists.starts[term[part] + 1] - first
-                    blocks, w = _ranges(first, counts), np.repeat(w, counts)
-                    most = left - (np.repeat(lists.reach[term[part]], counts) - lists.most[blocks]) * w
-                    keep = _range_maxima(scores, lists.first[blocks], lists.last[blocks]) + most >= threshold
-                    blocks, w = blocks[keep], w[keep]
-                    at = _ranges(lists.at[blocks], lists.size[blocks])
-                    scores += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, lists.size[blocks]), len(scores))
-                    continue
-            if len(lo):
-                runs = list(zip(lo.tolist(), hi.tolist(), strict=True))
-                added = np.concatenate([self.weights[a:b] for a, b in runs])
-                added *= np.repeat(w, hi - lo)
-                scores += np.bincount(np.concatenate([self.examples[a:b] for a, b in runs]), added, len(scores))
-        best = np.flatnonzero(scores > 0)
+            if left < scores.max() and left < (threshold := _floor(scores, k)):
+                # a block is read if one of its examples can still get there with the most that it and all other terms add
+                first = lists.starts[own]
+                counts = lists.starts[own + 1] - first
+                blocks, w = _ranges(first, counts), np.repeat(w, counts)
+                most = left - (np.repeat(lists.reach[own], counts) - lists.most[blocks]) * w
+                keep = _range_maxima(scores, lists.first[blocks], lists.last[blocks]) + most >= threshold
+                blocks, w = blocks[keep], w[keep]
+                lo, sizes = lists.at[blocks].astype(np.int64), lists.size[blocks].astype(np.int64)
+            else:
+                lo = self.starts[own]
+                sizes = self.starts[own + 1] - lo
+            w, total = w.astype(np.float32), np.cumsum(sizes)
+            cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, ADDED)), len(lo))).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                found = np.concatenate(list(map(self.postings.__getitem__, map(slice, lo[a:b].tolist(), (lo[a:b] + sizes[a:b]).tolist()))))
+                added = found.view(np.float32)[::2] * np.repeat(w[a:b], sizes[a:b])
+                found >>= np.uint64(32)
+                scores += np.bincount(found.view(np.int64), added, len(scores))
+        best = np.flatnonzero(scores >= max(_floor(scores, k), 5e-324))
         if len(best) > k:
             floor = np.partition(scores[best], len(best) - k)[len(best) - k]
             best = best[scores[best] >= floor]
         best = best[np.lexsort((best, -scores[best]))][:k]
         return best, scores[best]
 
-    def score(self, cosines: np.ndarray, best: np.ndarray) -> float:
-        """The calibrated vote."""
+    def score(self, cosines: np.ndarray, best: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The calibrated votes."""
         a, b = self.line
-        return float(1 / (1 + np.exp(-(a * log_odds(self.vote(cosines, best)) + b))))
+        return 1 / (1 + np.exp(-(a * log_odds(self.vote(cosines, best, counts)) + b)))
 
-    def vote(self, cosines: np.ndarray, best: np.ndarray) -> float:
-        """Neighbours' labels, weighted by distance, with the prior."""
+    def vote(self, cosines: np.ndarray, best: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Labels of neighbours that lie end to end, ``counts`` of each text, weighted by distance, with the prior."""
         votes = cosines**2 / (np.maximum(1 - cosines, 0) + VOTE_FLOOR)
-        return float(((votes * self.labels[best]).sum() + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        toxic, every = (np.bincount(owner, x, len(counts)) for x in (votes * self.labels[best], votes))
+        return (toxic + PRIOR_VOTES * self.prior) / (every + PRIOR_VOTES)
 
 
 def log_odds(p: np.ndarray | float) -> np.ndarray:
@@ -481,21 +558,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             sizes = pc.list_value_length(lists).to_numpy()
             at = np.searchsorted(own.terms.hashes, lists.flatten().to_numpy().view(np.uint64))
             times, ends = part.column("times").flatten().to_numpy().astype(np.float64), np.cumsum(sizes)
-            made = [own.vector(at[b - n : b], times[b - n : b], w)[1][:-1] for b, n, w in zip(ends.tolist(), sizes.tolist(), part.column("words").to_pylist(), strict=True)]
-            weights = np.concatenate(made) if made else np.zeros(0)
+            weights = np.delete(own.vectors(at, times, sizes, part.column("words").to_numpy(), np.zeros(len(sizes)))[1], ends + np.arange(len(ends)))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array(at, sizes, pa.int32()), list_array(weights.astype(np.float32), sizes, pa.float32())], ["id", "y", "terms", "weights"])
 
     made = held.mapInArrow(vectors, f"id {id_type}, y int, terms array<int>, weights array<float>").toArrow()
     flat = lambda c: pa.chunked_array([x.flatten() for x in made.column(c).chunks], made.schema.field(c).type.value_type).to_numpy()
     sizes = pc.list_value_length(made.column("terms")).to_numpy()
-    index = Index.of_arrays(terms, idf, flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist(), prior, unknown_idf)
+    parts = [flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist()]
+    sent.destroy()
     del made
+    hand_back()
+    index = Index.of_arrays(terms, idf, *parts, prior, unknown_idf)
+    del parts
+    hand_back()
     if toxic and clean:
         index.line = _calibrated(index, held)
     forget(rows)
     return index
 
 
+def _end_to_end(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.float64)))
+
+
 def _calibrated(index: Index, held: DataFrame) -> tuple[float, float]:
     """The line fitted over the labelled rows: each as a text that isn't known (itself left out) and as a copy of itself."""
     sent = held.sparkSession.sparkContext.broadcast(index)
@@ -504,14 +589,16 @@ def _calibrated(index: Index, held: DataFrame) -> tuple[float, float]:
         own = sent.value
         number = {x: k for k, x in enumerate(own.ids)}
         for part in batches:
-            votes, labels = [], []
-            for own_id, y, words, hashes, times in zip(*(part.column(c) for c in ("id", "y", "words", "terms", "times")), strict=True):
-                term = own.terms.find(hashes.values.to_numpy().view(np.uint64))
-                best, cosines = own.nearest(*own.vector(term, times.values.to_numpy().astype(np.float64), words.as_py()), NEIGHBOURS + 1)
-                other = best != number[own_id.as_py()]
-                votes += [own.vote(cosines[other][:NEIGHBOURS], best[other][:NEIGHBOURS]), own.vote(cosines[:NEIGHBOURS], best[:NEIGHBOURS])]
-                labels += [y.as_py()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], ["vote", "y"])
+            lists, words = part.column("terms"), part.column("words").to_numpy()
+            term = own.terms.find(lists.flatten().to_numpy().view(np.uint64))
+            made = own.vectors(term, part.column("times").flatten().to_numpy().astype(np.float64), pc.list_value_length(lists).to_numpy(), words, np.zeros(len(words)))
+            found = []
+            for own_id, (best, cosines) in zip(part.column("id").to_pylist(), own.all_nearest(*made, NEIGHBOURS + 1), strict=True):
+                other = best != number[own_id]
+                found += [(best[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]), (best[:NEIGHBOURS], cosines[:NEIGHBOURS])]
+            best, cosines = _end_to_end(found)
+            votes = own.vote(cosines, best, np.array([len(x) for x, _ in found], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array(np.repeat(part.column("y").to_numpy(), 2))], ["vote", "y"])
 
     found = held.mapInArrow(lean(run), "vote double, y int").toArrow()
     sent.destroy()
@@ -534,18 +621,16 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
         own = sent.value
         for part in slices(batches, text):
             owner, term, times, words, unknown = own.terms.in_texts(part.column(text))
-            scores = np.full(part.num_rows, own.prior)
-            shown: list[list] = [[] for _ in range(part.num_rows)]
-            heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-            ends = [*heads[1:], len(owner)]
-            for k in range(0, len(heads), TOGETHER):
-                few = list(zip(heads[k : k + TOGETHER], ends[k : k + TOGETHER], strict=False))
-                made = [own.vector(term[a:b], times[a:b].astype(np.float64), int(words[owner[a]]), unknown[owner[a]]) for a, b in few]
-                for (a, _), (t, w), common in zip(few, made, own.common_scores(made), strict=True):
-                    best, cosines = own.nearest(t, w, neighbours, common)
-                    scores[owner[a]] = own.score(cosines, best)
-                    shown[owner[a]] = [{"id": own.ids[e], "cosine": c, "label": int(own.labels[e])} for e, c in zip(best.tolist(), cosines.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores), pa.array(shown, kind)], [*names, name, evidence])
+            scores, counts = np.full(part.num_rows, own.prior), np.zeros(part.num_rows, np.int64)
+            held = np.bincount(owner, minlength=part.num_rows)
+            some = np.flatnonzero(held)
+            found = own.all_nearest(*own.vectors(term, times.astype(np.float64), held[some], words[some], unknown[some]), neighbours)
+            best, cosines = _end_to_end(found)
+            counts[some] = [len(x) for x, _ in found]
+            scores[some] = own.score(cosines, best, counts[some])
+            flat = pa.StructArray.from_arrays([own.numbers.take(pa.array(best)), pa.array(cosines), pa.array(own.labels[best].astype(np.int32))], fields=list(kind.value_type))
+            shown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores), shown], [*names, name, evidence])
 
     shape = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     return docs.mapInArrow(lean(run), T.StructType([*kept, T.StructField(name, T.DoubleType()), T.StructField(evidence, shape)]))

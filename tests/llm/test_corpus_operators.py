@@ -381,6 +381,35 @@ def test_block_max_search_is_exact():
         assert np.allclose(np.sort(truth)[::-1][:16], cosines) and np.allclose(truth[best], cosines)
 
 
+def test_texts_are_searched_together_and_exactly(monkeypatch):
+    """Many texts at once get what plain sums give, in order, by a product for each ``TOGETHER`` of them and not for each text."""
+    r = np.random.default_rng(4)
+    terms = toxicity.Terms(np.arange(1, 301), np.arange(1, 21))
+    empty = toxicity.Index.build(terms, r.uniform(1, 6, 300), [], [], [], 0.3)
+    # terms of one half of the texts are dense, some of the others are in few examples
+    held = [np.sort(r.choice(20 if k % 2 else 300, r.integers(1, 15), replace=False)) for k in range(2000)]
+    times, words, unknown = [r.integers(1, 9, len(x)).astype(float) for x in held], r.integers(20, 900, 2000), r.integers(0, 3, 2000).astype(float)
+    sizes = np.array([len(x) for x in held])
+    term, weight, starts = empty.vectors(np.concatenate(held), np.concatenate(times), sizes, words, unknown)
+    vectors = [(term[a:b], weight[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    for k in range(0, 2000, 97):
+        alone = empty.vector(held[k], times[k], int(words[k]), unknown[k])
+        assert np.array_equal(alone[0], vectors[k][0]) and np.allclose(alone[1], vectors[k][1])
+    index = toxicity.Index.build(terms, empty.idf, vectors, r.integers(0, 2, 2000).tolist(), list(range(2000)), 0.3)
+    every = np.zeros((2000, 301))
+    for k, (t, w) in enumerate(vectors):
+        every[k, t] = w
+    made, plain = [], toxicity.Index.common_scores
+    monkeypatch.setattr(toxicity.Index, "common_scores", lambda *a: made.append(1) or plain(*a))
+    monkeypatch.setattr(toxicity, "ADDED", 500)
+    found = index.all_nearest(term[: starts[300]], weight[: starts[300]], starts[:301], 16)
+    assert len(found) == 300 and len(made) == -(-300 // toxicity.TOGETHER)
+    for k, (best, cosines) in enumerate(found):
+        truth = every @ every[k]
+        assert np.allclose(np.sort(truth)[::-1][:16], cosines, atol=1e-5) and np.allclose(truth[best], cosines, atol=1e-5)
+    assert index.all_nearest(term[:0], weight[:0], starts[:1], 16) == []
+
+
 def test_copies_of_labelled_examples_are_found(spark):
     texts = [prose(500 + k, 20 + 30 * (k % 9)) for k in range(60)]
     df = documents(spark, [*texts, *texts, "x" + prose(1, 30), None])

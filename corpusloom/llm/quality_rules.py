@@ -41,16 +41,23 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
 
 
-def windows_of(words: Column) -> Column:
-    """The three-word windows of a column of words, by hash, with their positions.
+def hashes_of(words: Column) -> Column:
+    """The hash of each three-word window of a column of words.
 
     ``words`` must be a plain column: an expression would be evaluated once per window.
     """
     n = F.size(words)
-    return F.sort_array(F.when(n >= 3, F.transform(
+    return F.when(n >= 3, F.transform(
         F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+    )).otherwise(F.array().cast("array<bigint>"))
+
+
+def windows_of(hashes: Column) -> Column:
+    """The windows of the column ``hashes_of`` made with their positions, by hash; none where no two are equal, so that most texts sort nothing."""
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(
+        hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")),
+    ))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def repeated_positions(ordered: Column) -> Column:
@@ -76,7 +83,8 @@ def base_metrics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     """``keep`` columns, the words and lines arrays and the base figures of every text."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.select(*keep, t.alias("__text"), words_of(F.col(text)).alias("__words"), lines_of(F.col(text)).alias("__lines"))
-    out = out.withColumn("__windows", windows_of(F.col("__words")))
+    out = out.withColumn("__hashes", hashes_of(F.col("__words")))
+    out = out.withColumn("__windows", windows_of(F.col("__hashes")))
     out = out.withColumn("__again", repeated_positions(F.col("__windows")))
     return out.select(
         *keep, "__text", "__words", "__lines",

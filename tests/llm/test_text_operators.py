@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm.chat_format import CONTROL, MARK, conversation_digests, escape, format_turns, read_turns, unescape
 from corpusloom.llm.piece_codec import Codec, StreamEncoder, decode_ids, encode_checked, encode_texts
-from corpusloom.llm.quality_rules import apply_rules, default_rules, estimate, base_metrics, order
+from corpusloom.llm.quality_rules import apply_rules, default_rules, estimate, base_metrics, hashes_of, order, windows_of
 from corpusloom.llm.token_counts import Counter, count_tokens
 from corpusloom.llm import warc_bundles
 from corpusloom.llm.warc_bundles import fetch_records, parse_record, read_record, read_bundles, read_frame, read_seek_table, record_index, write_bundles
@@ -157,6 +158,13 @@ def test_the_verdict_is_that_of_any_order(spark):
     assert sorted(r.name for r in ranked) == sorted(r.name for r in rules)
 
 
+def test_texts_without_a_repeated_window_sort_nothing(spark):
+    own = ["a b c d e f", "a b c x a b c", "a b", "a a a a", ""]
+    words = spark.createDataFrame([(t.split(),) for t in own], "w array<string>").withColumn("h", hashes_of(F.col("w")))
+    rows = words.select(F.size("h").alias("all"), F.size(windows_of(F.col("h"))).alias("sorted")).collect()
+    assert [tuple(r) for r in rows] == [(4, 0), (5, 5), (0, 0), (2, 2), (0, 0)]
+
+
 def test_rules_run_no_python(spark):
     plan = apply_rules(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

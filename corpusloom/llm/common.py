@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
 WHITE = b" \t\n\x0b\x0c\r"
+#: Symbols stand for blanks.
+PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(WHITE)] = False
 
@@ -88,6 +90,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches
+#: Spark gives its workers batches of about so many bytes. By default one may take 64 MB, which stands in the JVM and in the worker of each core at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless it has a bound of its own. Batches are no more than a way of transport: no result depends on them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def hand_back() -> None:
     """Give memory that this process no longer uses back to the system."""
     gc.collect()
@@ -97,9 +110,13 @@ def hand_back() -> None:
 
 
 def lean(run):
-    """``run`` (batches to batches) that hands unused memory back when its task ends, as workers live on beside later stages."""
+    """``run`` (batches to batches) that hands unused memory back when its task ends, as workers live on beside later stages.
+
+    It does so before, too: a broadcast of the stage before has gone only then.
+    """
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         try:
             yield from run(batches)
         finally:

@@ -20,6 +20,7 @@ bounded window. U+2581 in a text counts as a blank, as the format has it.
 from __future__ import annotations
 
 import copy
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +30,17 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Codes, lean, list_array, slices
+from .common import Codes, lean, list_array, slices, small_batches
 
 BLANK = "▁"
 #: A task's memo is emptied when it holds so many cuts (or half as many pairs), or so many characters.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 16 << 20
 #: Texts of about so many bytes are encoded together: new cuts share the lattices of common beginnings.
 SLICE_BYTES = 4 << 20
+#: Numbers of pieces take so many bits: those of a model file and all characters.
+NUMBER_BITS = 22
+#: Characters of a common beginning that are looked for.
+PREFIX = 16
 _NO_PAIR = float("-inf")
 
 
@@ -63,29 +68,41 @@ class Pieces:
         self.byte_lengths = np.fromiter(map(len, blobs), np.int64, size)
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
         self.bytes = np.frombuffer(b"".join(blobs), np.uint8)
-        #: By its last three characters, the lengths of longer pieces, the longest first.
-        self.tails: dict[str, tuple[int, ...]] = {}
+        #: The pieces by number: those of the file by id, then characters outside of it as they are met.
+        self.names = [*names]
+        self.numbers = dict(self.ids)
+        #: By its last three characters (two at a text's start), the lengths of pieces that may end there, the longest first.
+        ends: dict[str, set[int]] = {}
         for name in self.ids:
             if len(name) > 2:
-                self.tails[name[-3:]] = (*self.tails.get(name[-3:], ()), len(name))
-        self.tails = {k: tuple(sorted(set(v), reverse=True)) for k, v in self.tails.items()}
-        self.known_joins: dict[tuple[str, str], bool] = {}
+                ends.setdefault(name[-3:], set()).add(len(name))
+        self.short = {name: (2, 1) for name in self.ids if len(name) == 2}
+        self.tails = {k: (*sorted(v, reverse=True), *self.short.get(k[1:], (1,))) for k, v in ends.items()}
+        self.known_joins: dict[int, bool] = {}
 
     def with_own_memo(self) -> Pieces:
-        """The same tables with an empty memo of joins."""
+        """The same tables with an empty memo of joins and of characters."""
         out = copy.copy(self)
         out.known_joins = {}
+        out.names, out.numbers = [*self.names], dict(self.ids)
         return out
 
-    def joins(self, left: str, right: str) -> bool:
-        """Whether two pieces may stand next to each other, that is, encode to themselves.
+    def number(self, character: str) -> int:
+        """The number of a character outside of the file."""
+        self.numbers[character] = number = len(self.names)
+        self.names.append(character)
+        return number
+
+    def joins(self, left: int, right: int) -> bool:
+        """Whether two pieces, by number, may stand next to each other, that is, encode to themselves.
 
         Plain BPE of both together, the best-scored neighbours first and the leftmost of
         equals; a merge across their border says no.
         """
         if len(self.known_joins) > MEMO_ENTRIES // 2:
             self.known_joins.clear()
-        get, parts, border = self.scores.get, [*left, *right], len(left)
+        name = self.names[left]
+        get, parts, border = self.scores.get, [*name, *self.names[right]], len(name)
         scores = [get(a + b, _NO_PAIR) for a, b in zip(parts, parts[1:], strict=False)]
         while (best := max(scores, default=_NO_PAIR)) > _NO_PAIR:
             k = scores.index(best)
@@ -98,36 +115,42 @@ class Pieces:
                 scores[k - 1] = get(parts[k - 1] + parts[k], _NO_PAIR)
             if k < len(scores):
                 scores[k] = get(parts[k] + parts[k + 1], _NO_PAIR)
-        known = self.known_joins[left, right] = best == _NO_PAIR and border == 1 and len(parts) == 2
+        known = self.known_joins[left << NUMBER_BITS | right] = best == _NO_PAIR and border == 1 and len(parts) == 2
         return known
 
-    def extend(self, text: str, ends: list[int], before: str = "") -> None:
+    def extend(self, text: str, ends: list[int], last: list[int], before: int = -1) -> None:
         """For every new boundary of ``text``, find the one piece that ends its path.
 
-        ``ends`` holds the length of that piece for the boundaries done so far.
+        ``ends`` holds the length of that piece for the boundaries done so far, ``last`` its number; ``before`` is that of the piece before the text.
         """
-        ids, tails, known = self.ids, self.tails, self.known_joins
+        numbers, tails, short, known = self.numbers, self.tails, self.short, self.known_joins
         for i in range(len(ends), len(text) + 1):
-            for n in (*tails.get(text[max(i - 3, 0) : i], ()), 2, 1):
-                if n > i:
+            for n in tails.get(text[i - 3 : i]) or short.get(text[i - 2 : i], (1,)) if i > 2 else (2, 1)[2 - i :]:
+                at = i - n
+                if at < 0:
                     continue
-                piece, at = text[i - n : i], i - n
-                if n > 1 and piece not in ids:
+                piece = numbers.get(text[at:i])
+                if n == 1:  # the only one that is left
+                    if piece is None:
+                        piece = self.number(text[at])
+                    break
+                if piece is None:
                     continue
-                left = text[at - ends[at] : at] if at else before
-                if not left:
+                left = last[at] if at else before
+                if left < 0:
                     break
-                if (joined := known.get((left, piece))) is None:
+                if (joined := known.get(left << NUMBER_BITS | piece)) is None:
                     joined = self.joins(left, piece)
                 if joined:
                     break
             ends.append(n)
+            last.append(piece)
 
-    def spell(self, piece: str) -> list[int]:
+    def spell(self, number: int) -> list[int]:
         """The ids of a piece: its own, or those of its bytes."""
-        if (own := self.ids.get(piece)) is not None:
-            return [own]
-        return [self.byte_ids[b] for b in piece.encode()]
+        if number < len(self.byte_lengths):
+            return [number]
+        return [self.byte_ids[b] for b in self.names[number].encode()]
 
 
 class StreamEncoder:
@@ -137,7 +160,8 @@ class StreamEncoder:
         self.pieces = pieces
         self.text = ""  # from the last committed boundary on
         self.ends: list[int] = [0]  # at boundary i the length of the last piece of its only path
-        self.before = ""  # the last committed piece
+        self.last: list[int] = [-1]  # and its number
+        self.before = -1  # that of the last committed piece
 
     def feed(self, text: str) -> list[int]:
         """Extend the lattice by ``text``; ids of what it settles."""
@@ -145,7 +169,7 @@ class StreamEncoder:
         step = 4 * self.pieces.longest
         for at in range(0, len(text), step):
             self.text += text[at : at + step]
-            self.pieces.extend(self.text, self.ends, self.before)
+            self.pieces.extend(self.text, self.ends, self.last, self.before)
             if len(self.text) > step:
                 out += self._commit(len(self.text))
         return out
@@ -163,16 +187,26 @@ class StreamEncoder:
     def _take(self, boundary: int) -> list[int]:
         cuts, k = [], boundary
         while k:
-            cuts.append(self.text[k - self.ends[k] : k])
+            cuts.append(self.last[k])
             k -= self.ends[k]
         self.before = cuts[0]
-        self.text, self.ends = self.text[boundary:], [0, *self.ends[boundary + 1 :]]
+        self.text, self.ends, self.last = self.text[boundary:], [0, *self.ends[boundary + 1 :]], [-1, *self.last[boundary + 1 :]]
         return [x for piece in reversed(cuts) for x in self.pieces.spell(piece)]
 
     def end(self) -> list[int]:
         return self._take(len(self.text)) if self.text else []
 
 
+def _shared(cuts: list[str], order: list[int]) -> list[int]:
+    """How many characters each cut, in ``order``, has in common with the one before, up to ``PREFIX``; a shorter cut counts as filled up with U+0000."""
+    if not cuts:
+        return []
+    heads = np.array([cuts[k] for k in order], f"U{PREFIX}").view(np.uint32).reshape(len(cuts), PREFIX)
+    other = np.ones((len(cuts), PREFIX + 1), bool)
+    other[1:, :PREFIX] = heads[1:] != heads[:-1]
+    return other.argmax(axis=1).tolist()
+
+
 class Codec:
     """Encodes and decodes batches of texts for one model file."""
 
@@ -203,80 +237,97 @@ class Codec:
             out.append(BLANK * (blanks - 1))
         return out
 
-    def encode_cuts(self, cuts: list[str]) -> list[list[int]]:
-        """Ids of cuts. In sorted order a cut keeps the lattice of the beginning it shares with the one before."""
-        out: list[list[int]] = [[]] * len(cuts)
-        pieces, last, ends = self.pieces, "", [0]
-        for k in sorted(range(len(cuts)), key=cuts.__getitem__):
-            text = BLANK + cuts[k]
-            if len(text) > 4 * pieces.longest:
+    def encode_cuts(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of cuts end to end, in sorted order; and for each cut where its ids begin and how many they are.
+
+        In sorted order a cut keeps the lattice of the beginning it shares with the one before.
+        """
+        pieces, flat, room = self.pieces, array("i"), 4 * self.pieces.longest - 1
+        extend, known, add = pieces.extend, len(pieces.byte_lengths), flat.extend
+        order = sorted(range(len(cuts)), key=cuts.__getitem__)
+        stops = []
+        before, ends, last = "", [0], [-1]
+        for k, same in zip(order, _shared(cuts, order), strict=True):
+            cut = cuts[k]
+            if len(cut) > room:
                 encoder = StreamEncoder(pieces)
-                out[k] = encoder.feed(text) + encoder.end()
+                add(encoder.feed(BLANK + cut))
+                add(encoder.end())
+                stops.append(len(flat))
                 continue
-            same = 0
-            for a, b in zip(last, text, strict=False):
-                if a != b:
-                    break
-                same += 1
-            del ends[same + 1 :]
-            pieces.extend(text, ends)
-            last, at, own = text, len(text), []
+            same = min(same, len(ends) - 2, len(cut)) + 2 if cut.startswith(before[:same]) else 1
+            del ends[same:], last[same:]
+            text = BLANK + cut
+            extend(text, ends, last)
+            before, at, own = cut, len(text), []
             while at:
-                n = ends[at]
-                piece = text[at - n : at]
-                own.append(pieces.ids.get(piece, piece))
-                at -= n
+                own.append(last[at])
+                at -= ends[at]
             own.reverse()
-            if any(type(x) is str for x in own):
-                own = [y for x in own for y in ([x] if type(x) is int else pieces.spell(x))]
-            out[k] = own
-        return out
+            if max(own) >= known:
+                own = [y for x in own for y in pieces.spell(x)]
+            add(own)
+            stops.append(len(flat))
+        upto = np.array([0, *stops], np.int64)
+        starts, sizes = np.empty(len(cuts), np.int64), np.empty(len(cuts), np.int64)
+        starts[order], sizes[order] = upto[:-1], np.diff(upto)
+        return np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), starts, sizes
 
     def _learn(self, new: list[str], at: int) -> None:
-        ids = self.encode_cuts(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while len(self.flat) < self.used + total:
+        ids, starts, sizes = self.encode_cuts(new)
+        while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.sizes) < at + len(new):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.sizes[at : at + len(new)] = sizes
-        self.starts[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        self.starts[at : at + len(new)] = self.used + starts
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the number of each text's."""
-        words: list[str] = []
-        ends = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                words += self.cuts(text)
-            ends[k] = len(words)
+        """Ids of all texts end to end, and the number of each text's. Cuts are numbered text by text, so none is held beside the memo."""
         if len(self.memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
             self._forget()
-        known = len(self.memo)
-        codes = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        known, number = len(self.memo), self.memo.__getitem__
+        codes = [np.fromiter(map(number, cuts := self.cuts(text)), np.int32, len(cuts)) if text else np.zeros(0, np.int32) for text in texts]
         if new := self.memo.take_new():
             self.chars += sum(map(len, new))
             self._learn(new, known)
-        sizes = self.sizes[codes]
-        sums = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(sizes, out=sums[1:])
-        at = np.arange(sums[-1]) + np.repeat(self.starts[codes] - sums[:-1], sizes)
-        return self.flat[at], np.diff(sums[ends], prepend=0)
+        counts, out = np.zeros(len(texts), np.int64), []
+        for lo, hi in _runs(np.fromiter(map(len, codes), np.int64, len(codes))):
+            own = np.concatenate(codes[lo:hi])
+            sizes = self.sizes[own]
+            sums = np.zeros(len(own) + 1, np.int64)
+            np.cumsum(sizes, out=sums[1:])
+            at = np.arange(sums[-1]) + np.repeat(self.starts[own] - sums[:-1], sizes)
+            counts[lo:hi] = np.diff(sums[np.cumsum([len(x) for x in codes[lo:hi]])], prepend=0)
+            out.append(self.flat[at])
+        return np.concatenate(out) if out else np.zeros(0, np.int32), counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that are no UTF-8 become U+FFFD; the blank put before each text goes."""
-        lengths = self.pieces.byte_lengths[ids]
-        sums = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(lengths, out=sums[1:])
-        at = np.arange(sums[-1]) + np.repeat(self.pieces.byte_starts[ids] - sums[:-1], lengths)
-        data = self.pieces.bytes[at].tobytes()
-        ends = sums[np.cumsum(counts)]
-        begins = sums[np.cumsum(counts) - counts]
-        out = (data[a:b].decode("utf-8", "replace") for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
-        return [x.removeprefix(" ") for x in out]
+        out: list[str] = []
+        ends = np.cumsum(counts)
+        for lo, hi in _runs(counts):
+            first = int(ends[lo] - counts[lo])
+            own = ids[first : int(ends[hi - 1])]
+            lengths = self.pieces.byte_lengths[own]
+            sums = np.zeros(len(own) + 1, np.int64)
+            np.cumsum(lengths, out=sums[1:])
+            at = np.arange(sums[-1]) + np.repeat(self.pieces.byte_starts[own] - sums[:-1], lengths)
+            data = self.pieces.bytes[at].tobytes()
+            begin, end = sums[ends[lo:hi] - counts[lo:hi] - first], sums[ends[lo:hi] - first]
+            out += [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return out
+
+
+def _runs(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Cut rows of ``sizes`` parts each into runs of about ``most`` parts (one row at least): arrays over parts stay small."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")), at + 1)
+        yield at, end
+        at = end
 
 
 @lru_cache(2)
@@ -291,6 +342,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "toke
     ``model`` is the path of a BPE ``.model`` file on every machine. A column named
     like ``ids`` is replaced.
     """
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != ids]
     names = [f.name for f in kept]
 
@@ -308,6 +360,7 @@ def encode_checked(df: DataFrame, model: str, text: str = "text", ids: str = "to
 
     Both ways share one pass and one worker; decoded texts don't leave it.
     """
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (ids, exact)]
     names = [f.name for f in kept]
 

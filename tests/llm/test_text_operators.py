@@ -14,7 +14,7 @@ from corpusloom.llm.chat_format import CONTROL, MARK, conversation_digests, esca
 from corpusloom.llm.piece_codec import Codec, StreamEncoder, decode_ids, encode_checked, encode_texts
 from corpusloom.llm.quality_rules import apply_rules, default_rules, estimate, base_metrics, hashes_of, order, windows_of
 from corpusloom.llm.token_counts import Counter, count_tokens
-from corpusloom.llm import warc_bundles
+from corpusloom.llm import piece_codec, warc_bundles
 from corpusloom.llm.warc_bundles import fetch_records, parse_record, read_record, read_bundles, read_frame, read_seek_table, record_index, write_bundles
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,32 @@ def test_pieces_round_trip(rows):
     assert ids.tolist() == [i for t in rows for i in reference.encode(t)]
 
 
+def test_pieces_of_cuts_in_any_order():
+    cuts = ["", "a", "a\0", "a\0b", "abc" * 9, "abc" * 9 + "d", "abcabcx", "x" * 9000, "x" * 30, "x" * 31, "日本", "日本語", "▁▁a", "a"]
+    codec, reference = Codec(MODEL), library()
+    for some in (cuts, cuts[::-1]):
+        ids, starts, sizes = codec.encode_cuts(some)
+        assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [reference.encode(c.replace("▁", " ")) or codec.pieces.spell(codec.pieces.numbers["▁"]) for c in some]
+
+
+def test_runs_of_texts_give_the_ids_of_all(monkeypatch):
+    runs = piece_codec._runs
+    whole = Codec(MODEL).encode(HARD)
+    monkeypatch.setattr(piece_codec, "_runs", lambda sizes: runs(sizes, 7))
+    codec = Codec(MODEL)
+    ids, counts = codec.encode(HARD)
+    assert ids.tolist() == whole[0].tolist() and counts.tolist() == whole[1].tolist()
+    assert codec.decode(ids, counts) == [t.replace("▁", " ") for t in HARD]
+
+
+def test_a_single_character_asks_for_no_join(monkeypatch):
+    asked = []
+    codec = Codec(MODEL)
+    monkeypatch.setattr(type(codec.pieces), "joins", lambda *x: asked.append(x) or True)
+    codec.encode(["鿰鿱鿲 𐂀𐂁"])
+    assert not asked
+
+
 def test_a_stream_in_parts_gives_the_same_ids():
     codec = Codec(MODEL)
     text = "▁" + "".join(random.Random(3).choice("abcdeing") for _ in range(5000))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, lean, list_array, sized, slices, span_hashes, unused, word_spans, written
+from .common import PLAIN, joined_bytes, lean, list_array, sized, slices, span_hashes, unused, word_spans, written
 
 STEP, PASSAGE = 8, 32
 RANK, OVERSAMPLE = 56, 8
@@ -40,6 +40,8 @@ COSINE = 0.62
 LEAST_IDF = 0.05
 #: Cosines of items and windows that a task holds at once.
 COSINES = 1 << 21
+#: Runs of known words that are added up together, so that their sums stay in a core's cache.
+RUNS = 1 << 12
 ITEM_BLOCK = 2_000
 LEAST_WORDS = 6
 #: A candidate is a leak at this share of the item in order, or at the lower one with this share of its answer.
@@ -48,7 +50,8 @@ WHOLE, PART, ANSWER = 0.8, 0.6, 0.75
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes without symbols and case, and each text's bounds."""
-    data, offsets = joined_bytes(pc.utf8_lower(pc.replace_substring_regex(texts.fill_null(""), r"[!-/:-@\[-`{-~]+", " ")))
+    data, offsets = joined_bytes(pc.utf8_lower(texts.fill_null("")))
+    data = data.translate(PLAIN)
     starts, ends, bounds = word_spans(data, offsets)
     return span_hashes(data, starts, ends), bounds
 
@@ -104,16 +107,20 @@ def known_words(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
-        seen = np.zeros(bits, bool)
-        seen[(vocabulary & np.uint64(bits - 1)).astype(np.int64)] = True
+        slot = (vocabulary & np.uint64(bits - 1)).astype(np.int64)
+        seen, number = np.zeros(bits, bool), np.zeros(bits, np.int32)
+        seen[slot], number[slot] = True, np.arange(len(vocabulary))
         for part in slices(batches, text):
             words, bounds = _words(part.column(text))
-            maybe = np.flatnonzero(seen[(words & np.uint64(bits - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(vocabulary, words[maybe]), len(vocabulary) - 1)
+            slot = (words & np.uint64(bits - 1)).astype(np.int64)
+            maybe = np.flatnonzero(seen[slot])
+            at = number[slot[maybe]]
+            other = np.flatnonzero(vocabulary[at] != words[maybe])  # unknown, or of a slot that known words share
+            at[other] = np.minimum(np.searchsorted(vocabulary, words[maybe[other]]), len(vocabulary) - 1)
             hit = vocabulary[at] == words[maybe]
             place, term = maybe[hit], at[hit]
-            owner = np.searchsorted(bounds, place, side="right") - 1
-            sizes = np.bincount(owner, minlength=part.num_rows)
+            sizes = np.diff(np.searchsorted(place, bounds))
+            owner = np.repeat(np.arange(part.num_rows), sizes)
             made = [part.column("doc_id"), pa.array(np.diff(bounds)), list_array((place - bounds[owner]), sizes, pa.int32()), list_array(term, sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n", "places", "terms"]).filter(pa.array(sizes > 0))
 
@@ -132,7 +139,7 @@ def _ragged(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, n
     return terms, first[row] + places // width, np.append(first, cells.sum()), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds about ``most`` known words (one row at least)."""
     for batch in batches:
         sizes = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
@@ -155,12 +162,21 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(total[at, k])) for k in range(total.shape[1]))], ["at", *(f"v{k}" for k in range(total.shape[1]))])
 
 
-def _sums_of(columns: np.ndarray, term: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """For each line of ``columns`` (a value per term) its sums over runs of known words."""
-    out = np.empty((len(columns), len(heads)), np.float64)
-    for k, own in enumerate(columns):
-        out[k] = np.add.reduceat(own.take(term), heads)
-    return out
+def _sums_of(lines: np.ndarray, term: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sum of ``lines`` (one per term) over each run of known words: the first words of all runs are added at once, then the second ones of those with two."""
+    sizes = np.diff(np.append(heads, len(term)))
+    order = np.argsort(-sizes, kind="stable")
+    sums = np.empty((len(heads), lines.shape[1]), lines.dtype)
+    left = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left").tolist()  # how many runs have more words
+    for lo in range(0, len(heads), RUNS):
+        first = heads[order[lo : lo + RUNS]]
+        own = lines[term[first]]
+        for k, n in enumerate(left[1:], 1):
+            if n <= lo:
+                break
+            own[: n - lo] += lines[term[first[: n - lo] + k]]
+        sums[order[lo : lo + RUNS]] = own
+    return sums
 
 
 def inverse_frequencies(rows: DataFrame, terms: int) -> np.ndarray:
@@ -170,7 +186,9 @@ def inverse_frequencies(rows: DataFrame, terms: int) -> np.ndarray:
         total = np.zeros((terms + 1, 1))
         for part in _pieces(batches):
             term, cell, first, _ = _ragged(part, PASSAGE)
-            total[:terms, 0] += np.bincount(np.unique(cell * terms + term) % terms, minlength=terms)
+            key = cell * terms + term
+            key.sort()
+            total[:terms, 0] += np.bincount(key[np.diff(key, prepend=-1) > 0] % terms, minlength=terms)
             total[terms, 0] += first[-1]
         yield _emit(total)
 
@@ -188,22 +206,22 @@ def principal_directions(rows: DataFrame, idf: np.ndarray, rank: int = RANK, see
     terms, spark = len(idf), rows.sparkSession
     width = min(rank + OVERSAMPLE, terms)
 
-    def passages(part: pa.RecordBatch, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Unit rows of X times a matrix (both turned, a line per column), the known words' terms, their passages, and the passages' lengths."""
+    def passages(part: pa.RecordBatch, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unit rows of X times a matrix, the known words' terms, their passages, and the passages' lengths."""
         term, cell, _, _ = _ragged(part, PASSAGE)
         heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         norm = np.sqrt(np.maximum(np.add.reduceat(idf[term] ** 2, heads), 1e-18))
-        return _sums_of(columns, term, heads) / norm, term, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term)))), norm
+        return _sums_of(lines, term, heads) / norm[:, None], term, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term)))), norm
 
     def spread(matrix: np.ndarray) -> np.ndarray:
         """X'X times a matrix."""
-        sent = spark.sparkContext.broadcast(np.ascontiguousarray((matrix * idf[:, None]).T.astype(np.float32)))
+        sent = spark.sparkContext.broadcast((matrix * idf[:, None]).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((matrix.shape[1], terms))
             for part in _pieces(batches):
                 y, term, at, norm = passages(part, sent.value)
-                y /= norm
+                y = np.ascontiguousarray((y / norm[:, None]).T)
                 for k in range(len(y)):
                     total[k] += np.bincount(term, y[k][at], terms)
             yield _emit((total * idf).T)
@@ -215,13 +233,13 @@ def principal_directions(rows: DataFrame, idf: np.ndarray, rank: int = RANK, see
 
     def inner(matrix: np.ndarray) -> np.ndarray:
         """(X matrix)'(X matrix), a small square."""
-        sent = spark.sparkContext.broadcast(np.ascontiguousarray((matrix * idf[:, None]).T.astype(np.float32)))
+        sent = spark.sparkContext.broadcast((matrix * idf[:, None]).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((matrix.shape[1], matrix.shape[1]))
             for part in _pieces(batches):
                 y = passages(part, sent.value)[0].astype(np.float32)
-                total += y @ y.T
+                total += y.T @ y
             yield _emit(total)
 
         at, found = _sums(rows, run, matrix.shape[1])
@@ -295,14 +313,14 @@ def _shared(term: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarr
 def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float) -> DataFrame:
     rows = written(known_words(docs, items, doc_id, text), "leak-words")
     idf = inverse_frequencies(rows, len(items.vocabulary))
-    directions = np.ascontiguousarray((principal_directions(rows, idf) * idf[:, None]).T.astype(np.float32))
+    directions = (principal_directions(rows, idf) * idf[:, None]).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((items, directions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, basis = sent.value
         length = own.blocks()
         sizes = np.array([len(w) for w in own.words])
-        vectors = np.stack([basis[:, w].sum(1) for w in own.words])
+        vectors = np.stack([basis[w].sum(0) for w in own.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
         vectors = vectors.astype(np.float32)
         least = (cosine * np.sqrt(sizes / (length * STEP))).astype(np.float32)
@@ -310,10 +328,10 @@ def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float
         for part in _pieces(batches):
             term, cell, first, _ = _ragged(part, STEP)
             heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            cells = np.zeros((len(basis), int(first[-1]) + 1))
-            cells[:, cell[heads] + 1] = _sums_of(basis, term, heads)
+            cells = np.zeros((basis.shape[1], int(first[-1]) + 1))
+            cells[:, cell[heads] + 1] = _sums_of(basis, term, heads).T
             cells = np.cumsum(cells, axis=1).astype(np.float32)
-            starts = np.searchsorted(cell, np.arange(int(first[-1]) + 1))  # each cell's first known word
+            starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=int(first[-1])))])  # each cell's first known word
             row_of = np.repeat(np.arange(part.num_rows), np.diff(first))
             row_end = first[row_of + 1]
             ids = part.column("doc_id").to_numpy()
@@ -334,8 +352,9 @@ def _search(docs: DataFrame, items: Items, doc_id: str, text: str, cosine: float
                 step = max(1, COSINES // max(len(these), 1))
                 for lo in range(0, len(begin), step):  # windows in blocks: a bounded part of items times windows at once
                     likeness = vectors[these] @ window[:, lo : lo + step]
-                    which, at = np.nonzero(likeness >= least[these][:, None])
-                    score = likeness[which, at]
+                    near = np.flatnonzero((likeness >= least[these][:, None]).ravel())
+                    which, at = np.divmod(near, likeness.shape[1])
+                    score = likeness.ravel()[near]
                     which, at = these[which], at + lo
                     keep = _shared(term, starts[begin[at]], starts[end[at]], which, counts, len(own.vocabulary), PART * sizes)
                     for j, a, b, c in zip(which[keep].tolist(), begin[at[keep]].tolist(), end[at[keep]].tolist(), score[keep].tolist(), strict=True):

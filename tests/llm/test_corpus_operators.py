@@ -631,3 +631,20 @@ def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     assert seen["near_dedup"] == {own[k] for k in groups}
     assert seen["sentencepiece"] == seen["decontamination"] and docs.filter("NOT round_trip").count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == seen["sentencepiece"]
+
+
+# ---------------------------------------------------------------- work and memory of decontamination and toxicity
+def test_sums_over_runs_of_known_words_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    lines = rng.standard_normal((30, 6))
+    for sizes in ([], [1], [3, 1, 1, 7, 2], rng.integers(1, 9, 10_000).tolist()):
+        term = rng.integers(0, 30, sum(sizes))
+        heads = np.cumsum([0, *sizes])[:-1]
+        wanted = [lines[term[a : a + n]].sum(axis=0) for a, n in zip(heads, sizes, strict=True)]
+        assert np.allclose(decontaminate._sums_of(lines, term, heads), np.array(wanted).reshape(-1, 6))
+
+
+def test_words_without_symbols_need_no_expression(monkeypatch):
+    monkeypatch.setattr(decontaminate.pc, "replace_substring_regex", None)
+    found, bounds = decontaminate._words(pa.array(["It's [a] TEST_case... été", None, "it s a test case été"]))
+    assert bounds.tolist() == [0, 6, 6, 12] and found[:6].tolist() == found[6:].tolist()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, hand_back, joined_bytes, labelled_sample, lean, list_array, mix, short_hashes, slices, span_hashes, word_spans, written
+from .common import PLAIN, forget, hand_back, joined_bytes, labelled_sample, lean, list_array, mix, short_hashes, slices, small_batches, span_hashes, word_spans, written
 from .near_dups import shingle_sets
 
 #: Labelled rows that are learned from, at most about so many.
@@ -50,6 +50,8 @@ BLOCK = 64
 DENSE_SHARE, TOGETHER = 1 / 12, 128
 #: Postings that are added up at once, so that they stay in a core's cache.
 ADDED = 1 << 15
+#: Texts of about so many bytes are scored at once; what is made of them stands beside the index in each worker.
+SCORED_BYTES = 1 << 19
 #: Examples in a group of which only the largest score is looked at first.
 GROUP = 64
 #: A word's first bytes of these numbers count as terms, too: inflected forms share them.
@@ -60,10 +62,6 @@ PRIOR_VOTES = 0.5
 VOTE_FLOOR = 0.02
 
 
-#: Symbols stand for blanks.
-_PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
-
-
 @dataclass
 class Words:
     """The words of texts, lower-cased and without symbols: each word's text, hash and bytes, and each text's number of words."""
@@ -78,7 +76,7 @@ class Words:
     @classmethod
     def of(cls, texts: pa.Array) -> Words:
         data, offsets = joined_bytes(pc.utf8_lower(texts.fill_null("")))
-        data = data.translate(_PLAIN)
+        data = data.translate(PLAIN)
         starts, ends, bounds = word_spans(data, offsets)
         sizes = np.diff(bounds)
         return cls(np.repeat(np.arange(len(texts)), sizes), span_hashes(data, starts, ends), data, starts, ends, sizes)
@@ -514,6 +512,7 @@ def fitted_line(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Index:
     """The index of labelled examples for which ``usable`` (over ``labels``) is true. Its size is bounded by ``max_labelled``."""
+    small_batches(docs.sparkSession)
     picked = labelled_sample(labels, label, usable, max_labelled, doc_id)
     rows = written(docs.select(F.col(doc_id).alias("__id"), text).join(F.broadcast(picked), "__id"), "toxic-rows")
     unlike = written(_unlike(rows, text), "toxic-unlike")
@@ -544,7 +543,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             yield pa.RecordBatch.from_arrays(made, ["id", "y", "words", "terms", "times"]).filter(pa.array(sizes > 0))
 
     id_type = rows.schema["__id"].dataType.simpleString()
-    held = rows.mapInArrow(words_of, f"id {id_type}, y int, words long, terms array<long>, times array<int>")
+    # written: a second Python step in the stage would take a second worker for each core, and executors give idle workers their turn, so all of them would hold the index
+    held = written(rows.mapInArrow(lean(words_of), f"id {id_type}, y int, words long, terms array<long>, times array<int>"), "toxic-words")
     terms = Terms(held.select(F.explode("terms").alias("h")).distinct().toArrow().column("h").to_numpy(), strong)
     seen, total = _document_counts(docs, text, terms), docs.count()
     idf = np.log((1 + total) / (1 + seen)) + 1
@@ -561,7 +561,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             weights = np.delete(own.vectors(at, times, sizes, part.column("words").to_numpy(), np.zeros(len(sizes)))[1], ends + np.arange(len(ends)))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array(at, sizes, pa.int32()), list_array(weights.astype(np.float32), sizes, pa.float32())], ["id", "y", "terms", "weights"])
 
-    made = held.mapInArrow(vectors, f"id {id_type}, y int, terms array<int>, weights array<float>").toArrow()
+    made = held.mapInArrow(lean(vectors), f"id {id_type}, y int, terms array<int>, weights array<float>").toArrow()
     flat = lambda c: pa.chunked_array([x.flatten() for x in made.column(c).chunks], made.schema.field(c).type.value_type).to_numpy()
     sizes = pc.list_value_length(made.column("terms")).to_numpy()
     parts = [flat("terms"), flat("weights"), sizes, made.column("y").to_pylist(), made.column("id").to_pylist()]
@@ -573,7 +573,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     hand_back()
     if toxic and clean:
         index.line = _calibrated(index, held)
-    forget(rows)
+    forget(rows, held)
     return index
 
 
@@ -612,6 +612,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
     One scan without a shuffle; columns of these names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [f for f in docs.schema.fields if f.name not in (name, evidence)]
     names = [f.name for f in kept]
     sent = spark.sparkContext.broadcast(index)
@@ -619,7 +620,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", name: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for part in slices(batches, text):
+        for part in slices(batches, text, SCORED_BYTES):
             owner, term, times, words, unknown = own.terms.in_texts(part.column(text))
             scores, counts = np.full(part.num_rows, own.prior), np.zeros(part.num_rows, np.int64)
             held = np.bincount(owner, minlength=part.num_rows)

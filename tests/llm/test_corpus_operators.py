@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, near_dups, quality_model, quality_rules, toxicity
+from corpusloom.llm import common, decontaminate, near_dups, quality_model, quality_rules, toxicity
 from corpusloom.llm.line_dedup import CuckooFilter, LineIndex, drop_lines
 from corpusloom.llm.queries import QUERIES
 
@@ -648,3 +648,38 @@ def test_words_without_symbols_need_no_expression(monkeypatch):
     monkeypatch.setattr(decontaminate.pc, "replace_substring_regex", None)
     found, bounds = decontaminate._words(pa.array(["It's [a] TEST_case... été", None, "it s a test case été"]))
     assert bounds.tolist() == [0, 6, 6, 12] and found[:6].tolist() == found[6:].tolist()
+
+
+def test_no_stage_of_toxicity_has_two_python_steps(spark, monkeypatch):
+    kind = type(spark.range(1))
+    plain, steps = kind.mapInArrow, []
+
+    def watched(self, *args, **options):
+        steps.append("MapInArrow" in self._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, *args, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    rows = [(k, f"word{k % 7} other{k % 5} text{k % 3}", k % 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    score = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True)))
+    assert score.count() == 60 and len(steps) >= 6 and not any(steps)
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(name)
+    spark.conf.unset(name)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        common.small_batches(spark)
+        sizes = [r.n for r in spark.range(0, 5_000, 1, 1).select(F.repeat(F.lit("text "), 1_000).alias("t")).mapInArrow(run, "n long").collect()]
+        assert sum(sizes) > 5 * common.BATCH_BYTES and max(sizes) < 2 * common.BATCH_BYTES
+        spark.conf.set(name, 1 << 20)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

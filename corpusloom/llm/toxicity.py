@@ -47,11 +47,15 @@ WORD_WEIGHT, MORE_WORDS = 0.05, 40
 NEIGHBOURS = 16
 BLOCK = 64
 #: A term that more than this share of the examples hold has a dense row; a product scores those of ``TOGETHER`` queries at once.
-DENSE_SHARE, TOGETHER = 1 / 12, 128
+DENSE_SHARE, TOGETHER = 1 / 12, 64
+#: Examples whose dense rows are copied at once for a product of some of them.
+COPIED = 1 << 11
 #: Postings that are added up at once, so that they stay in a core's cache.
 ADDED = 1 << 15
 #: Texts of about so many bytes are scored at once; what is made of them stands beside the index in each worker.
 SCORED_BYTES = 1 << 19
+#: Rows of terms that are weighed or searched at once: an Arrow batch has a thousand and more, and each of its terms takes part in some ten arrays of numbers.
+ROWS = 256
 #: Examples in a group of which only the largest score is looked at first.
 GROUP = 64
 #: A word's first bytes of these numbers count as terms, too: inflected forms share them.
@@ -191,7 +195,7 @@ def _unlike(rows: DataFrame, text: str) -> DataFrame:
             least[full] = np.minimum.reduceat(mix(sets), (np.cumsum(sizes) - sizes)[full]) if len(full) else least[full]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__id", text, "__y")), pa.array(least.view(np.int64))], ["__id", text, "__y", "__like"])
 
-    marked = rows.select("__id", text, "__y").mapInArrow(run, T.StructType([*rows.select("__id", text, "__y").schema.fields, T.StructField("__like", T.LongType())]))
+    marked = rows.select("__id", text, "__y").mapInArrow(lean(run), T.StructType([*rows.select("__id", text, "__y").schema.fields, T.StructField("__like", T.LongType())]))
     picked = marked.groupBy("__like", "__y").agg(F.min("__id").alias("__id")).select("__id")
     return rows.join(picked, "__id", "left_semi")
 
@@ -214,7 +218,7 @@ def _term_counts(rows: DataFrame, text: str) -> DataFrame:
                 [pa.array(w[head].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], ["h", *names])
 
     names = ("toxic", "clean", "toxic_share", "clean_share")
-    counted = rows.select("__y", text).mapInArrow(run, "h long, toxic long, clean long, toxic_share double, clean_share double")
+    counted = rows.select("__y", text).mapInArrow(lean(run), "h long, toxic long, clean long, toxic_share double, clean_share double")
     return counted.groupBy("h").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -226,6 +230,12 @@ def _ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Colu
                 + term(all_toxic - toxic, (total - n) * all_toxic / total) + term(all_clean - clean, (total - n) * all_clean / total))
 
 
+def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches to ``ROWS`` rows."""
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def _document_counts(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
     """In how many of all documents each term occurs; a sum of one vector per slice."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
@@ -402,7 +412,13 @@ class Index:
         held = np.zeros((len(starts) - 1, len(dense)), np.float32)
         held[np.repeat(np.arange(len(starts) - 1), np.diff(starts))[hit], at[hit]] = weight[hit]
         used = np.flatnonzero(held.any(axis=0))
-        return held[:, used] @ dense[used] if 2 * len(used) < len(dense) else held @ dense
+        if 2 * len(used) >= len(dense):
+            return held @ dense
+        held, out = held[:, used], np.empty((len(held), dense.shape[1]), np.float32)
+        for first in range(0, dense.shape[1], COPIED):
+            some = slice(first, first + COPIED)
+            np.matmul(held, dense[used, some], out=out[:, some])
+        return out
 
     def all_nearest(self, term: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of every vector, in order; vectors as of ``vectors``.
@@ -553,7 +569,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for part in batches:
+        for part in _in_rows(batches):
             lists = part.column("terms")
             sizes = pc.list_value_length(lists).to_numpy()
             at = np.searchsorted(own.terms.hashes, lists.flatten().to_numpy().view(np.uint64))
@@ -588,7 +604,7 @@ def _calibrated(index: Index, held: DataFrame) -> tuple[float, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         number = {x: k for k, x in enumerate(own.ids)}
-        for part in batches:
+        for part in _in_rows(batches):
             lists, words = part.column("terms"), part.column("words").to_numpy()
             term = own.terms.find(lists.flatten().to_numpy().view(np.uint64))
             made = own.vectors(term, part.column("times").flatten().to_numpy().astype(np.float64), pc.list_value_length(lists).to_numpy(), words, np.zeros(len(words)))

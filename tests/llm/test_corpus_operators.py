@@ -1,8 +1,10 @@
 """Operators over the whole corpus: line dedup, near-duplicates, decontamination, classifiers, pipeline."""
 
 import random
+import tracemalloc
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -683,3 +685,61 @@ def test_batches_are_bounded_unless_the_session_bounds_them(spark):
         assert spark.conf.get(name) == str(1 << 20)
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _peak(made) -> int:
+    """Bytes that arrays took at most while ``made`` ran, beyond those before."""
+    tracemalloc.start()
+    try:
+        made()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _dense_index(terms: int, examples: int) -> toxicity.Index:
+    r = np.random.default_rng(8)
+    own = [np.flatnonzero(r.random(terms) < 0.2) for _ in range(examples)]
+    vectors = [(t, np.full(len(t), len(t) ** -0.5 if len(t) else 1.0)) for t in own]
+    return toxicity.Index.build(toxicity.Terms(np.arange(1, terms + 1), np.arange(1, 5)), np.ones(terms), vectors, r.integers(0, 2, examples).tolist(), list(range(examples)), 0.3)
+
+
+def test_products_of_some_dense_terms_copy_few_of_their_rows():
+    """Rows of half of all dense terms take 4.5 MB; a product gives the same without a copy of all of them."""
+    index = _dense_index(250, 9000)
+    assert index.dense[1].shape == (250, 9000)
+    term, weight, starts = np.tile(np.arange(120), 4), np.random.default_rng(2).random(480), np.arange(5) * 120
+    assert np.allclose(index.common_scores(term, weight, starts), weight.reshape(4, 120) @ index.dense[1][:120], atol=1e-4)
+    assert _peak(lambda: index.common_scores(term, weight, starts)) < 2 << 20
+
+
+def test_calibration_takes_few_rows_of_a_batch_at_once(monkeypatch):
+    """One batch of 2,000 rows gives two votes for every row, and no more than 256 rows are searched together."""
+    index = _dense_index(40, 2000)
+    rows = [[int(t) + 1 for t in np.flatnonzero(np.random.default_rng(k).random(40) < 0.3)] for k in range(2000)]
+    batch = pa.RecordBatch.from_pylist(
+        [{"id": k, "y": k % 2, "words": 50, "terms": x, "times": [1] * len(x)} for k, x in enumerate(rows)],
+        pa.schema([("id", pa.int64()), ("y", pa.int32()), ("words", pa.int64()), ("terms", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]))
+    got, sizes, plain = [], [], toxicity.Index.all_nearest
+
+    class Held:
+        class sparkSession:
+            class sparkContext:
+                broadcast = staticmethod(lambda x: SimpleNamespace(value=x, destroy=lambda: None))
+
+        def mapInArrow(self, run, _):
+            got.extend(run(iter([batch])))
+            return self
+
+        def toArrow(self):
+            return pa.Table.from_batches(got)
+
+    monkeypatch.setattr(toxicity.Index, "all_nearest", lambda self, t, w, starts, k: sizes.append(len(starts) - 1) or plain(self, t, w, starts, k))
+    line = toxicity._calibrated(index, Held())
+    assert sum(sizes) == 2000 and max(sizes) <= 256
+    assert sum(x.num_rows for x in got) == 4000 and all(map(np.isfinite, line))
+    whole = plain(index, *index.vectors(np.concatenate(rows) - 1, np.ones(sum(map(len, rows))), np.array(list(map(len, rows))), np.full(2000, 50), np.zeros(2000)), 17)
+    votes = np.concatenate([x.column("vote").to_numpy() for x in got])
+    for k, (best, cosines) in enumerate(whole):
+        for at, keep in ((2 * k, best != k), (2 * k + 1, best >= 0)):
+            assert abs(votes[at] - index.vote(cosines[keep][:16], best[keep][:16], np.array([len(best[keep][:16])]))[0]) < 1e-4

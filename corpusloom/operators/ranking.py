@@ -97,11 +97,16 @@ def bm25_index(chunks: DataFrame, keep: bool = False, cluster: bool = False, row
     return Bm25(postings, lengths, written(terms, "terms") if cluster else terms, totals)
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles in 20 decimal places, alike in any order; doubles would differ in their last digits, so that rows of equal values round apart."""
+    return F.sum(value.cast("decimal(38,20)")).cast("double")
+
+
 def weighted(counts: DataFrame, totals: DataFrame, keep: bool = False) -> DataFrame:
     """term, df and idf of ``counts`` (term, df); terms of most chunks, whose weight would fall below zero, get a share of the mean."""
     raw = counts.crossJoin(F.broadcast(totals)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     raw = written(raw, "document-frequencies") if keep else raw
-    floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
+    floor = raw.agg((EPSILON * F.try_divide(exact_sum(F.col("raw")), F.count("*"))).alias("floor"))
     return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -131,7 +136,7 @@ def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     return (
         postings.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term").crossJoin(F.broadcast(index.totals))
-        .groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+        .groupBy("query_id", "chunk_id").agg(exact_sum(part).alias("bm25"))
     )
 
 

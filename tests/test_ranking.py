@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -38,6 +39,26 @@ def test_bm25_equals_the_formula(spark):
         assert found.get(k, 0.0) == pytest.approx(score)
 
 
+def test_mean_weight_is_exact_in_any_order(spark):
+    """300,000 terms: the share of the mean is that of the exact sum, however the terms lie in partitions."""
+    counts = spark.range(300_000).select(F.concat(F.lit("t"), "id").alias("term"), F.when(F.col("id") == 0, 39_999).otherwise(F.col("id") * 7919 % 971 + 1).alias("df"))
+    totals = spark.createDataFrame([(40_000, 1.0)], "n long, avgdl double")
+    of = [math.log(40_000 - c + 0.5) - math.log(c + 0.5) for c in [39_999] + [k * 7919 % 971 + 1 for k in range(1, 300_000)]]
+    mean = 0.25 * math.fsum(of) / len(of)
+    for parts in (1, 7):
+        found = ranking.weighted(counts.repartition(parts), totals).filter("term = 't0'").first()["idf"]
+        assert found == pytest.approx(mean, rel=1e-15, abs=0)
+
+
+def test_equal_counts_of_words_score_alike(spark):
+    """60 chunks of the same words in another order each: sums in the order of their words would differ in the last digits, and round apart now and then."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(40) for _ in range(k % 4 + 1)]
+    texts = [" ".join(r.sample(words, len(words))) for _ in range(60)] + [" ".join(r.sample(words, r.randint(1, 20))) + " other" for _ in range(300)]
+    found = ranking.bm25_matches(ranking.bm25_index(_chunks(spark, texts).repartition(5)), _queries(spark, [" ".join(words)])).filter("chunk_id < 60").collect()
+    assert len(found) == 60 and len({x["bm25"] for x in found}) == 1
+
+
 def test_distributed_rank_equals_a_plain_sort(spark):
     rows = [(g, k, float((k * 7919) % 13)) for g in range(3) for k in range(500)]
     df = spark.createDataFrame(rows, "g long, chunk_id long, score double")

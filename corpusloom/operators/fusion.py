@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.scratch import written
-from .ranking import B, BLOCK_CELLS, BROADCAST_TERMS, K1, PER_PATH, PUSHED_TERMS, RRF_K, Bm25, any_of, best_per_group, cosine_blocks, diverse_top, query_terms
+from .ranking import B, BLOCK_CELLS, K1, PER_PATH, RRF_K, Bm25, asked_postings, asked_terms, best_per_group, cosine_blocks, diverse_top, run_heads
 
 #: Depth of the first round beside ``PER_HIT`` for each hit that is asked for, and by what it grows. The k-th hit of one list alone scores above
 #: the bound of a list 2 k + RRF_K deep; the rest is for hits that few chunks of a path keep out.
@@ -116,7 +116,7 @@ def _bm25(asked: pa.Table, queries: int, avgdl: float):
 
     def scores(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
         ids = rows.column("chunk_id").combine_chunks()
-        heads = np.flatnonzero(_heads(ids))
+        heads = np.flatnonzero(run_heads(ids))
         own, tf, dl = (rows.column(c).to_numpy() for c in ("code", "tf", "dl"))
         each = bounds[own + 1] - bounds[own]
         at = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each) + np.repeat(bounds[own], each)
@@ -132,7 +132,7 @@ def _bm25(asked: pa.Table, queries: int, avgdl: float):
                 continue
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            heads = np.append(np.flatnonzero(_heads(rows.column("chunk_id").combine_chunks())), len(rows))
+            heads = np.append(np.flatnonzero(run_heads(rows.column("chunk_id").combine_chunks())), len(rows))
             last = heads[-2]  # its chunk may go on in the next batch
             for k in range(0, len(heads) - 2, most):
                 yield scores(rows.slice(heads[k], min(heads[min(k + most, len(heads) - 2)], last) - heads[k]))
@@ -143,13 +143,6 @@ def _bm25(asked: pa.Table, queries: int, avgdl: float):
     return run
 
 
-def _heads(ids: pa.Array) -> np.ndarray:
-    """Where a run of equal ids begins."""
-    out = np.ones(len(ids), bool)
-    out[1:] = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
-    return out
-
-
 def _few(slices, queries: int, more):
     """(place, score): the ``FEW`` best scores of each query that ``more`` lists."""
 
@@ -250,22 +243,9 @@ def _picked(slices, sent):
 
 
 # ---------------------------------------------------------------- a round
-def _asked(index: Bm25, texts: DataFrame) -> pa.Table:
-    """place, term, weight (times x idf) and code (of the term) of a block's queries that the index knows, sorted by code."""
-    found = query_terms(texts).join(index.terms, "term").select(F.col("query_id").alias("place"), "term", (F.col("times") * F.col("idf")).alias("weight")).toArrow()
-    code = found.column("term").combine_chunks().dictionary_encode()
-    found = found.append_column("code", code.indices.cast(pa.int32()))
-    return found.sort_by([("code", "ascending"), ("place", "ascending")])
-
-
 def _postings(index: Bm25, asked: pa.Table) -> DataFrame:
-    """chunk_id, code, tf, dl of the asked terms' postings, dealt and sorted by chunk. Few terms are a filter of the scan, more are joined."""
-    terms = asked.group_by(["code", "term"]).aggregate([])
-    names = terms.column("term").to_pylist()
-    own = index.postings.filter(any_of("term", sorted(names))) if len(names) <= PUSHED_TERMS else index.postings
-    codes = index.postings.sparkSession.createDataFrame(terms, "code int, term string")
-    rows = own.join(F.broadcast(codes) if len(names) <= BROADCAST_TERMS else codes, "term").select("chunk_id", "code", "tf", "dl")
-    return rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "code")
+    """chunk_id, code, tf, dl of the asked terms' postings, dealt and sorted by chunk."""
+    return asked_postings(index, asked).repartition("chunk_id").sortWithinPartitions("chunk_id", "code")
 
 
 def _scored(chunks: DataFrame, index: Bm25, asked: pa.Table, vectors: list, depth: int, n: int, avgdl: float) -> pa.Table:
@@ -340,7 +320,7 @@ def hybrid_search(chunks: DataFrame, index: Bm25, queries: DataFrame, k: int = 6
                 continue
             ids = spark.createDataFrame([(at, r["query_id"]) for at, r in enumerate(few)], named)
             texts = spark.createDataFrame([(at, r["text"]) for at, r in enumerate(few)], "query_id int, text string")
-            found = _scored(chunks, index, _asked(index, texts), [r["vec"] for r in few], min(depth, n), n, avgdl)
+            found = _scored(chunks, index, asked_terms(index, texts), [r["vec"] for r in few], min(depth, n), n, avgdl)
             scored = spark.createDataFrame(found, StructType([named[0], chunks.schema["chunk_id"], StructField("score", DoubleType()), StructField("bound", DoubleType())]))
             scored = chunks.select("chunk_id", "path").join(F.broadcast(scored), "chunk_id")
             hits = diverse_top(scored, "place", k, per_path=per_path)

@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from ..functions.scratch import written
 from ..functions.text import strip, words
+from .placing import descending, placed
 
 #: Fixed values of BM25 and of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -31,6 +32,10 @@ NO_NORM = 1e-10
 BROADCAST_QUERIES, BROADCAST_TERMS = 10_000, 500_000
 #: Cosines that a task holds at once.
 BLOCK_CELLS = 2_000_000
+#: The same where cosines are added up in order, so that sums stay in a core's cache.
+EXACT_CELLS = 50_000
+#: Queries whose ranks of all chunks are made at once, and about how many scores a block of chunks has.
+RANKED_QUERIES, RANKED_CELLS = 500, 800_000
 #: Terms that become a filter of the scan, and the size of a row group of clustered postings.
 PUSHED_TERMS, ROW_GROUP = 500, 4 << 20
 
@@ -140,6 +145,29 @@ def bm25_matches(index: Bm25, queries: DataFrame) -> DataFrame:
     )
 
 
+def asked_terms(index: Bm25, texts: DataFrame) -> pa.Table:
+    """place, term, weight (times x idf) and code (of the term) of a block's queries (query_id is the place) that the index knows, sorted by code; codes follow the terms' order."""
+    found = query_terms(texts).join(index.terms, "term").select(F.col("query_id").alias("place"), "term", (F.col("times") * F.col("idf")).alias("weight")).toArrow()
+    found = found.sort_by([("term", "ascending"), ("place", "ascending")])
+    return found.append_column("code", found.column("term").combine_chunks().dictionary_encode().indices.cast(pa.int32()))
+
+
+def asked_postings(index: Bm25, asked: pa.Table) -> DataFrame:
+    """chunk_id, code, tf, dl of the asked terms' postings. Few terms are a filter of the scan, more are joined."""
+    terms = asked.group_by(["code", "term"]).aggregate([])
+    names = terms.column("term").to_pylist()
+    own = index.postings.filter(any_of("term", sorted(names))) if len(names) <= PUSHED_TERMS else index.postings
+    codes = index.postings.sparkSession.createDataFrame(terms, "code int, term string")
+    return own.join(F.broadcast(codes) if len(names) <= BROADCAST_TERMS else codes, "term").select("chunk_id", "code", "tf", "dl")
+
+
+def run_heads(ids: pa.Array) -> np.ndarray:
+    """Where a run of equal ids begins."""
+    out = np.ones(len(ids), bool)
+    out[1:] = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
 # ---------------------------------------------------------------- vectors
 def _dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -159,14 +187,26 @@ def _over(product: Column, length: Column) -> Column:
     return product / F.when(length == 0, F.lit(NO_NORM)).otherwise(length)
 
 
-def cosine_blocks(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
-    """A function of batches with an ``embedding``: slices of them, their cosines with ``vectors`` (a column each), and where those are unknown."""
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x @ y``, added up in the order of the columns: the same bits for equal rows, wherever they stand and on any machine."""
+    out, part = np.zeros((len(x), y.shape[1])), np.empty((len(x), y.shape[1]))
+    for k in range(x.shape[1]):
+        out += np.multiply(x[:, k : k + 1], y[k], out=part)
+    return out
+
+
+def cosine_blocks(vectors: list[list[float] | None], exact: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    """A function of batches with an ``embedding``: slices of them, their cosines with ``vectors`` (a column each), and where those are unknown.
+
+    With ``exact`` they are added up in order, which takes longer than a product of matrices.
+    """
     places: dict[int, list[int]] = {}
     for at, vector in enumerate(vectors):
         if vector is not None and None not in vector:
             places.setdefault(len(vector), []).append(at)
     by_size = {n: (np.array(at), np.array([vectors[k] for k in at], dtype=float).reshape(len(at), n).T) for n, at in places.items()}
-    step = max(1, BLOCK_CELLS // max(1, len(vectors)))
+    step = max(1, (EXACT_CELLS if exact else BLOCK_CELLS) // max(1, len(vectors)))
+    squares = lambda x: _in_order(x * x, np.ones((x.shape[1], 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -180,8 +220,8 @@ def cosine_blocks(vectors: list[list[float] | None]) -> Callable[[Iterator[pa.Re
                     here = np.flatnonzero(sizes == n)
                     flat = pc.list_flatten(own.take(pa.array(here)))
                     x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(here), n)
-                    length = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(asked, axis=0))
-                    out[np.ix_(here, at)] = x @ asked / np.where(length == 0, NO_NORM, length)
+                    length = np.sqrt(squares(x) * squares(asked.T).T) if exact else np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(asked, axis=0))
+                    out[np.ix_(here, at)] = (_in_order(x, asked) if exact else x @ asked) / np.where(length == 0, NO_NORM, length)
                     unknown[np.ix_(here, at)] = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(here), n).any(axis=1)[:, None]
                 yield part, out, unknown
 
@@ -257,10 +297,88 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 6) -> DataFram
     return diverse_top(cosine_scores(chunks, queries).withColumnRenamed("cosine", "score"), "query_id", k)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, code, tf, dl) to a row for each run of a chunk: chunk_id, dl, codes and tfs."""
+    for batch in batches:
+        if batch.num_rows:
+            at = np.flatnonzero(run_heads(batch.column(0)))
+            ends, first = np.append(at, batch.num_rows).astype(np.int32), pa.array(at)
+            lists = [pa.ListArray.from_arrays(ends, batch.column(k).cast(pa.int32())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(3).take(first), *lists], ["chunk_id", "dl", "codes", "tfs"])
+
+
+def _blocks(chunks: DataFrame, index: Bm25, asked: pa.Table, queries: int) -> DataFrame:
+    """A stored row for each chunk: chunk_id, path, embedding, dl, found (codes and tfs of the asked terms that it holds) and block, which rises with chunk_id."""
+    own = chunks.select("chunk_id", "path", "embedding")
+    postings = asked_postings(index, asked)
+    kind = StructType([own.schema["chunk_id"], StructField("dl", LongType()), StructField("codes", ArrayType(IntegerType())), StructField("tfs", ArrayType(IntegerType()))])
+    runs = postings.mapInArrow(_gathered, kind).groupBy("chunk_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("codes", "tfs")).alias("found"))
+    rows = own.join(runs, "chunk_id", "left").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("__m", F.monotonically_increasing_id())
+    place = F.floor(F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(max(64, RANKED_CELLS // queries)))
+    return written(rows.withColumn("block", F.shiftleft(F.shiftright("__m", 33), 33) + place).drop("__m"), "blocks")
+
+
+def _scores(vectors: list, asked: pa.Table, avgdl: float):
+    """Rows of ``_blocks`` to the orders of their cosines and of their BM25 scores (queries x 2 x rows as one axis), and both scores; alike for equal rows, wherever they stand."""
+    queries = len(vectors)
+    code, place, weight = (asked.column(c).to_numpy() for c in ("code", "place", "weight"))
+    bounds = np.searchsorted(code, np.arange(int(code.max(initial=-1)) + 2))
+    cosines = cosine_blocks(vectors, exact=True)
+    step = max(1, BLOCK_CELLS // (4 * queries))
+
+    def bm25(rows: pa.Table) -> np.ndarray:
+        found = rows.column("found").combine_chunks()
+        runs = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+        lists = pc.list_flatten(found)
+        sizes = pc.list_value_length(pc.struct_field(lists, 0)).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, tf = (pc.list_flatten(pc.struct_field(lists, k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        row = np.repeat(runs, sizes)
+        order = np.lexsort((own, row))  # terms in one order
+        own, tf, row = own[order], tf[order], row[order]
+        dl = pc.fill_null(rows.column("dl"), 0).to_numpy()[row]
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        each = bounds[own + 1] - bounds[own]
+        at = np.arange(each.sum()) - np.repeat(each.cumsum() - each, each) + np.repeat(bounds[own], each)
+        return np.bincount(np.repeat(row, each) * queries + place[at], weight[at] * np.repeat(part, each), len(rows) * queries).astype(float).reshape(len(rows), queries)
+
+    def run(rows: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        found = list(cosines(rows.select(["embedding"]).combine_chunks().to_batches()))
+        cosine, unknown = (np.vstack([x[k] for x in found]).T for k in (1, 2))
+        score = np.vstack([bm25(rows.slice(k, step)) for k in range(0, len(rows), step)]).T
+        return np.vstack([descending(cosine, unknown), descending(score)]), (cosine, unknown, score)
+
+    return run
+
+
+def _rank_rows(queries: pa.Array):
+    """A block's rows, scores and ranks to a row for each chunk and query."""
+
+    def run(rows: pa.Table, scores: tuple[np.ndarray, np.ndarray, np.ndarray], ranks: np.ndarray) -> pa.Table:
+        cosine, unknown, score = scores
+        query, chunk = (pa.array(x.ravel()) for x in np.indices(cosine.shape, np.int32))
+        columns = [queries.take(query), rows.column("chunk_id").take(chunk), rows.column("path").take(chunk), pa.array(cosine.ravel(), mask=unknown.ravel()), pa.array(score.ravel()), *(pa.array(x.ravel()) for x in np.split(ranks, 2))]
+        return pa.table(columns, ["query_id", "chunk_id", "path", "cosine", "bm25", "vector_rank", "bm25_rank"])
+
+    return run
+
+
 def rank_lists(chunks: DataFrame, index: Bm25, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, path, cosine, bm25 and both ranks (from 1) over all chunks."""
-    scored = cosine_scores(chunks, queries).join(bm25_matches(index, queries), ["query_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    return with_rank(with_rank(scored, "query_id", "cosine", "vector_rank"), "query_id", "bm25", "bm25_rank")
+    """query_id, chunk_id, path, cosine, bm25 and both ranks (from 1) over all chunks; ``RANKED_QUERIES`` queries at a time."""
+    spark = chunks.sparkSession
+    asked = written(queries.select("query_id", "text", "vec"), "asked-queries")
+    kind = StructType([asked.schema["query_id"], chunks.schema["chunk_id"], chunks.schema["path"], *(StructField(x, DoubleType()) for x in ("cosine", "bm25")), *(StructField(x, LongType()) for x in ("vector_rank", "bm25_rank"))])
+    avgdl = index.totals.select("avgdl").first()[0]
+    blocks, out = max(1, -(-asked.count() // RANKED_QUERIES)), None
+    for k in range(blocks):
+        few = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow().combine_chunks()
+        if not len(few):
+            continue
+        texts = spark.createDataFrame(list(enumerate(few.column("text").to_pylist())), "query_id int, text string")
+        terms = asked_terms(index, texts)
+        rows = _blocks(chunks, index, terms, len(few))
+        made = placed(rows, _scores(few.column("vec").to_pylist(), terms, avgdl), 2 * len(few), _rank_rows(few.column("query_id").combine_chunks()), kind)
+        out = made if out is None else out.unionByName(made)
+    return spark.createDataFrame([], kind) if out is None else out
 
 
 def fused(ranks: DataFrame) -> DataFrame:

@@ -46,10 +46,13 @@ def ch(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), "text")
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("given"))
+
+
 def hy(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks; those without a row in ``embeddings`` get the vector of their hashed words."""
-    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("given"))
-    own = embed(ch(spark, sf).repartition("chunk_id")).join(vectors, "chunk_id", "left")  # dealt for the join, before the words are hashed
+    own = embed(ch(spark, sf).repartition("chunk_id")).join(_vectors(spark, sf), "chunk_id", "left")  # dealt for the join, before the words are hashed
     return own.select("chunk_id", "path", "text", F.coalesce("given", "embedding").alias("embedding"))
 
 
@@ -165,7 +168,11 @@ def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, ranking.Bm25]:
 
 
 def _ranks(spark, sf):
-    return ranking.rank_lists(*_index(spark, sf), q(spark, sf))
+    """All ranks of HY; its texts are neither stored nor dealt, but where they come in too few parts to share the work."""
+    own = ch(spark, sf)
+    own = own.repartition("chunk_id") if own.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else own
+    vectors = embed(own).drop("text").join(_vectors(spark, sf), "chunk_id", "left").select("chunk_id", "path", F.coalesce("given", "embedding").alias("embedding"))
+    return ranking.rank_lists(vectors, ranking.bm25_index(own, keep=True), q(spark, sf))
 
 
 def rank_lists(spark, sf):

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_fusion import ASKED, asked, corpus
 
+from corpusloom import queries
 from corpusloom.operators import placing, ranking
 
 
@@ -79,3 +81,12 @@ def test_a_count_that_does_not_fit_is_an_error(spark):
     one = placing._counted(np.zeros((1, 1), np.int64))(placing._sent(lambda t: (np.array([[5, 5]]), None), [np.empty(0, np.int64)])(block))
     with pytest.raises(ValueError, match="2 scores of a block, counts of 1"):
         placing._placed(scores, "chunk_id", lambda t, more, ranks: t)(block, one)
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "rank_lists"])
+def test_queries_store_neither_texts_nor_rows_of_chunks_and_queries(spark, monkeypatch, name):
+    stored = []
+    for module in (queries, ranking):
+        monkeypatch.setattr(module, "written", lambda df, label, plain=module.written, **options: stored.append(set(df.columns)) or plain(df, label, **options))
+    assert queries.QUERIES[name](spark, SF).count() > 0
+    assert stored and not any(x >= {"query_id", "chunk_id"} or x >= {"chunk_id", "text"} for x in stored)
